@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.components import components
-from orefield.llm.shared import cut
+from orefield.llm.shared import ROW, cut, numbered
 from orefield.llm.textnum import buffers, mix, words
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -243,14 +243,14 @@ def _exact(percent: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """Which documents similar texts link, directly or through others.
 
     A document's set holds its distinct shingles of ``n_words`` words (A-Z lower-cased); of fewer words, the whole
     sequence; a null or empty text has an empty set and no links. Two documents link when
     100 * intersection >= ``percent`` * union. Returns a row for each row of ``docs``: row, doc_id, n_shingles,
     component_id (the smallest id of its component), class_id, keep (true for one row of each component:
-    the smallest id, null ids last). Shingles count as equal when their 64-bit hashes are.
+    the smallest id, null ids last); row is ``row_col`` if named, a column of fixed numbers, one for each row. Shingles count as equal when their 64-bit hashes are.
 
     Documents with equal sets form one class, found by grouping. Classes meet in tiles: a shingle among the
     first elements of both sets, in one order of all shingles in which widespread ones come last, and sizes
@@ -258,12 +258,12 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     what these exact links leave apart is then held against all others of its tiles, by bitmaps first.
     A link between classes that others already connect is not looked for, as it changes no component.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    texts = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).select("text").mapInArrow(_hot(n_words), "shingle long, n long")
     some = some.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
     hot = np.sort(np.array([r[0] for r in some.select("shingle").collect()], np.int64).view(np.uint64))
-    profile = cut(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_profile(n_words, percent, hot), PROFILE), "profiles")
+    profile = cut(texts.select("row", "doc_id", "text").mapInArrow(_profile(n_words, percent, hot), PROFILE), "profiles")
     same = ["id1", "id2", "n"]
     classes = profile.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
     classes = cut(classes, "classes")
@@ -288,11 +288,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
         return cut(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_exact(percent), "a long, b long"), "exact-links")
 
-    first = cut(bounded(met.filter("fit <> node").select(F.greatest("node", "fit").alias("a"), F.least("node", "fit").alias("b")).distinct()), "first-pairs")
+    # Each class with the one it met most often: as many pairs as classes, however many copies of one text there are.
+    most = met.filter("fit <> node").groupBy("node", "fit").count().groupBy("node").agg(F.max(F.struct("count", (-F.col("fit")).alias("other"))).alias("met"))
+    most = most.select("node", (-F.col("met.other")).alias("fit"))
+    first = cut(bounded(most.select(F.greatest("node", "fit").alias("a"), F.least("node", "fit").alias("b")).distinct()), "first-pairs")
     links = linked(first)
     parts = components(links)
     tiles = met.join(parts, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component"))
-    apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
+    tiles = cut(tiles, "labelled-tiles")
+    # Tiles with the same members hold the same pairs: one of them is looked at.
+    own = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("key1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("key2")]
+    apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *own).filter("low <> high")
+    apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
     tiles = tiles.join(apart, "shingle", "left_semi").join(marks.select("node", "bits"), "node").select("shingle", "n", "node", "component", "bits")
     rest = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
     rest = cut(rest.join(first, ["a", "b"], "left_anti"), "more-pairs")
@@ -307,3 +314,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
         F.coalesce("class_id", "row").alias("class_id"), F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("keep"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each component of linked documents, with all columns; rows with an empty set all stay."""
+    held = numbered(docs)
+    kept = ngram_jaccard_join(held, id_col, text_col, row_col=ROW, **options).filter("keep").select(F.col("row").alias(ROW))
+    return held.join(kept, ROW, "left_semi").drop(ROW)

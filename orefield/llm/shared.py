@@ -6,6 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ROW = "__row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,3 +35,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df``, written, with a number of its own for each row in ``ROW``."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
