@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.shared import cut
+from orefield.llm.shared import ROW, cut, numbered
 
 #: What normalising deletes: space and the characters 09-0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -27,7 +27,7 @@ def _named(keys: DataFrame, by: list[str]) -> DataFrame:
     return keys.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, row_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_points, text_sha256, level, name.
 
     Two texts are equal when, and only when, level and name are. Blocks of ``block_bytes`` bytes are
@@ -35,7 +35,8 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
     Whole blocks cross the network once, after each task has dropped its own repeats.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("n_points"), without_space(text).cast("binary").alias("norm"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    norm = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.char_length(text).alias("n_points"), without_space(text).cast("binary").alias("norm"))
     last = F.greatest(F.ceil(F.octet_length("norm") / block_bytes).cast("int") - 1, F.lit(0))
     blocks = F.when(last == 0, F.array("norm")).otherwise(
         F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("norm"), i * block_bytes + 1, F.lit(block_bytes)))
@@ -49,7 +50,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
         seed += 1
     rows = cut(
         norm.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
+            "row", "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
             F.transform(blocks, lambda b: _route(b, seed)).alias("routes"),
         ).withColumn("n", F.size("routes")),
         "block-rows",
@@ -77,17 +78,27 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) ->
     return reduce(DataFrame.unionByName, done)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16384) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16384, row_col: str | None = None) -> DataFrame:
     """Which rows hold equal texts once white space is deleted, and which of them stays.
 
-    Returns a row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    Returns a row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and
+    ``row_col`` if named, a column of fixed numbers, one for each row.
     Null texts count as empty; empty texts are equal to each other. Of equal texts the one with the most
     code points stays, then the smallest id (null ids last); of repeated rows of one id exactly one is
     kept. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
-    rows = cut(identities(docs, id_col, text_col, block_bytes), "identities")
+    rows = cut(identities(docs, id_col, text_col, block_bytes, row_col), "identities")
     best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
     groups = rows.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
     return rows.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay of each group of equal texts, with all their columns."""
+    held = numbered(docs)
+    kept = exact_dedup(held, id_col, text_col, row_col=ROW, **options).filter("kept").select(ROW)
+    return held.join(kept, ROW, "left_semi").drop(ROW)
+

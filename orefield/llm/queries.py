@@ -7,24 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orefield.llm.exact_dedup import exact_dedup
+from orefield.llm.html_text import extract_main_text
+from orefield.llm.knn_join import top_k_inner_product
+from orefield.llm.language_id import predict_language
+from orefield.llm.language_model import score_texts
+from orefield.llm.mixing import mix_to_weights
 from orefield.llm.ngram_join import ngram_jaccard_join
+from orefield.llm.packing import pack_pieces, token_pieces
+from orefield.llm.quality import quality_scores
 from orefield.llm.sharding import balanced_shards
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The byte-level vocabulary as a tokenizer file and as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def piece_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(_documents(spark, sf_dir), piece_file())
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(_documents(spark, sf_dir))
+
+
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_inner_product(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_to_weights(_documents(spark, sf_dir))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return ngram_jaccard_join(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return balanced_shards(_documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_pieces(token_pieces(_documents(spark, sf_dir), *tokenizer_files()))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_documents(spark, sf_dir), *tokenizer_files())
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op6_ngram_jaccard_join, op7_sharding)
+    f.__name__: f
+    for f in (
+        op1_quality_classifier, op2_language_id, op3_exact_dedup, op4_top_k_search, op5_source_mixing,
+        op6_ngram_jaccard_join, op7_sharding, op8_packing, op9_lm_scoring, op10_html_extraction,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -33,4 +89,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)""",
+    "op4_top_k_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+              FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
+        r AS (SELECT doc_id AS at, doc_id AS via FROM documents UNION SELECT r.at, l.b FROM r JOIN l ON r.via = l.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT at AS doc_id, min(via) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
 }

@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orefield.llm.prefix_sums import global_prefix
 from orefield.llm.shared import cut
 
-RUNNING = "doc_id long, size long, text_crc32 long, text_key string, part int, start long, place long"
-
-
-def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sizes and counts of rows before each row within its partition."""
-    bytes_before = rows_before = 0
-    for batch in batches:
-        size = batch.column("size").to_numpy(zero_copy_only=False)
-        total = np.cumsum(size)
-        place = np.arange(rows_before, rows_before + len(size))
-        more = [pa.array(bytes_before + total - size, pa.int64()), pa.array(place, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "start", "place"])
-        bytes_before += int(total[-1]) if len(total) else 0
-        rows_before += len(size)
-
 
 def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole_share: float = 1 / 64) -> DataFrame:
     """Put every row in one of ``n_shards`` contiguous stretches of near equal bytes.
@@ -40,14 +22,8 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_key"))
-    rows = rows.repartitionByRange("text_key", "doc_id").sortWithinPartitions("text_key", "doc_id").withColumn("part", F.spark_partition_id())
-    rows = cut(rows.mapInArrow(_running, RUNNING), "running-sizes")
-    # One row per partition: bounded by the number of partitions, not by the data.
-    parts = sorted(map(tuple, rows.groupBy("part").agg(F.sum("size"), F.count("*")).collect()))
-    before = np.cumsum([[0, 0], *([s, n] for _, s, n in parts)], axis=0)
-    total = max(int(before[-1][0]), 1)
-    offsets = spark.createDataFrame([(p, int(b[0]), int(b[1])) for (p, _, _), b in zip(parts, before)], "part int, bytes_before long, rows_before long")
-    rows = rows.join(F.broadcast(offsets), "part").withColumns({"start": F.col("start") + F.col("bytes_before"), "place": F.col("place") + F.col("rows_before")}).drop("part", "bytes_before", "rows_before")
+    rows, total = global_prefix(rows, "text_key", "doc_id")
+    total = max(total, 1)
     groups = rows.groupBy("text_key").agg(F.min("start").alias("group_start"), F.sum("size").alias("group_size"), F.count("*").alias("n"))
     groups = groups.filter((F.col("n") > 1) & (F.col("group_size") <= total / n_shards * whole_share)).select("text_key", "group_start")
     begin = F.coalesce("group_start", "start")
