@@ -1 +1 @@
-"""Plans of the knowledge-graph engine."""
+"""Registered queries: operators applied to the given tables, with their SQL twins."""
