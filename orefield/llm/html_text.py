@@ -140,12 +140,60 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first in range(0, len(batch), 500):
             part = batch.slice(first, 500)
             pages = [parse_page(p or "") for p in part.column("html").to_pylist()]
-            hosts = [m[1].lower() if (m := HOST.match(u or "")) else "" for u in part.column("url").to_pylist()]
+            hosts = [_host(u) for u in part.column("url").to_pylist()]
             arrays = [pa.array([p[0] for p in pages], pa.list_(pa.string())), pa.array([p[1] for p in pages], pa.list_(pa.bool_())), pa.array([[{"hash": h, "first": a, "last": b} for h, a, b in p[2]] for p in pages], tree)]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), *arrays], names=["row", "page_id", "url", "host", "blocks", "inside", "subtrees"])
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 4, least_share: float = 0.3) -> DataFrame:
+def _host(url: str | None) -> str:
+    return m[1].lower() if (m := HOST.match(url or "")) else ""
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, hash, n): on how many pages of a batch a subtree stands; the number of pages where the hash is null."""
+    for batch in batches:
+        counts: dict[tuple, int] = {}
+        for page, url in zip(batch.column("html"), batch.column("url").to_pylist()):
+            host = _host(url)
+            for key in {None, *(h for h, a, b in parse_page(page.as_py() or "")[2] if a < b)}:
+                counts[host, key] = counts.get((host, key), 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(counts.values(), pa.int64())], names=["host", "hash", "n"])
+
+
+def main_text(page: str, recurring: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article of one page, without the subtrees whose hashes recur on its host."""
+    blocks, inside, subtrees = parse_page(page)
+    gone = {i for h, a, b in subtrees if h in recurring for i in range(a, b)}
+    whole = any(inside)
+    return "\n".join(b for i, b in enumerate(blocks) if i not in gone and (inside[i] or not whole))
+
+
+def _extracted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls = batch.column("url").to_pylist()
+            texts = [main_text(page.as_py() or "", shared.value.get(_host(url), frozenset())) for page, url in zip(batch.column("html"), urls)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return run
+
+
+def _by_join(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """The same by a join of each page's subtrees with those that recur, for more of them than tasks should hold."""
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "page_id", "url", "html").mapInArrow(_parsed, PARSED), "parsed-pages")
+    trees = rows.select("row", "host", F.explode("subtrees").alias("tree")).select("row", "host", "tree.*").filter("first < last")
+    gone = trees.join(often, ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    whole = F.exists("inside", lambda x: x)
+    blocks = F.filter(
+        F.transform("blocks", lambda text, i: F.struct(text.alias("text"), i.alias("i"))),
+        lambda b: (~whole | F.get("inside", b["i"])) & ~F.exists(F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")), lambda g: (g["first"] <= b["i"]) & (b["i"] < g["last"])),
+    )
+    return rows.join(gone, "row", "left").select("page_id", "url", F.array_join(F.transform(blocks, lambda b: b["text"]), "\n").alias("text"))
+
+
+def extract_main_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 4, least_share: float = 0.3, most_held: int = 1_000_000
+) -> DataFrame:
     """The article of each page: page_id, url, text, n_chars.
 
     Subtrees outside an ``article`` or ``main`` element are hashed and counted over the pages of their host; one that stands on
@@ -153,19 +201,17 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     HTML or their class names as boilerplate go; where a page has an ``article`` or ``main``, only what is inside stays.
     What is inside is never counted, so copies of one article keep their text. Blocks stand in page order, one a line.
     A null page is empty; a null or odd url is of the host ''. Repeated rows and ids are rows like others.
+    Up to ``most_held`` recurring hashes go to every task; more meet the pages by a join.
     """
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    rows = cut(rows.mapInArrow(_parsed, PARSED), "parsed-pages")
-    trees = rows.select("row", "host", F.explode("subtrees").alias("tree")).select("row", "host", F.col("tree.hash").alias("hash"), F.col("tree.first").alias("first"), F.col("tree.last").alias("last"))
-    size = rows.groupBy("host").agg(F.count("*").alias("n_pages"))
-    often = rows.select("host", F.explode(F.array_distinct(F.transform("subtrees", lambda t: t["hash"]))).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    often = often.filter(F.col("n") >= least_pages).join(size, "host").filter(F.col("n") >= least_share * F.col("n_pages")).select("host", "hash")
-    gone = trees.filter("first < last").join(often, ["host", "hash"]).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
-    whole = F.exists("inside", lambda x: x)
-    blocks = F.filter(
-        F.transform("blocks", lambda text, i: F.struct(text.alias("text"), i.alias("i"))),
-        lambda b: (~whole | F.get("inside", b["i"])) & ~F.exists(F.coalesce("gone", F.array().cast("array<struct<first:int,last:int>>")), lambda g: (g["first"] <= b["i"]) & (b["i"] < g["last"])),
-    )
-    text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
-    out = rows.join(gone, "row", "left").select("page_id", "url", text.alias("text"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    counts = cut(rows.select("url", "html").mapInArrow(_counted, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")), "subtree-counts")
+    size = counts.filter("hash is null").select("host", F.col("n").alias("n_pages"))
+    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(size, "host").filter(F.col("n") >= least_share * F.col("n_pages")).select("host", "hash")
+    if often.limit(most_held + 1).count() <= most_held:
+        held: dict[str, set[int]] = {}
+        for host, value in often.collect():
+            held.setdefault(host, set()).add(value)
+        out = rows.mapInArrow(_extracted(pages.sparkSession.sparkContext.broadcast(held)), "page_id long, url string, text string")
+    else:
+        out = _by_join(rows, often)
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
