@@ -35,9 +35,18 @@ class Ids:
         self.whole = Tokenizer.from_file(file)
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.table = table
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
+    def sizes(self) -> np.ndarray:
+        """How many bytes of text each id stands for."""
+        out = np.zeros(self.whole.get_vocab_size(), np.int64)
+        for piece, i in self.table.items():
+            out[i] = len(piece)
+        out[self.whole.token_to_id(SPECIAL)] = len(SPECIAL)
+        return out
+
     def bytes(self, text: str) -> bytes:
         if SPECIAL in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

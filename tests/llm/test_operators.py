@@ -1,0 +1,398 @@
+"""Operators against brute force, on small tables with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from orefield.llm import html_text, knn_join, language_id, language_model, mixing, ngram_join, packing, prefix_sums, quality, textnum
+from orefield.llm.components import components
+from orefield.llm.exact_dedup import exact_dedup, keep_first
+from orefield.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
+from orefield.llm.queries import piece_file, tokenizer_files
+from orefield.llm.sharding import balanced_shards
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, size long, n long"
+WORDS = ["alpha", "Beta", "gamma", "delta", "eps", "zeta", "Éta", "theta", "iota", "kappa", "la", "mu"]
+
+
+def make(spark, rows):
+    """(doc_id, text, lang, source) with columns whose names clash with the operators' own."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, "x", 2, 3) for r in rows], SCHEMA)
+
+
+def sample_rows():
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \t\n", "en", "a"), (4, "one two", "en", "b"), (5, "ONE  two ", "en", "b"), (5, "ONE  two ", "en", "b"), (None, "no id here at all", "de", "c")]
+    base = say(120).split()
+    for i in range(40):
+        text = list(base)
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 8])):
+            text[rng.randrange(len(text))] = f"new{i}"
+        rows.append((100 + i, " ".join(text), "en", "a"))
+    rows += [(200 + i, say(rng.randrange(1, 90)), rng.choice(["en", "de"]), rng.choice(["a", "b", "c", None])) for i in range(40)]
+    rows += [(300, "long" + say(9000), "de", "a"), (301, "x" * 70000, "de", "a"), (302, "a\x0bb\x0cc\rd", "de", "b")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return make(spark, sample_rows()).cache()
+
+
+def norm(t):
+    return re.sub("[\x20\x09-\x0d]", "", t or "")
+
+
+def test_exact_dedup(spark, docs):
+    rows = docs.collect()
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[norm(r.text)].append(r)
+    want = collections.Counter()
+    for t, g in groups.items():
+        best = min(g, key=lambda r: (-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
+        want.update((r.doc_id, best.doc_id, len(g), hashlib.sha256(t.encode()).hexdigest()) for r in g)
+    for size in (64, 16384):
+        found = exact_dedup(docs, block_bytes=size).collect()
+        assert collections.Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == want
+        assert sum(r.kept for r in found) == len(groups)
+        assert all(r.kept <= (r.doc_id == r.keep_id) for r in found)
+    kept = keep_first(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def shingles(t):
+    w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    sets, parent = [shingles(r.text) for r in rows], list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least.setdefault(root(i), []).append(r.doc_id)
+    return [(r.doc_id, len(sets[i]), min((x for x in least[root(i)] if x is not None), default=None)) for i, r in enumerate(rows)], len(least)
+
+
+def test_ngram_join(spark, docs):
+    rows = docs.collect()
+    want, n = brute_components(rows)
+    found = ngram_jaccard_join(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == collections.Counter(want)
+    assert sum(r.keep for r in found) == n
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == n
+    assert ngram_jaccard_join(docs.limit(0)).count() == 0
+
+
+def test_ngram_join_with_shared_passages(spark):
+    rng, passage = random.Random(5), [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(8, 30))]
+        rows.append((i, " ".join(passage + own if i % 2 else own + passage), "en", "a"))
+    docs = make(spark, rows)
+    want, _ = brute_components(docs.collect())
+    found = ngram_jaccard_join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(want)
+
+
+def test_bitmaps_bound_overlap_from_above():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 200)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 63, rng.integers(1, 60)).astype(np.uint64))))
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            size = min(ngram_join.width(len(a)), ngram_join.width(len(b))) // 8
+            x, y = (ngram_join.fold(ngram_join.bitmap(s, ngram_join.width(len(s))), size) for s in (a, b))
+            assert ngram_join.may_link(x, len(a), y[None], np.array([len(b)]), 80)[0]
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(7, 7)]
+    parent = {x: x for e in links for x in e}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for e in links if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hashes_know_equal_words():
+    texts = ["Hello  hello\tHELLO x", "", "x hello"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    value, row = textnum.words(data, offsets)
+    assert row.tolist() == [0, 0, 0, 0, 2, 2] and len(set(value.tolist())) == 2 and value[3] == value[4]
+
+
+def test_sharding(spark, docs):
+    rows = balanced_shards(docs, 4).collect()
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.collect())
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    shards = collections.defaultdict(list)
+    for r in rows:
+        assert r.law == "bytes" and r.grown_shard is None
+        shards[r.shard].append(r)
+    assert all(sorted(r.slot for r in s) == list(range(len(s))) for s in shards.values())
+    assert balanced_shards(docs.limit(0)).count() == 0
+    even = make(spark, [(i, f"text {i}", "en", "a") for i in range(4000)])
+    sizes = collections.Counter()
+    for r in balanced_shards(even).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) < 1.02 * min(sizes.values())
+
+
+def test_global_prefix(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000, i % 5 + 1) for i in range(1000)], "k long, size long")
+    got, total = prefix_sums.global_prefix(rows, "k")
+    at = 0
+    for place, r in enumerate(sorted(got.collect())):
+        assert (r.start, r.place) == (at, place)
+        at += r.size
+    assert total == at
+
+
+def test_mixing(spark, docs):
+    rows = mixing.mix_to_weights(docs, block_words=8, n_shards=3).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.mix_to_weights(docs.repartition(3), block_words=8, n_shards=3).collect()), key=str)
+    n = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += n(r.text)
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        assert r.taken <= 3 * r.size
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert set(target) == set(sizes.values())
+    assert abs(sum(target.values()) - sum(sizes.values())) < 1e-6
+    assert all(abs(taken[s] - t) <= 16 + 0.01 * t for s, t in target.items())
+    mixed = mixing.mixed_documents(docs, block_words=8, n_shards=3)
+    assert mixed.columns == docs.columns
+    by_doc = collections.Counter()
+    for r in mixed.collect():
+        by_doc[r.doc_id] += n(r.text)
+    want = collections.Counter()
+    for r in rows:
+        want[r.doc_id] += r.taken
+    assert +by_doc == +want
+    assert mixing.mix_to_weights(docs.limit(0)).count() == 0
+
+
+def test_targets_stop_at_the_cap():
+    got = mixing.targets([10, 100, 1000], [1, 2, 3], 3)
+    assert got[:2] == [30, 300] and abs(sum(got) - 1110) < 1e-9
+    assert mixing.targets([0, 5], [1, 2], 3) == [0.0, 5.0]
+
+
+def test_permutations():
+    for n in (1, 2, 3, 17, 1000):
+        got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 99, np.uint64))
+        assert sorted(got.tolist()) == list(range(n))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_vector_best_fit_keeps_every_capacity(rule):
+    rng = np.random.default_rng(4)
+    length = rng.integers(1, 100, 400).astype(float)
+    sizes = np.stack([length, np.ones(400), length**2], axis=1)
+    capacity = np.array([128.0, 5, 7000])
+    length[length**2 > 7000] = 80
+    sizes = np.stack([length, np.ones(400), length**2], axis=1)
+    where, offset = packing.vector_best_fit(sizes, capacity, np.array([1, 0.3, 0.5]), rule)
+    for b in set(where.tolist()):
+        own = where == b
+        assert (sizes[own].sum(0) <= capacity).all()
+        at = 0
+        for i in sorted(np.flatnonzero(own), key=lambda i: offset[i]):
+            assert offset[i] == at
+            at += int(length[i])
+
+
+def test_packing_is_an_exact_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    file, ranks = tokenizer_files()
+    plain = Tokenizer.from_file(file)
+    more = make(spark, [(900, "two  spaces and \n a line", "en", "a"), (901, " lead and trail ", "en", "a"), (902, "tab\t x\n\ny z  w", "en", "a"), (903, "<|endoftext|> in text", "en", "a"), (904, "x\n y", "en", "a")])
+    both = docs.unionByName(more)
+    rows = packing.pack_pieces(packing.token_pieces(both, file, ranks, most=64), most_tokens=64, group_rows=16).collect()
+    pieces, packed = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        packed[r.sequence_id].append(r)
+    for doc_id, text in {r.doc_id: r.text for r in both.collect() if r.doc_id != 5}.items():
+        ids, at = plain.encode(text or "", add_special_tokens=False).ids + [2], 0
+        for i, r in enumerate(sorted(pieces[doc_id], key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (i, at, zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            assert r.length == 64 or i == 0
+            at += r.length
+        assert at == len(ids)
+    for s in packed.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 64
+    assert packing.pack_pieces(packing.token_pieces(docs.limit(0), file, ranks)).count() == 0
+    held = packing.token_pieces(more, file, ranks, with_ids=True).first()
+    assert zlib.crc32(held.ids) == held.ids_crc32
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(400)] + [(i, [0.5] * 6) for i in range(400, 600)]
+    vectors += [(50, [0.1] * 6), (700, None), (750, [1.0, None, 1, 1, 1, 1]), (800, [float("nan")] * 6), (850, [float("inf")] * 6), (None, [9.0] * 6), (900, [1.0, 2.0])]
+    frame = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, label int, row int")
+    good = [(i, np.pad(np.floor(256 * np.array(v, float)), (0, 6 - len(v))).astype(int)) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for n, (q, x) in enumerate(good):
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(good) if m != n)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for size in (64, 4096):
+        got = knn_join.top_k_inner_product(frame, n_pivots=7, chunk_rows=size)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert knn_join.top_k_inner_product(frame.limit(0)).count() == 0
+    assert knn_join.top_k_inner_product(frame.filter("vec_id = 50").limit(1)).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    pieces = sorted([b"a", b"b", b"ab", b"ba", b"aba", *[bytes([i]) for i in range(256) if i not in (97, 98)]])
+    p = np.random.default_rng(1).random((len(pieces), 2))
+    p /= p.sum(0)
+    model = language_id.LanguageModel(["x", "y"], pieces, language_id.scale(p, pieces))
+    finder = language_id.Pieces(pieces)
+
+    def brute(word, i):
+        return 1.0 if not word else sum(p[pieces.index(word[:n]), i] * brute(word[n:], i) for n in range(1, len(word) + 1) if word[:n] in pieces)
+
+    texts = ["abab ba", "b", "", "abba"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    total = model.totals(finder, data, offsets)
+    for r, t in enumerate(texts):
+        for i in range(2):
+            assert total[r, i] == pytest.approx(sum(np.log(brute(w.encode(), i)) for w in t.split()))
+
+
+def corpus(spark, n=240):
+    rng = random.Random(8)
+    words = {"en": "the of and that with this there which".split(), "de": "der und nicht schön über ein zwischen ich".split()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(20, 60))), lang, "a") for i in range(n) for lang in [rng.choice(["en", "de"])]]
+    return rows
+
+
+def test_language(spark):
+    rows = corpus(spark)
+    odd = [(1000, None, "en", "a"), (1001, "12 !", "en", "a"), (1002, "", None, "a"), (None, "the of and", "en", None), (1003, "und " * 30000, None, "a")]
+    got = {r.doc_id: r for r in language_id.predict_language(make(spark, rows + odd), piece_file()).collect()}
+    assert len(got) == len(rows) + len(odd)
+    held = [r for r in rows if got[r[0]].held_out]
+    assert held and all(got[r[0]].lang_pred == r[2] for r in held)
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, *_ in rows)
+    assert [got[i].lang_pred for i in (1000, 1001, 1002, 1003, None)] == ["und", "und", "und", "de", "en"]
+    assert language_id.predict_language(make(spark, odd[:3]), piece_file()).filter("lang_pred = 'und'").count() == 3
+    assert language_id.predict_language(make(spark, []), piece_file()).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        good = rng.random() < 0.7
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(10, 60))]
+        rows.append((i, " ".join(words) if good else " | ".join(words), "en", "a"))
+        labels.append((i, int(good), 0))
+    odd = [(1000, None, "en", "a"), (1001, "", "en", "a"), (None, "alpha " * 9000, "en", "a"), (1, "la mu", "en", "a")]
+    docs, table = make(spark, rows + odd), spark.createDataFrame([*labels, (1, 1, 0), (None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    got = quality.quality_scores(docs, table).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    truth = {i: q for i, q, _ in labels}
+    held = [r for r in got if r.held_out and r.doc_id in truth]
+    assert sum(r.predicted == truth[r.doc_id] for r in held) > 0.9 * len(held)
+    kept = quality.keep_good(docs, table)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
+    assert {r.score for r in quality.quality_scores(docs, table.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(docs.limit(0), table).count() == 0
+
+
+def test_language_model(spark):
+    rows = corpus(spark, 120) + [(1000, None, "en", "a"), (1001, "", "en", "a"), (1002, "The  OF\tunseen1", None, None), (None, "the of", "en", "a"), (1003, "und ich " * 20000, "de", "a")]
+    docs = make(spark, rows)
+    got = {r.doc_id: r for r in language_model.score_texts(docs, *tokenizer_files(), most_common=5).collect()}
+    counts, tokens = collections.Counter(), {}
+    for i, t, *_ in rows:
+        tokens[i] = [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(tokens[i])
+    total, types = sum(counts.values()), len(counts)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(counts[w] > 0 for w in t), total)
+        assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (total + types + 1)) for w in t))
+        assert r.score < 0
+    assert language_model.score_texts(docs.limit(0), *tokenizer_files()).count() == 0
+
+
+def test_attention_windows_score_each_id_once():
+    rng = np.random.default_rng(3)
+    stream = rng.integers(0, 50, 500)
+    lengths = np.array([1, 31, 32, 33, 200, 56, 57, 90])
+    begin = np.cumsum(lengths) - lengths
+    model = language_model.train_attention(stream, begin, 100, 2, 1, steps=30)
+    got = model.log_probabilities(stream, begin, lengths)
+    assert (got < 0).all() and len(got) == 500
+    # Each id's probabilities sum to one over the vocabulary.
+    z = model.forward(model.rank[stream[:32]][None])["z"][0, -1]
+    assert np.exp(z[model.group] + model.within).sum() == pytest.approx(1, abs=1e-3)
+    # A window sees nothing of what comes later.
+    other = stream.copy()
+    other[begin[4] + 100 :] = 7
+    assert np.allclose(model.log_probabilities(other, begin, lengths)[: begin[4] + 100], got[: begin[4] + 100])
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Home</a></header>
+<nav><ul><li>Menu</li></ul></nav><!-- ad --><div class="ad">Buy</div><article><h1>Head  line&amp;</h1><p><b>One <i>two</i>.<br><p>Three&nbsp;four &lt;x&gt;
+five</p><aside>side</aside><div class="comments"><p>first!</p></div></article><form>ask</form><footer>&copy; us</footer>"""
+
+
+def test_html_extraction(spark):
+    assert html_text.main_text(PAGE) == "Head line&\nOne two.\nThree four <x> five"
+    template = '<html><body><div class="x1">Same on all</div><div>Body {0}</div><div class="x2">Bottom</div></body></html>'
+    pages = [(i, f"http://h.example/{i}", template.format(f"text number {i}")) for i in range(10)]
+    pages += [(20, "https://lone.example/a", template.format("alone")), (21, None, None), (22, "odd", ""), (23, "http://h.example/copy", PAGE), (24, "http://h.example/copy", PAGE), (None, "x", "plain text")]
+    frame = spark.createDataFrame([(*p, 1, "h") for p in pages], "page_id long, url string, html string, row long, host string")
+    for most in (1_000_000, 0):
+        got = {r.page_id: r for r in html_text.extract_main_text(frame, most_held=most).collect()}
+        assert all(got[i].text == f"Body text number {i}" for i in range(10))
+        assert got[20].text == "Same on all\nBody alone\nBottom" and got[21].text == got[22].text == "" and got[None].text == "plain text"
+        assert got[23].text == got[24].text == html_text.main_text(PAGE) and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_text.extract_main_text(frame.limit(0)).count() == 0
