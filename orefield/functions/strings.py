@@ -15,7 +15,7 @@ def clean_null(s: Column) -> Column:
 
 
 def split_names(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, r"<\|>"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, r"<\|>"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_number(s: Column) -> Column:
@@ -49,15 +49,17 @@ def func_degree(name: Column) -> Column:
     return F.coalesce(inner, F.regexp_extract(name, r"_(\d+)$", 1).try_cast("double"))
 
 
+# How a space group's symbol starts, its crystal system.
+CRYSTAL_RULES = [
+    ("(P-1|P1)$", "triclinic"), ("C2|P2", "monoclinic"), ("P3|R3", "trigonal"), ("P4|I4", "tetragonal"), ("P6", "hexagonal"),
+    ("(Fm-3m|Im-3m|Pm-3m|Fd-3m|Ia-3d)$", "cubic"), ("(?i).*orthorhombic", "orthorhombic"),
+]
+
+
 def crystal_system(symbol: Column) -> Column:
-    """The system that a space group's symbol tells, by its first rule that holds."""
-    s = F.upper(F.regexp_replace(symbol, r"\s", ""))
-    rest = F.substring(s, 2, 100)
-    return (
-        F.when(s.rlike("^[PFI][A-Z0-9/-]*3") & rest.rlike("^-?[A-Z0-9/]*3") & rest.rlike("^(M-3|N-3|A-3|D-3|F-3|-43|43|42|41|23|21)"), "cubic")
-        .when(rest.rlike("^-?6"), "hexagonal").when(rest.rlike("^-?3"), "trigonal").when(rest.rlike("^-?4"), "tetragonal")
-        .when(s.isin("P1", "P-1"), "triclinic").when(rest.rlike("^(2/|21/|[MC]$|2$|21$)"), "monoclinic").when(s != "", "orthorhombic")
-    )
+    """The system of the first rule that a space group's symbol fits, or null."""
+    s = F.trim(symbol)
+    return F.coalesce(*[F.when(s.rlike(f"^({rule})"), system) for rule, system in CRYSTAL_RULES])
 
 
 def hash_id(prefix: str, s: Column, n: int = 8) -> Column:
@@ -140,7 +142,7 @@ def func_to_prop_uri(uri: Column) -> Column:
 
 
 def tokens(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def primary_metal(s: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import graph_queries
+from orefield.plans import function_queries, graph_queries, resolve_queries
 
-MODULES = [graph_queries]
+MODULES = [function_queries, graph_queries, resolve_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
