@@ -341,13 +341,13 @@ def _(spark, sf):
 
 @query(
     "R12_derivative_ranking",
-    _R7 + " SELECT a.p_partkey, b.total AS parent_total, round(b.total + 0.25 * (a.perf_score - b.perf_score), 6) AS adjusted FROM f a JOIN f b ON b.p_partkey = a.p_partkey - a.p_partkey % 10 WHERE a.p_partkey % 10 <> 0",
+    _R7 + " SELECT a.p_partkey, b.total AS parent_total, round(b.total + 0.25 * (a.perf_score - b.perf_score), 4) AS adjusted FROM f a JOIN f b ON b.p_partkey = a.p_partkey - a.p_partkey % 10 WHERE a.p_partkey % 10 <> 0",
 )
 def _(spark, sf):
     rows = ranked(spark, sf)
     parent = rows.select(c("p_partkey").alias("parent"), c("total").alias("parent_total"), c("perf_score").alias("parent_perf"))
     child = rows.filter("p_partkey % 10 <> 0").withColumn("parent", c("p_partkey") - c("p_partkey") % 10).join(parent, "parent")
-    return child.select("p_partkey", "parent_total", F.round(c("parent_total") + 0.25 * (c("perf_score") - c("parent_perf")), 6).alias("adjusted"))
+    return child.select("p_partkey", "parent_total", F.round(c("parent_total") + 0.25 * (c("perf_score") - c("parent_perf")), 4).alias("adjusted"))
 
 
 @query("R14_concept_evidence", "WITH e AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 20), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS rn FROM e) SELECT user_id, string_agg(event_type, ';' ORDER BY event_type) AS evidence FROM r WHERE rn <= 6 GROUP BY 1")

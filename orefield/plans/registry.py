@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import analysis_queries, function_queries, graph_queries, resolve_queries
+from orefield.plans import analysis_queries, embedding_queries, function_queries, graph_queries, resolve_queries
 
-MODULES = [function_queries, graph_queries, resolve_queries, analysis_queries]
+MODULES = [function_queries, graph_queries, resolve_queries, analysis_queries, embedding_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
