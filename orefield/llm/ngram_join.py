@@ -56,8 +56,8 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n: two for an element, from 64 to 16384."""
-    return 1 << min(max(int(2 * n - 1).bit_length(), 6), 14)
+    """Bits of the bitmap of a set of n: at least eight for an element, from 64 to 8192."""
+    return 1 << min(max(int(8 * n - 1).bit_length(), 6), 13)
 
 
 def fold(maps: np.ndarray, n_bytes: int) -> np.ndarray:
@@ -130,45 +130,31 @@ def _hot(n_words: int):
     return run
 
 
-def _first_fits(percent: int):
-    """Of rows sorted by (shingle, n, set): those whose shingle others share, each with the first set there that its size lets it link with."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            token, n, node = rows
-            begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-            length = np.diff(np.append(begin, len(token)))
-            low = np.repeat(begin, length)
-            # Sizes rise within a shingle, so the first fit of a size is found by bisection.
-            high = np.arange(len(token))
-            lo, hi = low.copy(), high.copy()
-            while (lo < hi).any():
-                mid = (lo + hi) // 2
-                fits = 100 * n[mid] >= percent * n
-                hi = np.where(fits & (lo < hi), mid, hi)
-                lo = np.where(~fits & (lo < hi), mid + 1, lo)
-            shared = np.repeat(length > 1, length)
-            return pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in (token, node, n, node[lo])], names=["shingle", "node", "n", "fit"])
-
-        for batch in batches:
-            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "n", "node")])
-            if not rows.shape[1]:
-                continue
-            change = np.flatnonzero(rows[0] != rows[0][-1])
-            done = change[-1] + 1 if len(change) else 0
-            if done:
-                yield out(np.concatenate([*kept, rows[:, :done]], axis=1))
-                kept = []
-            elif kept and kept[0][0][0] != rows[0][0]:
-                yield out(np.concatenate(kept, axis=1))
-                kept = []
-            kept.append(rows[:, done:])
-        if kept:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle: those whose shingle others share, with how many share it."""
+    kept: list[np.ndarray] = []
+
+    def out(rows: np.ndarray) -> pa.RecordBatch:
+        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+        length = np.diff(np.append(begin, rows.shape[1]))
+        sharers = np.repeat(length, length)
+        return pa.RecordBatch.from_arrays([*(pa.array(x[sharers > 1]) for x in rows), pa.array(sharers[sharers > 1])], names=["shingle", "node", "n", "sharers"])
+
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node", "n")])
+        if not rows.shape[1]:
+            continue
+        change = np.flatnonzero(rows[0] != rows[0][-1])
+        done = change[-1] + 1 if len(change) else 0
+        if done:
+            yield out(np.concatenate([*kept, rows[:, :done]], axis=1))
+            kept = []
+        elif kept and kept[0][0][0] != rows[0][0]:
             yield out(np.concatenate(kept, axis=1))
-
-    return run
+            kept = []
+        kept.append(rows[:, done:])
+    if kept:
+        yield out(np.concatenate(kept, axis=1))
 
 
 def _tile_pairs(percent: int):
@@ -211,22 +197,6 @@ def _tile_pairs(percent: int):
     return run
 
 
-def _bounded(percent: int):
-    """Pairs whose bitmaps leave room for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b"))
-            keep = []
-            for x, y, n, m in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), n_a, n_b):
-                size = min(len(x), len(y))
-                x, y = (fold(np.frombuffer(v, np.uint8), size) for v in (x, y))
-                keep.append(bool(may_link(x, n, y[None], np.array([m]), percent)[0]))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 def _exact(percent: int):
     """Pairs whose sorted arrays of elements overlap enough."""
 
@@ -254,7 +224,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents with equal sets form one class, found by grouping. Classes meet in tiles: a shingle among the
     first elements of both sets, in one order of all shingles in which widespread ones come last, and sizes
-    in a ratio that lets them link. In each tile every class is first held against the first that its size fits;
+    in a ratio that lets them link. Every class is first held against one pivot of its tiles;
     what these exact links leave apart is then held against all others of its tiles, by bitmaps first.
     A link between classes that others already connect is not looked for, as it changes no component.
     """
@@ -269,14 +239,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = cut(classes, "classes")
     heads = cut(profile.join(classes.select("node"), profile["row"] == classes["node"]).select("node", "doc_id", *same, "bits", "prefix"), "heads")
 
-    met = heads.select("node", "n", F.explode("prefix").alias("shingle")).select("shingle", "n", "node")
-    met = met.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_first_fits(percent), "shingle long, node long, n long, fit long")
+    met = heads.select("node", "n", F.explode("prefix").alias("shingle")).select("shingle", "node", "n")
+    met = met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, "shingle long, node long, n long, sharers long")
     met = cut(met, "tiles")
-    marks = heads.select("node", "n", "bits")
-
-    def bounded(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(marks.toDF("a", "n_a", "bits_a"), "a").join(marks.toDF("b", "n_b", "bits_b"), "b")
-        return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs, those that link; only the texts of their classes' first rows are read again."""
@@ -288,10 +253,13 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
         return cut(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_exact(percent), "a long, b long"), "exact-links")
 
-    # Each class with the one it met most often: as many pairs as classes, however many copies of one text there are.
-    most = met.filter("fit <> node").groupBy("node", "fit").count().groupBy("node").agg(F.max(F.struct("count", (-F.col("fit")).alias("other"))).alias("met"))
-    most = most.select("node", (-F.col("met.other")).alias("fit"))
-    first = cut(bounded(most.select(F.greatest("node", "fit").alias("a"), F.least("node", "fit").alias("b")).distinct()), "first-pairs")
+    # A text that others were copied from shares most: each class is first held against the one class that is such a pivot
+    # of most of its tiles. That is one pair for a class, however many copies of a text there are.
+    fame = met.groupBy("node").agg(F.sum("sharers").alias("fame"))
+    pivots = met.join(fame, "node").groupBy("shingle").agg(F.max(F.struct("fame", "node", "n")).alias("pivot")).select("shingle", F.col("pivot.node").alias("fit"), F.col("pivot.n").alias("m"))
+    alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("node") != F.col("fit"))
+    most = met.join(pivots, "shingle").filter(alike).groupBy("node", "fit").count().groupBy("node").agg(F.max(F.struct("count", "fit")).alias("met"))
+    first = cut(most.select(F.greatest("node", "met.fit").alias("a"), F.least("node", "met.fit").alias("b")).distinct(), "first-pairs")
     links = linked(first)
     parts = components(links)
     tiles = met.join(parts, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component"))
@@ -300,9 +268,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("key1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("key2")]
     apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *own).filter("low <> high")
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    tiles = tiles.join(apart, "shingle", "left_semi").join(marks.select("node", "bits"), "node").select("shingle", "n", "node", "component", "bits")
+    tiles = tiles.join(apart, "shingle", "left_semi").join(heads.select("node", "bits"), "node").select("shingle", "n", "node", "component", "bits")
     rest = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"), "more-pairs")
+    rest = cut(rest, "more-pairs").join(first, ["a", "b"], "left_anti")
     if not rest.isEmpty():
         parts = components(links.union(linked(rest)))
 
