@@ -238,9 +238,9 @@ def undirected(spark, sf):
     return e.unionByName(e.select(c("b").alias("a"), c("a").alias("b")))
 
 
-_W = [f"w0 AS (SELECT a AS start, w AS walk, a AS at, CAST(a AS VARCHAR) AS path FROM dg, range(1, 3) q(w))"]
+_W = [f"w0 AS (SELECT a AS start, w AS walk, a AS cur, CAST(a AS VARCHAR) AS path FROM dg, range(1, 3) q(w))"]
 for _s in (1, 2, 3):
-    _W.append(f"w{_s} AS (SELECT start, walk, b AS at, path || '-' || b AS path FROM w{_s - 1} JOIN dg ON dg.a = at JOIN rk ON rk.a = at AND k = {md5_sql('start', 'walk', repr(f'0.{_s}'))} % deg)")
+    _W.append(f"w{_s} AS (SELECT start, walk, b AS cur, path || '-' || b AS path FROM w{_s - 1} JOIN dg ON dg.a = cur JOIN rk ON rk.a = cur AND k = {md5_sql('start', 'walk', repr(f'0.{_s}'))} % deg)")
 
 
 @query("E12_random_walks", f"WITH {_UN}, {', '.join(_W)} SELECT start, walk, path FROM w3")
