@@ -103,7 +103,7 @@ ORACLE_SQL: dict[str, str] = {
         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
         p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * both_have >= 80 * (x.n + y.n - both_have)),
-        r AS (SELECT doc_id AS at, doc_id AS via FROM documents UNION SELECT r.at, l.b FROM r JOIN l ON r.via = l.a)
+        r AS (SELECT doc_id AS node, doc_id AS via FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.via = l.a)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT at AS doc_id, min(via) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(via) AS component_id FROM r GROUP BY 1) c USING (doc_id)""",
 }
