@@ -19,6 +19,8 @@ HOT_SHARE = 16
 #: At most so many of them are told to the tasks; they come last in the order of shingles.
 HOT_MOST = 1 << 16
 HOT_LEAST = 8
+#: Up to so many rows of two numbers are sent to every task instead of being joined by a shuffle.
+MOST_HELD = 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -75,21 +77,29 @@ def may_link(map_a: np.ndarray, n_a: int, maps_b: np.ndarray, n_b: np.ndarray, p
     return 100 * most >= percent * (n_a + n_b - most)
 
 
-PROFILE = "row long, doc_id long, n long, id1 long, id2 long, bits binary, prefix array<long>"
+def set_id(elements: np.ndarray, seed: int) -> int:
+    """A 64-bit number that equal sets share, as a signed one."""
+    return int(mix(elements ^ mix(np.array([seed], np.uint64) + ODD[0])).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _profile(n_words: int, percent: int, hot: np.ndarray):
-    """Per row: set size, 128 bits that name the set, its bitmap, and the first elements in the order (hot last, hash)."""
+PROFILE = "row long, doc_id long, n long, node long, proof long, prefix array<long>"
+
+
+def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
+    """Per row: set size, two numbers that name the set, and its first elements in the order (hot last, hash).
+
+    A task lists the elements of a set once, however many copies it meets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: set[int] = set()
         for batch in batches:
             for first, data, offsets in buffers(batch.column("text")):
-                sets = shingle_sets(data, offsets, n_words)
-                ids, maps, prefix = np.zeros((len(sets), 2), np.uint64), [], []
-                for i, s in enumerate(sets):
-                    ids[i] = mix(s + ODD[0]).sum(dtype=np.uint64), mix(s ^ ODD[1]).sum(dtype=np.uint64)
-                    maps.append(bitmap(s, width(len(s))).tobytes() if len(s) else b"")
-                    k = prefix_length(len(s), percent) if len(s) else 0
+                sets, prefix = shingle_sets(data, offsets, n_words), []
+                names = [[set_id(s, x) for s in sets] for x in (2 * seed, 2 * seed + 1)]
+                for name, s in zip(names[0], sets):
+                    k = prefix_length(len(s), percent) if len(s) and name not in listed else 0
+                    listed.add(name)
                     if len(hot) and len(s):
                         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                         late = hot[at] == s
@@ -99,24 +109,29 @@ def _profile(n_words: int, percent: int, hot: np.ndarray):
                 flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids[:, 0].view(np.int64)), pa.array(ids[:, 1].view(np.int64)), pa.array(maps, pa.binary()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["row", "doc_id", "n", "id1", "id2", "bits", "prefix"],
+                    [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in names), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
+                    names=["row", "doc_id", "n", "node", "proof", "prefix"],
                 )
 
     return run
 
 
-def _sets(n_words: int):
+def _sets(n_words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in buffers(batch.column("text")):
                 sets = shingle_sets(data, offsets, n_words)
-                ids = np.array([(mix(s + ODD[0]).sum(dtype=np.uint64), mix(s ^ ODD[1]).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0].view(np.int64)), pa.array(ids[:, 1].view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id1", "id2", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s, 2 * seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
 
     return run
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("elements")]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["node", "bits"])
+
+
 def _hot(n_words: int):
     """Repeated shingles of a share of the documents, counted by document within a task's batch."""
 
@@ -131,10 +146,11 @@ def _hot(n_words: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle: those whose shingle others share, with how many share it."""
+    """Of rows sorted by shingle and set: each set once whose shingle others share, with how many share it."""
     kept: list[np.ndarray] = []
 
     def out(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[:, np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))]
         begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
         length = np.diff(np.append(begin, rows.shape[1]))
         sharers = np.repeat(length, length)
@@ -219,7 +235,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A document's set holds its distinct shingles of ``n_words`` words (A-Z lower-cased); of fewer words, the whole
     sequence; a null or empty text has an empty set and no links. Two documents link when
     100 * intersection >= ``percent`` * union. Returns a row for each row of ``docs``: row, doc_id, n_shingles,
-    component_id (the smallest id of its component), class_id, keep (true for one row of each component:
+    component_id (the smallest id of its component), class_id (a number of the component, null for an empty set), keep (true for one row of each component:
     the smallest id, null ids last); row is ``row_col`` if named, a column of fixed numbers, one for each row. Shingles count as equal when their 64-bit hashes are.
 
     Documents with equal sets form one class, found by grouping. Classes meet in tiles: a shingle among the
@@ -233,25 +249,36 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(HOT_SHARE)) == 0).select("text").mapInArrow(_hot(n_words), "shingle long, n long")
     some = some.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "shingle").limit(HOT_MOST)
     hot = np.sort(np.array([r[0] for r in some.select("shingle").collect()], np.int64).view(np.uint64))
-    profile = cut(texts.select("row", "doc_id", "text").mapInArrow(_profile(n_words, percent, hot), PROFILE), "profiles")
-    same = ["id1", "id2", "n"]
-    classes = profile.filter("n > 0").groupBy(*same).agg(F.min("row").alias("node"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"))
-    classes = cut(classes, "classes")
-    heads = cut(profile.join(classes.select("node"), profile["row"] == classes["node"]).select("node", "doc_id", *same, "bits", "prefix"), "heads")
-
-    met = heads.select("node", "n", F.explode("prefix").alias("shingle")).select("shingle", "node", "n")
-    met = met.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, "shingle long, node long, n long, sharers long")
+    seed = 0
+    while True:
+        profile = cut(texts.select("row", "doc_id", "text").mapInArrow(_profile(n_words, percent, hot, seed), PROFILE), "profiles")
+        classes = profile.filter("n > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("first"), ((F.min("proof") < F.max("proof")) | (F.min("n") < F.max("n"))).alias("mixed")
+        )
+        classes = cut(classes, "classes")
+        if classes.filter("mixed").isEmpty():
+            break
+        seed += 1  # two different sets share a number: other numbers are tried
+
+    met = profile.select("node", "n", F.explode("prefix").alias("shingle")).select("shingle", "node", "n")
+    met = met.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle long, node long, n long, sharers long")
     met = cut(met, "tiles")
 
+    def small(rows: DataFrame) -> DataFrame:
+        """``rows``, sent to every task where there are few enough of them."""
+        return F.broadcast(rows) if rows.limit(MOST_HELD + 1).count() <= MOST_HELD else rows
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, elements), from the text of each class's first row."""
+        wanted = cut(classes.join(nodes.distinct(), "node").select("node", F.col("first.doc_id").alias("id")), "wanted")
+        again = texts.join(small(wanted.select("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        return again.select("text").mapInArrow(_sets(n_words, seed), "node long, elements binary").join(small(wanted.select("node")), "node", "left_semi")
+
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those that link; only the texts of their classes' first rows are read again."""
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = cut(heads.join(nodes, "node", "left_semi").select("node", "doc_id", *same), "wanted")
-        again = texts.join(wanted.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        sets = again.select("text").mapInArrow(_sets(n_words), "id1 long, id2 long, elements binary")
-        sets = cut(wanted.join(sets, ["id1", "id2"]).select("node", "elements").dropDuplicates(["node"]), "sets")
-        both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
-        return cut(both.select("a", "b", "elements_a", "elements_b").mapInArrow(_exact(percent), "a long, b long"), "exact-links")
+        """Of candidate pairs, those that link."""
+        a = sets_of(pairs.select(F.col("a").alias("node"))).toDF("a", "elements_a").join(small(pairs), "a")
+        b = sets_of(pairs.select(F.col("b").alias("node"))).toDF("b", "elements_b")
+        return cut(a.join(b, "b").select("a", "b", "elements_a", "elements_b").mapInArrow(_exact(percent), "a long, b long"), "exact-links")
 
     # A text that others were copied from shares most: each class is first held against the one class that is such a pivot
     # of most of its tiles. That is one pair for a class, however many copies of a text there are.
@@ -259,28 +286,31 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pivots = met.join(fame, "node").groupBy("shingle").agg(F.max(F.struct("fame", "node", "n")).alias("pivot")).select("shingle", F.col("pivot.node").alias("fit"), F.col("pivot.n").alias("m"))
     alike = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("node") != F.col("fit"))
     most = met.join(pivots, "shingle").filter(alike).groupBy("node", "fit").count().groupBy("node").agg(F.max(F.struct("count", "fit")).alias("met"))
-    first = cut(most.select(F.greatest("node", "met.fit").alias("a"), F.least("node", "met.fit").alias("b")).distinct(), "first-pairs")
+    first = cut(most.select(F.col("node").alias("a"), F.col("met.fit").alias("b")), "first-pairs")
     links = linked(first)
     parts = components(links)
-    tiles = met.join(parts, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component"))
-    tiles = cut(tiles, "labelled-tiles")
+    tiles = cut(met.join(parts, "node", "left").select("shingle", "n", "node", F.coalesce("component", "node").alias("component")), "labelled-tiles")
     # Tiles with the same members hold the same pairs: one of them is looked at.
     own = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("key1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("key2")]
     apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *own).filter("low <> high")
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    tiles = tiles.join(apart, "shingle", "left_semi").join(heads.select("node", "bits"), "node").select("shingle", "n", "node", "component", "bits")
-    rest = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
-    rest = cut(rest, "more-pairs").join(first, ["a", "b"], "left_anti")
+    tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles")
+    bits = cut(sets_of(tiles.select("node")).mapInArrow(_bitmaps, "node long, bits binary").dropDuplicates(["node"]), "bitmaps")
+    rest = tiles.join(bits, "node").select("shingle", "n", "node", "component", "bits").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "more-pairs")
+    rest = cut(rest.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "new-pairs")
     if not rest.isEmpty():
         parts = components(links.union(linked(rest)))
 
-    known = classes.join(parts, "node", "left").select("node", *same, "first", F.coalesce("component", "node").alias("class_id"))
+    known = classes.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("class_id"))
     best = known.groupBy("class_id").agg(F.min("first").alias("best"))
-    known = cut(known.join(best, "class_id").select(*same, "class_id", "best"), "known")
-    out = profile.select("row", "doc_id", *same).join(known, same, "left")
+    known = cut(known.join(best, "class_id").select("node", "class_id", "best"), "known")
+    # A row with an empty set is a class of its own.
+    key = F.when(F.col("n") > 0, F.col("node"))
+    out = profile.select("row", "doc_id", "n", key.alias("node")).join(known, "node", "left")
     return out.select(
         "row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"),
-        F.coalesce("class_id", "row").alias("class_id"), F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("keep"),
+        "class_id", F.coalesce(F.col("row") == F.col("best.row"), F.lit(True)).alias("keep"),
     )
 
 
