@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.quality import held_out
-from orefield.llm.textnum import LOWER, buffers, hashes, runs
+from orefield.llm.textnum import LOWER, Stretches, buffers, hashes, runs
 
 LETTERS = np.zeros(256, np.uint8)
 LETTERS[128:] = 1
@@ -21,6 +21,8 @@ MOST_PIECE = 8
 MOST_WORD = 32
 #: Keeps products of probabilities in range; it cancels out.
 SCALE = 24.0
+#: So many words' scores a task remembers.
+MOST_SEEN = 500_000
 
 
 def vocabulary(model_file: str) -> list[bytes]:
@@ -51,16 +53,18 @@ class Pieces:
             order = np.argsort(value)
             self.tables.append((value[order], ids[order]))
 
-    def find(self, data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-        """[word, end, length - 1]: the piece of that length that ends there; ``size`` where none does. All words are ``width`` bytes."""
-        out = np.full((len(start), width + 1, MOST_PIECE), self.size, np.int32)
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """[word, end, length - 1]: the piece of that length that ends there; ``size`` where none does. words: [word, byte]."""
+        n, width = words.shape
+        stretches = Stretches(words.ravel())
+        out = np.full((n, width + 1, MOST_PIECE), self.size, np.int32)
         for length in range(1, min(width, MOST_PIECE) + 1):
-            at = (start[:, None] + np.arange(width - length + 1)).ravel()
-            value, (known, ids) = hashes(data, at, at + length), self.tables[length - 1]
+            at = (np.arange(n)[:, None] * width + np.arange(width - length + 1)).ravel()
+            value, (known, ids) = stretches.hashes(at, at + length), self.tables[length - 1]
             if len(known):
                 place = np.minimum(np.searchsorted(known, value), len(known) - 1)
                 hit = np.where(known[place] == value, ids[place], self.size)
-                out[:, length:, length - 1] = hit.reshape(len(start), -1)
+                out[:, length:, length - 1] = hit.reshape(n, -1)
         return out
 
 
@@ -106,18 +110,26 @@ class LanguageModel:
     pieces: list[bytes]
     scaled: np.ndarray
 
-    def totals(self, finder: Pieces, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """[row, language]: log probability of a row's letters; each distinct word is summed once."""
-        data = LOWER[data]
-        start, end, row = stretches(data, offsets)
-        _, first, inverse = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
-        score = np.zeros((len(first), len(self.languages)))
-        width = (end - start)[first]
+    def word_scores(self, finder: Pieces, data: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """[word, language]: log probability of each stretch of bytes."""
+        out = np.zeros((len(start), len(self.languages)))
         order = np.argsort(width, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(width[order])) + 1) if len(order) else []:
             size = int(width[some[0]])
-            for part in np.array_split(some, len(some) // 4096 + 1):
-                score[part] = np.log(forward(finder.find(data, start[first[part]], size), self.scaled)[:, -1]) - size * np.log(SCALE)
+            for part in np.array_split(some, len(some) // 2048 + 1):
+                found = finder.find(data[start[part][:, None] + np.arange(size)])
+                out[part] = np.log(forward(found, self.scaled)[:, -1]) - size * np.log(SCALE)
+        return out
+
+    def totals(self, finder: Pieces, data: np.ndarray, offsets: np.ndarray, seen: "Seen | None" = None) -> np.ndarray:
+        """[row, language]: log probability of a row's letters; each distinct word is summed once, and not again if ``seen`` knows it."""
+        data, seen = LOWER[data], seen or Seen(len(self.languages))
+        start, end, row = stretches(data, offsets)
+        value, first, inverse = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
+        known, score = seen.get(value)
+        new = np.flatnonzero(~known)
+        score[new] = self.word_scores(finder, data, start[first[new]], (end - start)[first[new]])
+        seen.add(value[new], score[new])
         out = np.zeros((len(offsets) - 1, len(self.languages)))
         if len(row):
             begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
@@ -125,6 +137,27 @@ class LanguageModel:
         return out
 
 
+class Seen:
+    """Scores of words by hash; beyond MOST_SEEN it starts anew."""
+
+    def __init__(self, n_languages: int):
+        self.keys, self.scores = np.empty(0, np.uint64), np.empty((0, n_languages))
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), np.zeros((len(keys), self.scores.shape[1]))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.scores[at]
+
+    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        if len(self.keys) + len(keys) > MOST_SEEN:
+            self.keys, self.scores = keys, scores
+            return
+        both = np.concatenate((self.keys, keys))
+        order = np.argsort(both, kind="stable")
+        self.keys, self.scores = both[order], np.concatenate((self.scores, scores))[order]
+
+
 def learn(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int = 3, smoothing: float = 0.5) -> LanguageModel:
     """Piece probabilities per language by expectation maximisation over (language, word, count)."""
     languages = sorted({w[0] for w in words})
@@ -137,14 +170,14 @@ def learn(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
             if name == language:
                 by_width.setdefault(len(word), []).append((word, n))
         for width, own in by_width.items():
-            data = np.frombuffer(b"".join(w for w, _ in own), np.uint8)
+            data = np.frombuffer(b"".join(w for w, _ in own), np.uint8).reshape(-1, width)
             for part in np.array_split(np.arange(len(own)), len(own) // 8192 + 1):
                 if len(part):
-                    groups.append((i, width, data[part[0] * width : (part[-1] + 1) * width], np.array([own[j][1] for j in part], float)))
+                    groups.append((i, width, data[part], np.array([own[j][1] for j in part], float)))
     for _ in range(rounds):
         scaled, counts = scale(probability, pieces), np.full((len(pieces) + 1, len(languages)), smoothing)
         for i, width, data, n in groups:
-            found = finder.find(data, np.arange(len(n)) * width, width)
+            found = finder.find(data)
             own = scaled[:, i : i + 1]
             a, b = forward(found, own)[..., 0], backward(found, own)[..., 0]
             each = n / a[:, -1]
@@ -189,10 +222,10 @@ def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         finder = Pieces(model.pieces)
-        names = np.array(model.languages, object)
+        names, seen = np.array(model.languages, object), Seen(len(model.languages))
         for batch in batches:
-            for first, data, offsets in buffers(batch.column("text"), 4 << 20):
-                total = model.totals(finder, data, offsets)
+            for first, data, offsets in buffers(batch.column("text")):
+                total = model.totals(finder, data, offsets, seen)
                 best = total.argmax(1)
                 share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 part = batch.slice(first, len(best))

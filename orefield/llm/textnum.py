@@ -71,13 +71,22 @@ def runs(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
+class Stretches:
+    """Hashes of stretches of one buffer; the sums over the buffer are taken once."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = _power(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.total[1:])
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they stand."""
+        value = (self.total[end] - self.total[start]) * self.inverse[start]
+        return mix(value ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+
+
 def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; equal stretches have equal hashes wherever they stand."""
-    power, inverse = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-    value = (total[end] - total[start]) * inverse[start]
-    return mix(value ^ ((end - start).astype(np.uint64) << np.uint64(48)))
+    return Stretches(data).hashes(start, end)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
