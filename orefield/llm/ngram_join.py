@@ -133,14 +133,21 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot(n_words: int):
-    """Repeated shingles of a share of the documents, counted by document within a task's batch."""
+    """Shingles that several documents of eight megabytes or a batch share, with how many do."""
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        value, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, data, offsets in buffers(batch.column("text"), 8 << 20):
-                sets = shingle_sets(data, offsets, n_words)
-                value, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(value[n > 1].view(np.int64)), pa.array(n[n > 1], pa.int64())], names=["shingle", "n"])
+            parts: list[np.ndarray] = [np.empty(0, np.uint64)]
+            for _, data, offsets in buffers(batch.column("text")):
+                parts += shingle_sets(data, offsets, n_words)
+                if sum(map(len, parts)) > 1 << 20:
+                    yield counted(parts)
+                    parts = parts[:1]
+            yield counted(parts)
 
     return run
 
