@@ -34,7 +34,7 @@ def targets(sizes: list[int], weights: list[float], most: float) -> list[float]:
                 out[i] = weights[i] * unit
             break
         for i in over:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
             left -= out[i]
         free = [i for i in free if i not in set(over)]
     return out
