@@ -364,10 +364,10 @@ def test_language_model(spark):
 
 def test_attention_windows_score_each_id_once():
     rng = np.random.default_rng(3)
-    stream = rng.integers(0, 50, 500)
+    stream = rng.integers(0, 250, 500)
     lengths = np.array([1, 31, 32, 33, 200, 56, 57, 90])
     begin = np.cumsum(lengths) - lengths
-    model = language_model.train_attention(stream, begin, 100, 2, 1, steps=30)
+    model = language_model.train_attention(stream, begin, 300, 2, 1, steps=30)
     got = model.log_probabilities(stream, begin, lengths)
     assert (got < 0).all() and len(got) == 500
     # Each id's probabilities sum to one over the vocabulary.
