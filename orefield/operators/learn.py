@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Estimator
@@ -18,13 +19,13 @@ from orefield.functions import strings as S
 from orefield.operators import metrics as M
 from orefield.operators.features import collapse_rare, hash_share
 
-CLASSIFIERS: dict[str, Estimator] = {
-    "logistic": LogisticRegression(maxIter=50, weightCol="weight"),
-    "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=1, weightCol="weight"),
-    "boosted": GBTClassifier(maxIter=20, maxDepth=4, seed=1, weightCol="weight"),
+CLASSIFIERS: dict[str, Callable[[], Estimator]] = {
+    "logistic": lambda: LogisticRegression(maxIter=50, weightCol="weight"),
+    "forest": lambda: RandomForestClassifier(numTrees=50, maxDepth=8, seed=1, weightCol="weight"),
+    "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=4, seed=1, weightCol="weight"),
 }
-REGRESSORS: dict[str, Estimator] = {
-    "ridge": LinearRegression(elasticNetParam=0.0, regParam=1.0), "forest": RandomForestRegressor(numTrees=50, maxDepth=8, seed=1), "boosted": GBTRegressor(maxIter=20, maxDepth=4, seed=1),
+REGRESSORS: dict[str, Callable[[], Estimator]] = {
+    "ridge": lambda: LinearRegression(elasticNetParam=0.0, regParam=1.0), "forest": lambda: RandomForestRegressor(numTrees=50, maxDepth=8, seed=1), "boosted": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=1),
 }
 
 
@@ -77,7 +78,7 @@ def link_classification(positives: DataFrame, negatives: DataFrame, vectors: Dat
     rows = rows.select("y", F.col("y").cast("double").alias("label"), features.alias("features"), F.lit(1.0).alias("weight"), (hash_share("h", "t", "y", seed=seed) < 0.8).alias("is_train"))
     out = []
     for name in models:
-        model = CLASSIFIERS[name].copy().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
+        model = CLASSIFIERS[name]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
         scored = model.transform(rows.filter("not is_train")).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         out.append(M.roc_auc(scored).select(F.lit(name).alias("model"), "auc", "n"))
     return reduce(DataFrame.unionByName, out)
@@ -92,7 +93,7 @@ def property_regression(features: dict[str, DataFrame], targets: DataFrame, key:
             for seed in seeds:
                 split = known.withColumn("is_train", hash_share(key, seed=seed) < 0.8)
                 for name in models:
-                    model = REGRESSORS[name].copy().setLabelCol("label").setFeaturesCol("features").fit(split.filter("is_train"))
+                    model = REGRESSORS[name]().setLabelCol("label").setFeaturesCol("features").fit(split.filter("is_train"))
                     scored = M.regression_metrics(model.transform(split.filter("not is_train")), "label", "prediction")
                     out.append(scored.select(F.lit(family).alias("family"), F.lit(target).alias("target"), F.lit(name).alias("model"), F.lit(seed).alias("seed"), "r2", "rmse", "mae", "n"))
     return reduce(DataFrame.unionByName, out)
@@ -108,7 +109,7 @@ def delta_regression(pairs: DataFrame, features: DataFrame, key: str, delta: str
     out = []
     for fold in range(folds):
         train, test = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-        fitted = REGRESSORS[model].copy().setLabelCol("label").setFeaturesCol("features").fit(train)
+        fitted = REGRESSORS[model]().setLabelCol("label").setFeaturesCol("features").fit(train)
         out.append(M.regression_metrics(fitted.transform(test), "label", "prediction").withColumn("fold", F.lit(fold)))
     return reduce(DataFrame.unionByName, out)
 
@@ -122,7 +123,7 @@ def label_imputation(features: DataFrame, labels: DataFrame, key: str, label: st
     rows = drop_rare_classes(features.join(labels.select(key, label).filter(F.col(label).isNotNull()), key), label, least)
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     rows = balanced_weights(index.transform(rows), "label").withColumn("is_train", hash_share(label, key) < 0.8)
-    model = CLASSIFIERS["forest"].copy().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
+    model = CLASSIFIERS["forest"]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
     return model.transform(rows.filter("not is_train")).select(F.col("label").alias("y"), "prediction")
 
 
@@ -142,7 +143,7 @@ def concept_probes(vectors: DataFrame, labels: DataFrame, key: str, vector: str,
     for concept in concepts:
         rows = vectors.select(key, array_to_vector(vector).alias("features")).join(labels.filter((F.col("concept") == concept) & F.col("y").isNotNull()).select(key, "y"), key)
         rows = balanced_weights(rows.withColumn("label", F.col("y").cast("double")), "label").withColumn("is_train", hash_share("y", key) < 0.8)
-        model = CLASSIFIERS["logistic"].copy().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
+        model = CLASSIFIERS["logistic"]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
         scored = model.transform(rows.filter("not is_train")).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         direction = spark.createDataFrame([(concept, [float(x) for x in model.coefficients])], "concept string, w array<double>")
         out.append(direction.crossJoin(M.roc_auc(scored)).select("concept", "auc", l2_normalize(F.col("w")).alias("direction")))  # single rows
