@@ -40,7 +40,7 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
     """(blocks, whether each is inside an article, subtrees): the text outside boilerplate by block, and each subtree's hash with its blocks.
 
-    A subtree's hash is taken over its tags and text; one without text, and what stands inside an article, isn't listed.
+    A subtree's hash is taken over its tags and text; one without text, what stands inside an article, and what an article stands in, isn't listed.
     An unclosed element ends with the nearest one around it that is closed.
     """
     blocks: list[str] = []
@@ -51,6 +51,7 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
     stack: list[tuple] = []
     hidden = articles = 0
     has_text: list[bool] = []
+    holds_article: list[bool] = []
 
     def close_block() -> None:
         text = " ".join("".join(run).split())
@@ -72,15 +73,18 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
         nonlocal hidden, articles
         tag, first, state, hides, article = stack.pop()
         full = has_text.pop()
+        holder = holds_article.pop() or article
+        if stack and holder:
+            holds_article[-1] = True
         if tag not in INLINE:
             close_block()
         hidden -= hides
         articles -= article
-        if full and state is not None and not articles and not article:
+        if full and not articles and not holder:
             digest = state.intdigest()
             if tag not in ("html", "body"):
                 subtrees.append((digest - (1 << 63), first, len(blocks)))
-            if stack and stack[-1][2] is not None:
+            if stack:
                 stack[-1][2].update(b"\x01%d" % digest)
                 has_text[-1] = True
 
@@ -124,6 +128,7 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
         articles += article
         stack.append((tag, len(blocks), xxhash.xxh64(tag), hides, article))
         has_text.append(False)
+        holds_article.append(False)
     while stack:
         pop()
     close_block()

@@ -397,3 +397,10 @@ def test_html_extraction(spark):
         assert got[20].text == "Same on all\nBody alone\nBottom" and got[21].text == got[22].text == "" and got[None].text == "plain text"
         assert got[23].text == got[24].text == html_text.main_text(PAGE) and all(r.n_chars == len(r.text) for r in got.values())
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_html_wrapper_around_an_article(spark):
+    page = '<body><div><nav>same</nav><{0}><p>differs {1}</p></{0}><div>foot</div></div></body>'
+    frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.format("main" if i % 2 else "article", i)) for i in range(8)], "page_id long, url string, html string")
+    for most in (1_000_000, 0):
+        assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most_held=most).collect()} == {i: f"differs {i}" for i in range(8)}
