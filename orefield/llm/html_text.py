@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -27,6 +27,8 @@ BOILERPLATE = frozenset(
     "social sponsor sponsored subscribe toolbar widget contentinfo complementary dialog alert".split()
 )
 WORDS = re.compile(r"[a-z]+")
+#: Keeps the hashes of subtrees inside articles apart from those outside.
+IN_ARTICLE = 0x9E3779B97F4A7C15
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -37,15 +39,18 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     return any(not BOILERPLATE.isdisjoint(WORDS.findall((b or c or d).lower())) for _, b, c, d in NAMED.findall(attributes))
 
 
-def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, int]]]:
+def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, int, tuple[int, int] | None]]]:
     """(blocks, whether each is inside an article, subtrees): the text outside boilerplate by block, and each subtree's hash with its blocks.
 
-    A subtree's hash is taken over its tags and text; one without text, what stands inside an article, and what an article stands in, isn't listed.
+    A subtree's hash is taken over its tags, its text and whether it is inside an article; one without text, an article, and what an
+    article stands in, isn't listed. With it stand the blocks of the nearest article around it, or None.
     An unclosed element ends with the nearest one around it that is closed.
     """
     blocks: list[str] = []
     inside: list[bool] = []
-    subtrees: list[tuple[int, int, int]] = []
+    subtrees: list[tuple[int, int, int, tuple[int, int] | None]] = []
+    # Subtrees of each open article, until its last block is known.
+    waiting: list[list[tuple[int, int, int]]] = []
     run: list[str] = []
     # Of each open element: tag, first block, hash state, whether it hides its text, whether it is an article.
     stack: list[tuple] = []
@@ -65,7 +70,7 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
             return
         if not hidden:
             run.append(text)
-        if not articles and stack and not text.isspace():
+        if stack and not text.isspace():
             stack[-1][2].update(text.strip())
             has_text[-1] = True
 
@@ -80,10 +85,14 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
             close_block()
         hidden -= hides
         articles -= article
-        if full and not articles and not holder:
+        if article:
+            subtrees.extend((*tree, (first, len(blocks))) for tree in waiting.pop())
+        if full and not holder:
             digest = state.intdigest()
-            if tag not in ("html", "body"):
-                subtrees.append((digest - (1 << 63), first, len(blocks)))
+            if articles:
+                waiting[-1].append(((digest ^ IN_ARTICLE) - (1 << 63), first, len(blocks)))
+            elif tag not in ("html", "body"):
+                subtrees.append((digest - (1 << 63), first, len(blocks), None))
             if stack:
                 stack[-1][2].update(b"\x01%d" % digest)
                 has_text[-1] = True
@@ -126,6 +135,8 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[tuple[int, int, i
         hides = _is_boilerplate(tag, found[3], articles > 0)
         hidden += hides
         articles += article
+        if article:
+            waiting.append([])
         stack.append((tag, len(blocks), xxhash.xxh64(tag), hides, article))
         has_text.append(False)
         holds_article.append(False)
@@ -146,7 +157,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(first, 500)
             pages = [parse_page(p or "") for p in part.column("html").to_pylist()]
             hosts = [_host(u) for u in part.column("url").to_pylist()]
-            arrays = [pa.array([p[0] for p in pages], pa.list_(pa.string())), pa.array([p[1] for p in pages], pa.list_(pa.bool_())), pa.array([[{"hash": h, "first": a, "last": b} for h, a, b in p[2]] for p in pages], tree)]
+            arrays = [pa.array([p[0] for p in pages], pa.list_(pa.string())), pa.array([p[1] for p in pages], pa.list_(pa.bool_())), pa.array([[{"hash": h, "first": a, "last": b} for h, a, b, _ in p[2]] for p in pages], tree)]
             yield pa.RecordBatch.from_arrays([part.column("row"), part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), *arrays], names=["row", "page_id", "url", "host", "blocks", "inside", "subtrees"])
 
 
@@ -154,21 +165,57 @@ def _host(url: str | None) -> str:
     return m[1].lower() if (m := HOST.match(url or "")) else ""
 
 
+COUNTED = "host string, hash long, article long, content long, n long"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, n): on how many pages of a batch a subtree stands; the number of pages where the hash is null."""
+    """(host, hash, article, content, n): on how many pages of a batch a subtree stands; the number of pages where the hash is null.
+
+    Inside articles: ``article`` is a hash of the text of the nearest article around it, ``content`` one of all text that the page has inside
+    articles, and n is 0, as only different ones count. ``content`` stands with a null hash too.
+    """
     for batch in batches:
         counts: dict[tuple, int] = {}
         for page, url in zip(batch.column("html"), batch.column("url").to_pylist()):
             host = _host(url)
-            for key in {None, *(h for h, a, b in parse_page(page.as_py() or "")[2] if a < b)}:
-                counts[host, key] = counts.get((host, key), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int64()), pa.array(counts.values(), pa.int64())], names=["host", "hash", "n"])
+            blocks, inside, subtrees = parse_page(page.as_py() or "")
+            for key in {None, *(h for h, a, b, article in subtrees if a < b and article is None)}:
+                counts[host, key, None, None] = counts.get((host, key, None, None), 0) + 1
+            if any(inside):
+                content = _text_hash(t for t, i in zip(blocks, inside) if i)
+                texts = {article: _text_hash(blocks[slice(*article)]) for article in {t[3] for t in subtrees if t[3]}}
+                for key, article in {(None, None), *((h, texts[article]) for h, a, b, article in subtrees if a < b and article)}:
+                    counts[host, key, article, content] = 0
+        columns = [pa.array([k[0] for k in counts], pa.string()), *(pa.array([k[i] for k in counts], pa.int64()) for i in (1, 2, 3)), pa.array(counts.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "hash", "article", "content", "n"])
+
+
+def _text_hash(blocks: Iterable[str]) -> int:
+    return xxhash.xxh64_intdigest("\n".join(blocks)) - (1 << 63)
+
+
+def _recurring(counted: DataFrame, least_pages: int, least_share: float) -> DataFrame:
+    """(host, hash) of subtrees outside articles that enough pages of the host have, and of those inside that enough different articles have."""
+    outside = counted.filter("content is null").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    # Copies of an article, and an article on several pages that differ around it, count once.
+    different = counted.filter("content is not null")
+    by_article = different.groupBy("host", "hash", "article").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.sum("one").alias("articles"))
+    by_content = different.groupBy("host", "hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.sum("one").alias("contents"))
+    by_content = by_content.filter(F.col("hash").isNull() | (F.col("contents") >= least_pages))
+    inside = by_content.join(by_article.filter(F.col("hash").isNotNull() & (F.col("articles") >= least_pages)), ["host", "hash"], "left")
+    inside = inside.filter("hash is null or articles is not null").select("host", "hash", F.least("contents", "articles").alias("n"))
+
+    def often(counts: DataFrame) -> DataFrame:
+        size = counts.filter("hash is null").select("host", F.col("n").alias("of"))
+        return counts.filter(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(size, "host").filter(F.col("n") >= least_share * F.col("of")).select("host", "hash")
+
+    return often(outside).union(often(inside))
 
 
 def main_text(page: str, recurring: frozenset[int] | set[int] = frozenset()) -> str:
     """The article of one page, without the subtrees whose hashes recur on its host."""
     blocks, inside, subtrees = parse_page(page)
-    gone = {i for h, a, b in subtrees if h in recurring for i in range(a, b)}
+    gone = {i for h, a, b, _ in subtrees if h in recurring for i in range(a, b)}
     whole = any(inside)
     return "\n".join(b for i, b in enumerate(blocks) if i not in gone and (inside[i] or not whole))
 
@@ -202,16 +249,15 @@ def extract_main_text(
     """The article of each page: page_id, url, text, n_chars.
 
     Subtrees outside an ``article`` or ``main`` element are hashed and counted over the pages of their host; one that stands on
-    ``least_pages`` pages and ``least_share`` of the host's pages is deleted. Of the rest, elements that
-    HTML or their class names as boilerplate go; where a page has an ``article`` or ``main``, only what is inside stays.
-    What is inside is never counted, so copies of one article keep their text. Blocks stand in page order, one a line.
+    ``least_pages`` pages and ``least_share`` of the host's pages is deleted. Those inside are counted over the different articles of the
+    host, by their text, and deleted likewise; so copies of one article keep their text. Of the rest, elements that
+    HTML or their class names as boilerplate go; where a page has an ``article`` or ``main``, only what is inside stays. Blocks stand in page order, one a line.
     A null page is empty; a null or odd url is of the host ''. Repeated rows and ids are rows like others.
     Up to ``most_held`` recurring hashes go to every task; more meet the pages by a join.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = cut(rows.select("url", "html").mapInArrow(_counted, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")), "subtree-counts")
-    size = counts.filter("hash is null").select("host", F.col("n").alias("n_pages"))
-    often = counts.filter(F.col("hash").isNotNull() & (F.col("n") >= least_pages)).join(size, "host").filter(F.col("n") >= least_share * F.col("n_pages")).select("host", "hash")
+    counted = rows.select("url", "html").mapInArrow(_counted, COUNTED).groupBy("host", "hash", "article", "content").agg(F.sum("n").alias("n"))
+    often = cut(_recurring(cut(counted, "subtree-counts"), least_pages, least_share), "recurring-subtrees")
     if often.limit(most_held + 1).count() <= most_held:
         held: dict[str, set[int]] = {}
         for host, value in often.collect():

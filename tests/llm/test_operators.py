@@ -404,3 +404,16 @@ def test_html_wrapper_around_an_article(spark):
     frame = spark.createDataFrame([(i, f"http://h.example/{i}", page.format("main" if i % 2 else "article", i)) for i in range(8)], "page_id long, url string, html string")
     for most in (1_000_000, 0):
         assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most_held=most).collect()} == {i: f"differs {i}" for i in range(8)}
+
+
+def test_html_recurring_inside_articles(spark):
+    page = '<body><article><h1>Title {0}</h1><p>Body {0}</p><div class="x"><p>Read this too</p></div></article></body>'
+    nested = "<body><main><article><p>One story</p><p>told again</p></article><p>{0}</p></main></body>"
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)] + [(i, f"http://h.example/{i}", page.format("copied")) for i in range(6, 12)]
+    pages += [(i, f"http://copies.example/{i}", page.format(1)) for i in range(20, 28)] + [(i, f"http://few.example/{i}", page.format(i)) for i in range(30, 33)]
+    pages += [(i, f"http://nested.example/{i}", nested.format(f"beside {i}")) for i in range(40, 46)]
+    want = {i: f"Title {i if i < 6 else 'copied'}\nBody {i if i < 6 else 'copied'}" for i in range(12)} | {i: "Title 1\nBody 1\nRead this too" for i in range(20, 28)}
+    want |= {i: f"Title {i}\nBody {i}\nRead this too" for i in range(30, 33)} | {i: f"One story\ntold again\nbeside {i}" for i in range(40, 46)}
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for most in (1_000_000, 0):
+        assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most_held=most).collect()} == want
