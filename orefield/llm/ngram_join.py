@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,12 @@ HOT_MOST = 1 << 16
 HOT_LEAST = 8
 #: Up to so many rows of two numbers are sent to every task instead of being joined by a shuffle.
 MOST_HELD = 1 << 21
+#: Cost parameters only: a tile of more classes than this is cut into blocks of about as many.
+BLOCK = 2048
+#: Up to so many sharers of a shingle are told apart, and held in a task.
+MOST_SHARERS = 1 << 16
+#: Tasks over which the sharers of a widespread shingle are spread.
+SALTS = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -82,11 +89,11 @@ def set_id(elements: np.ndarray, seed: int) -> int:
     return int(mix(elements ^ mix(np.array([seed], np.uint64) + ODD[0])).sum(dtype=np.uint64).astype(np.int64))
 
 
-PROFILE = "row long, doc_id long, n long, node long, proof long, prefix array<long>"
+PROFILE = "row long, doc_id long, n long, node long, proof long, prefix array<long>, n_plain int"
 
 
 def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
-    """Per row: set size, two numbers that name the set, and its first elements in the order (hot last, hash).
+    """Per row: set size, two numbers that name the set, its first elements in the order (hot last, hash), and how many of those are not hot.
 
     A task lists the elements of a set once, however many copies it meets.
     """
@@ -95,7 +102,7 @@ def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
         listed: set[int] = set()
         for batch in batches:
             for first, data, offsets in buffers(batch.column("text")):
-                sets, prefix = shingle_sets(data, offsets, n_words), []
+                sets, prefix, plain = shingle_sets(data, offsets, n_words), [], []
                 names = [[set_id(s, x) for s in sets] for x in (2 * seed, 2 * seed + 1)]
                 for name, s in zip(names[0], sets):
                     k = prefix_length(len(s), percent) if len(s) and name not in listed else 0
@@ -103,14 +110,17 @@ def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
                     if len(hot) and len(s):
                         at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                         late = hot[at] == s
+                        plain.append(min(int((~late).sum()), k))
                         s = np.concatenate((s[~late][:k], s[late][:k]))
+                    else:
+                        plain.append(k)
                     prefix.append(s[:k].view(np.int64))
                 part = batch.slice(first, len(sets))
                 flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in names), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))],
-                    names=["row", "doc_id", "n", "node", "proof", "prefix"],
+                    [part.column("row"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in names), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64())), pa.array(plain, pa.int32())],
+                    names=["row", "doc_id", "n", "node", "proof", "prefix", "n_plain"],
                 )
 
     return run
@@ -152,70 +162,127 @@ def _hot(n_words: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shingle and set: each set once whose shingle others share, with how many share it."""
-    kept: list[np.ndarray] = []
+def _shared(hot: np.ndarray):
+    """Of rows sorted by shingle and set: each set once whose shingle others share, with about how many share it.
 
-    def out(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[:, np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))]
-        begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
-        length = np.diff(np.append(begin, rows.shape[1]))
-        sharers = np.repeat(length, length)
-        return pa.RecordBatch.from_arrays([*(pa.array(x[sharers > 1]) for x in rows), pa.array(sharers[sharers > 1])], names=["shingle", "node", "n", "sharers"])
+    The sharers of a hot shingle lie in several tasks, so all of them are kept. A run of more than MOST_SHARERS leaves in parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, parted = np.empty((3, 0), np.int64), None
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            begin = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+            length = np.diff(np.append(begin, rows.shape[1]))
+            sharers = np.minimum(np.repeat(length, length), MOST_SHARERS)
+            if len(hot):
+                value = rows[0].view(np.uint64)
+                late = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+                sharers[late] = np.minimum(sharers[late] * SALTS, MOST_SHARERS)
+            if parted is not None:
+                sharers[rows[0] == parted] = MOST_SHARERS
+            return pa.RecordBatch.from_arrays([*(pa.array(x[sharers > 1]) for x in rows), pa.array(sharers[sharers > 1])], names=["shingle", "node", "n", "sharers"])
+
+        for batch in batches:
+            rows = np.concatenate((kept, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node", "n")])), axis=1)
+            if not rows.shape[1]:
+                continue
+            rows = rows[:, np.concatenate(([True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))]
+            change = np.flatnonzero(rows[0] != rows[0][-1])
+            done = change[-1] + 1 if len(change) else 0
+            if done:
+                yield out(np.ascontiguousarray(rows[:, :done]))
+            kept = rows[:, done:].copy()
+            if kept.shape[1] > MOST_SHARERS:
+                parted = kept[0, 0]
+                yield out(np.ascontiguousarray(kept[:, :-1]))
+                kept = kept[:, -1:].copy()
+        if kept.shape[1]:
+            yield out(kept)
+
+    return run
 
-    for batch in batches:
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "node", "n")])
-        if not rows.shape[1]:
-            continue
-        change = np.flatnonzero(rows[0] != rows[0][-1])
-        done = change[-1] + 1 if len(change) else 0
-        if done:
-            yield out(np.concatenate([*kept, rows[:, :done]], axis=1))
-            kept = []
-        elif kept and kept[0][0][0] != rows[0][0]:
-            yield out(np.concatenate(kept, axis=1))
-            kept = []
-        kept.append(rows[:, done:])
-    if kept:
-        yield out(np.concatenate(kept, axis=1))
+
+UNIT = ["shingle", "band", "band_b", "block", "block_b"]
+
+
+def _in_blocks(tiles: DataFrame, percent: int, small) -> DataFrame:
+    """``tiles`` with the units in which their pairs are compared: ``side`` and the columns of UNIT, a row for each unit of a class.
+
+    A tile of up to BLOCK classes is one unit. A larger one is cut into bands of sizes, so wide that sets which link are in one band or in
+    neighbours, and each band by a hash into blocks of about BLOCK classes; a unit is one block, or two of one band or of neighbours.
+    """
+    step = math.log(100 / percent) + 1e-6
+    wide = tiles.groupBy("shingle").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK).select("shingle", F.lit(True).alias("wide"))
+    marked = tiles.join(small(cut(wide, "wide-tiles")), "shingle", "left").withColumn("band", F.when(F.col("wide"), F.floor(F.log("n") / step).cast("long")))
+    zero = F.lit(0).cast("long")
+    whole = marked.filter("wide is null").select(*tiles.columns, F.lit(0).alias("side"), *[zero.alias(c) for c in UNIT[1:]])
+    wide = marked.filter("wide")
+    blocks = cut(wide.groupBy("shingle", "band").agg(F.ceil(F.count("*") / BLOCK).alias("own")), "blocks")
+    beside = lambda name, by: blocks.select("shingle", (F.col("band") + by).alias("band"), F.col("own").alias(name))
+    blocks = blocks.join(beside("below", 1), ["shingle", "band"], "left").join(beside("above", -1), ["shingle", "band"], "left")
+    wide = wide.drop("wide").join(small(cut(blocks, "bands")), ["shingle", "band"]).withColumn("at", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("own")))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(zero, F.col(c) - 1)).otherwise(F.array().cast("array<long>"))
+    unit = lambda side, *cells: F.struct(side.cast("int").alias("side"), *[v.cast("long").alias(c) for c, v in zip(UNIT[1:], cells)])
+    at, band = F.col("at"), F.col("band")
+    units = F.concat(
+        F.transform(upto("own"), lambda j: unit(j < at, band, band, F.least(at, j), F.greatest(at, j))),
+        F.transform(upto("above"), lambda j: unit(F.lit(0), band, band + 1, at, j)),
+        F.transform(upto("below"), lambda j: unit(F.lit(1), band - 1, band, j, at)),
+    )
+    return whole.unionByName(wide.select(*tiles.columns, F.explode(units).alias("unit")).select(*tiles.columns, "unit.*"))
 
 
 def _tile_pairs(percent: int):
-    """Of rows sorted by (shingle, n, set): pairs of one shingle in different components that sizes and bitmaps let link."""
+    """Of rows sorted by (unit, n, set): pairs of one unit in different components that sizes and bitmaps let link.
+
+    In a unit of two blocks, a pair has a class of either; in one of a single block, any two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, tile = None, []
 
-        def pairs() -> pa.RecordBatch:
-            n, node, part = (np.array([t[i] for t in tile], np.int64) for i in range(3))
-            a, b = [], []
+        def pairs() -> Iterator[pa.RecordBatch]:
+            n, node, part, side = (np.array([t[i] for t in tile], np.int64) for i in range(4))
+            two = token[1] != token[2] or token[3] != token[4]
+            a, b, found = [], [], 0
             by_width: dict[int, np.ndarray] = {}
             first = np.searchsorted(100 * n, percent * n)
             for i in range(1, len(tile)):
                 other = np.arange(first[i], i)
-                other = other[part[other] != part[i]]
+                other = other[(part[other] != part[i]) & (side[other] != side[i])] if two else other[part[other] != part[i]]
                 if not len(other):
                     continue
-                size = len(tile[int(other[0])][3])
+                size = len(tile[int(other[0])][4])
                 if size not in by_width:
-                    by_width[size] = np.stack([fold(np.frombuffer(t[3], np.uint8), size) if len(t[3]) >= size else np.zeros(size, np.uint8) for t in tile]).view(np.uint64)
+                    by_width[size] = np.stack([fold(np.frombuffer(t[4], np.uint8), size) if len(t[4]) >= size else np.zeros(size, np.uint8) for t in tile]).view(np.uint64)
                 maps = by_width[size]
                 good = other[may_link(maps[i], int(n[i]), maps[other], n[other], percent)]
-                a += [node[i]] * len(good)
-                b += node[good].tolist()
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
+                if len(good):
+                    a.append(np.full(len(good), node[i]))
+                    b.append(node[good])
+                    found += len(good)
+                if found > 1 << 16:
+                    yield named(a, b)
+                    a, b, found = [], [], 0
+            if found:
+                yield named(a, b)
+
+        def named(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = np.concatenate(a), np.concatenate(b)
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("shingle", "n", "node", "component", "bits")]
-            for t, *rest in zip(*columns):
+            units = zip(*[batch.column(c).to_pylist() for c in UNIT])
+            columns = [batch.column(c).to_pylist() for c in ("n", "node", "component", "side", "bits")]
+            for t, rest in zip(units, zip(*columns)):
                 if t != token and tile:
-                    yield pairs()
+                    yield from pairs()
                     tile = []
                 token = t
                 tile.append(rest)
         if tile:
-            yield pairs()
+            yield from pairs()
 
     return run
 
@@ -248,7 +315,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Documents with equal sets form one class, found by grouping. Classes meet in tiles: a shingle among the
     first elements of both sets, in one order of all shingles in which widespread ones come last, and sizes
     in a ratio that lets them link. Every class is first held against one pivot of its tiles;
-    what these exact links leave apart is then held against all others of its tiles, by bitmaps first.
+    what these exact links leave apart is then held against all others of its tiles, by bitmaps first, two bounded blocks at a time.
     A link between classes that others already connect is not looked for, as it changes no component.
     """
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
@@ -267,8 +334,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             break
         seed += 1  # two different sets share a number: other numbers are tried
 
-    met = profile.select("node", "n", F.explode("prefix").alias("shingle")).select("shingle", "node", "n")
-    met = met.repartition("shingle").sortWithinPartitions("shingle", "node").mapInArrow(_shared, "shingle long, node long, n long, sharers long")
+    met = profile.select("node", "n", "n_plain", F.posexplode("prefix").alias("at", "shingle"))
+    salt = F.when(F.col("at") >= F.col("n_plain"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
+    met = met.select("shingle", "node", "n", salt.cast("short").alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle", "node")
+    met = met.select("shingle", "node", "n").mapInArrow(_shared(hot), "shingle long, node long, n long, sharers long")
     met = cut(met, "tiles")
 
     def small(rows: DataFrame) -> DataFrame:
@@ -303,7 +372,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
     tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles")
     bits = cut(sets_of(tiles.select("node")).mapInArrow(_bitmaps, "node long, bits binary").dropDuplicates(["node"]), "bitmaps")
-    rest = tiles.join(bits, "node").select("shingle", "n", "node", "component", "bits").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    rest = _in_blocks(tiles, percent, small).join(bits, "node").select(*UNIT, "n", "node", "component", "side", "bits").repartition(*UNIT).sortWithinPartitions(*UNIT, "n", "node")
     rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "more-pairs")
     rest = cut(rest.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "new-pairs")
     if not rest.isEmpty():

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from orefield.llm import html_text, knn_join, language_id, language_model, mixing, ngram_join, packing, prefix_sums, quality, textnum
@@ -417,3 +418,35 @@ def test_html_recurring_inside_articles(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     for most in (1_000_000, 0):
         assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most_held=most).collect()} == want
+
+
+def test_ngram_join_cuts_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng, passage = random.Random(6), [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 24))]), "en", "a") for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "a") for i in range(0, 200, 7)]
+    docs, tiles = make(spark, rows), []
+    cut_up = ngram_join._in_blocks
+    monkeypatch.setattr(ngram_join, "_in_blocks", lambda *args: tiles.append((args[0], cut_up(*args))) or tiles[-1][1])
+    found = ngram_jaccard_join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_components(docs.collect())[0])
+    (whole, units) = tiles[0]
+    whole, by_unit, met = whole.collect(), collections.defaultdict(list), collections.Counter()
+    for r in units.collect():
+        by_unit[tuple(r[c] for c in ngram_join.UNIT)].append(r)
+    assert max(collections.Counter(r.shingle for r in whole).values()) > 100 and max(map(len, by_unit.values())) < 60
+    for unit, members in by_unit.items():
+        two = unit[1:2] + unit[3:4] != unit[2:3] + unit[4:5]
+        met.update((unit[0], *sorted((x.node, y.node))) for i, x in enumerate(members) for y in members[:i] if not two or x.side != y.side)
+    pairs = {(x.shingle, *sorted((x.node, y.node))) for x in whole for y in whole if x.shingle == y.shingle and x.node < y.node and 100 * min(x.n, y.n) >= 80 * max(x.n, y.n)}
+    assert pairs <= set(met) and set(met.values()) == {1}
+
+
+def test_sharers_of_one_shingle_leave_in_parts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_SHARERS", 50)
+    rows = sorted([(5, i // 2, 9) for i in range(2000)] + [(s, 1, 9) for s in (2, 3, 8)] + [(7, 1, 9), (7, 2, 9), (4, 1, 9), (4, 1, 9)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 33])], names=["shingle", "node", "n"]) for i in range(0, len(rows), 33)]
+    out = list(ngram_join._shared(np.array([8], np.uint64))(iter(batches)))
+    assert max(len(b) for b in out) < 100
+    got = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert got == [(5, i, 9, 50) for i in range(1000)] + [(7, 1, 9, 2), (7, 2, 9, 2), (8, 1, 9, 50)]
