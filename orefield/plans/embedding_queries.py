@@ -180,6 +180,37 @@ def _(spark, sf):
     return E.silhouette(sample, "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
 
 
+# Every row of the table; E24 to E26 above ask for samples, as their SQL does.
+
+
+def _all_near(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return E.nearest_by_cosine(rows, rows, "vec_id", "embedding", 10)
+
+
+@query("E24_nearest_by_cosine_all")
+def _(spark, sf):
+    return _all_near(spark, sf).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("E25_knn_purity_all")
+def _(spark, sf):
+    return E.knn_purity(_all_near(spark, sf), table(spark, sf, "embeddings"), "vec_id", "label").withColumn("purity", F.round("purity", 6))
+
+
+@query("E26_silhouette_all")
+def _(spark, sf):
+    return E.silhouette(table(spark, sf, "embeddings"), "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
+
+
+@query("E30_structure_quality")
+def _(spark, sf):
+    """Purity and silhouette by each label column: the vectors' own label, and brand and type of the parts that they stand for."""
+    part = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_brand", "p_type")
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding", "label").join(part, "vec_id", "left")
+    return E.structure_quality(rows, "vec_id", ["label", "p_brand", "p_type"], "embedding", 10).withColumns({k: F.round(k, 6) for k in ("purity", "silhouette")})
+
+
 @query("E29_vector_and_features", "SELECT e.vec_id, CAST(coalesce(p_size, 0) AS DOUBLE) AS feature, 65 AS width FROM embeddings e LEFT JOIN part ON p_partkey = vec_id AND p_size > 10")
 def _(spark, sf):
     own = table(spark, sf, "part").filter("p_size > 10").select(c("p_partkey").alias("vec_id"), F.array(c("p_size").cast("float")).alias("f"))

@@ -132,3 +132,31 @@ def test_rest_works_without_the_llm_subpackage(tmp_path):
     shutil.copytree(root / "orefield", tmp_path / "orefield", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'Q3_topology_histogram' in q and not [n for n in q if n.startswith('op')]; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_nearest_and_silhouette_score_every_row_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(230, 6)).astype(np.float32)
+    v[40:60] = v[40]
+    labels = [int(x) for x in rng.integers(0, 4, 229)] + [9]
+    rows = spark.createDataFrame([(i, v[i].tolist(), labels[i]) for i in range(230)], "id long, v array<float>, label int").repartition(3)
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cosine = np.cumsum(unit[:, None] * unit[None], axis=2)[..., -1]
+    want = {i: sorted((j for j in range(230) if j != i), key=lambda j: (-cosine[i, j], j))[:5] for i in range(230)}
+    near = embed.nearest_by_cosine(rows, rows, "id", "v", 5, most_queries=50)
+    got = {}
+    for r in near.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r.id)
+    assert got == want
+    purity = embed.knn_purity(near, rows, "id", "label").first()
+    assert purity.n == 1150 and abs(purity.purity - np.mean([labels[i] == labels[j] for i in want for j in want[i]])) < 1e-9
+    far = np.linalg.norm(v[:, None].astype(float) - v[None], axis=2)
+    each = []
+    for i in range(230):
+        mean = {x: np.mean([far[i, j] for j in range(230) if j != i and labels[j] == x]) for x in set(labels) if any(j != i and labels[j] == x for j in range(230))}
+        a, b = mean.get(labels[i]), min(d for x, d in mean.items() if x != labels[i])
+        each.append(0 if a is None else (b - a) / max(a, b))
+    found = embed.silhouette(rows, "id", "label", "v", most=60).first()
+    assert found.n == 230 and abs(found.silhouette - np.mean(each)) < 1e-6
