@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orefield.llm.shared import cut
 from orefield.llm.textnum import SPACE, buffers, hashes, runs
 
 #: Kinds of bytes whose runs are tokens: letters (and all of UTF-8 beyond ASCII), digits, other signs.
@@ -21,6 +22,8 @@ KIND[SPACE == 1] = 0
 BUCKETS = 1 << 15
 DIMS = 48
 WINDOW = 2
+#: Tokens whose vectors are held at once.
+SLICE = 1 << 14
 
 
 @dataclass
@@ -74,18 +77,22 @@ def word_vectors(bucket: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Per row: mean and spread of its tokens' vectors, and how many tokens are known; zeros for a row without tokens."""
+    """Per row: mean and spread of its tokens' vectors, and how many tokens are known; zeros for a row without tokens.
+
+    Sums run over slices of tokens, so that the vectors held at once stay few, however long a text is.
+    """
     bucket, row = tokens(data, offsets)
     n_rows = len(offsets) - 1
-    out = np.zeros((n_rows, 2 * DIMS + 1), np.float32)
-    if len(bucket):
-        first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        count = np.diff(np.append(first, len(row)))[:, None].astype(np.float32)
-        found = vectors[bucket]
-        mean = np.add.reduceat(found, first) / count
-        square = np.add.reduceat(found * found, first) / count
-        out[row[first]] = np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), square.sum(1, keepdims=True)], axis=1)
-    return out
+    total, squares = np.zeros((n_rows, DIMS)), np.zeros((n_rows, DIMS))
+    for at in range(0, len(bucket), SLICE):
+        own = row[at : at + SLICE]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        found = vectors[bucket[at : at + SLICE]]
+        total[own[first]] += np.add.reduceat(found, first)
+        squares[own[first]] += np.add.reduceat(np.square(found, out=found), first)
+    count = np.maximum(np.bincount(row, minlength=n_rows), 1)[:, None]
+    mean, square = total / count, squares / count
+    return np.concatenate([mean, np.sqrt(np.maximum(square - mean * mean, 0)), square.sum(1, keepdims=True)], axis=1).astype(np.float32)
 
 
 def train_network(x: np.ndarray, y: np.ndarray, seed: int, hidden: int = 32, epochs: int = 400) -> tuple:
@@ -118,20 +125,36 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """(text, quality) of at most ``max_rows`` different labelled rows of at most ``max_bytes`` bytes, the first by a hash of the id.
+
+    They are chosen by ids and text hashes, so texts are never shuffled and never sorted: only the chosen rows' texts
+    leave the scan. Before the sort, a hash of the id leaves about twice as many candidates as are wanted.
+    """
+    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    short = docs.filter(F.octet_length("text") <= max_bytes).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = cut(short.select("doc_id", "text_hash").join(known, "doc_id").distinct(), "labelled-rows")
+    turn = F.xxhash64("doc_id")
+    share = min(1.0, 2 * max_rows / max(found.count(), 1))
+    few = found.filter(F.pmod(turn, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(turn, F.lit(1 << 30)), turn, "doc_id", "text_hash").limit(max_rows)
+    few = cut(few, "training-rows")
+    return short.join(F.broadcast(few), ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.max("text").alias("text"), F.max("quality").alias("quality"))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_bytes: int = 20_000, seed: int = 11) -> QualityModel:
-    """A model from at most ``max_rows`` labelled rows of at most ``max_bytes`` bytes, the first by a hash of the id.
+    """A model from the ``training_rows`` of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality).
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and quality; rows without a label are not used. Without any row
+    Rows without a label, id or text are not used; of repeated rows one is. Without any row
     of both labels every text scores the share of label 1 (or 0.5).
     """
-    known = labels.filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.filter(F.octet_length("text") <= max_bytes).join(known, "doc_id").select("doc_id", "text", "quality")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_rows).select("text", "quality").toArrow()
+    rows = training_rows(docs, labels, max_rows, max_bytes).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
     y = rows.column("quality").to_numpy().astype(np.int64)
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         zero = np.zeros(2 * DIMS + 1)
         return QualityModel(np.zeros((BUCKETS, DIMS), np.float32), zero, zero + 1, np.zeros((len(zero), 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
+    mixed_up = np.random.default_rng(seed).permutation(len(y))
+    rows, y = rows.take(pa.array(mixed_up)), y[mixed_up]
     parts = list(buffers(rows.column("text").combine_chunks()))
     found = [tokens(data, offsets) for _, data, offsets in parts]
     vectors = word_vectors(np.concatenate([b for b, _ in found]), np.concatenate([r + first for (_, r), (first, _, _) in zip(found, parts)]), seed)
@@ -158,7 +181,11 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, remainder: int = 2, **options) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of ``docs``; only labels of rows that are not held out are learned from."""
+    """doc_id, held_out, score, predicted of every row of ``docs``; only labels of rows that are not held out are learned from.
+
+    A null text scores as an empty one; a null id is not held out and has no label; each of repeated rows is scored alike;
+    an empty table gives an empty one; of several labels of an id the larger counts; other columns are not read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     model = fit_quality(rows.filter(~held_out(F.col("doc_id"), modulus, remainder)), own.filter(~held_out(F.col("doc_id"), modulus, remainder)), **options)
@@ -167,7 +194,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; rows, nulls and repeats count as in ``quality_scores``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     fitted = fit_quality(rows.filter(~held_out(F.col("doc_id"), 4, 2)), own.filter(~held_out(F.col("doc_id"), 4, 2)), **options)
