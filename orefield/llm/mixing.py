@@ -94,48 +94,50 @@ def _picks(counts: np.ndarray, blocks: np.ndarray, seed: int):
 
 
 def source_plan(rows: DataFrame, most: float, block_words: int) -> list[tuple]:
-    """(source, size, rows, target, blocks, slots, start) of each source in code-point order, null last; weights 1, 2, 3 repeat.
+    """(source, size, target, blocks, slots, start, block length) of each source in code-point order, null last; weights 1, 2, 3 repeat.
 
-    One row per source comes to the driver: a list of names, which doesn't grow with the number of documents.
+    Blocks have ``block_words`` words; those of a source of fewer than 256 such blocks are shorter, so that it comes near its target too.
+    One row per source comes to the driver: a list of names, which doesn't grow with the number of documents. The driver and each task that
+    draws hold eight bytes for each source and output shard: half a megabyte for a thousand sources and 64 shards.
     """
-    found = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect()]
+    found = [tuple(r) for r in rows.groupBy("source").agg(F.sum("size")).collect()]
     found.sort(key=lambda r: (r[0] is None, r[0] or ""))
     want = targets([r[1] for r in found], [1.0 + i % 3 for i in range(len(found))], most)
     plan, start = [], 0
-    for (source, size, n), target in zip(found, want):
-        blocks = -(-size // block_words)
+    for (source, size), target in zip(found, want):
+        each = max(1, min(block_words, size // 256))
+        blocks = -(-size // each)
         slots = min(round(target * blocks / size), int(most) * blocks) if size else 0
-        plan.append((source, size, n, target, blocks, slots, start))
+        plan.append((source, size, target, blocks, slots, start, each))
         start += size
     return plan
 
 
 def mixed_blocks(rows: DataFrame, most: float = 3, block_words: int = 64, n_shards: int = 64, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """Of ``rows`` (row, doc_id, source, size): (row, doc_id, size, source_size, target, place) and the spans that the mix takes (place, from_word, to_word, times).
+    """Of ``rows`` (row, doc_id, source, size): (row, doc_id, size, source_size, target, place) and the spans that the mix takes (place, from_word, to_word, shards).
 
-    Words of a source stand in a row, documents ordered by a hash of their id, and are cut into blocks of ``block_words``.
+    Words of a source stand in a row, documents ordered by a hash of their id, and are cut into blocks of fixed length.
     A source gets as many slots as its target has blocks; each output shard draws its share of slots;
     the k-th slot of a source takes the k-th block of a pseudorandom permutation, a new permutation each time all blocks are used,
-    so no block is taken more than ``most`` times.
+    so no block is taken more than ``most`` times. ``shards`` names the output shard of each time that the span is taken.
     """
     spark = rows.sparkSession
     plan = source_plan(rows, most, block_words)
-    schema = "source string, source_at int, source_size long, target double, source_start long"
-    known = F.broadcast(spark.createDataFrame([(s, i, size, t, start) for i, (s, size, _, t, _, _, start) in enumerate(plan)], schema))
+    schema = "source string, source_at int, source_size long, target double, source_start long, each long"
+    known = F.broadcast(spark.createDataFrame([(s, i, size, t, start, each) for i, (s, size, t, _, _, start, each) in enumerate(plan)], schema))
     rows = rows.join(known.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
     rows = rows.withColumn("turn", F.xxhash64("doc_id"))
     placed, _ = global_prefix(rows, "source_at", "turn", "doc_id", "size", "row")
     placed = cut(placed.withColumn("start", F.col("start") - F.col("source_start")), "source-places")
-    counts = draws(np.array([p[5] for p in plan], np.int64), n_shards, seed)
+    counts = draws(np.array([p[4] for p in plan], np.int64), n_shards, seed)
     slots = spark.range(int(counts.sum())) if plan else spark.range(0)
-    picks = slots.mapInArrow(_picks(counts, np.array([p[4] for p in plan], np.int64), seed), "source_at int, block long, shard int")
-    times = picks.groupBy("source_at", "block").agg(F.count("*").alias("times"))
-    b = F.lit(block_words)
-    parts = placed.filter("size > 0").select(
-        "source_at", "place", "start", "size", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block")
-    )
-    spans = parts.join(times, ["source_at", "block"]).select(
-        "place", (F.greatest("start", F.col("block") * b) - F.col("start")).alias("from_word"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.col("start")).alias("to_word"), "times"
+    picks = slots.mapInArrow(_picks(counts, np.array([p[3] for p in plan], np.int64), seed), "source_at int, block long, shard int")
+    # At most ``most`` shards of a block.
+    picks = picks.groupBy("source_at", "block").agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    parts = placed.filter("size > 0").select("source_at", "place", "start", "size", "each", F.explode(F.expr("sequence(start div each, (start + size - 1) div each)")).alias("block"))
+    spans = parts.join(picks, ["source_at", "block"]).select(
+        "place", (F.greatest("start", F.col("block") * F.col("each")) - F.col("start")).alias("from_word"),
+        (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("each")) - F.col("start")).alias("to_word"), "shards",
     )
     return placed.select("row", "doc_id", "size", "source_size", "target", "place"), spans
 
@@ -145,54 +147,68 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
 
 
 def mix_to_weights(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """How many words of each row a mix by source weights takes: doc_id, size, source_size, target, taken.
+    """How many words of each row a mix by source weights takes: doc_id, size, source_size, target, taken, and ``shards``: (shard, words) of each output shard that takes some.
 
     A null text has no words and none are taken; a null source is a source of its own, the last. Repeated rows are rows like
     others. An empty table gives an empty one. ``options`` go to ``mixed_blocks``.
     """
     rows = cut(_rows(docs, id_col, text_col, source_col), "sizes")
     placed, spans = mixed_blocks(rows, **options)
-    taken = spans.groupBy("place").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken"))
-    return placed.join(taken, "place", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-
-
-def _copies(text_col: str, schema: list[str]):
-    """Each row once for each time that the mix takes a part of it, with the words that it takes then."""
+    taken = spans.select("place", (F.col("to_word") - F.col("from_word")).alias("words"), F.explode("shards").alias("shard")).groupBy("place", "shard").agg(F.sum("words").alias("words"))
+    taken = taken.groupBy("place").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards"))
+    none = F.array().cast("array<struct<shard:int,words:bigint>>")
+    return placed.join(taken, "place", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
+
+
+def copies(spans: list[tuple[int, int, list[int]]], by_shard: bool) -> list[tuple[int, list[list[int]]]]:
+    """(shard, stretches of words) of each copy that is made of a document: a copy for each shard, or as few as there are times that its words are taken."""
+    found: dict[tuple[int, int], list[list[int]]] = {}
+    for a, b, shards in sorted(spans):
+        for turn, shard in enumerate(shards):
+            own = found.setdefault((shard, turn - shards.index(shard)) if by_shard else (0, turn), [])
+            if own and own[-1][1] == a:
+                own[-1][1] = b
+            else:
+                own.append([a, b])
+    return [(key[0], own) for key, own in sorted(found.items())]
+
+
+def _copies(text_col: str, schema: list[str], by_shard: bool):
+    """Each row once for each copy that the mix makes of it, with the words that it takes then."""
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, texts = [], []
-            for i, (text, spans) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("__mix_spans").to_pylist())):
-                ends = [m.span() for m in word.finditer(text)]
-                spans = sorted((s["from_word"], s["to_word"], s["times"]) for s in spans)
-                for turn in range(1, max(s[2] for s in spans) + 1):
-                    runs: list[list[int]] = []
-                    for a, b, times in spans:
-                        if times >= turn:
-                            if runs and runs[-1][1] == a:
-                                runs[-1][1] = b
-                            else:
-                                runs.append([a, b])
-                    whole = runs == [[0, len(ends)]]
-                    at.append(i)
-                    texts.append(text if whole else "\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in runs))
-            out = batch.select(schema).take(pa.array(at, pa.int64()))
-            yield out.set_column(schema.index(text_col), batch.schema.field(text_col), pa.array(texts, batch.schema.field(text_col).type))
+        for whole in batches:
+            for first in range(0, len(whole), 500):
+                batch, at, texts, shards = whole.slice(first, 500), [], [], []
+                for i, (text, spans) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("__mix_spans").to_pylist())):
+                    ends = [m.span() for m in word.finditer(text)]
+                    for shard, runs in copies([(s["from_word"], s["to_word"], s["shards"]) for s in spans], by_shard):
+                        at.append(i)
+                        shards.append(shard)
+                        texts.append(text if runs == [[0, len(ends)]] else "\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in runs))
+                out = batch.select(schema).take(pa.array(at, pa.int64()))
+                out = out.set_column(schema.index(text_col), batch.schema.field(text_col), pa.array(texts, batch.schema.field(text_col).type))
+                yield out.append_column("__mix_shard", pa.array(shards, pa.int32())) if by_shard else out
 
     return run
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time a part of a document is taken, its text the words taken then.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_col: str | None = None, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: rows whose texts are the words taken.
 
-    Stretches that don't touch are joined by a line feed; a document taken whole keeps its text as it is.
+    With ``shard_col``, a row for each output shard that takes words of a document, and the shard's number in that new column. Without,
+    the shards' words of a document stand together again: a row for each time that its words are taken, so documents stay as whole as they can.
+    Stretches that don't touch are joined by a line feed; a document taken whole keeps its text as it is. Nulls, repeats and empty tables count as in ``mix_to_weights``.
     """
     held = numbered(docs)
     rows = held.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     placed, spans = mixed_blocks(rows, **options)
-    by_row = spans.groupBy("place").agg(F.collect_list(F.struct("from_word", "to_word", "times")).alias("__mix_spans"))
+    by_row = spans.groupBy("place").agg(F.collect_list(F.struct("from_word", "to_word", "shards")).alias("__mix_spans"))
     by_row = placed.join(by_row, "place").select(F.col("row").alias(ROW), "__mix_spans")
     names = docs.columns
     schema = StructType([f for f in docs.schema.fields])
-    return held.join(by_row, ROW).select(*names, "__mix_spans").mapInArrow(_copies(text_col, names), schema)
+    if shard_col:
+        schema = schema.add("__mix_shard", "integer")
+    out = held.join(by_row, ROW).select(*names, "__mix_spans").mapInArrow(_copies(text_col, names, bool(shard_col)), schema)
+    return out.withColumnRenamed("__mix_shard", shard_col) if shard_col else out
