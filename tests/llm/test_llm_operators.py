@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -196,6 +197,7 @@ def test_mixing(spark, docs):
     assert set(target) == set(sizes.values())
     assert abs(sum(target.values()) - sum(sizes.values())) < 1e-6
     assert all(abs(taken[s] - t) <= 16 + 0.01 * t for s, t in target.items())
+    assert all(r.taken == sum(s.words for s in r.shards) for r in rows)
     mixed = mixing.mixed_documents(docs, block_words=8, n_shards=3)
     assert mixed.columns == docs.columns
     by_doc = collections.Counter()
@@ -205,9 +207,57 @@ def test_mixing(spark, docs):
     for r in rows:
         want[r.doc_id] += r.taken
     assert +by_doc == +want
+    by_shard = collections.Counter()
+    for r in mixing.mixed_documents(docs, block_words=8, n_shards=3, shard_col="in_shard").collect():
+        by_shard[r.doc_id, r.in_shard] += n(r.text)
+    want = collections.Counter()
+    for r in rows:
+        for s in r.shards:
+            want[r.doc_id, s.shard] += s.words
+    assert by_shard == want
     assert mixing.mix_to_weights(docs.limit(0)).count() == 0
 
 
+def plain_mix(docs, n_shards, block_words, seed=17):
+    """(document, shard) -> words, by loops over sources, shards, slots and words; ``docs``: (id, hash of the id, source, size)."""
+    sources = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(d[3] for d in docs if d[2] == s) for s in sources}
+    target = mixing.targets([size[s] for s in sources], [1 + i % 3 for i in range(len(sources))], 3)
+    each = [max(1, min(block_words, size[s] // 256)) for s in sources]
+    blocks = [-(-size[s] // e) for s, e in zip(sources, each)]
+    slots = [round(t * b / size[s]) if size[s] else 0 for s, t, b in zip(sources, target, blocks)]
+    drawn, out = mixing.draws(np.array(slots), n_shards, seed), collections.Counter()
+    for i, s in enumerate(sources):
+        words = [d[0] for d in sorted((d for d in docs if d[2] == s), key=lambda d: (d[1], d[0])) for _ in range(d[3])]
+        slot = 0
+        for shard in range(n_shards):
+            for _ in range(drawn[shard, i]):
+                turn, at = divmod(slot, blocks[i])
+                key = textnum.mix(np.array([seed + i * 0x9E3779B97F4A7C15 + turn & (1 << 64) - 1], np.uint64))
+                block = int(mixing.permuted(np.array([at]), np.array([blocks[i]]), key)[0])
+                for doc in words[block * each[i] : (block + 1) * each[i]]:
+                    out[doc, shard] += 1
+                slot += 1
+    return out, {s: t for s, t in zip(sources, target)}
+
+
+def test_mixing_against_loops(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(60))), "en", rng.choice("aaaab") if i % 50 else "tiny") for i in range(300)]
+    docs = make(spark, rows)
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    found = {}
+    for n_shards in (1, 7):
+        want, target = plain_mix([(r[0], hashes[r[0]], r[3], len(r[1].split())) for r in rows], n_shards, 8)
+        found[n_shards] = {(r.doc_id, s.shard): s.words for r in mixing.mix_to_weights(docs, block_words=8, n_shards=n_shards).collect() for s in r.shards}
+        assert found[n_shards] == dict(want)
+        for source in "a", "b", "tiny":
+            own = {r[0] for r in rows if r[3] == source}
+            taken = sum(n for (d, _), n in want.items() if d in own)
+            assert abs(taken - target[source]) <= 8 + 0.01 * target[source]
+    assert len({s for _, s in found[7]}) == 7
+
+
 def test_targets_stop_at_the_cap():
     got = mixing.targets([10, 100, 1000], [1, 2, 3], 3)
     assert got[:2] == [30, 300] and abs(sum(got) - 1110) < 1e-9
@@ -279,13 +329,26 @@ def test_top_k(spark):
         if q % 50 == 0:
             best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(good) if m != n)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    for size in (64, 4096):
-        got = knn_join.top_k_inner_product(frame, n_pivots=7, chunk_rows=size)
+    for size, pivots in ((64, 7), (4096, 7), (50, None)):
+        got = knn_join.top_k_inner_product(frame, n_pivots=pivots, chunk_rows=size)
         assert sorted(map(tuple, got.collect())) == sorted(want)
     assert knn_join.top_k_inner_product(frame.limit(0)).count() == 0
     assert knn_join.top_k_inner_product(frame.filter("vec_id = 50").limit(1)).count() == 0
 
 
+def test_top_k_skips_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(1)
+    middle = rng.normal(0, 4, (12, 16))
+    vectors = [(i, (middle[i % 12] + rng.normal(0, 0.05, 16)).tolist()) for i in range(1200)]
+    got = knn_join.top_k_inner_product(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), with_cells=True, chunk_rows=100).collect()
+    whole = np.floor(256 * np.array([v for _, v in vectors])).astype(np.int64)
+    for r in got:
+        score = whole @ whole[r.query_id]
+        best = [int(i) for i in np.lexsort((np.arange(1200), -score)) if i != r.query_id][r.rank - 1]
+        assert (r.vec_id, r.score) == (best, score[best])
+    assert len(got) == 24 * 5 and max(r.kept_cells / r.n_cells for r in got) < 0.4
+
+
 def test_forward_sums_all_segmentations():
     pieces = sorted([b"a", b"b", b"ab", b"ba", b"aba", *[bytes([i]) for i in range(256) if i not in (97, 98)]])
     p = np.random.default_rng(1).random((len(pieces), 2))
@@ -387,7 +450,7 @@ five</p><aside>side</aside><div class="comments"><p>first!</p></div></article><f
 
 
 def test_html_extraction(spark):
-    assert html_text.main_text(PAGE) == "Head line&\nOne two.\nThree four <x> five"
+    assert html_text.main_text(PAGE)[0] == "Head line&\nOne two.\nThree four <x> five"
     template = '<html><body><div class="x1">Same on all</div><div>Body {0}</div><div class="x2">Bottom</div></body></html>'
     pages = [(i, f"http://h.example/{i}", template.format(f"text number {i}")) for i in range(10)]
     pages += [(20, "https://lone.example/a", template.format("alone")), (21, None, None), (22, "odd", ""), (23, "http://h.example/copy", PAGE), (24, "http://h.example/copy", PAGE), (None, "x", "plain text")]
@@ -396,7 +459,7 @@ def test_html_extraction(spark):
         got = {r.page_id: r for r in html_text.extract_main_text(frame, most_held=most).collect()}
         assert all(got[i].text == f"Body text number {i}" for i in range(10))
         assert got[20].text == "Same on all\nBody alone\nBottom" and got[21].text == got[22].text == "" and got[None].text == "plain text"
-        assert got[23].text == got[24].text == html_text.main_text(PAGE) and all(r.n_chars == len(r.text) for r in got.values())
+        assert got[23].text == got[24].text == html_text.main_text(PAGE)[0] and all(r.n_chars == len(r.text) for r in got.values())
     assert html_text.extract_main_text(frame.limit(0)).count() == 0
 
 
@@ -420,6 +483,53 @@ def test_html_recurring_inside_articles(spark):
         assert {r.page_id: r.text for r in html_text.extract_main_text(frame, most_held=most).collect()} == want
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content with-sidebar"><p>Hello article.</p></div>', "Hello article."), ('<div class="has-footer"><article>x</article></div>', "x"),
+    ('<div class="sidebar"><p>only this</p></div>', "only this"), ("<form><article>a<p>b</article></form>", "a\nb"), ("a < b <c", "a < b"), ("<p>x<p>y</p>z", "x\ny\nz"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"), ("<ul><li>a<li>b<p>c<li>d</ul>", "a\nb\nc\nd"), ("</b>x</p>y<b>z</b>", "x\nyz"),
+    ('<article>post<section id="comments"><article class="comment">bad</article></section></article>', "post"), ('<div id=comments>hi</div><p>text</p>', "text"),
+    ("<article><b>One<p>two</b> three</article> after", "One\ntwo three"), ("<nav><article>teaser</article></nav><main>m</main>", "m"), ("<!-- <article>no</article> -->yes<!-- open", "yes"),
+])
+def test_html_shown(page, text):
+    assert html_text.main_text(page)[0] == text
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 100_000 + "</p>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, '<a ="' * 200_000, "<" * 1_000_000, "<p>" * 200_000, "<b>" * 100_000 + "</b>" * 100_000, "<a href='" * 100_000])
+def test_html_parsing_is_linear(page):
+    began = time.perf_counter()
+    html_text.parse_page(page)
+    assert time.perf_counter() - began < 8
+
+
+def test_html_counting_against_loops(spark):
+    rng = random.Random(4)
+    bar = lambda: '<div class="links">' + "".join(f'<a href="x">{rng.choice(WORDS)} {rng.randrange(99)}</a> ' for _ in range(rng.randrange(3, 6))) + "</div>"
+    pages = []
+    for i in range(60):
+        host = f"h{i % 4}.example"
+        parts = [f"<nav>menu of {host}</nav>", bar() if i % 2 else "", f"<article><p>{rng.choice(WORDS)}</p><p>own {i % 50}</p>" + rng.choice(["", "<div>read on</div>", bar()]) + "</article>", f"<div>{rng.choice(WORDS)}</div>", "<p>&copy;</p>" if i % 3 else ""]
+        pages.append((f"http://{host}/{i}", "".join(parts) if i % 5 else "".join(parts).replace("article", "section")))
+    seen = collections.defaultdict(lambda: (set(), set()))
+    for url, page in pages:
+        for host, inside, value, article, content in html_text.subtree_rows(url, page):
+            seen[host, inside, value][0].add(content)
+            seen[host, inside, value][1].add(article)
+    want = {(host, value) for (host, inside, value), (contents, articles) in seen.items() if value is not None
+            for n in [min(len(contents), len(articles)) if inside else len(contents)] if n >= 4 and n >= 0.3 * len(seen[host, inside, None][0])}
+    rows = [r for url, page in pages for r in html_text.subtree_rows(url, page)]
+    counted = spark.createDataFrame(rows * 2, html_text.COUNTED)
+    got = [tuple(r) for r in html_text.recurring_subtrees(counted, 4, 0.3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 8
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    held = collections.defaultdict(set)
+    for host, value in want:
+        held[host].add(value)
+    for most in (1_000_000, 0):
+        found = {r.page_id: (r.text, r.n_blocks, r.n_template) for r in html_text.extract_main_text(frame, most_held=most).collect()}
+        assert found == {i: html_text.main_text(page, held[html_text._host(url)]) for i, (url, page) in enumerate(pages)}
+        assert not any("menu" in t for t, _, _ in found.values()) and sum(n for _, _, n in found.values()) > 100
+
+
 def test_ngram_join_cuts_large_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     rng, passage = random.Random(6), [f"p{i}" for i in range(60)]
