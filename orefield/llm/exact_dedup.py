@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.shared import ROW, cut, numbered
+from orefield.llm.shared import ROW, cut, join_groups, numbered
 
 #: What normalising deletes: space and the characters 09-0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -89,8 +89,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = cut(identities(docs, id_col, text_col, block_bytes, row_col), "identities")
     best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
-    groups = rows.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["level", "name"]).select(
+    groups = cut(rows.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
+    return join_groups(rows, groups, ["level", "name"], "group_size", rows.count()).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
         *([F.col("row").alias(row_col)] if row_col else []),
     )

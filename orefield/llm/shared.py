@@ -40,3 +40,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """``df``, written, with a number of its own for each row in ``ROW``."""
     return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, n_rows: int, parts: int = 1024) -> DataFrame:
+    """``rows``, each with the columns of its group, or nulls where it has none; ``groups`` has a row per group, written before, with ``size_col`` rows each.
+
+    Groups that hold more than one of ``parts`` of all rows, of which there are fewer than ``parts``, are sent to every task; only
+    rows of smaller groups are shuffled by their keys. So no task meets more of one key than its share.
+    """
+    large = F.col(size_col) * parts > n_rows
+    held = F.broadcast(groups.filter(large).withColumn("__held", F.lit(True)))
+    marked = rows.join(held, keys, "left")
+    small = marked.filter("__held is null").select(rows.columns).join(groups.filter(~large), keys, "left")
+    return marked.filter("__held").drop("__held").unionByName(small)
