@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.prefix_sums import global_prefix
-from orefield.llm.shared import cut
+from orefield.llm.shared import cut, join_groups
 
 
 def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", whole_share: float = 1 / 64) -> DataFrame:
@@ -25,9 +25,9 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     rows, total = global_prefix(rows, "text_key", "doc_id")
     total = max(total, 1)
     groups = rows.groupBy("text_key").agg(F.min("start").alias("group_start"), F.sum("size").alias("group_size"), F.count("*").alias("n"))
-    groups = groups.filter((F.col("n") > 1) & (F.col("group_size") <= total / n_shards * whole_share)).select("text_key", "group_start")
+    groups = cut(groups.filter((F.col("n") > 1) & (F.col("group_size") <= total / n_shards * whole_share)).select("text_key", "group_start", "n"), "whole-groups")
     begin = F.coalesce("group_start", "start")
-    rows = cut(rows.join(groups, "text_key", "left").withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(begin * n_shards / F.lit(total))).cast("int")), "sharded")
+    rows = cut(join_groups(rows, groups, ["text_key"], "n", rows.count()).withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(begin * n_shards / F.lit(total))).cast("int")), "sharded")
     first = rows.groupBy("shard").agg(F.min("place").alias("first_place"))
     first = spark.createDataFrame(first.collect(), first.schema)  # a row per shard
     return rows.join(F.broadcast(first), "shard").select(
