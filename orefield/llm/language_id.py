@@ -7,45 +7,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.quality import held_out
-from orefield.llm.textnum import LOWER, Stretches, buffers, hashes, runs
-
-LETTERS = np.zeros(256, np.uint8)
-LETTERS[128:] = 1
-LETTERS[[*range(65, 91), *range(97, 123)]] = 1
-#: The longest piece in bytes, and the longest stretch of a word that is segmented at once.
-MOST_PIECE = 8
-MOST_WORD = 32
+from orefield.llm.textnum import Stretches, buffers, hashes, runs
+
+#: Letters of a text stand alone between spaces when it comes here.
+LETTERS = np.ones(256, np.uint8)
+LETTERS[32] = 0
 #: Keeps products of probabilities in range; it cancels out.
 SCALE = 24.0
+#: Sums are brought back to one after so many bytes.
+RESCALE = 8
+#: So many bytes of words are summed at once, or one word.
+ROOM = 1 << 15
 #: So many words' scores a task remembers.
 MOST_SEEN = 500_000
 
 
 def vocabulary(model_file: str) -> list[bytes]:
-    """Distinct pieces of at most MOST_PIECE bytes, without their mark of a word's begin, and every single byte."""
+    """The distinct pieces, lower-cased and without their mark of a word's begin, and every single byte."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     found = {bytes([b]) for b in range(256)}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
-            piece = model.id_to_piece(i).replace("▁", "").encode().lower()
-            if 0 < len(piece) <= MOST_PIECE:
-                found.add(piece)
-    return sorted(found)
+            found.add(model.id_to_piece(i).replace("▁", "").lower().encode())
+    return sorted(found - {b""})
 
 
 class Pieces:
     """Finds pieces in many words at once."""
 
     def __init__(self, pieces: list[bytes]):
-        self.size = len(pieces)
+        self.size, self.longest = len(pieces), max(map(len, pieces))
         self.tables = []
-        for length in range(1, MOST_PIECE + 1):
+        for length in range(1, self.longest + 1):
             ids = np.array([i for i, p in enumerate(pieces) if len(p) == length], np.int64)
             data = np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8)
             start = np.arange(len(ids)) * length
@@ -57,36 +56,72 @@ class Pieces:
         """[word, end, length - 1]: the piece of that length that ends there; ``size`` where none does. words: [word, byte]."""
         n, width = words.shape
         stretches = Stretches(words.ravel())
-        out = np.full((n, width + 1, MOST_PIECE), self.size, np.int32)
-        for length in range(1, min(width, MOST_PIECE) + 1):
-            at = (np.arange(n)[:, None] * width + np.arange(width - length + 1)).ravel()
-            value, (known, ids) = stretches.hashes(at, at + length), self.tables[length - 1]
+        out = np.full((n, width + 1, self.longest), self.size, np.int32)
+        for length in range(1, min(width, self.longest) + 1):
+            known, ids = self.tables[length - 1]
             if len(known):
+                at = (np.arange(n)[:, None] * width + np.arange(width - length + 1)).ravel()
+                value = stretches.hashes(at, at + length)
                 place = np.minimum(np.searchsorted(known, value), len(known) - 1)
                 hit = np.where(known[place] == value, ids[place], self.size)
                 out[:, length:, length - 1] = hit.reshape(n, -1)
         return out
 
 
-def forward(found: np.ndarray, scaled: np.ndarray) -> np.ndarray:
-    """[word, end, language]: the sum over all segmentations up to an end of the products of piece probabilities, times SCALE per byte."""
-    n, ends, _ = found.shape
-    out = np.zeros((n, ends, scaled.shape[1]))
-    out[:, 0] = 1
-    for end in range(1, ends):
-        for length in range(1, min(end, MOST_PIECE) + 1):
-            out[:, end] += out[:, end - length] * scaled[found[:, end, length - 1]]
-    return out
+def _steps(found: np.ndarray, size: int) -> list[list[int]]:
+    """For each end the lengths of the pieces that end there in some word."""
+    met = (found != size).any(axis=0)
+    return [(np.flatnonzero(m) + 1).tolist() for m in met]
+
 
+def forward(found: np.ndarray, scaled: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
+    """[word, language]: the natural log of the sum over all segmentations of the products of piece probabilities, times SCALE per byte; and the sums up to each end.
 
-def backward(found: np.ndarray, scaled: np.ndarray) -> np.ndarray:
-    n, ends, _ = found.shape
-    out = np.zeros((n, ends, scaled.shape[1]))
-    out[:, -1] = 1
-    for begin in range(ends - 2, -1, -1):
-        for length in range(1, min(ends - 1 - begin, MOST_PIECE) + 1):
-            out[:, begin] += out[:, begin + length] * scaled[found[:, begin + length, length - 1]]
-    return out
+    The sums of as many ends as the longest piece has bytes are held and brought back to one now and then, so a word may have any length.
+    With ``keep``, (sum, log of what it was divided by) of every end comes too.
+    """
+    n, ends, longest = found.shape
+    window = np.zeros((longest, n, scaled.shape[1]))
+    window[0] = 1
+    offset, kept = np.zeros(window.shape[1:]), [(window[0].copy(), np.zeros(window.shape[1:]))] if keep else []
+    new = window[0]
+    for end, lengths in enumerate(_steps(found, len(scaled) - 1)):
+        if not end:
+            continue
+        new = np.zeros(window.shape[1:])
+        for length in lengths:
+            new += window[(end - length) % longest] * scaled[found[:, end, length - 1]]
+        window[end % longest] = new
+        if keep:
+            kept.append((new.copy(), offset.copy()))
+        if end % RESCALE == 0:
+            offset += np.log(new)
+            window /= new
+            new = window[end % longest]
+    return np.log(new) + offset, kept
+
+
+def backward(found: np.ndarray, scaled: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sum, log of what it was divided by) over all segmentations from each end to the word's last."""
+    n, ends, longest = found.shape
+    window = np.zeros((longest, n, scaled.shape[1]))
+    last, steps = ends - 1, _steps(found, len(scaled) - 1)
+    window[last % longest] = 1
+    offset, kept = np.zeros(window.shape[1:]), [(window[last % longest].copy(), np.zeros(window.shape[1:]))]
+    starts: list[list[tuple[int, int]]] = [[] for _ in range(ends)]
+    for end, lengths in enumerate(steps):
+        for length in lengths:
+            starts[end - length].append((end, length))
+    for begin in range(last - 1, -1, -1):
+        new = np.zeros(window.shape[1:])
+        for end, length in starts[begin]:
+            new += window[end % longest] * scaled[found[:, end, length - 1]]
+        window[begin % longest] = new
+        kept.append((new.copy(), offset.copy()))
+        if (last - begin) % RESCALE == 0:
+            offset += np.log(new)
+            window /= new
+    return kept[::-1]
 
 
 def scale(probability: np.ndarray, pieces: list[bytes]) -> np.ndarray:
@@ -95,13 +130,9 @@ def scale(probability: np.ndarray, pieces: list[bytes]) -> np.ndarray:
     return np.concatenate([probability * SCALE ** lengths[:, None], np.zeros((1, probability.shape[1]))])
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of the runs of letters, cut every MOST_WORD bytes."""
-    start, end, row = runs(LETTERS[data], offsets)
-    times = (end - start - 1) // MOST_WORD + 1
-    at = np.repeat(np.arange(len(start)), times)
-    begin = start[at] + (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)) * MOST_WORD
-    return begin, np.minimum(begin + MOST_WORD, end[at]), row[at]
+def lettered(text: Column) -> Column:
+    """A text's letters in lower case, a space for each run of anything else."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
 
 
 @dataclass
@@ -116,15 +147,16 @@ class LanguageModel:
         order = np.argsort(width, kind="stable")
         for some in np.split(order, np.flatnonzero(np.diff(width[order])) + 1) if len(order) else []:
             size = int(width[some[0]])
-            for part in np.array_split(some, len(some) // 2048 + 1):
-                found = finder.find(data[start[part][:, None] + np.arange(size)])
-                out[part] = np.log(forward(found, self.scaled)[:, -1]) - size * np.log(SCALE)
+            for part in np.array_split(some, len(some) * (size + 1) // ROOM + 1):
+                if len(part):
+                    found = finder.find(data[start[part][:, None] + np.arange(size)])
+                    out[part] = forward(found, self.scaled)[0] - size * np.log(SCALE)
         return out
 
     def totals(self, finder: Pieces, data: np.ndarray, offsets: np.ndarray, seen: "Seen | None" = None) -> np.ndarray:
         """[row, language]: log probability of a row's letters; each distinct word is summed once, and not again if ``seen`` knows it."""
-        data, seen = LOWER[data], seen or Seen(len(self.languages))
-        start, end, row = stretches(data, offsets)
+        seen = seen or Seen(len(self.languages))
+        start, end, row = runs(LETTERS[data], offsets)
         value, first, inverse = np.unique(hashes(data, start, end), return_index=True, return_inverse=True)
         known, score = seen.get(value)
         new = np.flatnonzero(~known)
@@ -171,7 +203,7 @@ def learn(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
                 by_width.setdefault(len(word), []).append((word, n))
         for width, own in by_width.items():
             data = np.frombuffer(b"".join(w for w, _ in own), np.uint8).reshape(-1, width)
-            for part in np.array_split(np.arange(len(own)), len(own) // 8192 + 1):
+            for part in np.array_split(np.arange(len(own)), len(own) * (width + 1) // ROOM + 1):
                 if len(part):
                     groups.append((i, width, data[part], np.array([own[j][1] for j in part], float)))
     for _ in range(rounds):
@@ -179,12 +211,14 @@ def learn(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
         for i, width, data, n in groups:
             found = finder.find(data)
             own = scaled[:, i : i + 1]
-            a, b = forward(found, own)[..., 0], backward(found, own)[..., 0]
-            each = n / a[:, -1]
-            for end in range(1, width + 1):
-                for length in range(1, min(end, MOST_PIECE) + 1):
+            total, before = forward(found, own, keep=True)
+            after = backward(found, own)
+            for end, lengths in enumerate(_steps(found, len(pieces))):
+                for length in lengths:
                     ids = found[:, end, length - 1]
-                    counts[:, i] += np.bincount(ids, each * a[:, end - length] * own[ids, 0] * b[:, end], minlength=len(counts))
+                    (a, log_a), (b, log_b) = before[end - length], after[end]
+                    share = n * (a * b * np.exp(log_a + log_b - total))[:, 0] * own[ids, 0]
+                    counts[:, i] += np.bincount(ids, share, minlength=len(counts))
         counts = counts[:-1]
         probability = counts / counts.sum(0)
     return LanguageModel(languages, pieces, scale(probability, pieces))
@@ -196,8 +230,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, bytes], int] = {}
         langs = batch.column("lang").to_pylist()
         for first, data, offsets in buffers(batch.column("text")):
-            data = LOWER[data]
-            for a, b, r in zip(*(x.tolist() for x in stretches(data, offsets))):
+            for a, b, r in zip(*(x.tolist() for x in runs(LETTERS[data], offsets))):
                 key = langs[first + r], data[a:b].tobytes()
                 counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
@@ -212,7 +245,7 @@ def fit_languages(docs: DataFrame, model_file: str, rows_each: int = 300, max_by
     sizes = docs.groupBy("lang").count()
     some = docs.join(F.broadcast(docs.sparkSession.createDataFrame(sizes.collect(), sizes.schema)), "lang")  # a row per language
     some = some.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) * F.col("count") <= F.lit(rows_each << 30))
-    words = some.select("lang", "text").mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = some.select("lang", lettered(F.col("text")).alias("text")).mapInArrow(_counted, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     table = words.toArrow()
     found = sorted(zip(table.column("lang").to_pylist(), table.column("word").to_pylist(), table.column("n").to_pylist()))
     return learn(found, vocabulary(model_file)) if found else None
@@ -238,8 +271,8 @@ def predict_language(docs: DataFrame, model_file: str, modulus: int = 3, remaind
     """doc_id, held_out, lang_pred, score (the language's share of the probability of all) of every row of ``docs``.
 
     Learns from text and lang of rows that are not held out. A text that is null or has no letter is of language
-    ``und`` with score 0, as is every text when no row has a language. Words are runs of letters, A-Z lower-cased; each word's probability in a language
-    sums over all ways to cut it into vocabulary pieces.
+    ``und`` with score 0, as is every text when no row has a language. Words are runs of letters, lower-cased, of any length; each word's probability in a language
+    sums over all ways to cut it into vocabulary pieces and bytes. Repeated rows are predicted alike; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder)})
@@ -248,5 +281,5 @@ def predict_language(docs: DataFrame, model_file: str, modulus: int = 3, remaind
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages
-    out = rows.select("doc_id", "held_out", known.alias("known"), "text").mapInArrow(_predicted(shared), "doc_id long, held_out boolean, known boolean, lang_pred string, score double")
+    out = rows.select("doc_id", "held_out", known.alias("known"), lettered(F.col("text")).alias("text")).mapInArrow(_predicted(shared), "doc_id long, held_out boolean, known boolean, lang_pred string, score double")
     return out.select("doc_id", "held_out", F.when(F.col("known"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("known"), F.col("score")).otherwise(0.0).alias("score"))
