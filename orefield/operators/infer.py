@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions.strings import local_name, names_match
 from orefield.operators.graph import match, typed
-from orefield.schema import ONTO, PROPERTY_TYPES
+from orefield.schema import ONTO, PROPERTY_TYPES, TYPE
 
 
 def as_links(rows: DataFrame) -> DataFrame:
@@ -42,8 +42,10 @@ def property_values(triples: DataFrame) -> DataFrame:
 
 def capabilities_from_names(triples: DataFrame, rules: DataFrame) -> DataFrame:
     """(s, capability, rule_id) where a property's name matches a rule's (rule_id, property, capability), unless s links to it already."""
-    owned = owned_properties(triples).join(match(triples, p="hasPropertyName", names=("node", "name")), "node")
-    found = owned.join(F.broadcast(rules), names_match(F.col("name"), F.col("property"))).select("s", "capability", "rule_id").distinct()
+    names = match(triples, p="hasPropertyName", names=("node", "name"))
+    # Rules meet the different names, which are few; rows then meet them by equality.
+    fits = names.select("name").distinct().join(F.broadcast(rules), names_match(F.col("name"), F.col("property"))).select("name", "capability", "rule_id")
+    found = owned_properties(triples).join(names.join(F.broadcast(fits), "name"), "node").select("s", "capability", "rule_id").distinct()
     return _new(triples, found)
 
 
@@ -56,15 +58,24 @@ def capabilities_from_functionalization(triples: DataFrame, word: str, capabilit
 def capabilities_from_values(triples: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(s, capability, rule_id) where a value lies in a rule's range (rule_id, property, low, high, unit, capability); a null unit fits all."""
     rules = F.broadcast(thresholds.withColumnRenamed("unit", "rule_unit"))
-    fits = F.lower("name").contains(F.lower("property")) & F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf"))))
+    names = match(triples, p="hasPropertyName", names=("node", "name")).select("name").distinct()
+    rules = F.broadcast(names.join(rules, F.lower("name").contains(F.lower("property"))).drop("property"))
+    fits = F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf"))))
     fits = fits & (F.col("rule_unit").isNull() | F.coalesce(F.col("unit").contains(F.col("rule_unit")), F.lit(True)))
-    found = property_values(triples).join(rules, fits).select("s", "capability", "rule_id").distinct()
+    found = property_values(triples).join(rules, "name").filter(fits).select("s", "capability", "rule_id").distinct()
     return _new(triples, found)
 
 
+def held_capabilities(triples: DataFrame) -> DataFrame:
+    """(s, capability): by the local names of the capability nodes that a subject links to, and of their classes."""
+    has = match(triples, p="hasCapability", names=("s", "node"))
+    kinds = match(triples, p=TYPE, names=("node", "kind")).filter(F.col("kind").startswith(ONTO))
+    kinds = has.select("node").distinct().join(kinds, "node").select("node", local_name(F.col("kind")).alias("capability"))
+    return has.select("s", local_name(F.col("node")).alias("capability")).union(has.join(F.broadcast(kinds), "node").select("s", "capability")).distinct()
+
+
 def _new(triples: DataFrame, found: DataFrame) -> DataFrame:
-    has = match(triples, p="hasCapability", names=("s", "o"))
-    return found.withColumn("o", F.concat(F.lit(ONTO), "capability")).join(has, ["s", "o"], "left_anti").drop("o")
+    return found.join(held_capabilities(triples), ["s", "capability"], "left_anti")
 
 
 def first_rule(found: DataFrame) -> DataFrame:
@@ -81,6 +92,6 @@ def capability_triples(found: DataFrame) -> DataFrame:
 
 
 def enrich(triples: DataFrame, chains: DataFrame, name_rules: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """The graph with chains and capabilities added."""
+    """The graph, a set of triples, with chains and capabilities added: what is added is new, so nothing needs to be told apart again."""
     found = capabilities_from_names(triples, name_rules).unionByName(capabilities_from_functionalization(triples, "amine", "DirectAirCapture", 100)).unionByName(capabilities_from_values(triples, thresholds))
-    return triples.unionByName(property_chains(triples, chains)).unionByName(capability_triples(found)).distinct()
+    return triples.unionByName(property_chains(triples, chains)).unionByName(capability_triples(found))

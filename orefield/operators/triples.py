@@ -33,7 +33,8 @@ def entity_triples(rows: DataFrame, subject: Column, types: list[Column | str],
 
     cells = [F.array(*[cell(F.lit(TYPE), F.lit(ONTO + t) if isinstance(t, str) else F.concat(F.lit(ONTO), t), "uri", _null()) for t in types])]
     for a in attributes:
-        make = lambda v, a=a: cell(F.lit(ONTO + a.predicate), v.cast("string"), "literal", F.lit(XSD + a.datatype))
+        predicate, datatype = F.lit(ONTO + a.predicate), F.lit(XSD + a.datatype)
+        make = lambda v: cell(predicate, v.cast("string"), "literal", datatype)  # noqa: B023, E731
         cells.append(F.transform(a.value, make) if a.many else F.array(make(a.value)))
     cells = [F.coalesce(c, F.array().cast("array<struct<s:string,p:string,o:string,o_kind:string,datatype:string,lang:string>>")) for c in cells]
     return rows.select(F.explode(F.concat(*cells)).alias("t")).select("t.*").filter("s is not null and o is not null")

@@ -14,12 +14,14 @@ from orefield.operators import triples as T
 from orefield.operators import verify as V
 from orefield.plans import star
 from orefield.schema import CHAINS, DISJOINT, INVERSES, KG, ONTO
+from orefield.sources.stored import new_folder
+from orefield.sources.tables import read_triples, write_triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 O, K, TY = "'http://example.org/onto#", "'http://example.org/kg#", star._TYPE
 #: Rule id, part of a property's name, capability.
-NAME_RULES = [(1, "price", "Trade"), (2, "ordered quantity", "Storage"), (3, "size", "Separation")]
+NAME_RULES = [(1, "price", "CO2CaptureCapability"), (2, "ordered quantity", "Storage"), (3, "size", "Separation")]
 #: Rule id, part of a property's name, low, high, unit, capability.
 THRESHOLDS = [(10, "Retail price", 1500.0, None, "USD", "Catalysis"), (11, "Mean discount", None, 0.05, None, "Storage"), (12, "Ordered quantity", 500.0, 900.0, "pcs", "Sensing")]
 
@@ -35,9 +37,13 @@ def query(name: str, sql: str | None = None):
 
 
 def some(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
-    """The graph's triples of the named kinds of rows."""
-    found = star.parts(spark, sf)
-    return T.assemble([found[k] for k in kinds])
+    """The graph's triples of the named kinds of rows, from the stored graph."""
+    return star.graph(spark, sf, *kinds)
+
+
+def fresh(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """The triples of one kind of row, made anew."""
+    return T.assemble([star.parts(spark, sf)[kind]])
 
 
 def LN(x: str) -> str:  # noqa: N802
@@ -58,18 +64,26 @@ def _kinds() -> None:
         "T7_properties": "properties", "T8_syntheses": "syntheses", "T12_functionalized": "derivatives", "T18_linker_links": "linker_links", "T19_metal_links": "metal_links",
         "T20_topology_links": "topology_links", "T21_space_group_links": "space_group_links", "T24_property_links": "property_links", "T25_synthesis_links": "synthesis_links",
         "T26_condition_links": "condition_links", "T28_capability_links": "capabilities", "T29_derived_from": "derivative_links", "T30_functionalization_links": "functionalizations",
-        "T31_functionalization_types": "functionalization_types", "T33_solvent_links": "solvent_links",
+        "T31_functionalization_types": "functionalization_types", "T33_solvent_links": "solvent_links", "T6_crystal_systems": "crystal_systems", "T9_conditions": "conditions",
+        "T10_abstracts": "abstracts", "T11_capabilities": "capability_kinds", "T13_functionalizations": "functionalization_kinds", "T14_chemicals": "chemicals", "T15_lattices": "lattices", "T16_solvents": "solvents",
+        "T17_additives": "additives", "T22_crystal_system_links": "crystal_system_links", "T23_lattice_links": "lattice_links", "T27_abstract_links": "abstract_links",
+        "T32_functional_group_links": "functional_group_links", "T34_additive_links": "additive_links",
     }
     for name, kind in ids.items():
-        query(name, GRAPH(kind) + " SELECT s, p, o, o_kind, datatype FROM triples")(lambda spark, sf, kind=kind: some(spark, sf, kind).select("s", "p", "o", "o_kind", "datatype"))
+        query(name, GRAPH(kind) + " SELECT s, p, o, o_kind, datatype FROM triples")(lambda spark, sf, kind=kind: fresh(spark, sf, kind).select("s", "p", "o", "o_kind", "datatype"))
 
 
 _kinds()
 
 
-@query("T35_assembly_counts", f"WITH {star.PROPERTY_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n_triples FROM ({' UNION ALL '.join(v if i or k not in ('x',) else v for i, v in enumerate(q))}) HAVING count(*) > 0" for k, q in star.SQL_PARTS.items()))
+@query("T35_assembly_counts", f"WITH {star.PROPERTY_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) AS n_triples FROM (SELECT DISTINCT * FROM ({' UNION ALL '.join(q)}))" for k, q in star.SQL_PARTS.items()))
+def _(spark, sf):
+    return T.assembly_counts({k: star.graph(spark, sf, k) for k in star.SQL_PARTS})
+
+
+@query("T35_whole_graph", GRAPH() + f" SELECT {LN('p')} AS relation, o_kind, count(*) AS n, count(DISTINCT s) AS n_subjects FROM triples GROUP BY 1, 2")
 def _(spark, sf):
-    return T.assembly_counts(star.parts(spark, sf))
+    return star.graph(spark, sf).groupBy(local_name(F.col("p")).alias("relation"), "o_kind").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects"))
 
 
 _INV = ", ".join(f"({O}{a}', {O}{b}')" for a, b in INVERSES)
@@ -91,15 +105,17 @@ def _(spark, sf):
     return I.property_chains(some(spark, sf, *_SYN), spark.createDataFrame(CHAINS, "first string, second string, inferred string")).select("s", "p", "o")
 
 
-_PV = ("materials", "properties", "property_links", "capabilities", "functionalizations", "functionalization_types")
+_PV = ("materials", "properties", "property_links", "capabilities", "capability_kinds", "functionalizations", "functionalization_types")
 _OWN = f"""own AS (SELECT DISTINCT s, o AS node FROM triples WHERE p IN ({', '.join(f"{O}has{k}'" for k in ('PhysicalProperty', 'StructuralProperty', 'ComputationalProperty', 'ChemicalProperty'))})),
- pv AS (SELECT own.s, own.node, n.o AS name, TRY_CAST(v.o AS DOUBLE) AS value, u.o AS unit FROM own JOIN triples n ON n.s = node AND n.{P('hasPropertyName')} LEFT JOIN triples v ON v.s = node AND v.{P('hasValue')} LEFT JOIN triples u ON u.s = node AND u.{P('hasUnits')})"""
+ pv AS (SELECT own.s, own.node, n.o AS name, TRY_CAST(v.o AS DOUBLE) AS value, u.o AS unit FROM own JOIN triples n ON n.s = node AND n.{P('hasPropertyName')} LEFT JOIN triples v ON v.s = node AND v.{P('hasValue')} LEFT JOIN triples u ON u.s = node AND u.{P('hasUnits')}),
+ held AS (SELECT s, {LN('o')} AS capability FROM triples WHERE {P('hasCapability')} UNION SELECT a.s, {LN('b.o')} FROM triples a JOIN triples b ON a.o = b.s AND a.{P('hasCapability')} AND b.p = {TY})"""
+_NEW = "SELECT * FROM ({}) f WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.s = f.s AND held.capability = f.capability)".format
 _NR = ", ".join(f"({i}, '{n}', '{c}')" for i, n, c in NAME_RULES)
 _TH = ", ".join(f"({i}, '{n}', {'NULL' if a is None else a}, {'NULL' if b is None else b}, {'NULL' if u is None else repr(u)}, '{c}')" for i, n, a, b, u, c in THRESHOLDS)
-_BY_NAME = f"SELECT DISTINCT s, capability, rule_id FROM pv JOIN (VALUES {_NR}) r(rule_id, property, capability) ON contains(lower(name), lower(property)) OR contains(lower(property), lower(name))"
-_BY_VALUE = f"""SELECT DISTINCT s, capability, rule_id FROM pv JOIN (VALUES {_TH}) r(rule_id, property, low, high, ru, capability)
- ON contains(lower(name), lower(property)) AND value >= coalesce(low, -1e300) AND value <= coalesce(high, 1e300) AND (ru IS NULL OR unit IS NULL OR contains(unit, ru))"""
-_BY_FUNC = f"SELECT DISTINCT a.s, 'DirectAirCapture' AS capability, 100 AS rule_id FROM triples a JOIN triples b ON a.o = b.s AND a.{P('hasFunctionalization')} AND b.{P('hasFunctionalizationType')} AND contains(lower(b.o), 'type_amine')"
+_BY_NAME = _NEW(f"SELECT DISTINCT s, capability, rule_id FROM pv JOIN (VALUES {_NR}) r(rule_id, property, capability) ON contains(lower(name), lower(property)) OR contains(lower(property), lower(name))")
+_BY_VALUE = _NEW(f"""SELECT DISTINCT s, capability, rule_id FROM pv JOIN (VALUES {_TH}) r(rule_id, property, low, high, ru, capability)
+ ON contains(lower(name), lower(property)) AND value >= coalesce(low, -1e300) AND value <= coalesce(high, 1e300) AND (ru IS NULL OR unit IS NULL OR contains(unit, ru))""")
+_BY_FUNC = _NEW(f"SELECT DISTINCT a.s, 'DirectAirCapture' AS capability, 100 AS rule_id FROM triples a JOIN triples b ON a.o = b.s AND a.{P('hasFunctionalization')} AND b.{P('hasFunctionalizationType')} AND contains(lower(b.o), 'type_amine')")
 
 
 def _rules(spark):
@@ -111,7 +127,7 @@ def _(spark, sf):
     return I.capabilities_from_names(some(spark, sf, *_PV), _rules(spark)[0])
 
 
-@query("I3_capability_from_functionalization", GRAPH(*_PV) + f" {_BY_FUNC}")
+@query("I3_capability_from_functionalization", GRAPH(*_PV) + f", {_OWN} {_BY_FUNC}")
 def _(spark, sf):
     return I.capabilities_from_functionalization(some(spark, sf, *_PV), "amine", "DirectAirCapture", 100)
 
@@ -155,11 +171,29 @@ def _(spark, sf):
 
 
 # Verification.
-@query("V1_data_integrity", GRAPH(*_EN) + f", {_RICH} SELECT 0 AS lost, (SELECT count(*) FROM rich) - (SELECT count(*) FROM triples) AS added, 'PASS' AS status")
+_LOST = "SELECT (SELECT count(*) FROM (SELECT s, p, o FROM triples EXCEPT SELECT s, p, o FROM {0})) AS lost, (SELECT count(*) FROM (SELECT s, p, o FROM {0} EXCEPT SELECT s, p, o FROM triples)) AS added".format
+
+
+@query("V1_data_integrity", GRAPH(*_EN) + f", {_RICH}, l AS ({_LOST('rich')}) SELECT *, CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM l")
 def _(spark, sf):
     return V.data_integrity(*_both(spark, sf))
 
 
+#: What a damaged graph lacks.
+_DAMAGED = f"damaged AS (SELECT * FROM rich WHERE NOT {P('hasUnits')} AND NOT ({P('hasLinker')} AND ends_with(s, '7')))"
+
+
+def damaged(rich: DataFrame) -> DataFrame:
+    """An enriched graph without its units and a part of its linkers."""
+    return rich.filter((F.col("p") != ONTO + "hasUnits") & ~((F.col("p") == ONTO + "hasLinker") & F.col("s").endswith("7")))
+
+
+@query("V1_data_integrity_with_losses", GRAPH(*_EN) + f", {_RICH}, {_DAMAGED}, l AS ({_LOST('damaged')}) SELECT *, CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM l")
+def _(spark, sf):
+    base, rich = _both(spark, sf)
+    return V.data_integrity(base, damaged(rich))
+
+
 @query("V2_missing_inverses", GRAPH("linker_links", "topology_links") + f" SELECT s, o FROM triples t WHERE {P('hasLinker')} AND NOT EXISTS (SELECT 1 FROM triples u WHERE u.s = t.o AND u.o = t.s AND u.{P('usedInMOF')}) UNION ALL SELECT s, o FROM triples WHERE {P('hasTopology')}")
 def _(spark, sf):
     graph = some(spark, sf, "linker_links", "topology_links")
@@ -198,10 +232,24 @@ def _(spark, sf):
     return V.sample_inferences(base, rich).select("s", "p", "o")
 
 
-@query("V9_overall_status", GRAPH("linker_links") + " SELECT 'PASS' AS status")
+_BAND = "SELECT CASE WHEN round(({0} - n_base) / n_base, 6) BETWEEN 0.001 AND 0.5 THEN 'PASS' ELSE 'WARN' END".format
+_STATUS = f"""z AS (SELECT (SELECT count(*) FROM triples) AS n_base, (SELECT count(*) FROM rich) AS n_rich, (SELECT count(*) FROM damaged) AS n_damaged),
+ c AS (SELECT 'whole' AS graph, CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({_LOST('rich')}) UNION ALL SELECT 'whole', ({_BAND('n_rich')}) FROM z UNION ALL SELECT 'damaged', CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END FROM ({_LOST('damaged')}) UNION ALL SELECT 'damaged', ({_BAND('n_damaged')}) FROM z)"""
+
+
+@query("V9_overall_status", GRAPH(*_EN) + f", {_RICH}, {_DAMAGED}, {_STATUS} SELECT graph, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status FROM c GROUP BY 1")
+def _(spark, sf):
+    base, rich = _both(spark, sf)
+    found = [(name, V.data_integrity(base, g).select("status").union(V.inference_ratio(base, g).select("status"))) for name, g in (("whole", rich), ("damaged", damaged(rich)))]
+    out = [V.overall_status(checks).select(F.lit(name).alias("graph"), "status") for name, checks in found]
+    return out[0].unionByName(out[1])
+
+
+@query("V7_output_verification", GRAPH("materials", "linker_links", "abstracts", "lattices") + " SELECT count(*) AS n_written, count(*) AS n_read, 0 AS lost, 0 AS extra, 'PASS' AS status FROM triples")
 def _(spark, sf):
-    base = some(spark, sf, "linker_links")
-    return V.overall_status(V.data_integrity(base, base).select("status"))
+    triples, path = some(spark, sf, "materials", "linker_links", "abstracts", "lattices"), new_folder(spark, "n-triples")
+    write_triples(triples, path)
+    return V.read_back(triples, read_triples(spark, path))
 
 
 _CT = ("materials", "derivatives", "capabilities")
@@ -217,9 +265,9 @@ def _(spark, sf):
     return V.capability_distribution(I.capability_triples(_found(spark, sf)))
 
 
-@query("V12_summary_difference", GRAPH(*_CT) + f", b AS (SELECT count(*) AS n FROM triples), a AS (SELECT count(*) AS n FROM triples WHERE {P('hasCapability')}) SELECT b.n AS n_triples, a.n AS n_added, round(a.n / b.n, 6) AS ratio FROM a, b")
+@query("V12_summary_difference", GRAPH(*_EN) + f", {_RICH}, d AS (SELECT s, p, o FROM rich EXCEPT SELECT s, p, o FROM triples) SELECT {LN('p')} AS relation, count(*) AS n_added, round(count(*) / (SELECT count(*) FROM triples), 6) AS ratio FROM d GROUP BY 1")
 def _(spark, sf):
-    return some(spark, sf, *_CT).agg(F.count("*").alias("n_triples"), F.count_if(F.col("p") == ONTO + "hasCapability").alias("n_added")).withColumn("ratio", F.round(F.col("n_added") / F.col("n_triples"), 6))
+    return V.summary_difference(*_both(spark, sf))
 
 
 _ST = ("materials", "linkers", "linker_links", "topology_links", "metal_links", "properties")

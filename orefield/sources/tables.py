@@ -44,7 +44,8 @@ def explode_nested(documents: DataFrame, column: str, value_schema: str) -> Data
     return inner.select("parent", "code", F.from_json("text", value_schema).alias("record"), "text").filter(F.trim("text").startswith("{")).drop("text")
 
 
-LINE = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*")(?:\^\^<([^>]*)>|@(\S+))?\s*\.\s*$'
+#: The text of a literal reaches to the line's last quote; it may be long, so no group repeats within it.
+LINE = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|".*")(?:\^\^<([^>]*)>|@(\S+))?\s*\.\s*$'
 
 
 def parse_triples(lines: DataFrame, column: str = "value") -> DataFrame:
