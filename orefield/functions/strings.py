@@ -93,6 +93,19 @@ def mint(kind: str, key: Column) -> Column:
     return F.concat(F.lit(f"{KG}{kind}_"), sanitize_uri(key))
 
 
+#: Kinds of nodes, and the prefixes of their URIs.
+MINTED = {
+    "material": "MOF", "linker": "Linker", "metal_cluster": "MetalCluster", "topology": "Topology", "space_group": "SpaceGroup", "crystal_system": "CrystalSystem", "property": "Property", "synthesis": "Synthesis",
+    "condition": "Condition", "abstract": "Abstract", "capability": "CAP", "derivative": "FuncMOF", "functionalization": "Functionalization", "solvent": "Solvent", "chemical": "Chemical", "lattice": "Lattice",
+}
+
+
+def node_uri(kind: str, key: Column) -> Column:
+    """The URI of a node of one of the kinds in MINTED; a key that carries the prefix already gets no second one."""
+    prefix = MINTED[kind] + "_"
+    return mint(MINTED[kind], F.when(key.startswith(prefix), F.substr(key, F.lit(len(prefix) + 1))).otherwise(key))
+
+
 def term(name: str) -> Column:
     return F.lit(ONTO + name)
 

@@ -28,6 +28,14 @@ def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
     return F.when(n > least, dot(a, b) / n).otherwise(0.0)
 
 
+def neg_cosine(a: Column, b: Column) -> Column:
+    return -cosine(a, b)
+
+
+def neg_l2(a: Column, b: Column) -> Column:
+    return -l2_distance(a, b)
+
+
 def l1_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))))
 

@@ -59,12 +59,27 @@ def relation_negatives(edges: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def filtered_negatives(edges: DataFrame, n_entities: int, each: int, seed: int = 0) -> DataFrame:
-    """``each`` false tails of every edge: pseudorandom entities that are no true tail of its head and relation (fewer if three times as many draws don't do)."""
-    drawn = edges.select("h", "r", "t", F.explode(F.sequence(F.lit(1), F.lit(3 * each))).alias("i"))
-    drawn = drawn.withColumn("neg", md5_number("h", "r", "t", F.col("i"), F.lit(f"f{seed}")) % n_entities)
-    free = drawn.join(edges.select("h", "r", F.col("t").alias("neg")).distinct(), ["h", "r", "neg"], "left_anti")
-    first = free.groupBy("h", "r", "t", "neg").agg(F.min("i").alias("i"))
-    return first.withColumn("k", F.row_number().over(Window.partitionBy("h", "r", "t").orderBy("i"))).filter(F.col("k") <= each).select("h", "r", "t", "neg")
+    """``each`` false tails of every edge: pseudorandom entities that are no true tail of its head and relation; fewer only where there are fewer.
+
+    Three times as many are drawn; an edge for which these don't do draws on to forty-eight times as many, and at last looks at all entities.
+    """
+    true = edges.select("h", "r", F.col("t").alias("neg")).distinct()
+
+    def drawn(some: DataFrame, n: int, hashed: bool) -> DataFrame:
+        rows = some.select("h", "r", "t", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
+        rows = rows.withColumn("neg", md5_number("h", "r", "t", F.col("i"), F.lit(f"f{seed}")) % n_entities if hashed else (F.col("i") - 1).cast("long"))
+        rows = rows.join(true, ["h", "r", "neg"], "left_anti").groupBy("h", "r", "t", "neg").agg(F.min("i").alias("i"))
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("h", "r", "t").orderBy("i"))).filter(F.col("k") <= each).select("h", "r", "t", "neg")
+
+    some = edges.select("h", "r", "t").distinct()
+    out = drawn(some, 3 * each, True)
+    for n, hashed in ((48 * each, True), (n_entities, False)):
+        full = out.groupBy("h", "r", "t").agg(F.count("*").alias("n")).filter(F.col("n") >= each)
+        some = some.join(full, ["h", "r", "t"], "left_anti").select("h", "r", "t")
+        if some.isEmpty():
+            break
+        out = out.join(some, ["h", "r", "t"], "left_anti").unionByName(drawn(some, n, hashed))
+    return out
 
 
 def family_split(edges: DataFrame, head_family: Column, tail_family: Column, share: float, seed: int = 0) -> DataFrame:
@@ -82,6 +97,11 @@ def align(nodes: DataFrame, vectors: DataFrame, key: str, vector: str, dims: int
     return nodes.join(vectors, key, "left").withColumn("matched", F.col(vector).isNotNull()).withColumn(vector, F.coalesce(vector, F.array_repeat(F.lit(0.0), dims).cast("array<float>")))
 
 
+def export(vectors: DataFrame, wanted: DataFrame, key: str, vector: str) -> DataFrame:
+    """``wanted`` with the vectors of its keys; those without one are left out."""
+    return wanted.join(vectors.select(key, vector), key)
+
+
 def anchor_targets(rows: DataFrame, key: str, columns: list[str], least: int = 100) -> DataFrame:
     """(key, property, z): population z-scores of the columns with enough values and some spread."""
     long = rows.unpivot([key], columns, "property", "value").filter("value is not null")

@@ -33,6 +33,11 @@ def perceptron(n_features: int, n_classes: int, hidden: int = 64) -> Estimator:
     return MultilayerPerceptronClassifier(layers=[n_features, hidden, n_classes], maxIter=50, seed=1)
 
 
+def classifier(name: str, n_features: int, n_classes: int = 2) -> Estimator:
+    """A model by name: logistic, forest, boosted (two classes) or perceptron."""
+    return perceptron(n_features, n_classes) if name == "perceptron" else CLASSIFIERS[name]()
+
+
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Each row's weight: all rows over classes times rows of its class."""
     n = rows.groupBy(label).agg(F.count("*").alias("__n"))
@@ -68,7 +73,7 @@ def prepared(rows: DataFrame, columns: list[str], train: DataFrame) -> DataFrame
 
 
 def link_classification(positives: DataFrame, negatives: DataFrame, vectors: DataFrame, key: str, vector: str, models: list[str] = ("logistic",), seed: int = 0) -> DataFrame:
-    """(model, auc, n) on held-out pairs (h, t): features h, t and their difference."""
+    """(model, auc, n) on held-out pairs (h, t): features h, t and their difference; each model is fitted on all training pairs."""
     from orefield.functions.vectors import concat_pair
 
     pairs = positives.select("h", "t", F.lit(1).alias("y")).unionByName(negatives.select("h", "t", F.lit(0).alias("y")))
@@ -76,9 +81,9 @@ def link_classification(positives: DataFrame, negatives: DataFrame, vectors: Dat
     rows = pairs.join(v.toDF("h", "vh"), "h").join(v.toDF("t", "vt"), "t")
     features = array_to_vector(F.transform(concat_pair(F.transform("vh", lambda x: x.cast("double")), F.transform("vt", lambda x: x.cast("double"))), lambda x: x))
     rows = rows.select("y", F.col("y").cast("double").alias("label"), features.alias("features"), F.lit(1.0).alias("weight"), (hash_share("h", "t", "y", seed=seed) < 0.8).alias("is_train"))
-    out = []
+    out, first = [], vectors.select(F.size(vector)).first()
     for name in models:
-        model = CLASSIFIERS[name]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
+        model = classifier(name, 3 * first[0]).setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
         scored = model.transform(rows.filter("not is_train")).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
         out.append(M.roc_auc(scored).select(F.lit(name).alias("model"), "auc", "n"))
     return reduce(DataFrame.unionByName, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,8 +11,6 @@ def roc_auc(scores: DataFrame, by: list[str] = (), least: int = 0) -> DataFrame:
 
     Rows are first counted by score, so what is ranked grows with distinct scores. A group of one class has no auc.
     """
-    from pyspark.sql import Window
-
     by = list(by)
     counts = scores.filter("y is not null and score is not null").groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     before = F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
@@ -23,8 +21,6 @@ def roc_auc(scores: DataFrame, by: list[str] = (), least: int = 0) -> DataFrame:
 
 
 def average_precision(scores: DataFrame, by: list[str] = ()) -> DataFrame:
-    from pyspark.sql import Window
-
     by = list(by)
     counts = scores.filter("y is not null and score is not null").groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
     w = Window.partitionBy(*by).orderBy(F.desc("score"))
@@ -32,6 +28,20 @@ def average_precision(scores: DataFrame, by: list[str] = ()) -> DataFrame:
     return seen.groupBy(*by).agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("ap"))
 
 
+def hits_at(scores: DataFrame, by: list[str], ks: tuple[int, ...]) -> DataFrame:
+    """``by`` and hits_k: how many rows of y = 1 are among the k best scores of their group, ties by their first place.
+
+    The k-th best score of a group is found first, among its best rows alone, so rows are not ranked as a whole.
+    """
+    rows = scores.filter("y is not null and score is not null")
+    counts = rows.groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    best = counts.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score")))).filter(F.col("place") <= max(ks))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = best.withColumn("before", before)
+    found = best.groupBy(*by).agg(*[F.sum(F.when(F.col("before") < k, F.col("pos")).otherwise(0)).alias(f"hits_{k}") for k in ks])
+    return found
+
+
 def regression_metrics(rows: DataFrame, y: str, prediction: str, by: list[str] = ()) -> DataFrame:
     """``by``, r2, rmse, mae, n."""
     e = F.col(y) - F.col(prediction)

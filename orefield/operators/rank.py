@@ -99,3 +99,38 @@ def unseen_pairs(pairs: DataFrame, left: str, right: str, left_priors: DataFrame
 
 def top_per_group(rows: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def relation_quality(metrics: DataFrame, model: str) -> DataFrame:
+    """(relation, quality): a model's score of each relation; of all models where it has none, the last model's by name."""
+    wanted = metrics.filter(F.lower("model") == model.lower())
+    n = wanted.agg(F.count("*").alias("__n"))
+    rows = metrics.crossJoin(F.broadcast(n)).filter((F.col("__n") == 0) | (F.lower("model") == model.lower()))  # one row
+    return rows.groupBy("relation").agg(F.max_by("auc", "model").alias("quality"))
+
+
+def delta_reliability(metrics: DataFrame, defaults: DataFrame, group: str = "ALL", floor: float = 0.05) -> DataFrame:
+    """(target, reliability): the best R2 of each target over all of a group, no less than ``floor``; its default where there is none. ``defaults`` (target, default)."""
+    best = metrics.filter(F.col("group") == group).groupBy("target").agg(F.max("r2").alias("best"))
+    return defaults.join(best, "target", "left").select("target", F.when(F.col("best").isNull(), F.col("default")).otherwise(F.greatest("best", F.lit(floor))).alias("reliability"))
+
+
+def choose_source(sources: dict[str, DataFrame], metrics: DataFrame, target: str, group: str = "ALL") -> DataFrame:
+    """The rows of one source, with ``source``: of the one whose name holds the best method's, if it has rows; else of the first that has some."""
+    rows = reduce(DataFrame.unionByName, [df.withColumns({"source": F.lit(name), "__order": F.lit(i + 1)}) for i, (name, df) in enumerate(sources.items())])
+    best = metrics.filter((F.col("target") == target) & (F.col("group") == group)).agg(F.max_by("method", F.struct("r2", "method")).alias("__best"))
+    rows = rows.crossJoin(F.broadcast(best)).withColumn("__order", F.when(F.lower("source").contains(F.lower("__best")), 0).otherwise(F.col("__order")))  # one row
+    return rows.join(F.broadcast(rows.agg(F.min("__order").alias("__order"))), "__order").drop("__order", "__best")
+
+
+def evidence_records(picks: DataFrame, key: str, analogs: DataFrame, support: DataFrame, most: int = 3) -> DataFrame:
+    """``picks`` with the names of their best analogs, counts of what supports them, and their risks in words.
+
+    ``analogs`` (key, analog, score), ``support`` (key and counts, none of them null); a pick needs ``confidence`` and ``plausible``.
+    """
+    best = top_per_group(analogs, key, [F.desc("score"), F.col("analog")], most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "analog"))).alias("found"))
+    best = best.select(key, F.transform("found", lambda x: x["analog"]).alias("analogs"))
+    counts = [c for c in support.columns if c != key]
+    out = picks.join(best, key, "left").join(support, key, "left").withColumns({"analogs": F.coalesce("analogs", F.array().cast("array<string>")), **{c: F.coalesce(F.col(c), F.lit(0)) for c in counts}})
+    risks = [F.when(F.col("confidence") < 0.9, "few measurements"), F.when(F.size("analogs") == 0, "no analog"), F.when(~F.col("plausible"), "fails a criterion"), *[F.when(F.col(c) == 0, f"no {c}") for c in counts]]
+    return out.withColumn("risk", F.coalesce(F.nullif(F.concat_ws("; ", *risks), F.lit("")), F.lit("none")))

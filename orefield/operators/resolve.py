@@ -65,11 +65,14 @@ def structural_match(rows: DataFrame, known: DataFrame) -> DataFrame:
     """(row_id, mof_id): the first known material of the same topology whose linkers are all among the row's components.
 
     ``rows`` (row_id, topology, components), ``known`` (mof_id, topology, linkers), arrays of distinct strings.
-    Candidates share topology and, to keep them few, the least linker of the known one, which must be among the components.
+    Each different set is looked up once, however many rows have it. Candidates share topology and the least linker of the known one, which must be among the components.
     """
-    parts = rows.select("row_id", "topology", "components", F.explode("components").alias("anchor"))
-    pairs = parts.join(known.select("mof_id", "topology", "linkers", F.array_min("linkers").alias("anchor")), ["topology", "anchor"])
-    return pairs.filter(F.size(F.array_except("linkers", "components")) == 0).groupBy("row_id").agg(F.min("mof_id").alias("mof_id"))
+    known = known.select("mof_id", "topology", F.array_sort("linkers").alias("linkers")).groupBy("topology", "linkers").agg(F.min("mof_id").alias("mof_id"))
+    rows = rows.select("row_id", "topology", F.array_sort("components").alias("components"))
+    parts = rows.select("topology", "components").distinct().withColumn("anchor", F.explode("components"))
+    pairs = parts.join(known.withColumn("anchor", F.array_min("linkers")), ["topology", "anchor"])
+    found = pairs.filter(F.size(F.array_except("linkers", "components")) == 0).groupBy("topology", "components").agg(F.min("mof_id").alias("mof_id"))
+    return rows.join(found, ["topology", "components"]).select("row_id", "mof_id")
 
 
 def restrict(children: dict[str, DataFrame], key: str, known: DataFrame) -> dict[str, DataFrame]:

@@ -354,3 +354,78 @@ def _(spark, sf):
 def _(spark, sf):
     rows = table(spark, sf, "events").filter("value > 20").groupBy("user_id").agg(F.slice(F.array_sort(F.collect_set("event_type")), 1, 6).alias("e"))
     return rows.select("user_id", F.array_join("e", ";").alias("evidence"))
+
+
+_RM = "mr AS (SELECT event_type AS model, user_id % 7 AS relation, round(avg(value), 6) AS auc FROM events GROUP BY 1, 2)"
+_RQ = "w AS (SELECT * FROM mr WHERE lower(model) = lower('{0}')), q AS (SELECT relation, arg_max(auc, model) AS quality FROM (SELECT * FROM w UNION ALL SELECT * FROM mr WHERE NOT EXISTS (SELECT 1 FROM w)) GROUP BY 1)".format
+
+
+def model_scores(spark, sf):
+    return table(spark, sf, "events").groupBy(c("event_type").alias("model"), (c("user_id") % 7).alias("relation")).agg(F.round(F.avg("value"), 6).alias("auc"))
+
+
+@query("R2_relation_quality", f"WITH {_RM}, {_RQ('CLICK')} SELECT * FROM q")
+def _(spark, sf):
+    return R.relation_quality(model_scores(spark, sf), "CLICK")
+
+
+@query("R2_relation_quality_of_all", f"WITH {_RM}, {_RQ('unknown model')} SELECT * FROM q")
+def _(spark, sf):
+    return R.relation_quality(model_scores(spark, sf), "unknown model")
+
+
+#: Target, reliability where nothing is known.
+DELTA_DEFAULTS = [("click", 0.85), ("error", 0.27), ("never seen", 0.5)]
+_DM = "d AS (SELECT event_type AS target, CASE WHEN user_id % 3 = 0 THEN 'ALL' ELSE 'part' END AS \"group\", 'method ' || user_id % 5 AS method, round((avg(value) - 9) / 10, 6) AS r2 FROM events GROUP BY 1, 2, 3)"
+
+
+def delta_scores(spark, sf):
+    group, method = F.when(c("user_id") % 3 == 0, "ALL").otherwise("part"), F.concat(F.lit("method "), (c("user_id") % 5).cast("string"))
+    return table(spark, sf, "events").groupBy(c("event_type").alias("target"), group.alias("group"), method.alias("method")).agg(F.round((F.avg("value") - 9) / 10, 6).alias("r2"))
+
+
+@query("R3_delta_reliability", f"WITH {_DM}, b AS (SELECT target, max(r2) AS best FROM d WHERE \"group\" = 'ALL' GROUP BY 1), v(target, fallback) AS (VALUES " + ", ".join(f"('{t}', {x})" for t, x in DELTA_DEFAULTS) + ") SELECT v.target, CAST(CASE WHEN best IS NULL THEN fallback ELSE greatest(0.05, best) END AS DOUBLE) AS reliability FROM v LEFT JOIN b USING (target)")
+def _(spark, sf):
+    return R.delta_reliability(delta_scores(spark, sf), spark.createDataFrame(DELTA_DEFAULTS, "target string, default double"))
+
+
+@query(
+    "R13_chosen_source",
+    f"WITH {_DM}, b AS (SELECT arg_max(method, (r2, method)) AS best FROM d WHERE target = 'click' AND \"group\" = 'ALL'), "
+    "s AS (SELECT p_partkey, 'method 0 predictions' AS source, 1 AS n FROM part WHERE p_size > 1000 UNION ALL SELECT p_partkey, 'method 1 predictions', 2 FROM part UNION ALL SELECT p_partkey, 'method 2 predictions', 3 FROM part WHERE p_size > 20), "
+    "o AS (SELECT *, CASE WHEN contains(lower(source), lower((SELECT best FROM b))) THEN 0 ELSE n END AS ord FROM s) SELECT p_partkey, source FROM o WHERE ord = (SELECT min(ord) FROM o)",
+)
+def _(spark, sf):
+    part = table(spark, sf, "part")
+    sources = {"method 0 predictions": part.filter("p_size > 1000"), "method 1 predictions": part, "method 2 predictions": part.filter("p_size > 20")}
+    return R.choose_source({k: v.select("p_partkey") for k, v in sources.items()}, delta_scores(spark, sf), "click")
+
+
+_EV = (
+    ", p AS (SELECT f.p_partkey, total, confidence, perf_pass AND fit_pass AS plausible, p_type FROM f JOIN part USING (p_partkey)), picks AS (SELECT * FROM p ORDER BY total DESC, p_partkey LIMIT 40), "
+    "an AS (SELECT a.p_partkey, CAST(b.p_partkey AS VARCHAR) AS analog, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.total DESC, CAST(b.p_partkey AS VARCHAR)) AS rank FROM picks a JOIN p b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey), "
+    "g AS (SELECT p_partkey, string_agg(analog, ';' ORDER BY rank) AS analogs FROM an WHERE rank <= 3 GROUP BY 1), su AS (SELECT l_partkey AS p_partkey, count(DISTINCT l_suppkey) AS linkers, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS tests FROM lineitem GROUP BY 1), "
+    "z AS (SELECT picks.p_partkey, total, confidence, plausible, coalesce(analogs, '') AS analogs, coalesce(linkers, 0) AS linkers, coalesce(tests, 0) AS tests FROM picks LEFT JOIN g USING (p_partkey) LEFT JOIN su USING (p_partkey)) "
+    "SELECT p_partkey, total, analogs, linkers, tests, coalesce(nullif(concat_ws('; ', CASE WHEN confidence < 0.9 THEN 'few measurements' END, CASE WHEN analogs = '' THEN 'no analog' END, CASE WHEN NOT plausible THEN 'fails a criterion' END, CASE WHEN linkers = 0 THEN 'no linkers' END, CASE WHEN tests = 0 THEN 'no tests' END), ''), 'none') AS risk FROM z"
+)
+
+
+@query("R15_evidence_records", _R7 + _EV)
+def _(spark, sf):
+    rows = ranked(spark, sf).withColumn("plausible", c("perf_pass") & c("fit_pass")).select("p_partkey", "total", "confidence", "plausible").join(table(spark, sf, "part").select("p_partkey", "p_type"), "p_partkey")
+    picks = rows.orderBy(F.desc("total"), "p_partkey").limit(40)
+    analogs = F.broadcast(picks.select("p_partkey", "p_type")).join(rows.select(c("p_partkey").alias("other"), "p_type", c("total").alias("score")), "p_type").filter("p_partkey <> other")
+    support = table(spark, sf, "lineitem").groupBy(c("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_suppkey").alias("linkers"), F.count_distinct(F.when(c("l_returnflag") == "R", c("l_orderkey"))).alias("tests"))
+    out = R.evidence_records(picks.drop("p_type"), "p_partkey", analogs.select("p_partkey", c("other").cast("string").alias("analog"), "score"), support)
+    return out.select("p_partkey", "total", F.array_join("analogs", ";").alias("analogs"), "linkers", "tests", "risk")
+
+
+@query("R18_trace_tables", _M3 + f", {_RM}, {_RQ('CLICK')} SELECT 'property' AS kind, CAST(g AS VARCHAR) AS name, CASE WHEN max(r2) >= 0.3 THEN max(r2) ELSE greatest(0.05, 0.2 * max(r2)) END AS value FROM m GROUP BY 2 UNION ALL SELECT 'relation', CAST(relation AS VARCHAR), quality FROM q")
+def _(spark, sf):
+    from orefield.sources.stored import new_folder
+    from orefield.sources.tables import read_tables, write_tables
+
+    found = {"property": R.reliability(by_fold(spark, sf), "g", "r2").toDF("name", "value"), "relation": R.relation_quality(model_scores(spark, sf), "CLICK").toDF("name", "value")}
+    path = new_folder(spark, "trace")
+    write_tables({k: v.withColumn("name", c("name").cast("string")) for k, v in found.items()}, path)
+    return read_tables(spark, path, list(found))

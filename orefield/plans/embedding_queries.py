@@ -28,11 +28,11 @@ def md5_sql(*keys: str) -> str:
 
 
 #: Parts (head), a relation by the return flag, and suppliers (tail), numbered after the parts' keys.
-_ED = "ed AS (SELECT DISTINCT l_partkey AS h, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS r, l_suppkey + 1000000 AS t FROM lineitem WHERE l_linenumber = 1)"
+_ED = "ed AS (SELECT DISTINCT l_partkey AS h, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS r, l_suppkey + 1000000 AS t FROM lineitem)"
 
 
 def edges(spark, sf):
-    rows = table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    rows = table(spark, sf, "lineitem")
     r = F.when(c("l_returnflag") == "A", 0).when(c("l_returnflag") == "N", 1).otherwise(2)
     return rows.select(c("l_partkey").alias("h"), r.alias("r"), (c("l_suppkey") + 1000000).alias("t")).distinct()
 
@@ -130,6 +130,52 @@ def _(spark, sf):
     return M.roc_auc(_scored(spark, sf)).withColumn("auc", F.round("auc", 6))
 
 
+_DOT = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * p[2]))"
+_LEN = "sqrt(list_sum(list_transform({}.embedding, lambda x: CAST(x AS DOUBLE) * x)))".format
+_GAP = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (CAST(p[1] AS DOUBLE) - p[2]) * (CAST(p[1] AS DOUBLE) - p[2]))))"
+_PAIRS = (
+    f"po AS (SELECT DISTINCT l_partkey AS h, l_suppkey AS t FROM lineitem), nn AS (SELECT DISTINCT h, {md5_sql('h', repr('0'), 't', repr('e0'))} % (SELECT count(*) FROM supplier) AS t FROM po), "
+    "bo AS (SELECT h, t, 1 AS y FROM po UNION ALL SELECT h, t, 0 FROM nn WHERE NOT EXISTS (SELECT 1 FROM po WHERE po.h = nn.h AND po.t = nn.t)), "
+    f"z AS (SELECT bo.h, bo.t, y, {_DOT} AS dot, {_DOT} / ({_LEN('a')} * {_LEN('b')}) AS cosine, {_GAP} AS gap FROM bo JOIN embeddings a ON a.vec_id = h JOIN embeddings b ON b.vec_id = t), "
+    "sc AS (SELECT 'dot' AS scorer, y, round(dot, 6) AS score FROM z UNION ALL SELECT 'cosine', y, round(cosine, 6) FROM z UNION ALL SELECT 'neg_cosine', y, round(-cosine, 6) FROM z UNION ALL SELECT 'neg_l2', y, round(-gap, 6) FROM z)"
+)
+
+
+def _by_scorer(spark, sf):
+    """(scorer, y, score) of all part-supplier links with vectors and a false supplier for each, by four scorers."""
+    item, v = table(spark, sf, "lineitem"), table(spark, sf, "embeddings")
+    true = item.select(c("l_partkey").alias("h"), F.lit(0).alias("r"), c("l_suppkey").alias("t")).distinct()
+    false = E.uniform_negatives(true, table(spark, sf, "supplier").count(), side="tail").select("h", "t").distinct().join(true, ["h", "t"], "left_anti")
+    both = true.select("h", "t", F.lit(1).alias("y")).unionByName(false.select("h", "t", F.lit(0).alias("y")))
+    rows = both.join(v.select(c("vec_id").alias("h"), c("embedding").cast("array<double>").alias("a")), "h").join(v.select(c("vec_id").alias("t"), c("embedding").cast("array<double>").alias("b")), "t")
+    scorers = {"dot": V.dot(c("a"), c("b")), "cosine": V.cosine(c("a"), c("b")), "neg_cosine": V.neg_cosine(c("a"), c("b")), "neg_l2": V.neg_l2(c("a"), c("b"))}
+    cells = F.array(*[F.struct(F.lit(k).alias("scorer"), F.round(x, 6).alias("score")) for k, x in scorers.items()])
+    return rows.select("y", F.explode(cells).alias("x")).select("x.scorer", "y", "x.score")
+
+
+@query(
+    "E19_edge_ranking",
+    f"WITH {_PAIRS}, r AS (SELECT *, rank() OVER (PARTITION BY scorer ORDER BY score) + (count(*) OVER (PARTITION BY scorer, score) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY scorer ORDER BY score DESC) AS top FROM sc), "
+    f"k AS (SELECT scorer, score, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1, 2), w AS (SELECT *, sum(pos) OVER d AS tp, sum(n) OVER d AS seen FROM k WINDOW d AS (PARTITION BY scorer ORDER BY score DESC)), p AS (SELECT scorer, sum(pos * tp / seen) / sum(pos) AS ap FROM w GROUP BY 1) "
+    f"SELECT scorer, round({_AUC}, 6) AS auc, round(any_value(ap), 6) AS ap, " + ", ".join(f"count(CASE WHEN y = 1 AND top <= {k} THEN 1 END) AS hits_{k}" for k in (1, 10, 50)) + " FROM r JOIN p USING (scorer) GROUP BY 1",
+)
+def _(spark, sf):
+    rows = _by_scorer(spark, sf)
+    hits = M.hits_at(rows, ["scorer"], (1, 10, 50))
+    out = M.roc_auc(rows, ["scorer"]).join(M.average_precision(rows, ["scorer"]), "scorer").join(hits, "scorer")
+    return out.select("scorer", F.round("auc", 6).alias("auc"), F.round("ap", 6).alias("ap"), "hits_1", "hits_10", "hits_50")
+
+
+@query("E15_embedding_export", "SELECT 'http://example.org/kg#MOF_' || p_partkey AS uri, round(CAST(embedding[1] AS DOUBLE), 6) AS emb_0, round(CAST(embedding[64] AS DOUBLE), 6) AS emb_63 FROM part JOIN embeddings ON vec_id = p_partkey WHERE p_size > 25")
+def _(spark, sf):
+    from orefield.functions.strings import mint
+    from orefield.sources.tables import vector_columns
+
+    wanted = table(spark, sf, "part").filter("p_size > 25").select(c("p_partkey").alias("vec_id"), mint("MOF", c("p_partkey")).alias("uri"))
+    rows = vector_columns(E.export(table(spark, sf, "embeddings"), wanted, "vec_id", "embedding").select("uri", "embedding"), "embedding", 64)
+    return rows.select("uri", F.round(c("emb_0").cast("double"), 6).alias("emb_0"), F.round(c("emb_63").cast("double"), 6).alias("emb_63"))
+
+
 @query("E20_family_split", f"WITH {_ED} SELECT h, r, t, {md5_sql('h // 10', repr('fam0'))} < 858993459 OR {md5_sql('t // 10', repr('fam0'))} < 858993459 AS is_test FROM ed")
 def _(spark, sf):
     return E.family_split(edges(spark, sf), F.floor(c("h") / 10), F.floor(c("t") / 10), 0.2)
@@ -261,7 +307,7 @@ def _(spark, sf):
     return vectors.select("id", F.round(V.norm(c("v")), 6).alias("length"), F.size("v").alias("dims"))
 
 
-_UN = "un AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem WHERE l_linenumber = 1), ug AS (SELECT a, b FROM un UNION ALL SELECT b, a FROM un), dg AS (SELECT a, count(*) AS deg FROM ug GROUP BY 1), rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS k FROM ug)"
+_UN = "un AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), ug AS (SELECT a, b FROM un UNION ALL SELECT b, a FROM un), dg AS (SELECT a, count(*) AS deg FROM ug GROUP BY 1), rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS k FROM ug)"
 
 
 def undirected(spark, sf):

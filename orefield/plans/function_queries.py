@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orefield.functions import strings as S
 from orefield.functions import vectors as V
 from orefield.plans.star import table
+from orefield.schema import KG
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -21,6 +22,10 @@ def query(name, sql=None):
     return register
 
 
+def prefix_of(kind: str) -> str:
+    return S.MINTED[kind]
+
+
 def columns(name: str, source: str, key: str, **functions: tuple) -> None:
     """A query with one column for each function: (Spark column, SQL text)."""
     def run(spark, sf):
@@ -65,6 +70,16 @@ columns(
     bridge=(lambda: S.func_to_prop_uri(S.mint("FuncMOF", c("p_partkey"))), "'http://example.org/kg#MOF_' || p_partkey"),
     ends_with=(lambda: F.substring_index(S.mint("MOF", c("p_partkey")), "MOF_", -1), "CAST(p_partkey AS VARCHAR)"),
 )
+columns(
+    "F17_minted_uris", "part", "p_partkey",
+    **{kind: (lambda kind=kind: S.node_uri(kind, F.concat(F.when(c("p_size") > 25, f"{prefix_of(kind)}_").otherwise(""), c("p_brand"), F.lit(" "), c("p_partkey").cast("string"))), f"'http://example.org/kg#{prefix_of(kind)}_' || replace(replace(p_brand, '#', '_'), ' ', '_') || '_' || p_partkey") for kind in S.MINTED},
+)
+columns(
+    "F35_uri_tests", "part", "p_partkey",
+    starts=(lambda: S.mint("MOF", c("p_type")).startswith(KG + "MOF_S"), "starts_with('http://example.org/kg#MOF_' || p_type, 'http://example.org/kg#MOF_S')"),
+    after=(lambda: F.substring_index(S.mint("MOF", c("p_type")), KG, -1), "'MOF_' || p_type"),
+    holds=(lambda: F.lower(S.mint("MOF", c("p_type"))).contains("mof_s"), "contains(lower('MOF_' || p_type), 'mof_s')"),
+)
 columns(
     "F10_F25_F40_rules", "part", "p_partkey",
     crystal=(lambda: S.crystal_system(F.when(c("p_size") < 10, "P-1").when(c("p_size") < 20, "P21/c").when(c("p_size") < 30, "orthorhombic Pnma").when(c("p_size") < 40, "P6/mmm").otherwise("Fm-3m")),
@@ -112,7 +127,7 @@ def pairs(spark, sf):
 )
 def _(spark, sf):
     h, t = c("h"), c("t")
-    cells = {"dot": V.dot(h, t), "cosine": V.cosine(h, t), "neg_l2": -V.l2_distance(h, t), "transe": V.transe_score(h, h, t), "distmult": V.distmult_score(h, t, t), "first_unit": F.get(V.l2_normalize(h), F.lit(0))}
+    cells = {"dot": V.dot(h, t), "cosine": V.cosine(h, t), "neg_l2": V.neg_l2(h, t), "transe": V.transe_score(h, h, t), "distmult": V.distmult_score(h, t, t), "first_unit": F.get(V.l2_normalize(h), F.lit(0))}
     return pairs(spark, sf).select("vec_id", *[F.round(v, 6).alias(n) for n, v in cells.items()])
 
 
@@ -130,7 +145,9 @@ def _(spark, sf):
     return rows.select("vec_id", F.round(at(V.subtract(h, t), 0), 6).alias("sub"), F.round(at(V.multiply(h, t), 1), 6).alias("mult"), F.round(at(c("corr"), 0), 4).alias("corr_0"), F.round(at(c("corr"), 1), 4).alias("corr_1"), F.size(both).cast("long").alias("n_concat"), F.round(at(both, 130), 6).alias("last_part"))
 
 
-@query("F34_vector_pooling", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean_1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS mean_64 FROM embeddings GROUP BY 1")
+@query("F34_vector_pooling", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean_1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS mean_64, round(sum(CAST(embedding[2] AS DOUBLE)), 4) AS sum_2, round(max(CAST(embedding[3] AS DOUBLE)), 6) AS max_3 FROM embeddings GROUP BY 1")
 def _(spark, sf):
-    rows = V.mean_by(table(spark, sf, "embeddings"), "label", "embedding", 64)
-    return rows.select("label", "n", F.round(F.get("embedding", F.lit(0)), 6).alias("mean_1"), F.round(F.get("embedding", F.lit(63)), 6).alias("mean_64"))
+    mean, total, most = (V.mean_by(table(spark, sf, "embeddings"), "label", "embedding", 64, how) for how in ("mean", "sum", "max"))
+    rows = mean.join(total.select("label", c("embedding").alias("total")), "label").join(most.select("label", c("embedding").alias("most")), "label")
+    at = lambda v, i, n=6: F.round(F.get(v, F.lit(i)), n)
+    return rows.select("label", "n", at("embedding", 0).alias("mean_1"), at("embedding", 63).alias("mean_64"), at("total", 1, 4).alias("sum_2"), at("most", 2).alias("max_3"))

@@ -44,12 +44,34 @@ def _(spark, sf):
     return rows.select("vec_id", F.size(vector_to_array("features")).alias("width"))
 
 
-@query("L15_L23_link_classification")
-def _(spark, sf):
-    v = vectors(spark, sf)
-    same = v.select(c("vec_id").alias("h"), "label").join(v.select(c("vec_id").alias("t"), "label"), "label").filter("h < t").filter(E.md5_number("h", "t") % 20 == 0)
-    other = v.select(c("vec_id").alias("h"), c("label").alias("a")).withColumn("t", E.md5_number("h") % v.count()).join(v.select(c("vec_id").alias("t"), c("label").alias("b")), "t").filter("a <> b")
-    return L.link_classification(same.select("h", "t"), other.select("h", "t"), v, "vec_id", "embedding")
+def links(spark, sf):
+    """(positives, negatives): all part-supplier links between rows with vectors, and one false supplier for each."""
+    v, item = vectors(spark, sf).select("vec_id"), table(spark, sf, "lineitem")
+    true = item.select(c("l_partkey").alias("h"), c("l_suppkey").alias("t")).distinct().join(v.toDF("h"), "h", "left_semi").join(v.toDF("t"), "t", "left_semi")
+    n = table(spark, sf, "supplier").count()
+    false = E.uniform_negatives(true.withColumn("r", F.lit(0)), n, side="tail").select("h", "t").distinct().join(true, ["h", "t"], "left_anti").join(v.toDF("t"), "t", "left_semi")
+    return true, false.select("h", "t")
+
+
+def _classified(name: str):
+    return lambda spark, sf: L.link_classification(*links(spark, sf), vectors(spark, sf), "vec_id", "embedding", [name])
+
+
+for _id, _model in {"L15_L23_link_classification": "logistic", "L16_L23_link_forest": "forest", "L17_L23_link_boosted": "boosted", "L18_L23_link_perceptron": "perceptron"}.items():
+    query(_id)(_classified(_model))
+
+
+def _regressed(name: str):
+    def run(spark, sf):
+        targets = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_retailprice", "p_size")
+        found = L.families(feature_vectors(spark, sf), part_features(spark, sf), "vec_id")
+        return L.property_regression({"Hybrid": found["Hybrid"]}, targets, "vec_id", ["p_retailprice", "p_size"], [name])
+
+    return run
+
+
+for _id, _model in {"L20_forest_regression": "forest", "L21_boosted_regression": "boosted"}.items():
+    query(_id)(_regressed(_model))
 
 
 @query("L19_L24_property_regression")

@@ -91,21 +91,21 @@ def _(spark, sf):
     return R.lookup(part.select("p_partkey", "p_name"), known, keys, "id", "ord").select("p_partkey", "match", "match_step")
 
 
-_IDX = "SELECT p_partkey AS mof_id, p_type AS topology, list_sort(list_distinct(list(l_suppkey % 7))) AS linkers FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY 1, 2"
+_IDX = "SELECT p_partkey AS mof_id, p_type AS topology, list_sort(list_distinct(list(l_suppkey % 7))) AS linkers FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2"
 
 
-def _index(spark, sf, first_only=True):
+def _index(spark, sf):
     item, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
-    rows = (item.filter("l_linenumber = 1") if first_only else item).join(part, c("l_partkey") == c("p_partkey"))
+    rows = item.join(part, c("l_partkey") == c("p_partkey"))
     return rows.groupBy(c("p_partkey").alias("mof_id"), c("p_type").alias("topology")).agg(F.array_sort(F.collect_set(c("l_suppkey") % 7)).alias("linkers"))
 
 
 @query(
     "N8_structural_match",
-    f"WITH k AS ({_IDX}), r AS ({_IDX.replace(' WHERE l_linenumber = 1', '')}) SELECT r.mof_id AS row_id, min(k.mof_id) AS mof_id FROM r JOIN k ON r.topology = k.topology AND list_has_all(r.linkers, k.linkers) WHERE r.mof_id % 5 = 0 AND len(k.linkers) >= 3 GROUP BY 1",
+    f"WITH k AS ({_IDX}) SELECT r.mof_id AS row_id, min(k.mof_id) AS mof_id FROM k r JOIN k ON r.topology = k.topology AND list_has_all(r.linkers, k.linkers) WHERE len(k.linkers) >= 3 GROUP BY 1",
 )
 def _(spark, sf):
-    rows = _index(spark, sf, False).filter("mof_id % 5 = 0").toDF("row_id", "topology", "components")
+    rows = _index(spark, sf).toDF("row_id", "topology", "components")
     return R.structural_match(rows, _index(spark, sf).filter(F.size("linkers") >= 3))
 
 

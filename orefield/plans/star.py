@@ -78,10 +78,10 @@ def parts(spark: SparkSession, sf: str) -> Kinds:
     out["properties"] = lambda: entity_triples(rows, node, [F.col("kind")], [Attribute("hasPropertyName", F.col("name")), Attribute("hasValue", F.col("value"), "decimal"), Attribute("hasUnits", F.nullif(F.col("unit"), F.lit("")))])
     out["property_links"] = lambda: link_triples(rows, mint("MOF", F.col("part_key")), F.concat(F.lit("has"), F.col("kind")), node, F.concat(F.lit("has"), F.col("kind"), F.lit("Owner")))
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
-    first = item.filter("l_linenumber = 1").select("l_partkey", F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
+    made = item.select("l_partkey", F.col("l_orderkey").alias("o_orderkey")).join(orders, "o_orderkey")
     synthesis = mint("Synthesis", F.col("o_orderkey"))
     out["syntheses"] = lambda: entity_triples(orders, synthesis, ["SynthesisProcess"], [Attribute("hasYield", F.col("o_totalprice").cast(DECIMAL), "decimal")])
-    out["synthesis_links"] = lambda: link_triples(first, mint("MOF", F.col("l_partkey")), "hasSynthesisProcess", synthesis, "hasMOF")
+    out["synthesis_links"] = lambda: link_triples(made, mint("MOF", F.col("l_partkey")), "hasSynthesisProcess", synthesis, "hasMOF")
     out["condition_links"] = lambda: link_triples(orders, synthesis, "hasCondition", mint("Condition", F.col("o_orderpriority")))
     solvents = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     out["solvent_links"] = lambda: link_triples(solvents, synthesis, "usesSolvent", mint("Solvent", F.col("c_nationkey")), "usedInSynthesis")
@@ -194,7 +194,7 @@ _M, _F = _uri("MOF", "p_partkey"), _uri("FuncMOF", "(p_partkey - p_partkey % 10)
 _P, _S = _uri("Property", "part_key || '_' || key"), _uri("Synthesis", "o_orderkey")
 _D = "part WHERE p_partkey % 10 <> 0"
 _LS = "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"
-_FI = "lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1"
+_FI = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _SO = "orders JOIN customer ON o_custkey = c_custkey"
 SQL_PARTS: dict[str, list[str]] = {
     "materials": [

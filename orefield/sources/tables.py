@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,3 +116,35 @@ def validate_inputs(spark: SparkSession, paths: list[str]) -> None:
         raise FileNotFoundError("missing inputs: " + ", ".join(lost))
 
 
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table in a folder of its own, named ``kind=`` and its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/kind={name}")
+
+
+def read_tables(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Tables of one shape that ``write_tables`` wrote, with ``kind``."""
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/kind={n}").withColumn("kind", F.lit(n)) for n in names])
+
+
+def write_readable(triples: DataFrame, path: str) -> None:
+    """The graph for people, as JSON: nodes with name, kind and types, edges with the names of their ends and an object that tells its type."""
+    from orefield.functions.strings import entity_type, local_name
+    from orefield.operators.graph import display_names, node_table
+
+    names = display_names(triples)
+    nodes = node_table(triples).join(names, "node", "left")
+    nodes.select("node", "name", entity_type(F.col("node")).alias("kind"), "types").write.mode("overwrite").json(f"{path}/nodes")
+    links = triples.filter(~F.col("p").endswith("#type")).join(names.toDF("s", "source_name"), "s").join(names.toDF("o", "target_name"), "o", "left")
+    target = F.struct(F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("datatype").alias("datatype"), F.when(F.col("o_kind") == "uri", F.col("target_name")).alias("name"))
+    links.select(F.col("s").alias("source"), "source_name", local_name(F.col("p")).alias("relation"), target.alias("target")).write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_embedding_matrix(spark: SparkSession, matrix: str, ids: str, pattern: str = "^(MOF_|FuncMOF_)") -> DataFrame:
+    """(uri, v) of a saved matrix (id, v) and its index (uri, id), for the nodes whose local name fits ``pattern``."""
+    from orefield.functions.strings import local_name
+
+    index = spark.read.parquet(ids).filter(local_name(F.col("uri")).rlike(pattern))
+    return spark.read.parquet(matrix).join(index, "id").select("uri", "v")
