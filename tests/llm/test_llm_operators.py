@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -367,6 +368,46 @@ def test_forward_sums_all_segmentations():
             assert total[r, i] == pytest.approx(sum(np.log(brute(w.encode(), i)) for w in t.split()))
 
 
+def test_forward_of_long_words_and_counts_of_learning():
+    pieces = sorted([b"a", b"b", b"ab", b"bab" * 7, *[bytes([i]) for i in range(256) if i not in (97, 98)]])
+    p = np.random.default_rng(2).random((len(pieces), 2)) * 1e-3
+    model, finder = language_id.LanguageModel(["x", "y"], pieces, language_id.scale(p, pieces)), language_id.Pieces(pieces)
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["a", "b", "bab" * 7]) for _ in range(n)) for n in (40, 400, 5000)]
+
+    def plain(word, i):
+        """Log of the sum over segmentations, in logs, end by end."""
+        logs = [0.0]
+        for end in range(1, len(word) + 1):
+            logs.append(np.logaddexp.reduce([logs[end - len(q)] + np.log(p[j, i]) for j, q in enumerate(pieces) if q in known and word[:end].endswith(q)]))
+        return logs[-1]
+
+    known = {b"a", b"b", b"ab", b"bab" * 7}
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    width = np.array([len(w) for w in words])
+    got = model.word_scores(finder, data, np.cumsum(width) - width, width)
+    for r, w in enumerate(words[:2]):
+        for i in range(2):
+            assert got[r, i] == pytest.approx(plain(w.encode(), i), rel=1e-9)
+    assert np.isfinite(got).all()
+    # A round of learning from a single word equals counting over all of its segmentations.
+    word, start = b"abab", language_id.learn([("x", b"abab", 2), ("x", b"a" * 300, 1)], pieces, rounds=1, smoothing=0.5).scaled[:-1, 0]
+    want = np.full(len(pieces), 0.5)
+    for cuts in itertools.product([0, 1], repeat=3):
+        parts = bytes(word).replace(b"", b"|").strip(b"|").split(b"|")
+        for at in range(2, -1, -1):
+            if not cuts[at]:
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if all(q in pieces for q in parts):
+            share = (1 / len(pieces)) ** len(parts)
+            total = sum((1 / len(pieces)) ** k * c for k, c in ((4, 1), (3, 2), (2, 1)))
+            for q in parts:
+                want[pieces.index(q)] += 2 * share / total
+    want[pieces.index(b"a")] += 300
+    lengths = np.array([len(q) for q in pieces])
+    assert np.allclose(start / language_id.SCALE**lengths, want / want.sum())
+
+
 def corpus(spark, n=240):
     rng = random.Random(8)
     words = {"en": "the of and that with this there which".split(), "de": "der und nicht schön über ein zwischen ich".split()}
@@ -411,7 +452,7 @@ def test_quality(spark):
 def test_language_model(spark):
     rows = corpus(spark, 120) + [(1000, None, "en", "a"), (1001, "", "en", "a"), (1002, "The  OF\tunseen1", None, None), (None, "the of", "en", "a"), (1003, "und ich " * 20000, "de", "a")]
     docs = make(spark, rows)
-    got = {r.doc_id: r for r in language_model.score_texts(docs, *tokenizer_files(), most_common=5, steps=40).collect()}
+    got = {r.doc_id: r for r in language_model.score_texts(docs, *tokenizer_files(), most_common=5, steps=20).collect()}
     counts, tokens = collections.Counter(), {}
     for i, t, *_ in rows:
         tokens[i] = [*re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
@@ -426,22 +467,85 @@ def test_language_model(spark):
     assert language_model.score_texts(docs.limit(0), *tokenizer_files(), steps=5).count() == 0
 
 
-def test_attention_windows_score_each_id_once():
-    rng = np.random.default_rng(3)
-    stream = rng.integers(0, 250, 500)
-    lengths = np.array([1, 31, 32, 33, 200, 56, 57, 90])
-    begin = np.cumsum(lengths) - lengths
-    model = language_model.train_attention(stream, begin, 300, 2, 1, steps=30)
+def small_model(seed=3):
+    rng = np.random.default_rng(seed)
+    model = language_model.AttentionModel.new(rng.integers(0, 50, 40).astype(float), 2, seed)
+    for k, v in model.params.items():
+        model.params[k] = (v + rng.normal(0, 0.4, v.shape)).astype(np.float32)
+    return model, rng
+
+
+def plain_log(model, before, target):
+    """Natural log probability of ``target`` after the ids ``before``: one position at a time, in double precision, by every turn of the tree."""
+    p = {k: v.astype(float) for k, v in model.params.items()}
+    e = p["E"][before]
+    q = e[-1] @ p["Q"]
+    s = np.array([q @ (x @ p["K"]) + p["D"][len(before) - 1 - i] for i, x in enumerate(e)])
+    a = np.exp(s - s.max())
+    c = sum(w * (x @ p["V"]) for w, x in zip(a / a.sum(), e))
+    g = np.tanh(e[-1] @ p["W"] + c @ p["O"] + p["b"])
+    own = slice(model.tree.start[target], model.tree.start[target + 1])
+    return sum(-np.log1p(np.exp(-t * (g @ p["N"][n] + p["n"][n]))) for n, t in zip(model.tree.node[own], model.tree.turn[own]))
+
+
+def test_attention_scores_each_id_once_against_loops():
+    model, rng = small_model()
+    lengths = np.array([1, 31, 32, 33, 90, 56, 57])
+    stream, begin = rng.integers(0, 40, lengths.sum()), np.cumsum(lengths) - lengths
     got = model.log_probabilities(stream, begin, lengths)
-    assert (got < 0).all() and len(got) == 500
-    # Each id's probabilities sum to one over the vocabulary.
-    f = model.forward(model.rank[stream[:32]][None])
-    z = (f["z"] - f["norm"])[0, -1]
-    assert np.exp(z[model.group] + model.within).sum() == pytest.approx(1, abs=1e-3)
-    # A window sees nothing of what comes later.
-    other = stream.copy()
-    other[begin[4] + 100 :] = 7
-    assert np.allclose(model.log_probabilities(other, begin, lengths)[: begin[4] + 100], got[: begin[4] + 100])
+    for b, n in zip(begin, lengths):
+        ids = [2, *stream[b : b + n].tolist()]
+        for i in range(n):
+            # The window that scores id i: the first, or the one in whose last 24 places it stands.
+            start = 0 if i < 32 else (i - 8) // 24 * 24
+            assert got[b + i] == pytest.approx(plain_log(model, np.array(ids[start : i + 1]), ids[i + 1]), rel=1e-3, abs=1e-4)
+    g = model.forward(stream[None, :20])["g"][-1:]
+    assert np.exp(model.log_of(np.repeat(g, 40, 0), np.arange(40))).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_a_new_model_gives_shares_of_counts():
+    counts = np.arange(1, 31, dtype=float)
+    model = language_model.AttentionModel.new(counts, 2, 1)
+    g = model.forward(np.arange(5)[None])["g"][:1]
+    assert np.allclose(np.exp(model.log_of(np.repeat(g, 30, 0), np.arange(30))), (counts + 0.1) / (counts + 0.1).sum(), rtol=1e-3)
+
+
+def test_gradients_against_differences():
+    model, rng = small_model(4)
+    windows = rng.integers(0, 40, (5, 33))
+    windows[3, 20:], windows[4, 2:] = -1, -1
+
+    def loss():
+        own = [plain_log(model, w[: i + 1], w[i + 1]) for w in windows for i in range(32) if w[i + 1] >= 0]
+        return -sum(own) / len(own)
+
+    found = model.gradients(windows)
+    for name, p in model.params.items():
+        g = found[name]
+        if name in language_model.LARGE:
+            whole = np.zeros((len(p), p.size // len(p)))
+            np.add.at(whole, g[0], g[1])
+            g = whole.reshape(p.shape)
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        was, out = p[at], []
+        for step in (0.01, -0.01):
+            p[at] = was + step
+            out.append(loss())
+        p[at] = was
+        assert g[at] == pytest.approx((out[0] - out[1]) / 0.02, rel=0.03, abs=1e-5)
+
+
+def test_windows_of_a_document():
+    ids = np.arange(100, 170)
+    whole = language_model.windows_of(ids, 2, 1, 5)
+    assert whole[:, 0].tolist() == [2, 131, 163] and [x for w in whole for x in w[1:].tolist() if x >= 0] == ids.tolist()
+    assert language_model.windows_of(ids, 2, 2, 1)[:, 0].tolist() == [131] and len(language_model.windows_of(ids[:1], 2, 32, 77)) == 1
+
+
+def test_training_beats_the_unigram(spark):
+    rows = corpus(spark, 700)
+    got = language_model.score_texts(make(spark, rows), *tokenizer_files(), steps=150, trainer_windows=500).filter("held_out").collect()
+    assert len(got) > 50 and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href="/">Home</a></header>
