@@ -5,6 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orefield.sources.stored import new_folder
+
+
+def running(counts: DataFrame, by: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``counts`` with ``sum_``column: the sum of each column up to and with a row, within its group, by ``order``.
+
+    Without groups the rows are dealt into ranges of ``order``, written so that the ranges stay, and each range begins with the totals
+    of those before it: no task sees all rows.
+    """
+    way = F.desc(order) if descending else F.asc(order)
+    own = by
+    if not by:
+        path = new_folder(counts.sparkSession, "ranges")
+        counts.repartitionByRange(way).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+        counts, own = counts.sparkSession.read.parquet(path), ["__range"]
+    up_to = Window.partitionBy(*own).orderBy(way).rowsBetween(Window.unboundedPreceding, 0)
+    out = counts.withColumns({f"sum_{c}": F.sum(c).over(up_to) for c in columns})
+    if by:
+        return out
+    totals = counts.groupBy("__range").agg(*[F.sum(c).alias(c) for c in columns])  # a row per range
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__before_{c}") for c in columns])
+    out = out.join(F.broadcast(totals), "__range").withColumns({f"sum_{c}": F.col(f"sum_{c}") + F.col(f"__before_{c}") for c in columns})
+    return out.drop("__range", *[f"__before_{c}" for c in columns])
+
 
 def roc_auc(scores: DataFrame, by: list[str] = (), least: int = 0) -> DataFrame:
     """``by``, auc, n of rows with y (0/1) and score; tied scores count as half.
@@ -13,8 +38,7 @@ def roc_auc(scores: DataFrame, by: list[str] = (), least: int = 0) -> DataFrame:
     """
     by = list(by)
     counts = scores.filter("y is not null and score is not null").groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    before = F.sum("neg").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("below", F.coalesce(before, F.lit(0)))
+    ranked = running(counts, by, "score", ["neg"]).withColumn("below", F.col("sum_neg") - F.col("neg"))
     out = ranked.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     out = out.filter((F.col("n_pos") + F.col("n_neg") >= least) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
     return out.select(*by, (F.col("area") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), (F.col("n_pos") + F.col("n_neg")).alias("n"))
@@ -23,9 +47,8 @@ def roc_auc(scores: DataFrame, by: list[str] = (), least: int = 0) -> DataFrame:
 def average_precision(scores: DataFrame, by: list[str] = ()) -> DataFrame:
     by = list(by)
     counts = scores.filter("y is not null and score is not null").groupBy(*by, "score").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score"))
-    seen = counts.withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)})
-    return seen.groupBy(*by).agg((F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("ap"))
+    seen = running(counts, by, "score", ["pos", "n"], descending=True)
+    return seen.groupBy(*by).agg((F.sum(F.col("pos") * F.col("sum_pos") / F.col("sum_n")) / F.sum("pos")).alias("ap"))
 
 
 def hits_at(scores: DataFrame, by: list[str], ks: tuple[int, ...]) -> DataFrame:
