@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.components import components
-from orefield.llm.shared import ROW, cut, numbered
+from orefield.llm.shared import ROW, cut, join_groups, numbered
 from orefield.llm.textnum import buffers, mix, words
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -26,6 +26,8 @@ MOST_HELD = 1 << 21
 BLOCK = 2048
 #: Up to so many sharers of a shingle are told apart, and held in a task.
 MOST_SHARERS = 1 << 16
+#: A task forgets the sets that it has listed beyond so many.
+MOST_LISTED = 1 << 15
 #: Tasks over which the sharers of a widespread shingle are spread.
 SALTS = 256
 
@@ -57,6 +59,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def ordered_prefix(elements: np.ndarray, percent: int, hot: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the first elements of a sorted set in the order of all shingles, the ``hot`` ones last; how many of these are not hot)."""
+    k = prefix_length(len(elements), percent) if len(elements) else 0
+    if not len(hot) or not k:
+        return elements[:k], k
+    late = hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] == elements
+    return np.concatenate((elements[~late][:k], elements[late][:k]))[:k], min(int((~late).sum()), k)
+
+
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros(bits // 8, np.uint8)
     at = (values >> np.uint64(20)) & np.uint64(bits - 1)
@@ -95,7 +106,7 @@ PROFILE = "row long, doc_id long, n long, node long, proof long, prefix array<lo
 def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
     """Per row: set size, two numbers that name the set, its first elements in the order (hot last, hash), and how many of those are not hot.
 
-    A task lists the elements of a set once, however many copies it meets.
+    A task lists the elements of a set once, however many copies it meets, as long as it remembers; listed again they do no harm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +115,13 @@ def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
             for first, data, offsets in buffers(batch.column("text")):
                 sets, prefix, plain = shingle_sets(data, offsets, n_words), [], []
                 names = [[set_id(s, x) for s in sets] for x in (2 * seed, 2 * seed + 1)]
+                if len(listed) > MOST_LISTED:
+                    listed.clear()
                 for name, s in zip(names[0], sets):
-                    k = prefix_length(len(s), percent) if len(s) and name not in listed else 0
+                    own, n_plain = ordered_prefix(s[:0] if name in listed else s, percent, hot)
                     listed.add(name)
-                    if len(hot) and len(s):
-                        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                        late = hot[at] == s
-                        plain.append(min(int((~late).sum()), k))
-                        s = np.concatenate((s[~late][:k], s[late][:k]))
-                    else:
-                        plain.append(k)
-                    prefix.append(s[:k].view(np.int64))
+                    plain.append(n_plain)
+                    prefix.append(own.view(np.int64))
                 part = batch.slice(first, len(sets))
                 flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32)
@@ -127,19 +134,33 @@ def _profile(n_words: int, percent: int, hot: np.ndarray, seed: int):
 
 
 def _sets(n_words: int, seed: int):
+    """(node, elements): the name of each text's set, and the set; a task lists a set once, as long as it remembers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: set[int] = set()
         for batch in batches:
             for _, data, offsets in buffers(batch.column("text")):
-                sets = shingle_sets(data, offsets, n_words)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s, 2 * seed) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
+                found = {set_id(s, 2 * seed): s for s in shingle_sets(data, offsets, n_words)}
+                new = [x for x in found if x not in listed]
+                if len(listed) > MOST_LISTED:
+                    listed.clear()
+                listed.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([found[x].tobytes() for x in new], pa.binary())], names=["node", "elements"])
 
     return run
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column("elements")]
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([bitmap(s, width(len(s))).tobytes() for s in sets], pa.binary())], names=["node", "bits"])
+def _signatures(n_words: int, seed: int):
+    """(node, bits): the name of each text's set, and its bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, offsets in buffers(batch.column("text")):
+                sets = shingle_sets(data, offsets, n_words)
+                bits = [bitmap(s, width(len(s))).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(s, 2 * seed) for s in sets], pa.int64()), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return run
 
 
 def _hot(n_words: int):
@@ -236,7 +257,8 @@ def _in_blocks(tiles: DataFrame, percent: int, small) -> DataFrame:
 def _tile_pairs(percent: int):
     """Of rows sorted by (unit, n, set): pairs of one unit in different components that sizes and bitmaps let link.
 
-    In a unit of two blocks, a pair has a class of either; in one of a single block, any two.
+    In a unit of two blocks, a pair has a class of either; in one of a single block, any two. ``met`` holds a class's tiles in order; a pair leaves only
+    from the first tile that both are in, so it leaves once, however many tiles it meets in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +266,12 @@ def _tile_pairs(percent: int):
 
         def pairs() -> Iterator[pa.RecordBatch]:
             n, node, part, side = (np.array([t[i] for t in tile], np.int64) for i in range(4))
+
+            def first_met(i: int, j: int) -> bool:
+                x, y = tile[i][5], tile[j][5]
+                before = x[: np.searchsorted(x, token[0])]
+                return not len(before) or not (y[np.minimum(np.searchsorted(y, before), len(y) - 1)] == before).any()
+
             two = token[1] != token[2] or token[3] != token[4]
             a, b, found = [], [], 0
             by_width: dict[int, np.ndarray] = {}
@@ -258,6 +286,7 @@ def _tile_pairs(percent: int):
                     by_width[size] = np.stack([fold(np.frombuffer(t[4], np.uint8), size) if len(t[4]) >= size else np.zeros(size, np.uint8) for t in tile]).view(np.uint64)
                 maps = by_width[size]
                 good = other[may_link(maps[i], int(n[i]), maps[other], n[other], percent)]
+                good = good[[first_met(i, j) for j in good.tolist()]] if len(good) else good
                 if len(good):
                     a.append(np.full(len(good), node[i]))
                     b.append(node[good])
@@ -274,7 +303,8 @@ def _tile_pairs(percent: int):
 
         for batch in batches:
             units = zip(*[batch.column(c).to_pylist() for c in UNIT])
-            columns = [batch.column(c).to_pylist() for c in ("n", "node", "component", "side", "bits")]
+            met, ends = batch.column("met").values.to_numpy(), batch.column("met").offsets.to_numpy()
+            columns = [batch.column(c).to_pylist() for c in ("n", "node", "component", "side", "bits")] + [[met[a:b] for a, b in zip(ends, ends[1:])]]
             for t, rest in zip(units, zip(*columns)):
                 if t != token and tile:
                     yield from pairs()
@@ -288,15 +318,22 @@ def _tile_pairs(percent: int):
 
 
 def _exact(percent: int):
-    """Pairs whose sorted arrays of elements overlap enough."""
+    """Of rows sorted by (b, salt, a), the one without an a first: pairs whose sorted arrays of elements overlap enough. A row may be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, last = np.empty(0, np.uint64), None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("elements_a"), batch.column("elements_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
+            for a, b, elements in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("elements")):
+                if a is None or (a, b) == last:
+                    if a is None:
+                        x = np.frombuffer(elements.as_py(), np.uint64)
+                    last = None if a is None else last
+                    keep.append(False)
+                    continue
+                last = a, b
+                y = np.frombuffer(elements.as_buffer(), np.uint64)
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -338,23 +375,26 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     salt = F.when(F.col("at") >= F.col("n_plain"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)
     met = met.select("shingle", "node", "n", salt.cast("short").alias("salt")).repartition("shingle", "salt").sortWithinPartitions("shingle", "node")
     met = met.select("shingle", "node", "n").mapInArrow(_shared(hot), "shingle long, node long, n long, sharers long")
-    met = cut(met, "tiles")
+    met = cut(met, "tiles", release=True)
 
     def small(rows: DataFrame) -> DataFrame:
         """``rows``, sent to every task where there are few enough of them."""
         return F.broadcast(rows) if rows.limit(MOST_HELD + 1).count() <= MOST_HELD else rows
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        """(node, elements), from the text of each class's first row."""
+    def of_classes(nodes: DataFrame, run, schema: str) -> DataFrame:
+        """What ``run`` makes of the text of each class's first row, for the classes of ``nodes``; where that row is repeated, it may come more than once."""
         wanted = cut(classes.join(nodes.distinct(), "node").select("node", F.col("first.doc_id").alias("id")), "wanted")
-        again = texts.join(small(wanted.select("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        return again.select("text").mapInArrow(_sets(n_words, seed), "node long, elements binary").join(small(wanted.select("node")), "node", "left_semi")
+        again = texts.join(small(wanted.select("id").distinct()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+        return again.select("text").mapInArrow(run, schema).join(small(wanted.select("node")), "node", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs, those that link."""
-        a = sets_of(pairs.select(F.col("a").alias("node"))).toDF("a", "elements_a").join(small(pairs), "a")
-        b = sets_of(pairs.select(F.col("b").alias("node"))).toDF("b", "elements_b")
-        return cut(a.join(b, "b").select("a", "b", "elements_a", "elements_b").mapInArrow(_exact(percent), "a long, b long"), "exact-links")
+        """Of candidate pairs, those that link. A class that is in many pairs meets them in parts; each set is sent once for each of its pairs or parts."""
+        shared = cut(pairs.groupBy("b").agg(F.count("*").alias("n_pairs")), "pairs-of-classes")
+        pairs = join_groups(pairs, shared, ["b"], "n_pairs", pairs.count()).withColumn("salt", F.expr(f"pmod(xxhash64(a), ceil(n_pairs / {BLOCK}))"))
+        roles = pairs.select(F.col("a").alias("node"), "a", "b", "salt").union(pairs.select(F.col("b").alias("node"), F.lit(None).cast("long"), "b", "salt").distinct())
+        sets = of_classes(roles.select("node"), _sets(n_words, seed), "node long, elements binary").join(small(roles), "node")
+        sets = sets.select("b", "salt", "a", "elements").repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+        return cut(sets.mapInArrow(_exact(percent), "a long, b long"), "exact-links", release=True)
 
     # A text that others were copied from shares most: each class is first held against the one class that is such a pivot
     # of most of its tiles. That is one pair for a class, however many copies of a text there are.
@@ -371,9 +411,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *own).filter("low <> high")
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
     tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles")
-    bits = cut(sets_of(tiles.select("node")).mapInArrow(_bitmaps, "node long, bits binary").dropDuplicates(["node"]), "bitmaps")
-    rest = _in_blocks(tiles, percent, small).join(bits, "node").select(*UNIT, "n", "node", "component", "side", "bits").repartition(*UNIT).sortWithinPartitions(*UNIT, "n", "node")
-    rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "more-pairs")
+    bits = of_classes(tiles.select("node"), _signatures(n_words, seed), "node long, bits binary").dropDuplicates(["node"])
+    bits = cut(bits.join(tiles.groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("met")), "node"), "signatures")
+    rest = _in_blocks(tiles, percent, small).join(bits, "node").select(*UNIT, "n", "node", "component", "side", "bits", "met").repartition(*UNIT).sortWithinPartitions(*UNIT, "n", "node")
+    rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long"), "more-pairs", release=True)
     rest = cut(rest.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "new-pairs")
     if not rest.isEmpty():
         parts = components(links.union(linked(rest)))

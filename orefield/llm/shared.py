@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW = "__row"
+#: Rows of texts that travel to and from Python together.
+BATCH_ROWS = 1000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,15 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def bounded_batches(spark: SparkSession) -> None:
+    """Let at most BATCH_ROWS rows at a time go to Python, unless the session names a smaller number.
+
+    Texts and their ids take kilobytes a row: Spark's ten thousand rows fill tens of megabytes for each task, several times over on either side.
+    """
+    if not 0 < int(spark.conf.get(_ARROW)) <= BATCH_ROWS:
+        spark.conf.set(_ARROW, str(BATCH_ROWS))
+
+
+def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     What is read back no longer depends on the rows' order, on partition numbers or on
-    executors that computed them, so generated ids stay fixed.
+    executors that computed them, so generated ids stay fixed. With ``release``, Spark is told that it may drop
+    the shuffle files behind ``df`` now; it finds out by garbage collection, which may otherwise come late.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
