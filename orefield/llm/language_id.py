@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.quality import held_out
+from orefield.llm.shared import bounded_batches
 from orefield.llm.textnum import Stretches, buffers, hashes, runs
 
 #: Letters of a text stand alone between spaces when it comes here.
@@ -274,6 +275,7 @@ def predict_language(docs: DataFrame, model_file: str, modulus: int = 3, remaind
     ``und`` with score 0, as is every text when no row has a language. Words are runs of letters, lower-cased, of any length; each word's probability in a language
     sums over all ways to cut it into vocabulary pieces and bytes. Repeated rows are predicted alike; an empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.withColumns({"held_out": held_out(F.col("doc_id"), modulus, remainder)})
     model = fit_languages(rows.filter(~F.col("held_out")), model_file, **options)

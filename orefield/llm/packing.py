@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -11,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.shared import cut
+from orefield.llm.shared import bounded_batches, cut
 
 #: A task forgets the ids of words beyond so many different ones, and starts anew.
-REMEMBER = 400_000
+REMEMBER = 250_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -70,12 +71,18 @@ class Ids:
         return np.array(self.encode(head), "<u4").tobytes() + body
 
 
+@functools.lru_cache(maxsize=1)
+def ids_of(file: str, ranks: str) -> Ids:
+    """A worker's own, which it keeps for its later tasks."""
+    return Ids(file, ranks)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(file: str, ranks: str, most: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(file, ranks), np.array([end_id], "<u4").tobytes()
+        ids, end = ids_of(file, ranks), np.array([end_id], "<u4").tobytes()
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids]
         for batch in batches:
@@ -99,6 +106,7 @@ def token_pieces(docs: DataFrame, file: str, ranks: str, most: int = 1024, end_i
     Only a longer document is cut; its first piece takes what is over, all others are full.
     A null or empty text is the end id alone.
     """
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_pieces(file, ranks, most, end_id, with_ids), PIECES + ", ids binary" * with_ids)
 
