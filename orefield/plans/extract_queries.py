@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orefield.functions.strings import crystal_system
 from orefield.operators import resolve as R
 from orefield.plans.star import table
 from orefield.sources import extract as X
@@ -214,3 +215,37 @@ def _(spark, sf):
 
     rows = table(spark, sf, "events").select(F.concat(F.lit('{"'), c("event_id").cast("string"), F.lit('": {"k": '), "props", F.lit(', "bad": 3}}')).alias("text"))
     return explode_nested(rows, "text", "k long").select("parent", "code", c("record.k").alias("v"))
+
+
+_SYM = "CASE WHEN p_size < 10 THEN 'P-1' WHEN p_size < 20 THEN 'P21/c' WHEN p_size < 40 THEN 'P6/mmm' ELSE 'Fm-3m' END"
+
+
+def _symbol():
+    return F.when(c("p_size") < 10, "P-1").when(c("p_size") < 20, "P21/c").when(c("p_size") < 40, "P6/mmm").otherwise("Fm-3m")
+
+
+@query("X24_space_groups", f"WITH s AS (SELECT p_partkey, {_SYM} AS symbol FROM part) SELECT symbol AS entity_id, arg_min(symbol, p_partkey) AS name, count(*) AS n_links FROM s GROUP BY 1")
+def _(spark, sf):
+    rows = part(spark, sf).withColumn("symbol", _symbol())
+    entities, links = X.dimension_and_links(rows, "p_partkey", c("symbol"), {"name": c("symbol")}, "p_partkey")
+    return entities.join(links.groupBy("entity_id").agg(F.count("*").alias("n_links")), "entity_id")
+
+
+@query(
+    "X25_crystal_systems",
+    f"WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'orthorhombic' ELSE CASE {_SYM} WHEN 'P-1' THEN 'triclinic' WHEN 'P21/c' THEN 'monoclinic' WHEN 'P6/mmm' THEN 'hexagonal' ELSE 'cubic' END END AS system FROM part) SELECT system AS entity_id, count(*) AS n_links, min(p_partkey) AS first_key FROM s GROUP BY 1",
+)
+def _(spark, sf):
+    given = F.when(c("p_partkey") % 3 == 0, "Orthorhombic")
+    rows = part(spark, sf).withColumn("system", F.coalesce(F.lower(given), crystal_system(_symbol())))
+    entities, links = X.dimension_and_links(rows, "p_partkey", c("system"), {"first_key": c("p_partkey")}, "p_partkey")
+    return entities.join(links.groupBy("entity_id").agg(F.count("*").alias("n_links")), "entity_id").select("entity_id", "n_links", "first_key")
+
+
+_AMINE_ROWS = ", ".join(f"({i}, '{code}', '{name}', '{kind}')" for i, (code, name, kind) in enumerate(X.AMINES))
+
+
+@query("X30_amine_chemicals", f"SELECT p_partkey, code, name, kind FROM part JOIN (VALUES {_AMINE_ROWS}) a(i, code, name, kind) ON p_partkey % 12 = i")
+def _(spark, sf):
+    amines = F.broadcast(spark.createDataFrame([(i, *row) for i, row in enumerate(X.AMINES)], "i int, code string, name string, kind string"))  # ten rows
+    return part(spark, sf).select("p_partkey").join(amines, c("p_partkey") % 12 == c("i")).select("p_partkey", "code", "name", "kind")

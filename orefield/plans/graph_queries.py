@@ -447,8 +447,8 @@ def _(spark, sf):
     return I.property_values(some(spark, sf, "properties", "property_links")).filter("value is not null").select(F.col("s").alias("mof"), "name", "value")
 
 
-_AT = ("metal_links", "topology_links", "linker_links", "materials")
-_ATTR = [("metal", "hasMetalNode"), ("topology", "hasTopology"), ("linker", "hasLinker"), ("formula", "hasFormula")]
+_AT = ("metal_links", "topology_links", "linker_links", "materials", "space_group_links", "crystal_system_links", "abstract_links")
+_ATTR = [("metal", "hasMetalNode"), ("topology", "hasTopology"), ("linker", "hasLinker"), ("formula", "hasFormula"), ("space_group", "hasSpaceGroup"), ("crystal_system", "hasCrystalSystem"), ("abstract", "hasAbstract")]
 
 
 @query("Q12_attribute_sweep", GRAPH(*_AT) + ", a AS (" + " UNION ALL ".join(f"SELECT s AS mof, '{n}' AS attribute, {LN('o')} AS v FROM triples WHERE {P(p)}" for n, p in _ATTR) + ") SELECT mof, attribute, string_agg(DISTINCT v, '; ' ORDER BY v) AS joined FROM a GROUP BY 1, 2")
@@ -463,11 +463,11 @@ def _attributes(spark, sf):
     return rows.groupBy("mof", "attribute").agg(F.array_join(F.array_sort(F.collect_set("v")), "; ").alias("joined"))
 
 
-_WIDE = [("Retail price", "price"), ("Size", "size"), ("Ordered quantity", "quantity")]
+_WIDE = [("Retail price", "price"), ("Size", "size"), ("Ordered quantity", "quantity"), ("Mean extended price", "avg_price"), ("Mean discount", "discount"), ("Highest tax", "tax")]
 _WD = ("properties", "property_links", *_AT)
 
 
-@query("Q13_wide_table", GRAPH(*_WD) + f", {_OWN}, w AS (SELECT s AS mof, " + ", ".join(f"min(CASE WHEN name = '{n}' THEN value END) AS {c}" for n, c in _WIDE) + " FROM pv GROUP BY 1), a AS (" + " UNION ALL ".join(f"SELECT s AS mof, '{n}' AS attribute, {LN('o')} AS v FROM triples WHERE {P(p)}" for n, p in _ATTR) + "), b AS (SELECT mof, " + ", ".join(f"string_agg(DISTINCT v, '; ' ORDER BY v) FILTER (attribute = '{n}') AS {n}" for n in ("metal", "topology")) + " FROM a GROUP BY 1) SELECT * FROM w FULL JOIN b USING (mof)")
+@query("Q13_wide_table", GRAPH(*_WD) + f", {_OWN}, w AS (SELECT s AS mof, " + ", ".join(f"min(CASE WHEN name = '{n}' THEN value END) AS {c}" for n, c in _WIDE) + " FROM pv GROUP BY 1), a AS (" + " UNION ALL ".join(f"SELECT s AS mof, '{n}' AS attribute, {LN('o')} AS v FROM triples WHERE {P(p)}" for n, p in _ATTR) + "), b AS (SELECT mof, " + ", ".join(f"string_agg(DISTINCT v, '; ' ORDER BY v) FILTER (attribute = '{n}') AS {n}" for n, _ in _ATTR) + " FROM a GROUP BY 1) SELECT * FROM w FULL JOIN b USING (mof)")
 def _(spark, sf):
     return _wide(spark, sf)
 
@@ -475,7 +475,7 @@ def _(spark, sf):
 def _wide(spark, sf):
     rows = I.property_values(some(spark, sf, "properties", "property_links")).select(F.col("s").alias("mof"), "name", "node", "value")
     numbers = rows.groupBy("mof").pivot("name", [n for n, _ in _WIDE]).agg(F.min_by("value", "node")).withColumnsRenamed(dict(_WIDE))
-    texts = _attributes(spark, sf).groupBy("mof").pivot("attribute", ["metal", "topology"]).agg(F.first("joined"))
+    texts = _attributes(spark, sf).groupBy("mof").pivot("attribute", [n for n, _ in _ATTR]).agg(F.first("joined"))
     return numbers.join(texts, "mof", "full")
 
 
@@ -505,11 +505,11 @@ def _(spark, sf):
     return _pairs(spark, sf).dropna()
 
 
-@query("Q17_material_metadata", GRAPH("materials", "metal_links", "space_group_links") + ", ".join([f" SELECT m.s AS mof, {LN('m.s')} AS code", *(f"coalesce((SELECT string_agg(x, '; ' ORDER BY x) FROM (SELECT DISTINCT {LN('u.o')} AS x FROM triples u WHERE u.s = m.s AND u.{P(p)})), 'N/A') AS {c}" for p, c in (("hasMetalNode", "metals"), ("hasSpaceGroup", "space_groups"), ("hasCapability", "capabilities")))]) + f" FROM triples m WHERE m.p = {TY} AND m.o = {O}MOF'")
+@query("Q17_material_metadata", GRAPH("materials", "metal_links", "space_group_links", "linker_links") + ", ".join([f" SELECT m.s AS mof, {LN('m.s')} AS code", *(f"coalesce((SELECT string_agg(x, '; ' ORDER BY x) FROM (SELECT DISTINCT {LN('u.o')} AS x FROM triples u WHERE u.s = m.s AND u.{P(p)})), 'N/A') AS {c}" for p, c in (("hasMetalNode", "metals"), ("hasSpaceGroup", "space_groups"), ("hasLinker", "linkers")))]) + f" FROM triples m WHERE m.p = {TY} AND m.o = {O}MOF'")
 def _(spark, sf):
-    g = some(spark, sf, "materials", "metal_links", "space_group_links")
-    lists = G.support_lists(g, ["hasMetalNode", "hasSpaceGroup", "hasCapability"])
-    joined = [F.coalesce(F.nullif(F.array_join(p, "; "), F.lit("")), F.lit("N/A")).alias(c) for p, c in (("hasMetalNode", "metals"), ("hasSpaceGroup", "space_groups"), ("hasCapability", "capabilities"))]
+    g = some(spark, sf, "materials", "metal_links", "space_group_links", "linker_links")
+    lists = G.support_lists(g, ["hasMetalNode", "hasSpaceGroup", "hasLinker"])
+    joined = [F.coalesce(F.nullif(F.array_join(p, "; "), F.lit("")), F.lit("N/A")).alias(c) for p, c in (("hasMetalNode", "metals"), ("hasSpaceGroup", "space_groups"), ("hasLinker", "linkers"))]
     return G.typed(g, "MOF", "s").join(lists, "s", "left").select(F.col("s").alias("mof"), local_name(F.col("s")).alias("code"), *joined)
 
 
@@ -533,10 +533,13 @@ def _(spark, sf):
     return G.match(g, p="hasMetalNode", names=("s", "m")).select("s").distinct().join(mean, "s", "left").select(F.col("s").alias("mof"), F.round("v", 6).alias("mean_price"))
 
 
-@query("Q21_query_suite", " UNION ALL ".join(f"SELECT '{n}' AS query, count(*) AS n_rows, count(*) = 0 AS is_empty FROM ({ORACLE_SQL[n]})" for n in ("Q1_material_counts_by_class", "Q3_topology_histogram", "Q4_metal_histogram")))
+#: All named queries.
+SUITE = [n for n in QUERIES if n.startswith("Q")]
+
+
+@query("Q21_query_suite", " UNION ALL ".join(f"SELECT '{n}' AS query, count(*) AS n_rows, count(*) = 0 AS is_empty FROM ({ORACLE_SQL[n]})" for n in SUITE))
 def _(spark, sf):
-    names = ("Q1_material_counts_by_class", "Q3_topology_histogram", "Q4_metal_histogram")
-    counts = [QUERIES[n](spark, sf).agg(F.lit(n).alias("query"), F.count("*").alias("n_rows")).select("query", "n_rows") for n in names]
+    counts = [QUERIES[n](spark, sf).agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("query"), "n_rows") for n in SUITE]
     return G.union_patterns(*counts).withColumn("is_empty", F.col("n_rows") == 0)
 
 
