@@ -13,31 +13,40 @@ from orefield.llm.ngram_join import keep_one_of_each
 from orefield.llm.packing import pack_pieces, token_pieces
 from orefield.llm.quality import keep_good
 from orefield.llm.queries import tokenizer_files
-from orefield.llm.shared import cut
+from orefield.llm.shared import cut, drop_scratch, scratch
+
+
+#: A stage's result is written before the next begins, so what a stage has written on its way goes when the next begins.
+SCOPE = "corpus-pipeline"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    with scratch(spark, SCOPE):
+        return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of equal ones stays."""
-    return keep_first(docs)
+    with scratch(spark, SCOPE):
+        return keep_first(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram links hold together stays."""
-    return keep_one_of_each(docs)
+    with scratch(spark, SCOPE):
+        return keep_one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources come to their target weights: blocks of words are left out or repeated."""
-    return mixed_documents(docs)
+    with scratch(spark, SCOPE):
+        return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents in sequences of at most 1024."""
+    drop_scratch(spark, SCOPE)
     return pack_pieces(token_pieces(docs, *tokenizer_files()))
 
 

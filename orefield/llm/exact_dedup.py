@@ -87,7 +87,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     code points stays, then the smallest id (null ids last); of repeated rows of one id exactly one is
     kept. An empty table gives an empty table; other columns of ``docs`` are not read.
     """
-    rows = cut(identities(docs, id_col, text_col, block_bytes, row_col), "identities")
+    rows = cut(identities(docs, id_col, text_col, block_bytes, row_col), "identities", release=True)
     best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("doc_id").isNull().alias("unknown"), "doc_id", "row"))
     groups = cut(rows.groupBy("level", "name").agg(best.alias("best"), F.count("*").alias("group_size")), "groups")
     return join_groups(rows, groups, ["level", "name"], "group_size", rows.count()).select(

@@ -410,7 +410,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = [F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("key1"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("key2")]
     apart = tiles.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), *own).filter("low <> high")
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles")
+    tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles", release=True)
     bits = of_classes(tiles.select("node"), _signatures(n_words, seed), "node long, bits binary").dropDuplicates(["node"])
     bits = cut(bits.join(tiles.groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("met")), "node"), "signatures")
     rest = _in_blocks(tiles, percent, small).join(bits, "node").select(*UNIT, "n", "node", "component", "side", "bits", "met").repartition(*UNIT).sortWithinPartitions(*UNIT, "n", "node")

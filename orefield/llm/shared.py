@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 ROW = "__row"
 #: Rows of texts that travel to and from Python together.
 BATCH_ROWS = 1000
+#: Folders that scopes of scratch tables have written, by scope; the scope that is open now.
+_scratch: dict[str, list[str]] = {}
+_open: list[str] = []
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -47,15 +52,38 @@ def cut(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _scratch.setdefault(_open[-1], []).append(path)
     df.write.parquet(path)
     if release:
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession, scope: str) -> None:
+    """Delete the tables that ``cut`` wrote in earlier scopes of this name."""
+    for path in _scratch.pop(scope, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, scope: str) -> Iterator[None]:
+    """Within it, ``cut`` notes what it writes, and the next scope of the same name deletes that.
+
+    For steps whose result is written before the next one begins, so that a row of steps takes no more disk than one.
+    """
+    drop_scratch(spark, scope)
+    _open.append(scope)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """``df``, written, with a number of its own for each row in ``ROW``."""
-    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    """``df``, written, with a number of its own for each row in ``ROW``; shuffle files of what came before may go."""
+    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered", release=True)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, n_rows: int, parts: int = 1024) -> DataFrame:
