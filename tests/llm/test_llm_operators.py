@@ -173,6 +173,23 @@ def test_sharding(spark, docs):
     assert len(sizes) == 8 and max(sizes.values()) < 1.02 * min(sizes.values())
 
 
+def test_sharding_against_loops(spark, docs):
+    rows = [(hashlib.md5((r.text or "").encode()).hexdigest(), r.doc_id is not None, r.doc_id or 0, r.doc_id, len((r.text or "").encode()) + 1) for r in docs.collect()]
+    more = [(3000 + i, "same words here", "en", "a") for i in range(3)] + [(4000 + i, f"filler {i} " * 40, "en", "a") for i in range(200)]
+    rows = sorted(rows + [(hashlib.md5(t.encode()).hexdigest(), True, i, i, len(t) + 1) for i, t, *_ in more])
+    total, groups, at = sum(r[4] for r in rows), collections.defaultdict(list), 0
+    for r in rows:
+        groups[r[0]].append((at, r[4]))
+        at += r[4]
+    at, want = 0, collections.Counter()
+    for key, _, _, doc_id, size in rows:
+        whole = len(groups[key]) > 1 and sum(n for _, n in groups[key]) <= total / 5 / 64
+        want[doc_id, size, min(4, (groups[key][0][0] if whole else at) * 5 // total)] += 1
+        at += size
+    got = balanced_shards(docs.unionByName(make(spark, more)), 5).collect()
+    assert collections.Counter((r.doc_id, r.size, r.shard) for r in got) == want
+
+
 def test_global_prefix(spark):
     rows = spark.createDataFrame([(i * 7919 % 1000, i % 5 + 1) for i in range(1000)], "k long, size long")
     got, total = prefix_sums.global_prefix(rows, "k")
