@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import vectors as V
+from orefield.operators.shared_rows import attach, cut
 
 
 def md5_number(*keys: Column | str) -> Column:
@@ -58,28 +60,37 @@ def relation_negatives(edges: DataFrame, seed: int = 0) -> DataFrame:
     return want.join(ranked, ["r", "k"]).select("h", "r", F.col("new").alias("t"), F.col("t").alias("true_t"))
 
 
-def filtered_negatives(edges: DataFrame, n_entities: int, each: int, seed: int = 0) -> DataFrame:
-    """``each`` false tails of every edge: pseudorandom entities that are no true tail of its head and relation; fewer only where there are fewer.
+def filtered_negatives(edges: DataFrame, n_entities: int, each: int, seed: int = 0, true: DataFrame | None = None, first: int = 0, short: int = 64) -> DataFrame:
+    """(h, r, t, neg): ``each`` different false tails of every distinct edge, of the entities ``first`` to ``first + n_entities - 1``; all of them where there are fewer.
 
-    Three times as many are drawn; an edge for which these don't do draws on to forty-eight times as many, and at last looks at all entities.
+    A false tail is drawn by its rank among the entities that are no tail of the head and relation in ``true`` (``edges`` unless given): ranks are split into
+    ``each`` equal stretches and a hash picks one of each, so no draw fails and none repeats. The entity of rank j is j plus the number of true tails before it. Lists of at most ``short`` true tails stand
+    with their head; longer ones in blocks of about a root of ``n_entities`` ids, with a directory of what stands before each block, so that a draw meets one block. Edges with a null are left out.
     """
-    true = edges.select("h", "r", F.col("t").alias("neg")).distinct()
-
-    def drawn(some: DataFrame, n: int, hashed: bool) -> DataFrame:
-        rows = some.select("h", "r", "t", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("i"))
-        rows = rows.withColumn("neg", md5_number("h", "r", "t", F.col("i"), F.lit(f"f{seed}")) % n_entities if hashed else (F.col("i") - 1).cast("long"))
-        rows = rows.join(true, ["h", "r", "neg"], "left_anti").groupBy("h", "r", "t", "neg").agg(F.min("i").alias("i"))
-        return rows.withColumn("k", F.row_number().over(Window.partitionBy("h", "r", "t").orderBy("i"))).filter(F.col("k") <= each).select("h", "r", "t", "neg")
-
-    some = edges.select("h", "r", "t").distinct()
-    out = drawn(some, 3 * each, True)
-    for n, hashed in ((48 * each, True), (n_entities, False)):
-        full = out.groupBy("h", "r", "t").agg(F.count("*").alias("n")).filter(F.col("n") >= each)
-        some = some.join(full, ["h", "r", "t"], "left_anti").select("h", "r", "t")
-        if some.isEmpty():
-            break
-        out = out.join(some, ["h", "r", "t"], "left_anti").unionByName(drawn(some, n, hashed))
-    return out
+    width = max(math.isqrt(max(n_entities, 1)), 1)
+    some = cut(edges.select("h", "r", "t").na.drop().distinct(), "edges")
+    tails = (some if true is None else true).select("h", "r", (F.col("t") - first).alias("x")).filter((F.col("x") >= 0) & (F.col("x") < n_entities)).distinct()
+    blocks = tails.groupBy("h", "r", F.floor(F.col("x") / width).alias("block")).agg(F.sort_array(F.collect_list("x")).alias("held"))  # at most `width` ids
+    of = Window.partitionBy("h", "r")  # at most n_entities / width blocks
+    blocks = blocks.withColumns({
+        "before": F.coalesce(F.sum(F.size("held")).over(of.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum(F.size("held")).over(of),
+    })
+    blocks = cut(blocks, "tail-blocks")
+    directory = blocks.groupBy("h", "r").agg(
+        F.first("total").alias("total"), F.flatten(F.array_sort(F.collect_list(F.when(F.col("total") <= short, F.col("held"))))).alias("few"),
+        F.sort_array(F.collect_list(F.when(F.col("total") > short, F.struct((F.col("block") * width - F.col("before")).alias("rank"), "block")))).alias("listed"),
+    )
+    heads = cut(some.groupBy("h", "r").agg(F.count("*").alias("edges")).join(directory, ["h", "r"], "left"), "heads")
+    rows = attach(some, heads, ["h", "r"], "edges", some.count(), 64).withColumn("free", n_entities - F.coalesce("total", F.lit(0)))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(each - 1))))
+    rows = rows.withColumns({"low": F.expr(f"i * free div {each}"), "high": F.expr(f"(i + 1) * free div {each}")}).filter("high > low")
+    rows = rows.withColumn("j", F.col("low") + md5_number("h", "r", "t", "i", F.lit(f"f{seed}")) % (F.col("high") - F.col("low")))
+    up_to = lambda held, before: F.size(F.filter(held, lambda x, i: x - before - i <= F.col("j")))
+    near = rows.filter(F.coalesce("total", F.lit(0)) <= short).select("h", "r", "t", (F.col("j") + F.coalesce(F.when(F.size("few") > 0, up_to("few", F.lit(0))), F.lit(0)) + first).alias("neg"))
+    far = rows.filter(F.col("total") > short).select("h", "r", "t", "j", F.get(F.filter("listed", lambda x: x["rank"] <= F.col("j")), F.size(F.filter("listed", lambda x: x["rank"] <= F.col("j"))) - 1)["block"].alias("block"))
+    far = far.join(blocks.select("h", "r", "block", "held", "before"), ["h", "r", "block"], "left")
+    far = far.select("h", "r", "t", (F.col("j") + F.coalesce(F.col("before") + up_to("held", F.col("before")), F.lit(0)) + first).alias("neg"))
+    return near.unionByName(far)
 
 
 def family_split(edges: DataFrame, head_family: Column, tail_family: Column, share: float, seed: int = 0) -> DataFrame:
@@ -110,9 +121,13 @@ def anchor_targets(rows: DataFrame, key: str, columns: list[str], least: int = 1
 
 
 def rank_evaluation(scores: DataFrame, by: list[str]) -> DataFrame:
-    """One row: mean reciprocal rank and hits of positives against their negatives (rank = 1 + negatives that score higher)."""
-    ranks = scores.groupBy(*by).agg(F.max(F.when(F.col("y") == 1, F.col("score"))).alias("pos"), F.collect_list(F.when(F.col("y") == 0, F.col("score"))).alias("neg"))
-    ranks = ranks.select((1 + F.size(F.filter("neg", lambda x: x > F.col("pos")))).alias("rank"))
+    """One row: mean reciprocal rank and hits of positives against their negatives (rank = 1 + negatives that score higher).
+
+    Negatives meet their positive's score and are counted; no list of them is made.
+    """
+    best = scores.filter(F.col("y") == 1).groupBy(*by).agg(F.max("score").alias("pos"))
+    over = scores.filter(F.col("y") == 0).join(best, by).groupBy(*by).agg(F.count_if(F.col("score") > F.col("pos")).alias("over"))
+    ranks = best.join(over, by, "left").select((1 + F.coalesce("over", F.lit(0))).alias("rank"))
     return ranks.agg(F.avg(1 / F.col("rank")).alias("mrr"), *[F.avg((F.col("rank") <= k).cast("int")).alias(f"hits_{k}") for k in (1, 3, 10)], F.count("*").alias("n"))
 
 
@@ -255,31 +270,20 @@ def propagate(edges: DataFrame, vectors: DataFrame, relations: DataFrame, dims:
 
 
 def random_walks(edges: DataFrame, per_node: int, length: int, seed: int = 0) -> DataFrame:
-    """(start, walk, path): first-order walks over an undirected graph (a, b); each step is one join on the current node.
+    """(start, walk, path): first-order walks over an undirected graph (a, b); each step is one join on the current node and a neighbour's rank.
 
-    A hash picks the next of a node's neighbours by its place in their order, so hubs' lists are never gathered.
+    A hash picks the next of a node's neighbours by its rank, so hubs' lists are never gathered; degrees travel with the neighbours.
     """
-    degree = edges.groupBy("a").agg(F.count("*").alias("deg"))
-    ranked = edges.withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1).select(F.col("a").alias("at"), "k", "b")
-    walks = degree.select(F.col("a").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).withColumns({"at": F.col("start"), "path": F.array("start")})
+    from orefield.operators.walks import ranked_neighbours
+
+    ranked, degree = ranked_neighbours(edges)
+    walks = degree.select(F.col("a").alias("start"), "deg", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).withColumns({"at": F.col("start"), "path": F.array("start")})
     for step in range(1, length):
-        walks = walks.join(degree.select(F.col("a").alias("at"), "deg"), "at").withColumn("k", md5_number("start", "walk", F.lit(f"{seed}.{step}")) % F.col("deg"))
-        walks = walks.join(ranked, ["at", "k"]).select("start", "walk", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+        walks = walks.withColumn("k", md5_number("start", "walk", F.lit(f"{seed}.{step}")) % F.col("deg"))
+        walks = walks.join(ranked, ["at", "k"]).select("start", "walk", F.col("b").alias("at"), F.col("deg_b").alias("deg"), F.concat("path", F.array("b")).alias("path"))
     return walks.select("start", "walk", "path")
 
 
-def biased_walk_step(walks: DataFrame, edges: DataFrame, p: float, q: float, seed: int = 0) -> DataFrame:
-    """One second-order step of walks (start, walk, prev, at): back with weight 1/p, to a neighbour of the previous node 1, else 1/q.
-
-    The candidate with the smallest -log(u) / weight wins, u a hash: a draw by weight as a plain minimum.
-    """
-    options = walks.join(edges.select(F.col("a").alias("at"), F.col("b").alias("nxt")), "at")
-    close = options.join(edges.select(F.col("a").alias("prev"), F.col("b").alias("nxt"), F.lit(True).alias("close")), ["prev", "nxt"], "left")
-    weight = F.when(F.col("nxt") == F.col("prev"), 1 / p).when(F.col("close"), 1.0).otherwise(1 / q)
-    u = (md5_number("start", "walk", "at", "nxt", F.lit(seed)) + 1) / float((1 << 32) + 1)
-    return close.groupBy("start", "walk", "at").agg(F.min(F.struct((-F.log(u) / weight).alias("x"), "nxt")).alias("best")).select("start", "walk", F.col("at").alias("prev"), F.col("best.nxt").alias("at"))
-
-
 def transe_epoch(edges: DataFrame, vectors: DataFrame, relations: DataFrame, dims: int, n_entities: int, epoch: int, rate: float = 0.05, margin: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Entity and relation vectors after one epoch of margin ranking on L1 distances: joins, subgradients, one sum per vector, unit length.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orefield.functions import vectors as V
 from orefield.operators import embed as E
 from orefield.operators import metrics as M
+from orefield.operators import walks as WALKS
 from orefield.plans.star import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -74,12 +75,22 @@ def _(spark, sf):
     return E.relation_negatives(edges(spark, sf))
 
 
-_NEG = f"dr AS (SELECT h, r, t, i, {md5_sql('h', 'r', 't', 'i', repr('f0'))} % 3000 + 1000000 - 1000000 AS neg FROM ed, range(1, 10) x(i)), fr AS (SELECT h, r, t, neg, min(i) AS i FROM dr WHERE NOT EXISTS (SELECT 1 FROM ed z WHERE z.h = dr.h AND z.r = dr.r AND z.t = dr.neg) GROUP BY 1, 2, 3, 4), ng AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, r, t ORDER BY i) AS k FROM fr) WHERE k <= 3)"
+#: False suppliers of a part and return flag by their rank among the suppliers that are not linked so.
+_NEG = (
+    "nu AS (SELECT count(*) AS n FROM supplier), tl AS MATERIALIZED (SELECT h, r, list_sort(list(t - 1000000)) AS held FROM ed GROUP BY 1, 2), "
+    "dr AS (SELECT ed.h, ed.r, ed.t, held, i, i * (n - len(held)) // 3 AS low, (i + 1) * (n - len(held)) // 3 AS high FROM ed JOIN tl USING (h, r), nu, range(0, 3) x(i)), "
+    f"jr AS (SELECT *, low + {md5_sql('h', 'r', 't', 'i', repr('f0'))} % (high - low) AS j FROM dr WHERE high > low), "
+    "ng AS MATERIALIZED (SELECT h, r, t, j + len(list_filter(held, lambda x, k: x - (k - 1) <= j)) + 1000000 AS neg FROM jr)"
+)
+
+
+def _negatives(spark, sf):
+    return E.filtered_negatives(edges(spark, sf), table(spark, sf, "supplier").count(), 3, first=1000000)
 
 
 @query("E7_filtered_negatives", f"WITH {_ED}, {_NEG} SELECT h, r, t, neg FROM ng")
 def _(spark, sf):
-    return E.filtered_negatives(edges(spark, sf), 3000, 3)
+    return _negatives(spark, sf)
 
 
 @query("E8_tail_negatives", f"WITH {_ED} SELECT h, r, {md5_sql('h', 'r', 't', repr('e0'))} % 5000 AS t FROM ed")
@@ -110,7 +121,7 @@ _SCORE = f"({md5_sql('h', 'r', 'x')} % 1000)"
 
 def _scored(spark, sf):
     rows = edges(spark, sf)
-    both = rows.select("h", "r", "t", c("t").alias("x"), F.lit(1).alias("y")).unionByName(E.filtered_negatives(rows, 3000, 3).select("h", "r", "t", c("neg").alias("x"), F.lit(0).alias("y")))
+    both = rows.select("h", "r", "t", c("t").alias("x"), F.lit(1).alias("y")).unionByName(_negatives(spark, sf).select("h", "r", "t", c("neg").alias("x"), F.lit(0).alias("y")))
     return both.withColumn("score", E.md5_number("h", "r", "x") % 1000)
 
 
@@ -307,7 +318,10 @@ def _(spark, sf):
     return vectors.select("id", F.round(V.norm(c("v")), 6).alias("length"), F.size("v").alias("dims"))
 
 
-_UN = "un AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), ug AS (SELECT a, b FROM un UNION ALL SELECT b, a FROM un), dg AS (SELECT a, count(*) AS deg FROM ug GROUP BY 1), rk AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) - 1 AS k FROM ug)"
+_UN = (
+    "un AS MATERIALIZED (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), ug AS MATERIALIZED (SELECT a, b FROM un UNION ALL SELECT b, a FROM un), dg AS MATERIALIZED (SELECT a, count(*) AS deg FROM ug GROUP BY 1), "
+    f"rk AS MATERIALIZED (SELECT ug.a, ug.b, row_number() OVER (PARTITION BY ug.a ORDER BY {md5_sql('ug.b')} % CAST(ceil(dg.deg / 4096.0) AS BIGINT), ug.b) - 1 AS k, d.deg AS deg_b FROM ug JOIN dg ON dg.a = ug.a JOIN dg d ON d.a = ug.b)"
+)
 
 
 def undirected(spark, sf):
@@ -315,9 +329,9 @@ def undirected(spark, sf):
     return e.unionByName(e.select(c("b").alias("a"), c("a").alias("b")))
 
 
-_W = [f"w0 AS (SELECT a AS start, w AS walk, a AS cur, CAST(a AS VARCHAR) AS path FROM dg, range(1, 3) q(w))"]
+_W = ["w0 AS MATERIALIZED (SELECT a AS start, w AS walk, a AS cur, deg, CAST(a AS VARCHAR) AS path FROM dg, range(1, 3) q(w))"]
 for _s in (1, 2, 3):
-    _W.append(f"w{_s} AS (SELECT start, walk, b AS cur, path || '-' || b AS path FROM w{_s - 1} JOIN dg ON dg.a = cur JOIN rk ON rk.a = cur AND k = {md5_sql('start', 'walk', repr(f'0.{_s}'))} % deg)")
+    _W.append(f"w{_s} AS MATERIALIZED (SELECT start, walk, b AS cur, deg_b AS deg, path || '-' || b AS path FROM w{_s - 1} JOIN rk ON rk.a = cur AND k = {md5_sql('start', 'walk', repr(f'0.{_s}'))} % deg)")
 
 
 @query("E12_random_walks", f"WITH {_UN}, {', '.join(_W)} SELECT start, walk, path FROM w3")
@@ -325,11 +339,55 @@ def _(spark, sf):
     return E.random_walks(undirected(spark, sf), 2, 4).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
 
 
-@query("E12_biased_walk_step")
+def _draw_sql(step: int, draw: str) -> list[str]:
+    text = "md5('0|' || start || '|' || walk || '|' || setting || '|' || " + f"'{step}|' || {draw})"
+    return [f"CAST('0x' || substr({text}, {i}, 8) AS BIGINT)" for i in (1, 9, 17)]
+
+
+def _walk_sql(length: int, per_node: int) -> str:
+    """Walks of (p, q) in VALUES: at each step the first kept of 108 draws, in two rounds; all but one of some 10 ** 12 walks end within them."""
+    kinds = ", ".join(f"({i}, {p}::DOUBLE, {q}::DOUBLE)" for i, (p, q) in enumerate(WALKS.SWEEP))
+    names = "start, walk, setting, p, q"
+    out = [
+        f"s0 AS MATERIALIZED (SELECT a AS start, w AS walk, setting, p, q, a AS cur, deg, CAST(a AS VARCHAR) AS path FROM dg, range(1, {per_node + 1}) r(w), (VALUES {kinds}) v(setting, p, q))",
+        f"s1 AS MATERIALIZED (SELECT {names}, cur AS prev, deg AS deg_prev, b AS cur, deg_b AS deg, path || '-' || b AS path FROM s0 JOIN rk ON rk.a = cur AND k = {_draw_sql(1, '1')[1]} % deg)",
+    ]
+    for s in range(2, length):
+        a, k, u = _draw_sql(s, "i")
+        for r, (first, last) in enumerate([(1, 13), (13, 109)]):
+            state = f"s{s - 1}" if r == 0 else f"(SELECT * FROM s{s - 1} ANTI JOIN k{s}0 USING (start, walk, setting))"
+            out.append(
+                f"d{s}{r} AS MATERIALIZED (SELECT *, deg = 1 OR {a} / 4294967296.0 * (1 / p + deg * greatest(1, 1 / q)) < 1 / p AS back, {k} % deg AS k, {u} / 4294967296.0 AS u FROM {state}, range({first}, {last}) x(i)), "
+                f"k{s}{r} AS MATERIALIZED (SELECT start, walk, setting, min(struct_pack(i := i, b := b, deg := deg_nxt)) AS kept FROM (SELECT start, walk, setting, i, prev AS b, deg_prev AS deg_nxt FROM d{s}{r} WHERE back "
+                f"UNION ALL SELECT d.start, d.walk, d.setting, d.i, rk.b, rk.deg_b FROM d{s}{r} d JOIN rk ON rk.a = d.cur AND rk.k = d.k LEFT JOIN ug ON ug.a = d.prev AND ug.b = rk.b "
+                f"WHERE NOT d.back AND rk.b <> d.prev AND d.u * greatest(1, 1 / d.q) < CASE WHEN ug.a IS NULL THEN 1 / d.q ELSE 1 END) GROUP BY 1, 2, 3)"
+            )
+        out.append(f"s{s} AS MATERIALIZED (SELECT {names}, cur AS prev, deg AS deg_prev, kept.b AS cur, kept.deg AS deg, path || '-' || kept.b AS path FROM s{s - 1} JOIN (SELECT * FROM k{s}0 UNION ALL SELECT * FROM k{s}1) USING (start, walk, setting))")
+    return ", ".join(out)
+
+
+@query("E12_second_order_walks", f"WITH {_UN}, {_walk_sql(8, 3)} SELECT p, q, start, walk, path FROM s7")
+def _(spark, sf):
+    """Three walks of eight nodes from every node, for each of four (p, q)."""
+    return WALKS.second_order_walks(undirected(spark, sf), 3, 8).withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "-"))
+
+
+_B = _draw_sql(2, "i")
+
+
+@query(
+    "E12_biased_walk_step",
+    f"WITH {_UN}, st AS MATERIALIZED (SELECT ug.a AS start, 1 AS walk, 0 AS setting, 0.5::DOUBLE AS p, 2.0::DOUBLE AS q, ug.a AS prev, any_value(dg.deg) AS deg_prev, min(ug.b) AS cur FROM ug JOIN dg ON dg.a = ug.a GROUP BY ug.a), "
+    f"s1 AS MATERIALIZED (SELECT st.*, dg.deg FROM st JOIN dg ON dg.a = st.cur), d AS MATERIALIZED (SELECT *, deg = 1 OR {_B[0]} / 4294967296.0 * (1 / p + deg) < 1 / p AS back, {_B[1]} % deg AS k, {_B[2]} / 4294967296.0 AS u FROM s1, range(1, 109) x(i)), "
+    "k AS (SELECT start, walk, setting, min(struct_pack(i := i, b := b)) AS kept FROM (SELECT start, walk, setting, i, prev AS b FROM d WHERE back UNION ALL SELECT d.start, d.walk, d.setting, d.i, rk.b FROM d JOIN rk ON rk.a = d.cur AND rk.k = d.k "
+    "LEFT JOIN ug ON ug.a = d.prev AND ug.b = rk.b WHERE NOT d.back AND rk.b <> d.prev AND d.u < CASE WHEN ug.a IS NULL THEN 1 / d.q ELSE 1 END) GROUP BY 1, 2, 3) SELECT start, walk, cur AS prev, kept.b AS at FROM s1 JOIN k USING (start, walk, setting)",
+)
 def _(spark, sf):
-    e = undirected(spark, sf)
-    first = e.groupBy(c("a").alias("prev")).agg(F.min("b").alias("at")).select(c("prev").alias("start"), F.lit(1).alias("walk"), "prev", "at")
-    return E.biased_walk_step(first, e, 0.5, 2.0)
+    """One step of p = 0.5 and q = 2 for a walk on every node that has come to its first neighbour."""
+    neighbours, degrees = WALKS.ranked_neighbours(undirected(spark, sf))
+    first = neighbours.groupBy(c("at").alias("prev")).agg(F.min(F.struct("b", "deg_b")).alias("n")).join(degrees.toDF("prev", "deg_prev"), "prev")
+    state = first.select(c("prev").alias("start"), F.lit(1).alias("walk"), F.lit(0).alias("setting"), F.lit(0.5).alias("p"), F.lit(2.0).alias("q"), "prev", "deg_prev", c("n.b").alias("at"), c("n.deg_b").alias("deg"))
+    return WALKS.biased_step(state, neighbours, neighbours.select(c("at").alias("a"), "b"), 2).select("start", "walk", "prev", "at")
 
 
 @query("E13_E14_walk_vectors")
