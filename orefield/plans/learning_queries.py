@@ -74,27 +74,6 @@ for _id, _model in {"L20_forest_regression": "forest", "L21_boosted_regression":
     query(_id)(_regressed(_model))
 
 
-@query("L19_L24_property_regression")
-def _(spark, sf):
-    targets = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_retailprice", "p_size")
-    found = L.families(feature_vectors(spark, sf), part_features(spark, sf), "vec_id")
-    return L.property_regression({k: found[k] for k in ("KG", "Chem")}, targets, "vec_id", ["p_retailprice"], ["ridge"])
-
-
-@query("L25_best_configuration")
-def _(spark, sf):
-    rows = L.property_regression({"KG": feature_vectors(spark, sf)}, table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_retailprice"), "vec_id", ["p_retailprice"], ["ridge", "forest"], [0, 1])
-    return M.best_per_group(rows, ["target"], "r2", ["family", "model", "seed"])
-
-
-@query("L26_delta_regression")
-def _(spark, sf):
-    keys = vectors(spark, sf).select(c("vec_id").alias("child")).filter("child % 10 <> 0").withColumn("parent", c("child") - c("child") % 10)
-    price = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    pairs = keys.join(price.toDF("child", "pc"), "child").join(price.toDF("parent", "pp"), "parent").withColumn("delta", c("pc") - c("pp"))
-    return L.delta_regression(pairs, feature_vectors(spark, sf), "vec_id", "delta", folds=3)
-
-
 @query("L27_label_imputation")
 def _(spark, sf):
     labels = vectors(spark, sf).select("vec_id", c("label").cast("string").alias("label_name"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import analysis_queries, embedding_queries, extract_queries, function_queries, graph_queries, learning_queries, resolve_queries, sink_queries
+from orefield.plans import analysis_queries, embedding_queries, extract_queries, function_queries, graph_queries, learning_queries, linear_queries, resolve_queries, sink_queries
 
-MODULES = [function_queries, graph_queries, resolve_queries, analysis_queries, embedding_queries, extract_queries, learning_queries, sink_queries]
+MODULES = [function_queries, graph_queries, resolve_queries, analysis_queries, embedding_queries, extract_queries, learning_queries, linear_queries, sink_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[tuple, str] = {}
 
@@ -29,6 +29,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(df: DataFrame) -> None:
+    """Delete the files that ``df`` reads, all in one folder of the shared one; it must not be used afterwards."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def state(spark: SparkSession, paths: list[str]) -> tuple:
     """Lengths and times of the files at ``paths``: it changes when one of them is written anew."""
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
