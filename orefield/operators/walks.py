@@ -12,7 +12,7 @@ from orefield.operators.shared_rows import attach, cut
 
 #: Neighbours of a node that are ranked together.
 BLOCK = 4096
-#: Draws of one round; a walk whose draws are all rejected draws as many again in the next.
+#: Draws of the first round of a step; a walk whose draws are all rejected draws four times as many in the next.
 DRAWS = 8
 #: Return and in-out parameters of a sweep.
 SWEEP = [(1.0, 1.0), (0.25, 4.0), (4.0, 0.25), (0.5, 2.0)]
@@ -37,14 +37,14 @@ def ranked_neighbours(edges: DataFrame, block: int = BLOCK) -> tuple[DataFrame,
     return cut(rows.select(c("a").alias("at"), (c("before") + c("r")).alias("k"), "b", "deg_b"), "neighbours"), degrees
 
 
-def _drawn(seed: int, step: Column, draw: Column) -> list[Column]:
-    """Three numbers of 32 bits for a walk's draw."""
-    text = F.md5(F.concat_ws("|", *[x.cast("string") for x in (F.lit(seed), c("start"), c("walk"), c("setting"), step, draw)]))
+def _drawn(seed: int, draw: Column) -> list[Column]:
+    """Three numbers of 32 bits for a draw of a walk's step; the step is a column, so that all steps run the same compiled code."""
+    text = F.md5(F.concat_ws("|", *[x.cast("string") for x in (F.lit(seed), c("start"), c("walk"), c("setting"), c("step"), draw)]))
     return [F.conv(F.substring(text, i, 8), 16, 10).cast("long") for i in (1, 9, 17)]
 
 
-def biased_step(walks: DataFrame, neighbours: DataFrame, edges: DataFrame, step: int, seed: int = 0, draws: int = DRAWS) -> DataFrame:
-    """The next node of each walk (start, walk, setting, p, q, prev, deg_prev, at, deg), in the same columns.
+def biased_step(walks: DataFrame, neighbours: DataFrame, edges: DataFrame, seed: int = 0, draws: int = DRAWS) -> DataFrame:
+    """The next node of each walk (start, walk, setting, step, p, q, prev, deg_prev, at, deg), in the same columns; ``step`` is that of the node before.
 
     Weights are 1/p for going back, 1 for a neighbour of the node before, 1/q else. Draws come from an envelope over these: back with mass 1/p, or one of the node's neighbours by its rank
     with mass max(1, 1/q) each, kept with its weight's share of that and never if it leads back. So a draw is one lookup and one membership, however many neighbours a hub has, and at least
@@ -55,20 +55,20 @@ def biased_step(walks: DataFrame, neighbours: DataFrame, edges: DataFrame, step:
     most = F.greatest(F.lit(1.0), 1 / c("q"))
     scale = float(1 << 32)
     while left:
-        rows = pending.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
-        a, k, u = _drawn(seed, F.lit(step), c("draw"))
+        rows = pending.withColumn("step", c("step") + 1).withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1))))
+        a, k, u = _drawn(seed, c("draw"))
         rows = rows.withColumns({"back": (c("deg") == 1) | (a / scale * (1 / c("p") + c("deg") * most) < 1 / c("p")), "k": k % c("deg"), "u": u / scale})
         back = rows.filter("back").select("start", "walk", "setting", F.struct("draw", c("prev").alias("nxt"), c("deg_prev").alias("deg_nxt")).alias("kept"))
         on = rows.filter("not back").join(neighbours.select("at", "k", c("b").alias("nxt"), c("deg_b").alias("deg_nxt")), ["at", "k"]).filter("nxt <> prev")
         on = on.join(edges.select(c("a").alias("prev"), c("b").alias("nxt"), F.lit(True).alias("close")), ["prev", "nxt"], "left")
         on = on.filter(c("u") * most < F.when(c("close"), 1.0).otherwise(1 / c("q"))).select("start", "walk", "setting", F.struct("draw", "nxt", "deg_nxt").alias("kept"))
         found = back.unionByName(on).groupBy("start", "walk", "setting").agg(F.min("kept").alias("kept"))
-        moved = pending.join(found, ["start", "walk", "setting"]).select("start", "walk", "setting", "p", "q", c("at").alias("prev"), c("deg").alias("deg_prev"), c("kept.nxt").alias("at"), c("kept.deg_nxt").alias("deg"))
+        moved = pending.join(found, ["start", "walk", "setting"]).select("start", "walk", "setting", (c("step") + 1).alias("step"), "p", "q", c("at").alias("prev"), c("deg").alias("deg_prev"), c("kept.nxt").alias("at"), c("kept.deg_nxt").alias("deg"))
         taken.append(cut(moved, "steps"))
         left -= taken[-1].count()
         if left:
             pending = cut(pending.join(taken[-1].select("start", "walk", "setting"), ["start", "walk", "setting"], "left_anti"), "pending")
-        first += draws
+        first, draws = first + draws, 4 * draws
     return reduce(DataFrame.unionByName, taken) if taken else walks
 
 
@@ -81,14 +81,14 @@ def second_order_walks(edges: DataFrame, per_node: int = 5, length: int = 10, se
     neighbours, degrees = ranked_neighbours(edges)
     links = neighbours.select(c("at").alias("a"), "b")
     kinds = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(float(p)).alias("p"), F.lit(float(q)).alias("q")) for i, (p, q) in enumerate(settings)])
-    state = degrees.select(c("a").alias("start"), "deg", F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).select("start", "walk", "deg", F.inline(kinds))
+    state = degrees.select(c("a").alias("start"), "deg", F.lit(1).alias("step"), F.explode(F.sequence(F.lit(1), F.lit(per_node))).alias("walk")).select("start", "walk", "step", "deg", F.inline(kinds))
     places = [state.select("start", "walk", "setting", "p", "q", F.lit(0).alias("step"), c("start").alias("node"))]
     for step in range(1, length):
         if step == 1:
-            rows = state.withColumns({"at": c("start"), "k": _drawn(seed, F.lit(1), F.lit(1))[1] % c("deg")}).join(neighbours, ["at", "k"])
-            state = cut(rows.select("start", "walk", "setting", "p", "q", c("at").alias("prev"), c("deg").alias("deg_prev"), c("b").alias("at"), c("deg_b").alias("deg")), "steps")
+            rows = state.withColumns({"at": c("start"), "k": _drawn(seed, F.lit(1))[1] % c("deg")}).join(neighbours, ["at", "k"])
+            state = cut(rows.select("start", "walk", "setting", "step", "p", "q", c("at").alias("prev"), c("deg").alias("deg_prev"), c("b").alias("at"), c("deg_b").alias("deg")), "steps")
         else:
-            state = biased_step(state, neighbours, links, step, seed)
-        places.append(state.select("start", "walk", "setting", "p", "q", F.lit(step).alias("step"), c("at").alias("node")))
+            state = biased_step(state, neighbours, links, seed)
+        places.append(state.select("start", "walk", "setting", "p", "q", "step", c("at").alias("node")))
     rows = reduce(DataFrame.unionByName, places).groupBy("setting", "p", "q", "start", "walk").agg(F.sort_array(F.collect_list(F.struct("step", "node"))).alias("path"))
     return rows.select("p", "q", "start", "walk", c("path.node").alias("path"))

@@ -497,8 +497,8 @@ def _(spark, sf):
     """One step of p = 0.5 and q = 2 for a walk on every node that has come to its first neighbour."""
     neighbours, degrees = WALKS.ranked_neighbours(undirected(spark, sf))
     first = neighbours.groupBy(c("at").alias("prev")).agg(F.min(F.struct("b", "deg_b")).alias("n")).join(degrees.toDF("prev", "deg_prev"), "prev")
-    state = first.select(c("prev").alias("start"), F.lit(1).alias("walk"), F.lit(0).alias("setting"), F.lit(0.5).alias("p"), F.lit(2.0).alias("q"), "prev", "deg_prev", c("n.b").alias("at"), c("n.deg_b").alias("deg"))
-    return WALKS.biased_step(state, neighbours, neighbours.select(c("at").alias("a"), "b"), 2).select("start", "walk", "prev", "at")
+    state = first.select(c("prev").alias("start"), F.lit(1).alias("walk"), F.lit(0).alias("setting"), F.lit(1).alias("step"), F.lit(0.5).alias("p"), F.lit(2.0).alias("q"), "prev", "deg_prev", c("n.b").alias("at"), c("n.deg_b").alias("deg"))
+    return WALKS.biased_step(state, neighbours, neighbours.select(c("at").alias("a"), "b")).select("start", "walk", "prev", "at")
 
 
 @query("E13_E14_walk_vectors")
