@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orefield.functions import vectors as V
+from orefield.operators.neighbours import distances_by_class, nearest_by_cosine, whole
 from orefield.operators.shared_rows import attach, cut
 
 
@@ -136,119 +134,24 @@ def component_vectors(links: DataFrame, vectors: DataFrame, key: str, component:
     return V.mean_by(links.join(vectors, key), component, vector, dims).filter(F.col("n") >= least)
 
 
-def _rows(batch, vector: str) -> tuple:
-    """(batch, matrix) of the rows whose vectors are whole."""
-    column = batch.column(vector)
-    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
-    good = np.isfinite(matrix).all(axis=1)
-    return (batch, matrix) if good.all() else (batch.filter(pa.array(good)), matrix[good])
-
-
-def _blocks(rows: DataFrame, key: str, size: int) -> Iterator[pa.Table]:
-    """All of ``rows``, by a hash of the key, in parts of about ``size``; the driver holds one part at a time."""
-    n = max(-(-rows.count() // size), 1)
-    for i in range(n):
-        yield rows.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i).toArrow().combine_chunks()
-
-
-def _near(shared, key: str, vector: str, k: int):
-    def unit(m: np.ndarray) -> np.ndarray:
-        return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        q = unit(q)
-        for batch in batches:
-            batch, v = _rows(batch, vector)
-            if not len(v) or not len(q):
-                continue
-            v, ids = unit(v), batch.column(key)
-            number = ids.to_numpy(zero_copy_only=False)
-            for first in range(0, len(q), 256):
-                part = q[first : first + 256]
-                close = part @ v.T
-                close[names[first : first + 256, None] == number] = -np.inf
-                # Products of matrices differ in their last bits for equal vectors: they choose candidates only.
-                least = np.partition(close, -min(k, len(v)), axis=1)[:, -min(k, len(v))] - 1e-9
-                row, col = np.nonzero((close >= least[:, None]) & np.isfinite(close))
-                exact = np.concatenate([np.cumsum(part[row[i : i + 65536]] * v[col[i : i + 65536]], axis=1)[:, -1] for i in range(0, len(row), 65536)] or [np.empty(0)])
-                order = np.lexsort((number[col], -exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                yield pa.RecordBatch.from_arrays([pa.array(names[first + row[keep]], ids.type), pa.array(number[col[keep]], ids.type), pa.array(exact[keep])], names=["query", key, "cosine"])
-
-    return run
-
-
-def nearest_by_cosine(queries: DataFrame, data: DataFrame, key: str, vector: str, k: int, most_queries: int = 10_000) -> DataFrame:
-    """(query, key, cosine, rank): the ``k`` nearest others of each query, exactly; keys are numbers, rows without a whole vector are left out.
-
-    Queries go to all tasks in blocks of about ``most_queries``, and each block meets all data.
-    """
-    has, kind = F.col(vector).isNotNull(), data.schema[key].dataType.simpleString()
-    rows, out = data.filter(has).select(key, vector), []
-    for block in _blocks(queries.filter(has).select(F.col(key).cast(kind).alias(key), vector), key, most_queries):
-        named = [(part.column(key).to_numpy(zero_copy_only=False), q) for part, q in (_rows(b, vector) for b in block.to_batches())]
-        both = (np.concatenate([n for n, _ in named]), np.concatenate([q for _, q in named])) if named else (np.empty(0), np.empty((0, 0)))
-        shared = data.sparkSession.sparkContext.broadcast(both)  # at most about most_queries vectors
-        out.append(rows.mapInArrow(_near(shared, key, vector, k), f"query {kind}, {key} {kind}, cosine double"))
-    near = reduce(DataFrame.unionByName, out)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), key))).filter(F.col("rank") <= k)
-
-
 def knn_purity(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
     """One row: the share of neighbours (query, key) of the query's own label."""
     a, b = labels.select(F.col(key).alias("query"), F.col(label).alias("own")), labels.select(key, F.col(label).alias("other"))
     return neighbours.join(a, "query").join(b, key).agg(F.avg((F.col("own") == F.col("other")).cast("int")).alias("purity"), F.count("*").alias("n"))
 
 
-def _far(shared, key: str, label: str, vector: str):
-    """(i, other, far, n): sums of distances of the shared points to the rows of each label in a batch, and how many those are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shared.value
-        for batch in batches:
-            batch, v = _rows(batch, vector)
-            if not len(v) or not len(q):
-                continue
-            number, coded = batch.column(key).to_numpy(zero_copy_only=False), batch.column(label).dictionary_encode()
-            of = np.zeros((len(v), len(coded.dictionary)))
-            of[np.arange(len(v)), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)] = 1
-            for first in range(0, len(q), 256):
-                part, ids = q[first : first + 256], names[first : first + 256]
-                far = np.sqrt(np.maximum((part * part).sum(axis=1)[:, None] + (v * v).sum(axis=1) - 2 * part @ v.T, 0))
-                same = ids[:, None] == number
-                far[same] = 0
-                total, n = far @ of, of.sum(axis=0) - same.astype(np.float64) @ of
-                row, col = np.nonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row], batch.column(key).type), coded.dictionary.take(pa.array(col)), pa.array(total[row, col]), pa.array(n[row, col])], names=["i", "other", "far", "n"])
-
-    return run
-
-
-def silhouette(points: DataFrame, key: str, label: str, vector: str, most: int = 3000) -> DataFrame:
-    """One row: the mean Euclidean silhouette of all points with a whole vector, 0 for one alone in its label; keys are numbers.
-
-    Points go to all tasks in blocks of about ``most``, and each block meets all points.
-    """
-    kind, out = points.schema[key].dataType.simpleString(), []
-    rows = points.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))).select(key, F.col(label).cast("string").alias(label), vector)
-    for block in _blocks(rows.select(key, vector), key, most):
-        named = [(part.column(key).to_numpy(zero_copy_only=False), q) for part, q in (_rows(b, vector) for b in block.to_batches())]
-        both = (np.concatenate([n for n, _ in named]), np.concatenate([q for _, q in named])) if named else (np.empty(0), np.empty((0, 0)))
-        shared = points.sparkSession.sparkContext.broadcast(both)  # at most about `most` vectors
-        out.append(rows.filter(F.col(label).isNotNull()).mapInArrow(_far(shared, key, label, vector), f"i {kind}, other string, far double, n double"))
-    far = reduce(DataFrame.unionByName, out).groupBy("i", "other").agg((F.sum("far") / F.sum("n")).alias("d"))
-    far = rows.select(F.col(key).alias("i"), F.col(label).alias("own")).join(far, "i", "left")
-    each = far.groupBy("i").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
+def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFrame:
+    """One row: the mean Euclidean silhouette of all points with a whole vector, 0 for one alone in its label; keys are numbers."""
+    far = distances_by_class(points, key, label, vector).select("i", "other", (F.col("far") / F.col("n")).alias("d"))
+    own = whole(points, key, vector).select(F.col("key").alias("i")).join(points.select(F.col(key).alias("i"), F.col(label).cast("string").alias("own")), "i")
+    each = own.join(far, "i", "left").groupBy("i").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
     return each.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"), F.count("*").alias("n"))
 
 
 def structure_quality(points: DataFrame, key: str, labels: list[str], vector: str, k: int) -> DataFrame:
     """(label_column, purity, silhouette, n): of each label column, over the points that it labels; the driver sees one row for each."""
     spark, out = points.sparkSession, []
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        points = points.checkpoint()
+    points = cut(points, "labelled-points")
     for name in labels:
         rows = points.filter(F.col(name).isNotNull())
         purity = knn_purity(nearest_by_cosine(rows, rows, key, vector, k), rows, key, name).first()["purity"]

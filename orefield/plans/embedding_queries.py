@@ -211,12 +211,12 @@ def _(spark, sf):
 
 _X, _Y = "CAST(x[1] AS DOUBLE)", "CAST(x[2] AS DOUBLE)"
 _COS = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: CAST(x[1] AS DOUBLE) * x[2])) / sqrt(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * x)) * list_sum(list_transform(b.embedding, lambda x: CAST(x AS DOUBLE) * x)))"
-_NN = f"nn AS (SELECT a.vec_id AS query, b.vec_id, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM nn)"
+_NN = f"nn AS (SELECT a.vec_id AS query, b.vec_id, {_COS} AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM nn)"
 
 
 def _near(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return E.nearest_by_cosine(rows.filter("vec_id % 50 = 0"), rows, "vec_id", "embedding", 10)
+    return E.nearest_by_cosine(rows.filter("vec_id % 20 = 0"), rows, "vec_id", "embedding", 10)
 
 
 @query("E24_nearest_by_cosine", f"WITH {_NN} SELECT query, vec_id, round(cosine, 6) AS cosine, rank FROM tk WHERE rank <= 10")
@@ -232,9 +232,9 @@ def _(spark, sf):
 _L2 = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))))"
 
 
-@query("E26_silhouette", f"WITH s AS (SELECT * FROM embeddings ORDER BY {md5_sql('vec_id')}, vec_id LIMIT 300), d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS other, avg({_L2}) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), e AS (SELECT i, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*) AS n FROM e")
+@query("E26_silhouette", f"WITH s AS (SELECT * FROM embeddings ORDER BY {md5_sql('vec_id')}, vec_id LIMIT 3000), d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS other, avg({_L2}) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), e AS (SELECT i, max(CASE WHEN own = other THEN d END) AS a, min(CASE WHEN own <> other THEN d END) AS b FROM d GROUP BY 1) SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette, count(*) AS n FROM e")
 def _(spark, sf):
-    sample = table(spark, sf, "embeddings").orderBy(E.md5_number("vec_id"), "vec_id").limit(300)
+    sample = table(spark, sf, "embeddings").orderBy(E.md5_number("vec_id"), "vec_id").limit(3000)
     return E.silhouette(sample, "vec_id", "label", "embedding").withColumn("silhouette", F.round("silhouette", 6))
 
 
