@@ -120,7 +120,7 @@ def delta_regression(pairs: DataFrame, features: DataFrame, key: str, delta: str
 
 
 def label_imputation(features: DataFrame, labels: DataFrame, key: str, label: str, least: int = 10) -> DataFrame:
-    """(y, prediction) of held-out rows for a class that structure gives, by a forest over classes with enough rows."""
+    """(name, y, prediction, majority) of held-out rows for a class that structure gives, by a forest over classes with enough rows; ``majority`` is the training rows' most frequent class."""
     from pyspark.ml.feature import StringIndexer
 
     from orefield.operators.features import drop_rare_classes
@@ -129,7 +129,8 @@ def label_imputation(features: DataFrame, labels: DataFrame, key: str, label: st
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(rows)
     rows = balanced_weights(index.transform(rows), "label").withColumn("is_train", hash_share(label, key) < 0.8)
     model = CLASSIFIERS["forest"]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
-    return model.transform(rows.filter("not is_train")).select(F.col("label").alias("y"), "prediction")
+    often = rows.filter("is_train").groupBy("label").count().orderBy(F.desc("count"), "label").first()["label"]
+    return model.transform(rows.filter("not is_train")).select(F.col(label).alias("name"), F.col("label").alias("y"), "prediction", F.lit(often).alias("majority"))
 
 
 def grid_search(train: DataFrame, fold: str, depths: list[int] = (4, 8), trees: list[int] = (20, 50)) -> Estimator:
@@ -140,21 +141,6 @@ def grid_search(train: DataFrame, fold: str, depths: list[int] = (4, 8), trees:
     return CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="r2"), numFolds=n, foldCol=fold).fit(train)
 
 
-def concept_probes(vectors: DataFrame, labels: DataFrame, key: str, vector: str, concepts: list[str]) -> DataFrame:
-    """(concept, auc, direction): a linear probe per concept on vectors, its held-out AUC and its unit coefficients."""
-    from orefield.functions.vectors import l2_normalize
-
-    spark, out = vectors.sparkSession, []
-    for concept in concepts:
-        rows = vectors.select(key, array_to_vector(vector).alias("features")).join(labels.filter((F.col("concept") == concept) & F.col("y").isNotNull()).select(key, "y"), key)
-        rows = balanced_weights(rows.withColumn("label", F.col("y").cast("double")), "label").withColumn("is_train", hash_share("y", key) < 0.8)
-        model = CLASSIFIERS["logistic"]().setLabelCol("label").setFeaturesCol("features").fit(rows.filter("is_train"))
-        scored = model.transform(rows.filter("not is_train")).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
-        direction = spark.createDataFrame([(concept, [float(x) for x in model.coefficients])], "concept string, w array<double>")
-        out.append(direction.crossJoin(M.roc_auc(scored)).select("concept", "auc", l2_normalize(F.col("w")).alias("direction")))  # single rows
-    return reduce(DataFrame.unionByName, out)
-
-
 def alignment(vectors: DataFrame, directions: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(concept, key, cosine, side): the ``k`` vectors that point most along each direction, and the ``k`` that point most against it."""
     from orefield.functions.vectors import cosine

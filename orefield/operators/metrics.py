@@ -86,6 +86,15 @@ def accuracy(rows: DataFrame, y: str = "y", prediction: str = "prediction", by:
     return classes.groupBy(*by).agg((F.sum("hits") / F.sum("n")).alias("accuracy"), (F.max("n") / F.sum("n")).alias("baseline"))
 
 
+def class_table(rows: DataFrame, models: dict[str, str], name: str = "name", y: str = "y") -> DataFrame:
+    """(name, n, and for each model found_ and said_): a class's rows, how many of them each model's column names rightly, and how often it names the class; models are scored on the same rows in one pass."""
+    marks = [F.struct(F.col(y).alias("c"), F.col(name).alias("name"), F.lit(1).alias("n"), *[x for m, p in models.items() for x in ((F.col(p) == F.col(y)).cast("int").alias(f"found_{m}"), F.lit(0).alias(f"said_{m}"))])]
+    for m, p in models.items():
+        marks.append(F.struct(F.col(p).alias("c"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("n"), *[x for k in models for x in (F.lit(0).alias(f"found_{k}"), F.lit(int(k == m)).alias(f"said_{k}"))]))
+    each = rows.select(F.inline(F.array(*marks))).groupBy("c").agg(F.max("name").alias("name"), *[F.sum(x).alias(x) for x in ("n", *(f"{k}_{m}" for m in models for k in ("found", "said")))])
+    return each.filter("n > 0").drop("c")
+
+
 def f1_scores(rows: DataFrame, y: str = "y", prediction: str = "prediction") -> DataFrame:
     """One row: macro and class-weighted F1."""
     marks = rows.select(F.explode(F.array(F.struct(F.col(y).alias("c"), F.lit(1).alias("t"), F.lit(0).alias("p"), (F.col(y) == F.col(prediction)).cast("int").alias("tp")), F.struct(F.col(prediction).alias("c"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")))).alias("m")).select("m.*")

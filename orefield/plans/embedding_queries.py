@@ -501,17 +501,45 @@ def _(spark, sf):
     return WALKS.biased_step(state, neighbours, neighbours.select(c("at").alias("a"), "b")).select("start", "walk", "prev", "at")
 
 
+def _walk_vectors(spark, sf):
+    """(id, v) of parts, brands and types, from second-order walks over their links; trained once in a session."""
+    from orefield.operators import skipgram
+    from orefield.sources.stored import written_once
+
+    def write(names, path):
+        part = table(spark, sf, "part")
+        name = F.concat(F.lit("part/"), c("p_partkey").cast("string"))
+        links = part.select(name.alias("a"), c("p_brand").alias("b")).unionByName(part.select(name.alias("a"), c("p_type").alias("b")))
+        both = links.unionByName(links.select(c("b").alias("a"), c("a").alias("b")))
+        walks = WALKS.second_order_walks(both, 5, 10, [(1.0, 1.0)])
+        done = skipgram.train(walks, skipgram.Settings(dims=16, epochs=4))
+        done.vectors.filter(c("kind") == skipgram.NODE).select("id", "v").write.parquet(f"{path}/walk-vectors")
+        done.trail.write.parquet(f"{path}/walk-trail")
+
+    found = written_once(spark, ["walk-vectors", "walk-trail"], [f"{sf}/part.parquet"], write)
+    return [spark.read.parquet(x) for x in found]
+
+
 @query("E13_E14_walk_vectors")
 def _(spark, sf):
-    """Skip-gram vectors of the nodes of walks, joined with the parts' names."""
-    from pyspark.ml.feature import Word2Vec
+    """Skip-gram vectors of the parts, joined with what is known of them."""
+    part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.concat(F.lit("part/"), c("p_partkey").cast("string")).alias("id"))
+    return part.join(_walk_vectors(spark, sf)[0], "id").select("p_partkey", "p_name", "p_brand", "p_type", "v")
+
 
-    walks = E.random_walks(undirected(spark, sf), 2, 5).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-    model = Word2Vec(vectorSize=8, windowSize=10, minCount=1, maxIter=1, seed=1, inputCol="path", outputCol="v").fit(walks)
-    from pyspark.ml.functions import vector_to_array
+@query("E13_skip_gram_loss")
+def _(spark, sf):
+    return _walk_vectors(spark, sf)[1]
 
-    found = model.getVectors().select(c("word").cast("long").alias("p_partkey"), vector_to_array("vector").alias("v"))
-    return found.join(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey").select("p_partkey", "p_name", F.size("v").alias("dims"))
+
+@query("E13_walk_purity")
+def _(spark, sf):
+    """Of every twentieth part's ten nearest parts by their walk vectors: the share of its own brand, and what chance gives."""
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", F.concat(F.lit("part/"), c("p_partkey").cast("string")).alias("id"))
+    rows = part.join(_walk_vectors(spark, sf)[0], "id")
+    near = E.nearest_by_cosine(rows.filter("p_partkey % 20 = 0"), rows, "p_partkey", "v", 10)
+    n = part.groupBy("p_brand").count().agg((F.sum(c("count") * c("count")) / F.sum("count") / F.sum("count")).alias("chance"))
+    return E.knn_purity(near, rows, "p_partkey", "p_brand").join(n)  # single rows
 
 
 @query("E27_pca")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orefield.operators import embed as E
 from orefield.operators import learn as L
 from orefield.operators import metrics as M
+from orefield.operators import probes as P
 from orefield.operators import rank as R
 from orefield.plans.star import table
 
@@ -74,10 +75,22 @@ for _id, _model in {"L20_forest_regression": "forest", "L21_boosted_regression":
     query(_id)(_regressed(_model))
 
 
+def _imputed(spark, sf):
+    labels = vectors(spark, sf).select("vec_id", c("label").cast("string").alias("label_name"))
+    return L.label_imputation(feature_vectors(spark, sf), labels, "vec_id", "label_name")
+
+
 @query("L27_label_imputation")
 def _(spark, sf):
-    labels = vectors(spark, sf).select("vec_id", c("label").cast("string").alias("label_name"))
-    return M.accuracy(L.label_imputation(feature_vectors(spark, sf), labels, "vec_id", "label_name"))
+    """Accuracy of the forest and of the training rows' most frequent class, on the same held-out rows."""
+    rows = _imputed(spark, sf)
+    return rows.agg(F.avg((c("y") == c("prediction")).cast("int")).alias("accuracy"), F.avg((c("y") == c("majority")).cast("int")).alias("baseline"), F.count("*").alias("n"))
+
+
+@query("L27_imputation_by_class")
+def _(spark, sf):
+    """For each class its held-out rows, how many the forest and the baseline find, and how often the forest says it."""
+    return M.class_table(_imputed(spark, sf), {"forest": "prediction", "baseline": "majority"})
 
 
 @query("L22_L28_family_grid_search")
@@ -86,28 +99,36 @@ def _(spark, sf):
 
     rows = feature_vectors(spark, sf).join(table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), c("p_retailprice").alias("label")), "vec_id")
     family = F.floor(c("vec_id") / 10)
-    rows = rows.withColumns({"fold": F.floor(hash_share(family, seed=1) * 3).cast("int"), "is_train": hash_share(family) < 0.8})
-    model = L.grid_search(rows.filter("is_train"), "fold", [3], [5, 10])
+    rows = rows.withColumns({"fold": F.floor(hash_share(family, seed=1) * 5).cast("int"), "is_train": hash_share(family) < 0.8})
+    model = L.grid_search(rows.filter("is_train"), "fold", [3, 5], [10])
     return model.transform(rows.filter("not is_train")).select("vec_id", "label", "prediction")
 
 
+def _probes(spark, sf):
+    """Probes of every label against the rest, on the vectors and on those drawn halfway to their brand's mean, in three splits."""
+    v = vectors(spark, sf)
+    labels = R.categorical_concepts(v.withColumn("kind", c("label").cast("string")), "vec_id", "kind", 10)
+    brand = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_brand")
+    mean = E.component_vectors(brand, v, "vec_id", "p_brand", "embedding", 64, 1).select("p_brand", c("embedding").alias("m"))
+    drawn = v.join(brand, "vec_id").join(F.broadcast(mean), "p_brand").select("vec_id", F.zip_with("embedding", "m", lambda x, y: (x + y) / 2).alias("embedding"))  # a row per brand
+    return P.logistic_probes({"own": v.select("vec_id", "embedding"), "brand": drawn}, labels, "vec_id", "embedding")
+
+
+@query("C5_probe_table")
+def _(spark, sf):
+    return P.probe_summary(_probes(spark, sf))
+
+
 @query("C5_C8_concept_probes")
 def _(spark, sf):
-    v = vectors(spark, sf)
-    labels = R.categorical_concepts(v.withColumn("kind", c("label").cast("string")), "vec_id", "kind", 2)
-    concepts = sorted(r.concept for r in labels.select("concept").distinct().collect())
-    probes = L.concept_probes(v, labels, "vec_id", "embedding", concepts)
-    return L.alignment(v, probes, "vec_id", "embedding", 5)
+    """The five vectors that point most along and against each concept's direction of the first split."""
+    probes = _probes(spark, sf).filter("method = 'own' and seed = 0").select("concept", "direction")
+    return L.alignment(vectors(spark, sf), probes, "vec_id", "embedding", 5)
 
 
 @query("C7_cross_method_cosine")
 def _(spark, sf):
-    from orefield.functions import vectors as V
-
-    v = vectors(spark, sf)
-    one = V.mean_by(v.filter("vec_id % 2 = 0"), "label", "embedding", 64).select("label", c("embedding").alias("a"))
-    two = V.mean_by(v.filter("vec_id % 2 = 1"), "label", "embedding", 64).select("label", c("embedding").alias("b"))
-    return one.join(two, "label").select("label", F.round(V.cosine(c("a"), c("b")), 6).alias("cosine"))
+    return P.cross_method_cosines(_probes(spark, sf)).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("C9_projected_directions")

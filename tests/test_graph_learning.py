@@ -221,3 +221,51 @@ def test_best_penalty_and_predictions(spark):
     rows = spark.createDataFrame([(1, [1.0, 10.0], 5.0), (2, None, 5.0), (3, [0.0, 1.0], None)], "key int, a array<double>, y double")
     (found,) = linear.predictions(rows, models.limit(1), {"a": 2}, ["y"], ["key"]).collect()
     assert (found.key, found.y, found.prediction) == (1, 5.0, 33.0)
+
+
+def test_skip_gram_steps_follow_the_gradient():
+    """One batch equals finite differences of the loss, divided by the root of their mean square."""
+    from orefield.operators import skipgram
+
+    rng = np.random.default_rng(3)
+    v, u = rng.normal(size=(6, 4)), rng.normal(size=(6, 4))
+    s = skipgram.Settings(dims=4, negatives=2)
+    found, often = skipgram.pairs([np.array([0, 1, 2]), np.array([3]), np.array([2, 4, 5, 1])], 2), np.array([1, 2, 2, 1, 1, 1])
+    assert sorted(map(tuple, found.tolist())) == sorted([(a, b) for w in ([0, 1, 2], [2, 4, 5, 1]) for i, a in enumerate(w) for j, b in enumerate(w) if 0 < abs(i - j) <= 2])
+    random = np.random.default_rng([9])
+    order = random.permutation(len(found))
+    share = np.cumsum(often**0.75)
+    drawn = np.searchsorted(share, random.random((len(found), 2)) * share[-1], side="right")
+
+    def loss(v, u):
+        out = 0
+        for (a, b), no in zip(found[order], drawn):
+            out -= np.log(1 / (1 + np.exp(-v[a] @ u[b]))) + sum(np.log(1 - 1 / (1 + np.exp(-v[a] @ u[x]))) for x in no)
+        return out
+
+    new_v, new_u = v.copy(), u.copy()
+    assert skipgram.block_steps(found, often, new_v, new_u, (np.zeros(6), np.zeros(6)), s, [9]) == pytest.approx(loss(v, u))
+    for m, out, at in ((v, new_v, lambda x: loss(x, u)), (u, new_u, lambda x: loss(v, x))):
+        g = np.zeros_like(m)
+        for i in np.ndindex(m.shape):
+            d = np.zeros_like(m)
+            d[i] = 1e-6
+            g[i] = (at(m + d) - at(m - d)) / 2e-6
+        assert np.allclose(out, m - s.rate * g / np.sqrt((g * g).mean(1, keepdims=True) + 1e-10), atol=1e-4)
+
+
+def test_skip_gram_tells_communities_apart(spark):
+    from orefield.operators import skipgram
+
+    rng = np.random.default_rng(4)
+    paths = [[f"{g}{x}" for x in rng.integers(0, 20, 8)] for g in "ab" for _ in range(150)] + [["alone"], ["a1", None, "a2"]]
+    walks = spark.createDataFrame([(p,) for p in paths], "path array<string>").repartition(3)
+    done = skipgram.train(walks, skipgram.Settings(dims=8, epochs=4, block=60, batch=128))
+    rows = {r.id: np.array(r.v) for r in done.vectors.filter("kind = 'node'").collect()}
+    assert len(rows) == 41
+    losses = [r.loss for r in sorted(done.trail.collect())]
+    assert losses[-1] < losses[0] * 0.9
+    unit = {k: v / np.linalg.norm(v) for k, v in rows.items() if k != "alone"}
+    hits = [k[0] == sorted((x for x in unit if x != k), key=lambda x: -unit[x] @ unit[k])[0][0] for k in unit]
+    assert np.mean(hits) > 0.9
+    assert skipgram.train(walks.limit(0)).vectors.count() == 0
