@@ -88,11 +88,13 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
     """
     blocks: list[str] = []
     inside: list[bool] = []
-    # Which open elements hid a block; those are forgiven that turn out to stand around an article.
-    causes: list[tuple[int, ...]] = []
+    # The innermost hiding element around each block (0: none); each knows the one around it, so a block costs one number, however deep it stands.
+    causes: list[int] = []
+    # Those that turn out to stand around an article.
     forgiven: set[int] = set()
-    hiding: list[tuple[int, int]] = []  # (number, 1: by a name, 2: by its tag, 3: by its tag, whatever it holds)
-    strength: dict[int, int] = {}
+    hiding: list[int] = [0]
+    around, strength = [0], [0]  # of hiding elements; 1: by a name, 2: by its tag, 3: by its tag, whatever it holds
+    dropped = 0
     trees: list[Tree] = []
     waiting: list[list[Tree]] = []  # subtrees of each open article, until its last block is known
     run: list[str] = []
@@ -108,7 +110,7 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
         if text:
             blocks.append(text)
             inside.append(articles > 0)
-            causes.append(tuple(n for n, _ in hiding))
+            causes.append(hiding[-1])
 
     def add(text: str) -> None:
         if text:
@@ -123,7 +125,7 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
                     top.linked += len(own)
 
     def pop() -> None:
-        nonlocal articles, links_open
+        nonlocal articles, links_open, dropped
         own = stack.pop()
         is_open[own.tag] -= 1
         up = stack[-1] if stack else None
@@ -136,7 +138,8 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
             close_block()
             block_at.pop()
         if own.hides:
-            number, _ = hiding.pop()
+            number = hiding.pop()
+            dropped -= own.hides == 3
             if own.holder and own.hides < 3:
                 forgiven.add(number)
         articles -= own.article
@@ -225,12 +228,13 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
             continue
         names = [n for a, b, c in NAMED.findall(start[2]) for n in (a or b or c).lower().split()] if start[2] else []
         named = _is_boilerplate(tag, names)
-        article = tag in ("article", "main") and not named and all(s < 3 for _, s in hiding)
+        article = tag in ("article", "main") and not named and not dropped
         hides = 3 if tag in DROPPED or named and tag in ("article", "main") else 2 if tag in AROUND and not (tag == "header" and articles) else 1 if named else 0
         if hides:
-            number = len(strength)
-            strength[number] = hides
-            hiding.append((number, hides))
+            around.append(hiding[-1])
+            hiding.append(len(strength))
+            strength.append(hides)
+            dropped += hides == 3
         articles += article
         if article:
             waiting.append([])
@@ -246,13 +250,17 @@ def parse_page(page: str) -> tuple[list[str], list[bool], list[Tree]]:
         is_open[tag] += 1
     pop_to(0)
     close_block()
-    hidden = [max((strength[n] for n in c if n not in forgiven), default=0) for c in causes]
+    worst = [0]
+    for n in range(1, len(strength)):
+        worst.append(max(worst[around[n]], 0 if n in forgiven else strength[n]))
+    hidden = [worst[n] for n in causes]
     whole = any(i and h < 2 for i, h in zip(inside, hidden))
     least = min((h for h, i in zip(hidden, inside) if i or not whole), default=0)
     shown = [(i or not whole) and h <= min(least, 1) for i, h in zip(inside, hidden)]
     return blocks, shown, trees
 
 
+HASH_PRIME, HASH_BASE = (1 << 61) - 1, 0x1F3D5B79
 HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)")
 COUNTED = "host string, inside boolean, hash long, article long, content long"
 
@@ -265,6 +273,21 @@ def _text_hash(blocks: Iterable[str]) -> int:
     return xxhash.xxh64_intdigest("\n".join(blocks)) - (1 << 63)
 
 
+def _range_hashes(blocks: list[str], shown: list[bool], ranges: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """A hash of the shown text of each range of blocks, from one pass over all of them: ranges may stand one in another."""
+    before, power, total, step = [0], [1], [0], pow(HASH_BASE, -1, HASH_PRIME)
+    for text, show in zip(blocks, shown):
+        n = before[-1]
+        before.append(n + show)
+        if show:
+            total.append((total[-1] + xxhash.xxh64_intdigest(text) % HASH_PRIME * power[-1]) % HASH_PRIME)
+            power.append(power[-1] * HASH_BASE % HASH_PRIME)
+    inverse = [1]
+    for _ in range(len(power) - 1):
+        inverse.append(inverse[-1] * step % HASH_PRIME)
+    return {(a, b): (total[before[b]] - total[before[a]]) * inverse[before[a]] % HASH_PRIME ^ (before[b] - before[a]) for a, b in ranges}
+
+
 def subtree_rows(url: str | None, page: str) -> set[tuple]:
     """(host, inside, hash, article, content) of a page's subtrees: ``content`` is a hash of the text that is shown, ``article`` of that in the nearest article around one.
 
@@ -273,7 +296,7 @@ def subtree_rows(url: str | None, page: str) -> set[tuple]:
     host = _host(url)
     blocks, shown, trees = parse_page(page)
     content = _text_hash(b for b, s in zip(blocks, shown) if s)
-    articles = {a: _text_hash(b for b, s in zip(blocks[slice(*a)], shown[slice(*a)]) if s) for a in {t.article for t in trees if t.article}}
+    articles = _range_hashes(blocks, shown, {t.article for t in trees if t.article})
     rows = {(host, False, None, None, content), *((host, True, None, None, content) for _ in articles)}
     for t in trees:
         rows.update((host, t.article is not None, value, articles.get(t.article), content) for value in (t.text, t.skeleton) if value is not None)
@@ -308,7 +331,11 @@ def recurring_subtrees(counted: DataFrame, least_pages: int, least_share: float)
 
 def template_blocks(trees: list[Tree], recurring: frozenset[int] | set[int]) -> set[int]:
     """The blocks of the subtrees that recur on the page's host."""
-    return {i for t in trees if t.text in recurring or t.skeleton in recurring for i in range(t.first, t.last)} if recurring else set()
+    out, end = set(), 0
+    for first, last in sorted({(t.first, t.last) for t in trees if t.text in recurring or t.skeleton in recurring}) if recurring else ():
+        out.update(range(max(first, end), last))
+        end = max(end, last)
+    return out
 
 
 def main_text(page: str, recurring: frozenset[int] | set[int] = frozenset()) -> tuple[str, int, int]:

@@ -164,7 +164,8 @@ def top_k_inner_product(
     Components x count as floor(256 * x); vectors that are null or hold null or non-finite components, and rows with a null
     id, take no part; shorter vectors count as filled with zeros. A query's own row is no answer, other rows of its id are.
     Equal scores: smaller id first, then any row of it. Returns query_id, rank (from 1), vec_id, score;
-    ``with_cells`` adds in how many cells the query's answers were looked for, and of how many. Scores must fit 64 bits. No vectors give an empty table.
+    ``with_cells`` adds in how many cells the query's answers were looked for, and of how many. No vectors give an empty table. Scores are 64-bit
+    integers: where the longest query and the longest vector could give one beyond that, a ValueError is raised before anything is scored.
 
     Rows go to the cell of the nearest of about ``n_pivots`` pivots, rows of the table chosen by a hash (by default the square root of the number of rows,
     at most ``max_pivots``). Summaries of the cells bound the score that each query's answers reach; a query is sent only to
@@ -177,7 +178,11 @@ def top_k_inner_product(
     )
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.transform("v", lambda x: F.floor(256 * x)).alias("vector"), (F.col("id") % every == 0).alias("is_query"))
     rows = cut(rows, "vectors")
-    n_rows, dims = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    n_rows, dims, longest, longest_query = rows.agg(F.count("*"), F.max(F.size("vector")), F.max(length), F.max(F.when(F.col("is_query"), length))).first()
+    # No sum of products, in part or whole, is above the product of lengths; components that floor() cannot hold are at least 2 ** 63 long.
+    if (longest or 0) * (longest_query or 0) * (1 + 1e-9) >= 2.0**63:
+        raise ValueError("scores may not fit 64 bits: the longest query times the longest vector is 2 ** 63 or more")
     if not n_rows:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
     want = n_pivots or min(max_pivots, max(16, math.isqrt(n_rows)))

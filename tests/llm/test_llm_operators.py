@@ -681,3 +681,36 @@ def test_sharers_of_one_shingle_leave_in_parts(monkeypatch):
     assert max(len(b) for b in out) < 100
     got = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert got == [(5, i, 9, 50) for i in range(1000)] + [(7, 1, 9, 2), (7, 2, 9, 2), (8, 1, 9, 50)]
+
+
+@pytest.mark.parametrize("page", ["<aside>x" * 125_000, "<article><p>x</p>" * 20_000, "<div class=sidebar>x" * 50_000, "<nav><div>a</div>" * 30_000])
+def test_nested_pages_take_linear_time_and_space(page):
+    began = time.perf_counter()
+    trees = html_text.parse_page(page)[2]
+    html_text.subtree_rows("http://a.example/b", page)
+    html_text.template_blocks(trees, {t.text for t in trees})
+    assert time.perf_counter() - began < 12
+
+
+def test_template_blocks_and_article_hashes_against_loops():
+    rng = random.Random(8)
+    trees = [html_text.Tree(i, None, a, a + rng.randrange(1, 9), None) for i in range(200) for a in [rng.randrange(60)]]
+    recurring = set(rng.sample(range(200), 25))
+    assert html_text.template_blocks(trees, recurring) == {i for t in trees if t.text in recurring for i in range(t.first, t.last)}
+    blocks, shown = [rng.choice("abc") for _ in range(60)], [rng.random() < 0.8 for _ in range(60)]
+    ranges = {(a, a + n) for a in range(50) for n in range(0, 10)}
+    found = html_text._range_hashes(blocks, shown, ranges)
+    texts = {r: tuple(b for b, s in zip(blocks[slice(*r)], shown[slice(*r)]) if s) for r in ranges}
+    assert len({(found[r], texts[r]) for r in ranges}) == len(set(found.values())) == len(set(texts.values()))
+
+
+def test_top_k_raises_beyond_64_bits(spark):
+    rows = lambda big: spark.createDataFrame([(0, [1.0, 2.0]), (1, [big, 1.0]), (50, [3.0, big])], "vec_id long, embedding array<double>")
+    for big in (1e17, 1e300, -1e17, 2.0**21):
+        if abs(big) > 2.0**30:
+            with pytest.raises(ValueError, match="64 bits"):
+                knn_join.top_k_inner_product(rows(big))
+        else:
+            got = {(r.query_id, r.vec_id): r.score for r in knn_join.top_k_inner_product(rows(big)).collect()}
+            x = int(256 * big)
+            assert got[0, 1] == 256 * x + 512 * 256 and got[50, 1] == 768 * x + x * 256 and got[0, 50] == 256 * 768 + 512 * x
