@@ -23,8 +23,14 @@ def _route(block: Column, seed: int) -> Column:
 
 
 def _named(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Each distinct key with an integer name of its own: its place when keys are sorted."""
-    return keys.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+    """Each distinct key with ``uses``, how often it occurs, and an integer name of its own: its place when keys are sorted."""
+    return keys.groupBy(*by).agg(F.count("*").alias("uses")).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
+
+
+def _with_names(rows: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the names of their keys; names that many rows share go to every task."""
+    total = names.agg(F.sum("uses")).first()[0] or 0
+    return join_groups(rows, names, by, "uses", total).drop("uses")
 
 
 def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, row_col: str | None = None) -> DataFrame:
@@ -57,13 +63,14 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ro
     )
     known = ["row", "doc_id", "n_points", "text_sha256"]
     done = rows.filter("n = 1").select(*known, "routes")
-    done = done.select(*known, F.col("routes")[0]["h1"].alias("h1"), F.col("routes")[0]["h2"].alias("h2")).join(names, ["h1", "h2"])
+    done = done.select(*known, F.col("routes")[0]["h1"].alias("h1"), F.col("routes")[0]["h2"].alias("h2"))
+    done = _with_names(done, names, ["h1", "h2"])
     done = [done.select(*known, F.lit(0).alias("level"), "name")]
     most = rows.agg(F.max("n")).first()[0] or 1
     if most == 1:
         return done[0]
     now = rows.filter("n > 1").select("row", "n", F.posexplode("routes").alias("pos", "route")).select("row", "n", "pos", "route.*")
-    now = cut(now.join(names, ["h1", "h2"]).select("row", "n", "pos", "name"), "name-rows")
+    now = cut(_with_names(now, names, ["h1", "h2"]).select("row", "n", "pos", "name"), "name-rows")
     for level in range(1, (most - 1).bit_length() + 1):
         pairs = now.groupBy("row", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.expr("cast((max(n) + 1) div 2 as int)").alias("n"),
@@ -72,7 +79,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ro
         )
         pairs = cut(pairs, "name-pairs")
         again = cut(_named(pairs.select("a", "b"), ["a", "b"]), "pair-names")
-        now = cut(pairs.join(again, ["a", "b"]).select("row", "n", "pos", "name"), "name-rows")
+        now = cut(_with_names(pairs, again, ["a", "b"]).select("row", "n", "pos", "name"), "name-rows")
         done.append(now.filter("n = 1").select("row", F.lit(level).alias("level"), "name").join(rows.select(*known), "row").select(*known, "level", "name"))
         now = now.filter("n > 1")
     return reduce(DataFrame.unionByName, done)

@@ -714,3 +714,20 @@ def test_top_k_raises_beyond_64_bits(spark):
             got = {(r.query_id, r.vec_id): r.score for r in knn_join.top_k_inner_product(rows(big)).collect()}
             x = int(256 * big)
             assert got[0, 1] == 256 * x + 512 * 256 and got[50, 1] == 768 * x + x * 256 and got[0, 50] == 256 * 768 + 512 * x
+
+
+def test_exact_dedup_of_one_text_on_most_rows(spark):
+    """One short and one long text on 90 % of the rows, where tables of names are too large to be sent."""
+    long = "many blocks " * 300
+    texts = {i: "the same" if i % 10 < 6 else long if i % 10 < 9 else f"own {i} " + ("x" * (i % 7) * 40) for i in range(400)}
+    rows = make(spark, [(i, t, "en", "a") for i, t in texts.items()]).repartition(6)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = exact_dedup(rows, block_bytes=64).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    groups = collections.defaultdict(list)
+    for i, t in texts.items():
+        groups[norm(t)].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, min(g), len(g), i == min(g)) for g in groups.values() for i in g} and len(got) == 400
