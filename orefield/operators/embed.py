@@ -140,9 +140,9 @@ def knn_purity(neighbours: DataFrame, labels: DataFrame, key: str, label: str) -
     return neighbours.join(a, "query").join(b, key).agg(F.avg((F.col("own") == F.col("other")).cast("int")).alias("purity"), F.count("*").alias("n"))
 
 
-def silhouette(points: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """One row: the mean Euclidean silhouette of all points with a whole vector, 0 for one alone in its label; keys are numbers."""
-    far = distances_by_class(points, key, label, vector).select("i", "other", (F.col("far") / F.col("n")).alias("d"))
+def silhouette(points: DataFrame, key: str, label: str, vector: str, most: int = 4096) -> DataFrame:
+    """One row: the mean Euclidean silhouette of all points with a whole vector, 0 for one alone in its label; keys are numbers, blocks of points hold about ``most``."""
+    far = distances_by_class(points, key, label, vector, most).select("i", "other", (F.col("far") / F.col("n")).alias("d"))
     own = whole(points, key, vector).select(F.col("key").alias("i")).join(points.select(F.col(key).alias("i"), F.col(label).cast("string").alias("own")), "i")
     each = own.join(far, "i", "left").groupBy("i").agg(F.max(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
     return each.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"), F.count("*").alias("n"))
