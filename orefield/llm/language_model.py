@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ from orefield.llm.quality import held_out
 from orefield.llm.shared import cut
 from orefield.llm.textnum import LOWER, SPACE, buffers, hashes, runs
 
-DIMS, HIDDEN = 16, 32
+DIMS, HIDDEN = 32, 64
 WINDOW, STRIDE = 32, 24
 BATCH = 96
 #: Rows of a large parameter that travel together.
 CHUNK = 512
 TOP = 63
+#: How fast small parameters learn beside large ones.
+DENSE = 0.03
 LARGE = ("E", "N", "n")
 DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 
@@ -111,25 +114,24 @@ class AttentionModel:
         g = np.tanh(late @ p["W"] + c.reshape(-1, DIMS) @ p["O"] + p["b"])
         return {"e": e, "q": q, "k": k, "v": v, "a": a, "c": c, "g": g}
 
-    def turns(self, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(``ways`` of ids, rows of g, node vectors, turn times logit) of each step."""
-        at, node, turn, begin = self.tree.ways(ids)
-        rows, vectors = g[at], self.params["N"][node]
-        return node, turn, begin, rows, vectors, turn * (np.einsum("ij,ij->i", rows, vectors) + self.params["n"][node])
-
-    def log_of(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log probability of ids after ``g``.
+    def logits(self, g: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        """(first node near the root, steps at other nodes, log odds of left) of the steps of ``ways``.
 
-        Most steps are at the TOP nodes that were made last, near the root: these are multiplied for all rows at once.
+        Most steps are at the TOP nodes that are near the root: these are multiplied for all rows at once.
         """
-        if not len(ids):
-            return np.empty(0)
-        at, node, turn, begin = self.tree.ways(ids)
         n, bias = self.params["N"], self.params["n"]
         low = max(len(n) - TOP, 0)
         z = (g @ n[low:].T + bias[low:])[at, np.maximum(node - low, 0)]
         deep = np.flatnonzero(node < low)
         z[deep] = np.einsum("ij,ij->i", g[at[deep]], n[node[deep]]) + bias[node[deep]]
+        return low, deep, z
+
+    def log_of(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of ids after ``g``."""
+        if not len(ids):
+            return np.empty(0)
+        at, node, turn, begin = self.tree.ways(ids)
+        z = self.logits(g, at, node)[2]
         return -np.add.reduceat(np.log(1 + np.exp(np.minimum(-turn * z, 60))), begin)
 
     def log_probabilities(self, stream: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int = 96) -> np.ndarray:
@@ -164,14 +166,25 @@ class AttentionModel:
         x, y = windows[:, :-1], windows[:, 1:].ravel()
         real = np.flatnonzero(y >= 0)
         f = self.forward(np.where(x < 0, self.end_id, x))
-        node, turn, begin, rows, vectors, z = self.turns(f["g"][real], y[real])
-        dz = (-turn / (1 + np.exp(np.clip(z, -30, 30))) / len(real)).astype(np.float32)
-        dg = np.zeros_like(f["g"])
-        dg[real] = np.add.reduceat(dz[:, None] * vectors, begin)
+        g = f["g"][real]
+        at, node, turn, begin = self.tree.ways(y[real])
+        low, deep, z = self.logits(g, at, node)
+        dz = (-turn / (1 + np.exp(np.clip(turn * z, -30, 30))) / len(real)).astype(np.float32)
+        # Turns near the root are nearly all: a matrix of them, rows of which are multiplied at once; the others one by one.
+        near = np.zeros((len(real), len(p["N"]) - low), np.float32)
+        top = node >= low
+        near[at[top], node[top] - low] = dz[top]
+        own, dz, at = node[deep], dz[deep][:, None], at[deep]
+        dg, far = np.zeros_like(f["g"]), near @ p["N"][low:]
+        if len(at):
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            far[at[first]] += np.add.reduceat(dz * p["N"][own], first)
+        dg[real] = far
+        rows = np.concatenate((own, np.arange(low, len(p["N"]))))
         dh = dg * (1 - f["g"] ** 2)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         e, c = flat(f["e"]), flat(f["c"])
-        out = {"W": e.T @ dh, "O": c.T @ dh, "b": dh.sum(0), "N": (node, dz[:, None] * rows), "n": (node, dz[:, None])}
+        out = {"W": e.T @ dh, "O": c.T @ dh, "b": dh.sum(0), "N": (rows, np.concatenate((dz * g[at], near.T @ g))), "n": (rows, np.concatenate((dz, near.sum(0)[:, None])))}
         de, dc = dh @ p["W"].T, (dh @ p["O"].T).reshape(f["c"].shape)
         da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
         ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
@@ -203,7 +216,7 @@ class AttentionModel:
                     p.reshape(len(p), -1)[rows] -= now * g / np.sqrt(s.reshape(len(s), -1)[rows])
                 else:
                     s += 0.01 * (g * g - s)
-                    p -= (0.1 * now * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
+                    p -= (DENSE * now * g / (np.sqrt(s) + 1e-6)).astype(np.float32)
         return touched
 
 
@@ -271,68 +284,88 @@ def _counts(column: str, kind: str, name: str):
     return run
 
 
-def windows_of(ids: np.ndarray, end_id: int, every: int, turn: int) -> np.ndarray:
-    """One in ``every`` of a document's windows, at least one, from the one that ``turn`` gives on: [window, 1 + WINDOW], what stands before first, -1 where the document is over."""
-    n = -(-len(ids) // WINDOW)
-    some = np.arange(turn % min(every, n), n, every)
-    padded = np.concatenate(([end_id], ids, np.full(WINDOW, -1)))
-    return padded[some[:, None] * WINDOW + np.arange(WINDOW + 1)].astype(np.int32)
+def windows_of(ids: np.ndarray, end_id: int) -> np.ndarray:
+    """A document's windows: [window, 1 + WINDOW], what stands before first, -1 where the document is over."""
+    padded = np.concatenate(([end_id], ids, np.full(WINDOW, -1))).astype(np.int32)
+    return padded[np.arange(0, len(ids), WINDOW)[:, None] + np.arange(WINDOW + 1)]
+
+
+def _documents_windows(batches: Iterator[pa.RecordBatch], end_id: int, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    for batch in batches:
+        for row, ids in zip(batch.column("row").to_pylist(), batch.column("ids")):
+            yield row, windows_of(np.frombuffer(ids.as_buffer(), kind), end_id)
+
 
+def _drawn(end_id: int, kind: str, share: float):
+    """Each window with the chance ``share``."""
 
-def _windows(end_id: int, every: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, ids in zip(batch.column("row").to_pylist(), batch.column("ids")):
-                out += [w.tobytes() for w in windows_of(np.frombuffer(ids.as_buffer(), kind).astype(np.int64), end_id, every, row * 0x9E3779B1 >> 7)]
-                if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+        for row, windows in _documents_windows(batches, end_id, kind):
+            windows = windows[np.random.default_rng(row).random(len(windows)) < share]
+            if len(windows):
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(windows), pa.int64()), pa.array([w.tobytes() for w in windows], pa.binary())], names=["row", "window"])
 
     return run
 
 
-def _read(windows) -> np.ndarray:
-    return np.stack([np.frombuffer(w, np.int32) for w in windows]).astype(np.int64) if len(windows) else np.empty((0, WINDOW + 1), np.int64)
-
+CHANGES = "name string, chunk int, part int, rows binary, change binary"
 
-CHANGES = "name string, chunk int, part int, trainers long, rows binary, change binary"
 
+def _trained(shared, kind: str, trainer_windows: int, rate: float, seed: int):
+    """What a task's windows change. Each ``trainer_windows`` of them, in order, are a trainer that learns on its own from the shared model.
 
-def _trained(shared, rate: float, seed: int):
-    """What a trainer's windows change: of each chunk of a parameter, how many rows changed, how often, and by how much in all."""
+    Of each chunk of a parameter: how many trainers changed each row, and by how much in all.
+    """
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, squares = shared.value
-        model = AttentionModel(held.tree, {k: v.copy() for k, v in held.params.items()}, held.end_id)
-        windows, trainer = _read(frame.sort_values("at")["ids"].tolist()), int(frame["trainer"].iloc[0])
-        touched, out = model.learn(windows, -(-len(windows) // BATCH), seed + trainer, rate, {k: v.copy() for k, v in squares.items()}, least=0.5), []
-        for name, new in model.params.items():
-            change, rows = new - held.params[name], touched.get(name)
-            for chunk in range(0, len(new), CHUNK):
-                own = np.ones(len(new[chunk : chunk + CHUNK]), np.int64) if rows is None else rows[chunk : chunk + CHUNK].astype(np.int64)
+        change = {k: np.zeros_like(v) for k, v in held.params.items()}
+        times = {k: np.zeros(len(v), np.int32) for k, v in held.params.items()}
+
+        def train(windows: np.ndarray) -> None:
+            model = AttentionModel(held.tree, {k: v.copy() for k, v in held.params.items()}, held.end_id)
+            touched = model.learn(windows.astype(np.int64), -(-len(windows) // BATCH), seed, rate, {k: v.copy() for k, v in squares.items()}, least=0.5)
+            for name, new in model.params.items():
+                change[name] += new - held.params[name]
+                times[name] += touched.get(name, 1)
+
+        pool, n = [], 0
+        for _, windows in _documents_windows(batches, held.end_id, kind):
+            pool.append(windows)
+            n += len(windows)
+            if n >= trainer_windows:
+                whole = np.concatenate(pool)
+                full = n // trainer_windows * trainer_windows
+                for at in range(0, full, trainer_windows):
+                    train(whole[at : at + trainer_windows])
+                pool, n = [whole[full:].copy()], n - full
+        if n:
+            train(np.concatenate(pool))
+        part, out = TaskContext.get().partitionId() % 64, []
+        for name, of_rows in times.items():
+            for at in range(0, len(of_rows), CHUNK):
+                own = of_rows[at : at + CHUNK]
                 if own.any():
-                    out.append((name, chunk // CHUNK, trainer % 64, 1, own.tobytes(), change[chunk : chunk + CHUNK].astype(np.float64).tobytes()))
-        return pd.DataFrame(out, columns=["name", "chunk", "part", "trainers", "rows", "change"])
+                    out.append((name, at // CHUNK, part, own.tobytes(), change[name][at : at + CHUNK].tobytes()))
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["name", "chunk", "part", "rows", "change"])
 
     return run
 
 
 def _added(frame: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one chunk by several trainers, added up."""
+    """Changes of one chunk by several tasks, added up."""
     first = frame.iloc[0]
-    rows, change = (sum(np.frombuffer(b, kind) for b in frame[c]).tobytes() for c, kind in (("rows", np.int64), ("change", np.float64)))
-    return pd.DataFrame([(first["name"], first["chunk"], first["part"], int(frame["trainers"].sum()), rows, change)], columns=list(frame.columns))
+    rows, change = (sum(np.frombuffer(b, kind).astype(wide) for b in frame[c]).astype(kind).tobytes() for c, kind, wide in (("rows", np.int32, np.int64), ("change", np.float32, np.float64)))
+    return pd.DataFrame([(first["name"], first["chunk"], first["part"], rows, change)], columns=list(frame.columns))
 
 
-def fit_attention(tokens: DataFrame, n_ids: int, end_id: int, n_bytes: int, seed: int = 5, steps: int = 700, rounds: int = 2, least_windows: int = 60_000, rate: float = 0.4, trainer_windows: int = 8192) -> AttentionModel:
-    """A model of the documents of ``tokens`` (row, ids).
+def fit_attention(tokens: DataFrame, n_ids: int, end_id: int, seed: int = 5, steps: int = 1700, rounds: int = 2, rate: float = 0.4, trainer_windows: int = 8192) -> AttentionModel:
+    """A model of the documents of ``tokens`` (row, ids; a written table).
 
-    All ids of all documents are counted for the tree. The model then learns from windows of every document: one in 32 of its windows and at least one, more of them
-    where the corpus (of ``n_bytes`` bytes, four for an id) would give fewer than ``least_windows``. ``steps`` of BATCH windows, drawn from all by a hash,
-    start it on the driver; after that the windows are dealt into ``rounds``, and in each round every ``trainer_windows`` of them are a task that learns on its own from the model so far;
-    the mean of what the tasks change is added to the model. So all windows train, and their number grows with the corpus.
+    All ids of all documents are counted for the tree. ``steps`` of BATCH windows, drawn from all windows by a fixed chance, start the model on the driver. After that every window
+    of every document trains: documents are dealt into ``rounds`` by a hash, and in each round every ``trainer_windows`` windows of a partition learn on their own from the model so far,
+    in the task that reads them; each row of a parameter moves by the mean of what the trainers that changed it have changed. Windows are never written or shuffled, and work grows with the corpus.
     """
     spark = tokens.sparkSession
     kind = id_kind(n_ids)
@@ -341,27 +374,25 @@ def fit_attention(tokens: DataFrame, n_ids: int, end_id: int, n_bytes: int, seed
     for i, n in counted:
         counts[i] = n
     model = AttentionModel.new(counts, end_id, seed)
-    every = int(min(max(n_bytes / 4 / WINDOW / least_windows, 1), 32))
-    windows = cut(tokens.select("row", "ids").mapInArrow(_windows(end_id, every, kind), "ids binary"), "windows")
-    windows = cut(windows.withColumn("at", F.monotonically_increasing_id()), "numbered-windows")
-    n_windows, turn = windows.count(), F.pmod(F.xxhash64("at"), F.lit(1 << 30))
+    long = F.ceil(F.octet_length("ids") / (np.dtype(kind).itemsize * WINDOW))
+    n_windows = tokens.agg(F.coalesce(F.sum(long), F.lit(0))).first()[0]
     if not n_windows:
         return model
-    share = min(1.0, steps * BATCH / n_windows)
-    some = windows.filter(turn < int(share * (1 << 30))).orderBy("at").toArrow()
+    some = tokens.select("row", "ids").mapInArrow(_drawn(end_id, kind, steps * BATCH / n_windows), "row long, window binary").toArrow()  # about steps * BATCH windows, or all
+    some = some.sort_by([("row", "ascending"), ("window", "ascending")]).column("window").to_pylist()
     squares = fresh_squares(model.params)
-    model.learn(_read(some.column("ids").to_pylist()), steps, seed, rate, squares, warm_up=50)
-    trainers = -(-n_windows // (rounds * trainer_windows))
-    dealt = windows.select("at", "ids", (turn % rounds).alias("round"), F.pmod(F.xxhash64(F.lit(1), "at"), F.lit(trainers)).alias("trainer"))
+    if some:
+        model.learn(np.stack([np.frombuffer(w, np.int32) for w in some]).astype(np.int64), steps, seed, rate, squares, warm_up=50)
     for i in range(rounds):
         shared = spark.sparkContext.broadcast((model, squares))  # of the vocabulary's size
-        changes = cut(dealt.filter(F.col("round") == i).groupBy("trainer").applyInPandas(_trained(shared, rate * 0.05, seed + i), CHANGES), "changes", release=True)
+        own = tokens.filter(F.pmod(F.xxhash64("row"), F.lit(rounds)) == i).select("row", "ids")
+        changes = cut(own.mapInArrow(_trained(shared, kind, trainer_windows, rate * 0.05, seed + i), CHANGES), "changes")
         for by in (["name", "chunk", "part"], ["name", "chunk"]):
             changes = changes.groupBy(*by).applyInPandas(_added, CHANGES)
         for r in changes.collect():  # the parameters once
             p = model.params[r.name][r.chunk * CHUNK : (r.chunk + 1) * CHUNK]
-            times = np.maximum(np.frombuffer(r.rows, np.int64), 1).reshape(-1, *[1] * (p.ndim - 1))
-            p += (np.frombuffer(r.change, np.float64).reshape(p.shape) / times).astype(np.float32)
+            times = np.maximum(np.frombuffer(r.rows, np.int32), 1).reshape(-1, *[1] * (p.ndim - 1))
+            p += (np.frombuffer(r.change, np.float32).reshape(p.shape) / times).astype(np.float32)
         shared.unpersist()
     return model
 
@@ -413,7 +444,7 @@ def score_texts(docs: DataFrame, file: str, ranks: str, modulus: int = 7, remain
     train = tokens.filter(~F.col("held_out"))
     counts = cut(train.select("words").mapInArrow(_counts("words", "<u8", "word"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts", release=True)
     n_types, n_words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_docs, n_ids = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("ids")) / np.dtype(kind).itemsize, F.lit(0))).first()
+    n_docs = train.count()
     total, types = n_words + n_docs, n_types + (n_docs > 0)
     end_log, total_log = float(np.log10(n_docs + 1)), float(np.log10(total + types + 1))
     # How many words have each count: as many rows as there are different counts.
@@ -426,7 +457,7 @@ def score_texts(docs: DataFrame, file: str, ranks: str, modulus: int = 7, remain
     top = counts.filter(F.col("n") >= least if least is not None else F.lit(False)).toArrow()
     value, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(value)
-    model = fit_attention(train, n_vocabulary, end_id, 4 * int(n_ids), **options)
+    model = fit_attention(train, n_vocabulary, end_id, **options)
     # At most most_common words and a model of the vocabulary's size.
     shared = docs.sparkSession.sparkContext.broadcast((model, value[order], np.log10(n[order] + 1.0)))
     scored = cut(tokens.mapInArrow(_scored(shared, kind), SCORED), "scored", release=True)

@@ -17,6 +17,7 @@ from orefield.llm.components import components
 from orefield.llm.exact_dedup import exact_dedup, keep_first
 from orefield.llm.ngram_join import keep_one_of_each, ngram_jaccard_join
 from orefield.llm.queries import piece_file, tokenizer_files
+from orefield.llm.shared import cut
 from orefield.llm.sharding import balanced_shards
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, name string, size long, n long"
@@ -554,9 +555,43 @@ def test_gradients_against_differences():
 
 def test_windows_of_a_document():
     ids = np.arange(100, 170)
-    whole = language_model.windows_of(ids, 2, 1, 5)
+    whole = language_model.windows_of(ids, 2)
     assert whole[:, 0].tolist() == [2, 131, 163] and [x for w in whole for x in w[1:].tolist() if x >= 0] == ids.tolist()
-    assert language_model.windows_of(ids, 2, 2, 1)[:, 0].tolist() == [131] and len(language_model.windows_of(ids[:1], 2, 32, 77)) == 1
+    assert len(language_model.windows_of(ids[:1], 2)) == 1 and len(language_model.windows_of(ids[:64], 2)) == 2
+
+
+def test_training_takes_every_window_against_loops(spark):
+    """Two tasks of several trainers each, in two rounds: means of what each trainer changes, by row, as plain loops give them."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 40, n).astype("<u2") for n in (1, 31, 32, 33, 700, 200, 64, 5, 90, 410)]
+    tokens = cut(spark.createDataFrame([(i, t.tobytes()) for i, t in enumerate(texts)], "row long, ids binary").repartition(2, "row"), "ids")
+    tasks = [[r.row for r in part] for part in tokens.select("row").rdd.glom().collect()]
+    turn = {r.row: r.turn for r in tokens.selectExpr("row", "pmod(xxhash64(row), 2) turn").collect()}
+    assert set(turn.values()) == {0, 1}
+    got = language_model.fit_attention(tokens, 40, 2, steps=3, trainer_windows=8)
+    counts = np.bincount(np.concatenate(texts), minlength=40).astype(float)
+    model = language_model.AttentionModel.new(counts, 2, 5)
+    every = sorted((i, w.tobytes(), w) for i, t in enumerate(texts) for w in language_model.windows_of(t, 2))
+    squares = language_model.fresh_squares(model.params)
+    model.learn(np.stack([w for *_, w in every]).astype(np.int64), 3, 5, 0.4, squares, warm_up=50)
+    trained = 0
+    for i in range(2):
+        changes = []
+        for task in tasks:
+            own = [w for row in task if turn[row] == i for w in language_model.windows_of(texts[row], 2)]
+            for at in range(0, len(own), 8):
+                trained += len(own[at : at + 8])
+                one = language_model.AttentionModel(model.tree, {k: v.copy() for k, v in model.params.items()}, 2)
+                touched = one.learn(np.stack(own[at : at + 8]).astype(np.int64), 1, 5 + i, 0.02, {k: v.copy() for k, v in squares.items()}, least=0.5)
+                changes.append(({k: v - model.params[k] for k, v in one.params.items()}, touched))
+        for name, p in model.params.items():
+            for at in range(len(p)):
+                moved = [c[name][at] for c, t in changes if name not in t or t[name][at]]
+                if moved:
+                    p[at] += sum(moved) / len(moved)
+    assert trained == len(every)
+    for name, p in model.params.items():
+        assert np.allclose(got.params[name], p, atol=1e-4), name
 
 
 def test_training_beats_the_unigram(spark):
