@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.shared import ROW, cut, join_groups, numbered
+from orefield.llm.shared import cut, join_groups, numbered
 
 #: What normalising deletes: space and the characters 09-0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -105,7 +105,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay of each group of equal texts, with all their columns."""
-    held = numbered(docs)
-    kept = exact_dedup(held, id_col, text_col, row_col=ROW, **options).filter("kept").select(ROW)
-    return held.join(kept, ROW, "left_semi").drop(ROW)
+    held, row = numbered(docs)
+    kept = exact_dedup(held, id_col, text_col, row_col=row, **options).filter("kept").select(row)
+    return held.join(kept, row, "left_semi").drop(row)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orefield.llm.prefix_sums import global_prefix
-from orefield.llm.shared import ROW, cut, numbered
+from orefield.llm.shared import cut, free_name, numbered
 from orefield.llm.textnum import mix
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,7 +173,7 @@ def copies(spans: list[tuple[int, int, list[int]]], by_shard: bool) -> list[tupl
     return [(key[0], own) for key, own in sorted(found.items())]
 
 
-def _copies(text_col: str, schema: list[str], by_shard: bool):
+def _copies(text_col: str, schema: list[str], spans_col: str, shard_col: str | None):
     """Each row once for each copy that the mix makes of it, with the words that it takes then."""
     word = re.compile(WORD)
 
@@ -181,15 +181,15 @@ def _copies(text_col: str, schema: list[str], by_shard: bool):
         for whole in batches:
             for first in range(0, len(whole), 500):
                 batch, at, texts, shards = whole.slice(first, 500), [], [], []
-                for i, (text, spans) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column("__mix_spans").to_pylist())):
+                for i, (text, spans) in enumerate(zip(batch.column(text_col).to_pylist(), batch.column(spans_col).to_pylist())):
                     ends = [m.span() for m in word.finditer(text)]
-                    for shard, runs in copies([(s["from_word"], s["to_word"], s["shards"]) for s in spans], by_shard):
+                    for shard, runs in copies([(s["from_word"], s["to_word"], s["shards"]) for s in spans], bool(shard_col)):
                         at.append(i)
                         shards.append(shard)
                         texts.append(text if runs == [[0, len(ends)]] else "\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in runs))
                 out = batch.select(schema).take(pa.array(at, pa.int64()))
                 out = out.set_column(schema.index(text_col), batch.schema.field(text_col), pa.array(texts, batch.schema.field(text_col).type))
-                yield out.append_column("__mix_shard", pa.array(shards, pa.int32())) if by_shard else out
+                yield out.append_column(shard_col, pa.array(shards, pa.int32())) if shard_col else out
 
     return run
 
@@ -201,14 +201,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the shards' words of a document stand together again: a row for each time that its words are taken, so documents stay as whole as they can.
     Stretches that don't touch are joined by a line feed; a document taken whole keeps its text as it is. Nulls, repeats and empty tables count as in ``mix_to_weights``.
     """
-    held = numbered(docs)
-    rows = held.select(F.col(ROW).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    held, row = numbered(docs)
+    spans_col = free_name(held, "__mix_spans")
+    rows = held.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     placed, spans = mixed_blocks(rows, **options)
-    by_row = spans.groupBy("place").agg(F.collect_list(F.struct("from_word", "to_word", "shards")).alias("__mix_spans"))
-    by_row = placed.join(by_row, "place").select(F.col("row").alias(ROW), "__mix_spans")
+    by_row = spans.groupBy("place").agg(F.collect_list(F.struct("from_word", "to_word", "shards")).alias(spans_col))
+    by_row = placed.join(by_row, "place").select(F.col("row").alias(row), spans_col)
     names = docs.columns
     schema = StructType([f for f in docs.schema.fields])
     if shard_col:
-        schema = schema.add("__mix_shard", "integer")
-    out = held.join(by_row, ROW).select(*names, "__mix_spans").mapInArrow(_copies(text_col, names, bool(shard_col)), schema)
-    return out.withColumnRenamed("__mix_shard", shard_col) if shard_col else out
+        schema = schema.add(shard_col, "integer")
+    return held.join(by_row, row).select(*names, spans_col).mapInArrow(_copies(text_col, names, spans_col, shard_col), schema)

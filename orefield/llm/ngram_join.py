@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.components import components
-from orefield.llm.shared import ROW, cut, join_groups, numbered
+from orefield.llm.shared import cut, join_groups, numbered
 from orefield.llm.textnum import buffers, mix, words
 
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -433,6 +433,6 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each component of linked documents, with all columns; rows with an empty set all stay."""
-    held = numbered(docs)
-    kept = ngram_jaccard_join(held, id_col, text_col, row_col=ROW, **options).filter("keep").select(F.col("row").alias(ROW))
-    return held.join(kept, ROW, "left_semi").drop(ROW)
+    held, row = numbered(docs)
+    kept = ngram_jaccard_join(held, id_col, text_col, row_col=row, **options).filter("keep").select(F.col("row").alias(row))
+    return held.join(kept, row, "left_semi").drop(row)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.shared import cut
+from orefield.llm.shared import cut, free_name
 from orefield.llm.textnum import SPACE, buffers, hashes, runs
 
 #: Kinds of bytes whose runs are tokens: letters (and all of UTF-8 beyond ASCII), digits, other signs.
@@ -162,22 +162,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_by
     return QualityModel(vectors, *train_network(x, y, seed))
 
 
-def _scored(model, names: list[str]):
+def _scored(model, names: list[str], text: str, score_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in buffers(batch.column("__text")):
+            for first, data, offsets in buffers(batch.column(text)):
                 score = model.value.score(pooled(data, offsets, model.value.vectors))
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(score)).select(names).columns, pa.array(score, pa.float64())], names=[*names, "__score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, len(score)).select(names).columns, pa.array(score, pa.float64())], names=[*names, score_col])
 
     return run
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__score``, the probability of label 1; a null text scores as an empty one."""
+def score_quality(docs: DataFrame, model: QualityModel, score_col: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the new column ``score_col``, the probability of label 1; a null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: BUCKETS x DIMS numbers
     names = docs.columns
-    schema = type(docs.schema)([*docs.schema.fields]).add("__score", "double")
-    return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(_scored(shared, names), schema)
+    schema = type(docs.schema)([*docs.schema.fields]).add(score_col, "double")
+    text = free_name(docs, "__text")
+    return docs.withColumn(text, F.col(text_col).cast("string")).mapInArrow(_scored(shared, names, text, score_col), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, modulus: int = 4, remainder: int = 2, **options) -> DataFrame:
@@ -189,8 +190,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     model = fit_quality(rows.filter(~held_out(F.col("doc_id"), modulus, remainder)), own.filter(~held_out(F.col("doc_id"), modulus, remainder)), **options)
-    scored = score_quality(rows.withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder)), model)
-    return scored.select("doc_id", "held_out", F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    scored = score_quality(rows.withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder)), model, "score")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -198,4 +199,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **opti
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     fitted = fit_quality(rows.filter(~held_out(F.col("doc_id"), 4, 2)), own.filter(~held_out(F.col("doc_id"), 4, 2)), **options)
-    return score_quality(docs, fitted).filter(F.col("__score") >= threshold).drop("__score")
+    score = free_name(docs, "__score")
+    return score_quality(docs, fitted, score).filter(F.col(score) >= threshold).drop(score)

@@ -10,7 +10,6 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW = "__row"
 #: Rows of texts that travel to and from Python together.
 BATCH_ROWS = 1000
 #: Folders that scopes of scratch tables have written, by scope; the scope that is open now.
@@ -81,9 +80,18 @@ def scratch(spark: SparkSession, scope: str) -> Iterator[None]:
         _open.pop()
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """``df``, written, with a number of its own for each row in ``ROW``; shuffle files of what came before may go."""
-    return cut(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered", release=True)
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` is called so (in capitals or not)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df``, written, with a number of its own for each row in a new column, and that column's name; shuffle files of what came before may go."""
+    row = free_name(df, "__row")
+    return cut(df.withColumn(row, F.monotonically_increasing_id()), "numbered", release=True), row
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, n_rows: int, parts: int = 1024) -> DataFrame:

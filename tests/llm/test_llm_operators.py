@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as pyspark_functions
 
 from orefield.llm import html_text, knn_join, language_id, language_model, mixing, ngram_join, packing, prefix_sums, quality, textnum
 from orefield.llm.components import components
@@ -766,3 +767,14 @@ def test_exact_dedup_of_one_text_on_most_rows(spark):
     for i, t in texts.items():
         groups[norm(t)].append(i)
     assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(i, min(g), len(g), i == min(g)) for g in groups.values() for i in g} and len(got) == 400
+
+
+def test_columns_named_like_helpers_stay(spark):
+    """Columns of the caller that are named like the operators' own (in capitals too) come back with what they held."""
+    names = ["__row", "__ROW_", "__text", "__score", "__held", "__mix_spans", "__mix_shard"]
+    docs = make(spark, corpus(spark, 60)).select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: pyspark_functions.concat(pyspark_functions.lit(n), pyspark_functions.col("doc_id")) for n in names})
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality", "0 toxic")
+    for kept in (keep_first(docs), keep_one_of_each(docs), quality.keep_good(docs, labels, threshold=0.0), mixing.mixed_documents(docs), mixing.mixed_documents(docs, shard_col="shard").drop("shard")):
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
