@@ -30,6 +30,8 @@ MOST_SHARERS = 1 << 16
 MOST_LISTED = 1 << 15
 #: Tasks over which the sharers of a widespread shingle are spread.
 SALTS = 256
+#: A cost parameter only: a class carries so many of its tiles, in order, to each of them, to tell which pairs have left from an earlier one.
+FIRST_TILES = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> list[np.ndarray]:
@@ -257,8 +259,8 @@ def _in_blocks(tiles: DataFrame, percent: int, small) -> DataFrame:
 def _tile_pairs(percent: int):
     """Of rows sorted by (unit, n, set): pairs of one unit in different components that sizes and bitmaps let link.
 
-    In a unit of two blocks, a pair has a class of either; in one of a single block, any two. ``met`` holds a class's tiles in order; a pair leaves only
-    from the first tile that both are in, so it leaves once, however many tiles it meets in.
+    In a unit of two blocks, a pair has a class of either; in one of a single block, any two. ``met`` holds a class's first tiles in order; a pair that both
+    lists show to have met in an earlier tile stays. It leaves from the first tile that both are in, and from a later one only where that first one is beyond the lists.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +414,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = apart.groupBy("size", "key1", "key2").agg(F.min("shingle").alias("shingle")).select("shingle")
     tiles = cut(tiles.join(apart, "shingle", "left_semi"), "open-tiles", release=True)
     bits = of_classes(tiles.select("node"), _signatures(n_words, seed), "node long, bits binary").dropDuplicates(["node"])
-    bits = cut(bits.join(tiles.groupBy("node").agg(F.array_sort(F.collect_list("shingle")).alias("met")), "node"), "signatures")
+    met_first = tiles.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("shingle")), 1, FIRST_TILES).alias("met"))
+    bits = cut(bits.join(met_first, "node"), "signatures")
     rest = _in_blocks(tiles, percent, small).join(bits, "node").select(*UNIT, "n", "node", "component", "side", "bits", "met").repartition(*UNIT).sortWithinPartitions(*UNIT, "n", "node")
-    rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long"), "more-pairs", release=True)
+    rest = cut(rest.mapInArrow(_tile_pairs(percent), "a long, b long").distinct(), "more-pairs", release=True)
     rest = cut(rest.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "new-pairs")
     if not rest.isEmpty():
         parts = components(links.union(linked(rest)))

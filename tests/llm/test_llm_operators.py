@@ -709,6 +709,40 @@ def test_ngram_join_cuts_large_tiles(spark, monkeypatch):
     assert pairs <= set(met) and set(met.values()) == {1}
 
 
+@pytest.mark.parametrize("carried", [1, 32])
+def test_ngram_join_of_long_texts_carries_few_tiles(spark, monkeypatch, carried):
+    """Long texts that share hundreds of tiles: rows stay small, no link is lost where the first common tile is beyond what is carried."""
+    monkeypatch.setattr(ngram_join, "FIRST_TILES", carried)
+    rng = random.Random(8)
+    base, rows = [f"b{i}" for i in range(4000)], []
+    for i in range(12):
+        start, text = rng.randrange(3000), list(base)
+        text[start : start + (300, 480, 700, 950)[i % 4]] = [f"o{i}x{j}" for j in range(300)]
+        rows.append((i, " ".join(text), "en", "a"))
+    docs, carry = make(spark, rows), []
+    pairs = ngram_join._tile_pairs
+    monkeypatch.setattr(ngram_join, "cut", lambda df, name, **more: (carry.append(cut(df, name)) or carry[-1]) if name == "signatures" else cut(df, name, **more))
+    found = ngram_jaccard_join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_components(docs.collect())[0])
+    assert all(len(r.met) <= carried for r in carry[0].collect())
+
+    # Two classes in the same hundred tiles leave once where their lists show it, and never less than once.
+    tiles, bits = list(range(100, 200)), ngram_join.bitmap(np.arange(100, dtype=np.uint64), 1024).tobytes()
+    at = [(t, 0, 0, 0, 0, 100, node, node, 0, bits, tiles[:carried]) for t in tiles for node in (1, 2)]
+    types = [pa.int64()] * 8 + [pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*at), types)], names=[*ngram_join.UNIT, "n", "node", "component", "side", "bits", "met"])
+    assert [r for b in pairs(80)(iter([batch])) for r in b.to_pylist()] == [{"a": 2, "b": 1}]
+
+
+def test_ngram_join_of_very_long_texts(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**5)}" for _ in range(200_000)]
+    near, far = [w if i % 60 else "x" for i, w in enumerate(long)], [w if i % 18 else "y" for i, w in enumerate(long)]
+    docs = make(spark, [(i, " ".join(t), "en", "a") for i, t in enumerate((long, near, far, long))])
+    found = ngram_jaccard_join(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_components(docs.collect())[0])
+
+
 def test_sharers_of_one_shingle_leave_in_parts(monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_SHARERS", 50)
     rows = sorted([(5, i // 2, 9) for i in range(2000)] + [(s, 1, 9) for s in (2, 3, 8)] + [(7, 1, 9), (7, 2, 9), (4, 1, 9), (4, 1, 9)])
