@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions.strings import local_name, names_match
-from orefield.operators.graph import match, typed
+from orefield.operators.graph import match
+from orefield.operators.terms import TEXTS, Texts
 from orefield.schema import ONTO, PROPERTY_TYPES, TYPE
 
 
@@ -15,11 +16,15 @@ def as_links(rows: DataFrame) -> DataFrame:
     return rows.select("s", "p", "o", F.lit("uri").alias("o_kind"), null.alias("datatype"), null.alias("lang"))
 
 
-def property_chains(triples: DataFrame, chains: DataFrame) -> DataFrame:
-    """New triples (s, r, o) for s -p-> x -q-> o, s a material; ``chains`` (first, second, inferred) is a table of rules."""
+def property_chains(triples: DataFrame, chains: DataFrame, terms: Texts = TEXTS) -> DataFrame:
+    """New triples (s, r, o) for s -p-> x -q-> o, s a material; ``chains`` (first, second, inferred) is a table of rules.
+
+    Of a graph whose s and o are numbers (``terms``), so are those of what is found; here and below.
+    """
     rules = F.broadcast(chains.select(*[F.concat(F.lit(ONTO), c).alias(c) for c in ("first", "second", "inferred")]))
     left = triples.filter("o_kind = 'uri'").join(rules, F.col("p") == F.col("first")).select("s", F.col("o").alias("x"), "second", "inferred")
-    left = left.join(typed(triples, "MOF"), "s", "left_semi")
+    materials = triples.filter((F.col("p") == TYPE) & (F.col("o") == terms.of(ONTO + "MOF"))).select("s")
+    left = left.join(materials, "s", "left_semi")
     right = triples.filter("o_kind = 'uri'").select(F.col("s").alias("x"), F.col("p").alias("second"), "o")
     found = left.join(right, ["x", "second"]).select("s", F.col("inferred").alias("p"), "o").distinct()
     return as_links(found.join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
@@ -40,42 +45,49 @@ def property_values(triples: DataFrame) -> DataFrame:
     return owned_properties(triples).join(name, "node").join(value, "node", "left").join(unit, "node", "left").select("s", "node", "name", "value", "unit")
 
 
-def capabilities_from_names(triples: DataFrame, rules: DataFrame) -> DataFrame:
+def capabilities_from_names(triples: DataFrame, rules: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """(s, capability, rule_id) where a property's name matches a rule's (rule_id, property, capability), unless s links to it already."""
     names = match(triples, p="hasPropertyName", names=("node", "name"))
     # Rules meet the different names, which are few; rows then meet them by equality.
-    fits = names.select("name").distinct().join(F.broadcast(rules), names_match(F.col("name"), F.col("property"))).select("name", "capability", "rule_id")
+    fits = terms.different(names, "name").join(F.broadcast(rules), names_match(F.col("text"), F.col("property"))).select("name", "capability", "rule_id")
     found = owned_properties(triples).join(names.join(F.broadcast(fits), "name"), "node").select("s", "capability", "rule_id").distinct()
-    return _new(triples, found)
+    return _new(triples, found, terms)
 
 
-def capabilities_from_functionalization(triples: DataFrame, word: str, capability: str, rule_id: int) -> DataFrame:
-    kinds = match(triples, p="hasFunctionalizationType", names=("f", "kind")).filter(F.lower(local_name(F.col("kind"))).contains(word))
+def capabilities_from_functionalization(triples: DataFrame, word: str, capability: str, rule_id: int, terms: Texts = TEXTS) -> DataFrame:
+    kinds = match(triples, p="hasFunctionalizationType", names=("f", "kind"))
+    kinds = kinds.join(terms.different(kinds, "kind").filter(F.lower(local_name(F.col("text"))).contains(word)), "kind", "left_semi")
     found = match(triples, p="hasFunctionalization", names=("s", "f")).join(kinds, "f").select("s").distinct()
-    return _new(triples, found.select("s", F.lit(capability).alias("capability"), F.lit(rule_id).alias("rule_id")))
+    return _new(triples, found.select("s", F.lit(capability).alias("capability"), F.lit(rule_id).alias("rule_id")), terms)
 
 
-def capabilities_from_values(triples: DataFrame, thresholds: DataFrame) -> DataFrame:
+def capabilities_from_values(triples: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """(s, capability, rule_id) where a value lies in a rule's range (rule_id, property, low, high, unit, capability); a null unit fits all."""
     rules = F.broadcast(thresholds.withColumnRenamed("unit", "rule_unit"))
-    names = match(triples, p="hasPropertyName", names=("node", "name")).select("name").distinct()
-    rules = F.broadcast(names.join(rules, F.lower("name").contains(F.lower("property"))).drop("property"))
-    fits = F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf"))))
-    fits = fits & (F.col("rule_unit").isNull() | F.coalesce(F.col("unit").contains(F.col("rule_unit")), F.lit(True)))
-    found = property_values(triples).join(rules, "name").filter(fits).select("s", "capability", "rule_id").distinct()
-    return _new(triples, found)
-
-
-def held_capabilities(triples: DataFrame) -> DataFrame:
+    names = match(triples, p="hasPropertyName", names=("node", "name"))
+    rules = F.broadcast(terms.different(names, "name").join(rules, F.lower("text").contains(F.lower("property"))).drop("property", "text"))
+    # Only what has a fitting name needs its value's text.
+    rows = names.join(rules, "name").drop("name").join(match(triples, p="hasValue", names=("node", "value")), "node")
+    rows = terms.text(rows, "value").withColumn("value", F.col("value").try_cast("double"))
+    rows = rows.filter(F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf")))))
+    rows = terms.text(rows.join(match(triples, p="hasUnits", names=("node", "unit")), "node", "left"), "unit")
+    rows = rows.filter(F.col("rule_unit").isNull() | F.coalesce(F.col("unit").contains(F.col("rule_unit")), F.lit(True)))
+    found = owned_properties(triples).join(rows.select("node", "capability", "rule_id"), "node").select("s", "capability", "rule_id").distinct()
+    return _new(triples, found, terms)
+
+
+def held_capabilities(triples: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """(s, capability): by the local names of the capability nodes that a subject links to, and of their classes."""
     has = match(triples, p="hasCapability", names=("s", "node"))
-    kinds = match(triples, p=TYPE, names=("node", "kind")).filter(F.col("kind").startswith(ONTO))
-    kinds = has.select("node").distinct().join(kinds, "node").select("node", local_name(F.col("kind")).alias("capability"))
-    return has.select("s", local_name(F.col("node")).alias("capability")).union(has.join(F.broadcast(kinds), "node").select("s", "capability")).distinct()
+    nodes = has.select("node").distinct()
+    kinds = match(triples, p=TYPE, names=("node", "kind")).join(nodes, "node", "left_semi")
+    kinds = kinds.join(terms.different(kinds, "kind").filter(F.col("text").startswith(ONTO)), "kind").select("node", "text")
+    named = terms.different(nodes, "node").unionByName(kinds).select("node", local_name(F.col("text")).alias("capability"))
+    return has.join(named, "node").select("s", "capability").distinct()
 
 
-def _new(triples: DataFrame, found: DataFrame) -> DataFrame:
-    return found.join(held_capabilities(triples), ["s", "capability"], "left_anti")
+def _new(triples: DataFrame, found: DataFrame, terms: Texts) -> DataFrame:
+    return found.join(held_capabilities(triples, terms), ["s", "capability"], "left_anti")
 
 
 def first_rule(found: DataFrame) -> DataFrame:
@@ -87,11 +99,17 @@ def rule_counts(found: DataFrame) -> DataFrame:
     return first_rule(found).groupBy("rule_id", "capability").agg(F.count("*").alias("n"))
 
 
-def capability_triples(found: DataFrame) -> DataFrame:
-    return as_links(first_rule(found).select("s", F.lit(ONTO + "hasCapability").alias("p"), F.concat(F.lit(ONTO), "capability").alias("o")))
+def capability_triples(found: DataFrame, terms: Texts = TEXTS) -> DataFrame:
+    return as_links(terms.number(first_rule(found).select("s", F.lit(ONTO + "hasCapability").alias("p"), F.concat(F.lit(ONTO), "capability").alias("o")), "o"))
+
+
+def capabilities(triples: DataFrame, name_rules: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
+    """(s, capability, rule_id) by all rules."""
+    by_name, by_value = capabilities_from_names(triples, name_rules, terms), capabilities_from_values(triples, thresholds, terms)
+    return by_name.unionByName(capabilities_from_functionalization(triples, "amine", "DirectAirCapture", 100, terms)).unionByName(by_value)
 
 
-def enrich(triples: DataFrame, chains: DataFrame, name_rules: DataFrame, thresholds: DataFrame) -> DataFrame:
+def enrich(triples: DataFrame, chains: DataFrame, name_rules: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """The graph, a set of triples, with chains and capabilities added: what is added is new, so nothing needs to be told apart again."""
-    found = capabilities_from_names(triples, name_rules).unionByName(capabilities_from_functionalization(triples, "amine", "DirectAirCapture", 100)).unionByName(capabilities_from_values(triples, thresholds))
-    return triples.unionByName(property_chains(triples, chains)).unionByName(capability_triples(found))
+    found = capabilities(triples, name_rules, thresholds, terms)
+    return triples.unionByName(property_chains(triples, chains, terms)).unionByName(capability_triples(found, terms))

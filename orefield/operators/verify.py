@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from orefield.functions.strings import local_name
 from orefield.operators.graph import match
+from orefield.operators.terms import TEXTS, Texts
 from orefield.schema import ONTO, TYPE
 
 
 def data_integrity(base: DataFrame, enriched: DataFrame) -> DataFrame:
-    """One row: triples lost, triples added, pass or fail."""
-    # Triples meet by two hashes: 16 bytes cross the network in place of three texts.
-    keys = [F.xxhash64("s", "p", "o").alias("h1"), F.xxhash64(F.lit(1), "o", "s", "p").alias("h2")]
-    marks = base.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("e")).unionByName(enriched.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("e"))).groupBy("h1", "h2").agg(F.max("b").alias("b"), F.max("e").alias("e"))
+    """One row: triples lost, triples added, pass or fail. Both graphs as texts, or both as numbers of the same terms."""
+    if dict(base.dtypes)["s"] == "bigint":
+        keys = ["s", "p", "o"]
+        sides = [g.select(*keys, F.lit(b).alias("b"), F.lit(1 - b).alias("e")) for b, g in ((1, base), (0, enriched))]
+    else:
+        # Triples meet by two hashes: 16 bytes cross the network in place of three texts.
+        keys = ["h1", "h2"]
+        hashes = F.xxhash64("s", "p", "o").alias("h1"), F.xxhash64(F.lit(1), "o", "s", "p").alias("h2")
+        sides = [g.select(*hashes, F.lit(b).alias("b"), F.lit(1 - b).alias("e")) for b, g in ((1, base), (0, enriched))]
+    marks = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.max("b").alias("b"), F.max("e").alias("e"))
     out = marks.agg(F.count_if((F.col("b") == 1) & (F.col("e") == 0)).alias("lost"), F.count_if((F.col("b") == 0) & (F.col("e") == 1)).alias("added"))
     return out.withColumn("status", F.when(F.col("lost") == 0, "PASS").otherwise("FAIL"))
 
@@ -65,9 +72,10 @@ def capability_distribution(triples: DataFrame) -> DataFrame:
     return each.groupBy("n_capabilities").agg(F.count("*").alias("n_mof"))
 
 
-def sample_inferences(base: DataFrame, enriched: DataFrame, each: int = 5) -> DataFrame:
-    """The first ``each`` added triples of each predicate."""
+def sample_inferences(base: DataFrame, enriched: DataFrame, each: int = 5, terms: Texts = TEXTS) -> DataFrame:
+    """The first ``each`` added triples of each predicate, as texts."""
     added = enriched.select("s", "p", "o").join(base.select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    added = terms.text(terms.text(added, "s"), "o")
     return added.withColumn("rn", F.row_number().over(Window.partitionBy("p").orderBy("s", "o"))).filter(F.col("rn") <= each).drop("rn")
 
 

@@ -41,6 +41,15 @@ def some(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return star.graph(spark, sf, *kinds)
 
 
+#: Texts that rules add to a graph or look for in it.
+CONSTANTS = [ONTO + x for x in sorted({"MOF", "DirectAirCapture", *[r[-1] for r in NAME_RULES], *[r[-1] for r in THRESHOLDS]})]
+
+
+def numbered(spark: SparkSession, sf: str, *kinds: str):
+    """The triples of the named kinds with numbers for terms, and the terms' table."""
+    return star.encoded(spark, sf, CONSTANTS, *kinds)
+
+
 def fresh(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """The triples of one kind of row, made anew."""
     return T.assemble([star.parts(spark, sf)[kind]])
@@ -100,9 +109,15 @@ _CH = ", ".join(f"({O}{a}', {O}{b}', {O}{c}')" for a, b, c in CHAINS)
 _SYN = ("materials", "synthesis_links", "condition_links", "solvent_links")
 
 
+def _chains(spark):
+    return spark.createDataFrame(CHAINS, "first string, second string, inferred string")
+
+
 @query("I1_property_chains", GRAPH(*_SYN) + f" SELECT DISTINCT a.s, c.r AS p, b.o FROM triples a JOIN (VALUES {_CH}) c(p1, p2, r) ON a.p = c.p1 JOIN triples b ON b.p = c.p2 AND a.o = b.s WHERE a.s IN (SELECT s FROM triples WHERE p = {TY} AND o = {O}MOF')")
 def _(spark, sf):
-    return I.property_chains(some(spark, sf, *_SYN), spark.createDataFrame(CHAINS, "first string, second string, inferred string")).select("s", "p", "o")
+    graph, terms = numbered(spark, sf, *_SYN)
+    found = I.property_chains(graph, _chains(spark), terms).select("s", "p", "o")
+    return terms.text(terms.text(found, "s"), "o")
 
 
 _PV = ("materials", "properties", "property_links", "capabilities", "capability_kinds", "functionalizations", "functionalization_types")
@@ -124,22 +139,25 @@ def _rules(spark):
 
 @query("I2_capability_from_property_name", GRAPH(*_PV) + f", {_OWN} {_BY_NAME}")
 def _(spark, sf):
-    return I.capabilities_from_names(some(spark, sf, *_PV), _rules(spark)[0])
+    graph, terms = numbered(spark, sf, *_PV)
+    return terms.text(I.capabilities_from_names(graph, _rules(spark)[0], terms), "s")
 
 
 @query("I3_capability_from_functionalization", GRAPH(*_PV) + f", {_OWN} {_BY_FUNC}")
 def _(spark, sf):
-    return I.capabilities_from_functionalization(some(spark, sf, *_PV), "amine", "DirectAirCapture", 100)
+    graph, terms = numbered(spark, sf, *_PV)
+    return terms.text(I.capabilities_from_functionalization(graph, "amine", "DirectAirCapture", 100, terms), "s")
 
 
 @query("I4_capability_from_threshold", GRAPH(*_PV) + f", {_OWN} {_BY_VALUE}")
 def _(spark, sf):
-    return I.capabilities_from_values(some(spark, sf, *_PV), _rules(spark)[1])
+    graph, terms = numbered(spark, sf, *_PV)
+    return terms.text(I.capabilities_from_values(graph, _rules(spark)[1], terms), "s")
 
 
 def _found(spark, sf):
-    graph, (names, limits) = some(spark, sf, *_PV), _rules(spark)
-    return I.capabilities_from_names(graph, names).unionByName(I.capabilities_from_functionalization(graph, "amine", "DirectAirCapture", 100)).unionByName(I.capabilities_from_values(graph, limits))
+    graph, terms = numbered(spark, sf, *_PV)
+    return I.capabilities(graph, *_rules(spark), terms), terms
 
 
 _ALL = f"f AS ({_BY_NAME} UNION ALL {_BY_VALUE} UNION ALL {_BY_FUNC}), r AS (SELECT s, capability, min(rule_id) AS rule_id FROM f GROUP BY 1, 2)"
@@ -147,12 +165,13 @@ _ALL = f"f AS ({_BY_NAME} UNION ALL {_BY_VALUE} UNION ALL {_BY_FUNC}), r AS (SEL
 
 @query("I5_rule_priority", GRAPH(*_PV) + f", {_OWN}, {_ALL} SELECT * FROM r")
 def _(spark, sf):
-    return I.first_rule(_found(spark, sf))
+    found, terms = _found(spark, sf)
+    return terms.text(I.first_rule(found), "s")
 
 
 @query("I6_enrichment_counts", GRAPH(*_PV) + f", {_OWN}, {_ALL} SELECT rule_id, capability, count(*) AS n FROM r GROUP BY 1, 2")
 def _(spark, sf):
-    return I.rule_counts(_found(spark, sf))
+    return I.rule_counts(_found(spark, sf)[0])
 
 
 _CHSQL = f"SELECT DISTINCT a.s, c.r AS p, b.o FROM triples a JOIN (VALUES {_CH}) c(p1, p2, r) ON a.p = c.p1 JOIN triples b ON b.p = c.p2 AND a.o = b.s WHERE a.s IN (SELECT s FROM triples WHERE p = {TY} AND o = {O}MOF')"
@@ -161,8 +180,9 @@ _RICH = f"{_OWN}, {_ALL}, rich AS (SELECT s, p, o FROM triples UNION {_CHSQL} UN
 
 
 def _both(spark, sf):
-    base, (names, limits) = some(spark, sf, *_EN), _rules(spark)
-    return base, I.enrich(base, spark.createDataFrame(CHAINS, "first string, second string, inferred string"), names, limits)
+    """The graph and the enriched graph, in numbers, and the terms' table."""
+    base, terms = numbered(spark, sf, *_EN)
+    return base, I.enrich(base, _chains(spark), *_rules(spark), terms), terms
 
 
 @query("I7_enriched_graph", GRAPH(*_EN) + f", {_RICH} SELECT {LN('p')} AS relation, count(*) AS n FROM rich GROUP BY 1")
@@ -176,22 +196,24 @@ _LOST = "SELECT (SELECT count(*) FROM (SELECT s, p, o FROM triples EXCEPT SELECT
 
 @query("V1_data_integrity", GRAPH(*_EN) + f", {_RICH}, l AS ({_LOST('rich')}) SELECT *, CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM l")
 def _(spark, sf):
-    return V.data_integrity(*_both(spark, sf))
+    return V.data_integrity(*_both(spark, sf)[:2])
 
 
 #: What a damaged graph lacks.
 _DAMAGED = f"damaged AS (SELECT * FROM rich WHERE NOT {P('hasUnits')} AND NOT ({P('hasLinker')} AND ends_with(s, '7')))"
 
 
-def damaged(rich: DataFrame) -> DataFrame:
-    """An enriched graph without its units and a part of its linkers."""
-    return rich.filter((F.col("p") != ONTO + "hasUnits") & ~((F.col("p") == ONTO + "hasLinker") & F.col("s").endswith("7")))
+def damaged(base: DataFrame, rich: DataFrame, terms) -> DataFrame:
+    """An enriched graph without its units and a part of its linkers, told by the texts of those that have any."""
+    linked = base.filter(F.col("p") == ONTO + "hasLinker")
+    gone = terms.different(linked, "s").filter(F.col("text").endswith("7")).select("s", F.lit(ONTO + "hasLinker").alias("p"))
+    return rich.filter(F.col("p") != ONTO + "hasUnits").join(gone, ["s", "p"], "left_anti")
 
 
 @query("V1_data_integrity_with_losses", GRAPH(*_EN) + f", {_RICH}, {_DAMAGED}, l AS ({_LOST('damaged')}) SELECT *, CASE WHEN lost = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM l")
 def _(spark, sf):
-    base, rich = _both(spark, sf)
-    return V.data_integrity(base, damaged(rich))
+    base, rich, terms = _both(spark, sf)
+    return V.data_integrity(base, damaged(base, rich, terms))
 
 
 @query("V2_missing_inverses", GRAPH("linker_links", "topology_links") + f" SELECT s, o FROM triples t WHERE {P('hasLinker')} AND NOT EXISTS (SELECT 1 FROM triples u WHERE u.s = t.o AND u.o = t.s AND u.{P('usedInMOF')}) UNION ALL SELECT s, o FROM triples WHERE {P('hasTopology')}")
@@ -207,7 +229,7 @@ def _(spark, sf):
 
 @query("V4_inference_ratio", GRAPH(*_EN) + f", {_RICH}, z AS (SELECT (SELECT count(*) FROM triples) AS n_base, (SELECT count(*) FROM rich) AS n_enriched) SELECT *, round((n_enriched - n_base) / n_base, 6) AS ratio, CASE WHEN round((n_enriched - n_base) / n_base, 6) BETWEEN 0.001 AND 0.5 THEN 'PASS' ELSE 'WARN' END AS status FROM z")
 def _(spark, sf):
-    return V.inference_ratio(*_both(spark, sf))
+    return V.inference_ratio(*_both(spark, sf)[:2])
 
 
 _DJ = ", ".join(f"('{a}', '{b}')" for a, b in DISJOINT)
@@ -227,9 +249,9 @@ def _(spark, sf):
 
 @query("V8_sample_inferences", GRAPH(*_SYN) + f", c AS ({_CHSQL}), x AS (SELECT *, CAST(row_number() OVER (PARTITION BY p ORDER BY s, o) AS INTEGER) AS rn FROM c) SELECT s, p, o FROM x WHERE rn <= 5")
 def _(spark, sf):
-    base = some(spark, sf, *_SYN)
-    rich = base.unionByName(I.property_chains(base, spark.createDataFrame(CHAINS, "first string, second string, inferred string")))
-    return V.sample_inferences(base, rich).select("s", "p", "o")
+    base, terms = numbered(spark, sf, *_SYN)
+    rich = base.unionByName(I.property_chains(base, _chains(spark), terms))
+    return V.sample_inferences(base, rich, terms=terms).select("s", "p", "o")
 
 
 _BAND = "SELECT CASE WHEN round(({0} - n_base) / n_base, 6) BETWEEN 0.001 AND 0.5 THEN 'PASS' ELSE 'WARN' END".format
@@ -239,8 +261,8 @@ _STATUS = f"""z AS (SELECT (SELECT count(*) FROM triples) AS n_base, (SELECT cou
 
 @query("V9_overall_status", GRAPH(*_EN) + f", {_RICH}, {_DAMAGED}, {_STATUS} SELECT graph, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' WHEN bool_or(status = 'WARN') THEN 'WARN' ELSE 'PASS' END AS status FROM c GROUP BY 1")
 def _(spark, sf):
-    base, rich = _both(spark, sf)
-    found = [(name, V.data_integrity(base, g).select("status").union(V.inference_ratio(base, g).select("status"))) for name, g in (("whole", rich), ("damaged", damaged(rich)))]
+    base, rich, terms = _both(spark, sf)
+    found = [(name, V.data_integrity(base, g).select("status").union(V.inference_ratio(base, g).select("status"))) for name, g in (("whole", rich), ("damaged", damaged(base, rich, terms)))]
     out = [V.overall_status(checks).select(F.lit(name).alias("graph"), "status") for name, checks in found]
     return out[0].unionByName(out[1])
 
@@ -262,12 +284,13 @@ def _(spark, sf):
 
 @query("V11_capability_distribution", GRAPH(*_PV) + f", {_OWN}, {_ALL}, e AS (SELECT s, count(DISTINCT capability) AS n_capabilities FROM r GROUP BY 1) SELECT n_capabilities, count(*) AS n_mof FROM e GROUP BY 1")
 def _(spark, sf):
-    return V.capability_distribution(I.capability_triples(_found(spark, sf)))
+    found, terms = _found(spark, sf)
+    return V.capability_distribution(I.capability_triples(found, terms))
 
 
 @query("V12_summary_difference", GRAPH(*_EN) + f", {_RICH}, d AS (SELECT s, p, o FROM rich EXCEPT SELECT s, p, o FROM triples) SELECT {LN('p')} AS relation, count(*) AS n_added, round(count(*) / (SELECT count(*) FROM triples), 6) AS ratio FROM d GROUP BY 1")
 def _(spark, sf):
-    return V.summary_difference(*_both(spark, sf))
+    return V.summary_difference(*_both(spark, sf)[:2])
 
 
 _ST = ("materials", "linkers", "linker_links", "topology_links", "metal_links", "properties")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions.strings import extract_doi, mint
+from orefield.operators import terms
 from orefield.operators.triples import Attribute, entity_triples, link_triples
 from orefield.schema import TRIPLE_COLUMNS
 from orefield.sources.stored import written_once
@@ -161,6 +162,30 @@ def graph(spark: SparkSession, sf: str, *kinds: str) -> DataFrame:
     return reduce(DataFrame.unionByName, read)
 
 
+#: The kinds of rows that enrichment reads.
+ENCODED = (
+    "materials", "properties", "property_links", "capabilities", "capability_kinds", "functionalizations", "functionalization_types", "synthesis_links", "condition_links",
+    "solvent_links", "linker_links", "derivatives",
+)
+NUMBERED = "s long, o long, o_kind string, datatype string, lang string, kind string, p string"
+
+
+def encoded(spark: SparkSession, sf: str, constants: list[str], *kinds: str) -> tuple[DataFrame, terms.Terms]:
+    """Triples of the named kinds, of those in ``ENCODED``, with s and o as numbers, and the table of the texts; written once in a session, with a folder for each kind and predicate.
+
+    ``constants`` are texts of rules, which need numbers too: the same ones in each call.
+    """
+
+    def write(names: list[str], path: str) -> None:
+        rows = reduce(DataFrame.unionByName, [graph(spark, sf, k).select(F.lit(k).alias("kind"), *TRIPLE_COLUMNS) for k in ENCODED])
+        terms.write(rows, f"{path}/{names[0]}", ["kind", "p"], constants)
+
+    graph(spark, sf, *ENCODED)
+    (path,) = written_once(spark, ["encoded"], [f"{sf}/{t}.parquet" for t in SOURCES], write)
+    rows = spark.read.schema(NUMBERED).parquet(f"{path}/triples").filter(F.col("kind").isin(list(kinds)))
+    return rows.select(*TRIPLE_COLUMNS), terms.read(spark, path)
+
+
 _K, _O = "'http://example.org/kg#", "'http://example.org/onto#"
 _TYPE = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
 
