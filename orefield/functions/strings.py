@@ -174,8 +174,8 @@ def formula_fractions(formula: Column, elements: list[str]) -> Column:
 
 
 def ngram_features(s: Column, n_bits: int = 32, n: int = 3) -> Column:
-    """Mean over ``;``-separated parts of hashed character n-gram bits; zeros where there is no part."""
-    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.pmod(F.crc32(F.substr(t, i, F.lit(n)).cast("binary")), F.lit(n_bits)))
+    """Mean over ``;``-separated parts of character n-gram bits, by the first 32 bits of an n-gram's md5; zeros where there is no part."""
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - n + 1, F.lit(1))), lambda i: F.pmod(F.conv(F.substring(F.md5(F.substr(t, i, F.lit(n)).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n_bits)))
     parts = F.transform(tokens(s), grams)
     return F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)), lambda b: F.coalesce(F.size(F.filter(parts, lambda g: F.array_contains(g, b.cast("long")))) / F.nullif(F.size(parts), F.lit(0)), F.lit(0.0)))
 

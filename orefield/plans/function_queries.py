@@ -94,7 +94,16 @@ columns(
 )
 
 
-@query("F28_ngram_features")
+_GRAMS = "list_transform(generate_series(1, greatest(length(part) - 2, 1)), lambda i: CAST('0x' || substr(md5(substr(part, i, 3)), 1, 8) AS BIGINT) % 16)"
+
+
+@query(
+    "F28_ngram_features",
+    f"""WITH t AS (SELECT p_partkey, trim(unnest(string_split(concat_ws(';', p_name, p_brand), ';'))) AS part FROM part), g AS (SELECT p_partkey, {_GRAMS} AS grams FROM t WHERE part <> ''),
+ b AS (SELECT p_partkey, bit, avg(CASE WHEN list_contains(grams, bit) THEN 1.0 ELSE 0.0 END) AS x FROM g, range(16) r(bit) GROUP BY 1, 2),
+ s AS (SELECT p_partkey, string_agg(CAST(CAST(x AS DOUBLE) AS VARCHAR), ';' ORDER BY bit) AS bits FROM b GROUP BY 1)
+ SELECT p_partkey, coalesce(bits, '{";".join(["0.0"] * 16)}') AS bits FROM part LEFT JOIN s USING (p_partkey)""",
+)
 def _(spark, sf):
     bits = S.ngram_features(F.concat_ws(";", "p_name", "p_brand"), 16)
     return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(bits, lambda x: x.cast("string")), ";").alias("bits"))

@@ -1,4 +1,4 @@
-"""Registered queries that fit models; their results are checked by invariants."""
+"""Registered queries that fit models or compose vectors; without a SQL twin, invariants check their results."""
 
 from __future__ import annotations
 
@@ -16,9 +16,11 @@ QUERIES, ORACLE_SQL = {}, {}
 c = F.col
 
 
-def query(name):
+def query(name, sql=None):
     def register(f):
         QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
         return f
 
     return register
@@ -141,17 +143,27 @@ def _(spark, sf):
     return L.projected_directions(v, "vec_id", "embedding", places, means)
 
 
-@query("R17_hypothetical_pairs")
+_KIND = "concat_ws('-', p_type, CAST(p_partkey % 40 AS VARCHAR))"
+_MEAN = "SELECT {0} AS k, i, avg(CAST(embedding[i] AS DOUBLE)) AS x, count(*) AS n FROM part JOIN embeddings ON vec_id = p_partkey, range(1, 65) r(i) GROUP BY 1, 2 HAVING count(*) >= {1}".format
+_FIRST = "{0}.k IN (SELECT k FROM (SELECT DISTINCT k, n FROM {0}) ORDER BY n DESC, k LIMIT 100)".format
+
+
+@query(
+    "R17_hypothetical_pairs",
+    f"""WITH a AS ({_MEAN('p_brand', 5)}), b AS ({_MEAN(_KIND, 1)}), g AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS x FROM embeddings, range(1, 65) r(i) WHERE label = 0 GROUP BY 1),
+ p AS (SELECT a.k AS p_brand, b.k AS kind, round(sum((a.x + b.x) / 2 * g.x) / sqrt(sum((a.x + b.x) / 2 * (a.x + b.x) / 2) * sum(g.x * g.x)), 6) AS score FROM a JOIN b USING (i) JOIN g USING (i) WHERE {_FIRST('a')} AND {_FIRST('b')} GROUP BY 1, 2)
+ SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.p_brand = p.p_brand AND {_KIND} = p.kind) ORDER BY score DESC, p_brand, kind LIMIT 5000""",
+)
 def _(spark, sf):
-    """Component pairs never seen together, by the cosine of their mean vectors to a class's mean."""
+    """Component pairs never seen together, of the hundred most frequent of either, by the cosine of their mean vectors to a class's mean."""
     from orefield.functions import vectors as V
 
     v = vectors(spark, sf)
-    links = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_brand", "p_type")
-    a = E.component_vectors(links, v, "vec_id", "p_brand", "embedding", 64, 5).select("p_brand", c("embedding").alias("va"))
-    b = E.component_vectors(links.withColumn("kind", F.concat_ws("-", "p_type", (c("vec_id") % 40).cast("string"))), v, "vec_id", "kind", "embedding", 64, 1).select("kind", c("embedding").alias("vb"))
-    seen = links.select("p_brand", F.concat_ws("-", "p_type", (c("vec_id") % 40).cast("string")).alias("kind")).distinct()
+    links = table(spark, sf, "part").select(c("p_partkey").alias("vec_id"), "p_brand", F.concat_ws("-", "p_type", (c("p_partkey") % 40).cast("string")).alias("kind"))
+    first = lambda rows, key, name: rows.orderBy(F.desc("n"), key).limit(100).select(key, c("embedding").alias(name))
+    a = first(E.component_vectors(links, v, "vec_id", "p_brand", "embedding", 64, 5), "p_brand", "va")
+    b = first(E.component_vectors(links, v, "vec_id", "kind", "embedding", 64, 1), "kind", "vb")
     goal = V.mean_by(v.filter("label = 0"), "label", "embedding", 64).select(c("embedding").alias("goal"))
-    pairs = a.orderBy("p_brand").limit(100).crossJoin(F.broadcast(b.orderBy("kind").limit(100))).join(seen, ["p_brand", "kind"], "left_anti").crossJoin(F.broadcast(goal))  # at most 100 x 100 pairs
+    pairs = a.crossJoin(F.broadcast(b)).join(links.select("p_brand", "kind").distinct(), ["p_brand", "kind"], "left_anti").crossJoin(F.broadcast(goal))  # at most 100 x 100 pairs
     composed = F.transform(V.add(c("va"), c("vb")), lambda x: x / 2)
     return pairs.select("p_brand", "kind", F.round(V.cosine(composed, c("goal")), 6).alias("score")).orderBy(F.desc("score"), "p_brand", "kind").limit(5000)
