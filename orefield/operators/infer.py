@@ -25,9 +25,11 @@ def property_chains(triples: DataFrame, chains: DataFrame, terms: Texts = TEXTS)
     left = triples.filter("o_kind = 'uri'").join(rules, F.col("p") == F.col("first")).select("s", F.col("o").alias("x"), "second", "inferred")
     materials = triples.filter((F.col("p") == TYPE) & (F.col("o") == terms.of(ONTO + "MOF"))).select("s")
     left = left.join(materials, "s", "left_semi")
-    right = triples.filter("o_kind = 'uri'").select(F.col("s").alias("x"), F.col("p").alias("second"), "o")
+    # Only the rules' predicates are read and shuffled.
+    right = triples.filter("o_kind = 'uri'").select(F.col("s").alias("x"), F.col("p").alias("second"), "o").join(F.broadcast(rules.select("second").distinct()), "second", "left_semi")
     found = left.join(right, ["x", "second"]).select("s", F.col("inferred").alias("p"), "o").distinct()
-    return as_links(found.join(triples.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
+    known = triples.select("s", "p", "o").join(F.broadcast(rules.select(F.col("inferred").alias("p")).distinct()), "p", "left_semi")
+    return as_links(found.join(known, ["s", "p", "o"], "left_anti"))
 
 
 def owned_properties(triples: DataFrame) -> DataFrame:
@@ -47,22 +49,36 @@ def property_values(triples: DataFrame) -> DataFrame:
 
 def capabilities_from_names(triples: DataFrame, rules: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """(s, capability, rule_id) where a property's name matches a rule's (rule_id, property, capability), unless s links to it already."""
+    return _new(triples, _owners(triples, _named(triples, rules, terms)), terms)
+
+
+def _named(triples: DataFrame, rules: DataFrame, terms: Texts) -> DataFrame:
+    """(node, capability, rule_id)."""
     names = match(triples, p="hasPropertyName", names=("node", "name"))
     # Rules meet the different names, which are few; rows then meet them by equality.
     fits = terms.different(names, "name").join(F.broadcast(rules), names_match(F.col("text"), F.col("property"))).select("name", "capability", "rule_id")
-    found = owned_properties(triples).join(names.join(F.broadcast(fits), "name"), "node").select("s", "capability", "rule_id").distinct()
-    return _new(triples, found, terms)
+    return names.join(F.broadcast(fits), "name").select("node", "capability", "rule_id")
 
 
 def capabilities_from_functionalization(triples: DataFrame, word: str, capability: str, rule_id: int, terms: Texts = TEXTS) -> DataFrame:
+    return _new(triples, _functionalized(triples, word, capability, rule_id, terms), terms)
+
+
+def _functionalized(triples: DataFrame, word: str, capability: str, rule_id: int, terms: Texts) -> DataFrame:
+    """(s, capability, rule_id)."""
     kinds = match(triples, p="hasFunctionalizationType", names=("f", "kind"))
     kinds = kinds.join(terms.different(kinds, "kind").filter(F.lower(local_name(F.col("text"))).contains(word)), "kind", "left_semi")
     found = match(triples, p="hasFunctionalization", names=("s", "f")).join(kinds, "f").select("s").distinct()
-    return _new(triples, found.select("s", F.lit(capability).alias("capability"), F.lit(rule_id).alias("rule_id")), terms)
+    return found.select("s", F.lit(capability).alias("capability"), F.lit(rule_id).alias("rule_id"))
 
 
 def capabilities_from_values(triples: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     """(s, capability, rule_id) where a value lies in a rule's range (rule_id, property, low, high, unit, capability); a null unit fits all."""
+    return _new(triples, _owners(triples, _valued(triples, thresholds, terms)), terms)
+
+
+def _valued(triples: DataFrame, thresholds: DataFrame, terms: Texts) -> DataFrame:
+    """(node, capability, rule_id)."""
     rules = F.broadcast(thresholds.withColumnRenamed("unit", "rule_unit"))
     names = match(triples, p="hasPropertyName", names=("node", "name"))
     rules = F.broadcast(terms.different(names, "name").join(rules, F.lower("text").contains(F.lower("property"))).drop("property", "text"))
@@ -72,8 +88,7 @@ def capabilities_from_values(triples: DataFrame, thresholds: DataFrame, terms: T
     rows = rows.filter(F.col("value").between(F.coalesce("low", F.lit(float("-inf"))), F.coalesce("high", F.lit(float("inf")))))
     rows = terms.text(rows.join(match(triples, p="hasUnits", names=("node", "unit")), "node", "left"), "unit")
     rows = rows.filter(F.col("rule_unit").isNull() | F.coalesce(F.col("unit").contains(F.col("rule_unit")), F.lit(True)))
-    found = owned_properties(triples).join(rows.select("node", "capability", "rule_id"), "node").select("s", "capability", "rule_id").distinct()
-    return _new(triples, found, terms)
+    return rows.select("node", "capability", "rule_id")
 
 
 def held_capabilities(triples: DataFrame, terms: Texts = TEXTS) -> DataFrame:
@@ -86,6 +101,11 @@ def held_capabilities(triples: DataFrame, terms: Texts = TEXTS) -> DataFrame:
     return has.join(named, "node").select("s", "capability").distinct()
 
 
+def _owners(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(s, capability, rule_id) of the materials that own the nodes."""
+    return owned_properties(triples).join(nodes, "node").select("s", "capability", "rule_id").distinct()
+
+
 def _new(triples: DataFrame, found: DataFrame, terms: Texts) -> DataFrame:
     return found.join(held_capabilities(triples, terms), ["s", "capability"], "left_anti")
 
@@ -104,9 +124,9 @@ def capability_triples(found: DataFrame, terms: Texts = TEXTS) -> DataFrame:
 
 
 def capabilities(triples: DataFrame, name_rules: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
-    """(s, capability, rule_id) by all rules."""
-    by_name, by_value = capabilities_from_names(triples, name_rules, terms), capabilities_from_values(triples, thresholds, terms)
-    return by_name.unionByName(capabilities_from_functionalization(triples, "amine", "DirectAirCapture", 100, terms)).unionByName(by_value)
+    """(s, capability, rule_id) by all rules; owners and what is known already are looked up once for all of them."""
+    found = _owners(triples, _named(triples, name_rules, terms).unionByName(_valued(triples, thresholds, terms)))
+    return _new(triples, found.unionByName(_functionalized(triples, "amine", "DirectAirCapture", 100, terms)), terms)
 
 
 def enrich(triples: DataFrame, chains: DataFrame, name_rules: DataFrame, thresholds: DataFrame, terms: Texts = TEXTS) -> DataFrame:
