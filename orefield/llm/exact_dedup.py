@@ -50,7 +50,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ro
     seed = 0
     while True:
         found = norm.select(F.explode(blocks).alias("block")).select(_route(F.col("block"), seed).alias("route"), "block").select("route.*", "block")
-        names = cut(_named(found, ["h1", "h2", "block"]).drop("block"), "block-names")
+        names = cut(_named(found, ["h1", "h2", "block"]).drop("block"), "block-names", release=True)
         if names.groupBy("h1", "h2").count().filter("count > 1").isEmpty():
             break
         seed += 1
@@ -59,7 +59,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ro
             "row", "doc_id", "n_points", F.sha2("norm", 256).alias("text_sha256"),
             F.transform(blocks, lambda b: _route(b, seed)).alias("routes"),
         ).withColumn("n", F.size("routes")),
-        "block-rows",
+        "block-rows", release=True,
     )
     known = ["row", "doc_id", "n_points", "text_sha256"]
     done = rows.filter("n = 1").select(*known, "routes")
@@ -70,7 +70,7 @@ def identities(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, ro
     if most == 1:
         return done[0]
     now = rows.filter("n > 1").select("row", "n", F.posexplode("routes").alias("pos", "route")).select("row", "n", "pos", "route.*")
-    now = cut(_with_names(now, names, ["h1", "h2"]).select("row", "n", "pos", "name"), "name-rows")
+    now = cut(_with_names(now, names, ["h1", "h2"]).select("row", "n", "pos", "name"), "name-rows", release=True)
     for level in range(1, (most - 1).bit_length() + 1):
         pairs = now.groupBy("row", F.expr("pos div 2").cast("int").alias("pos")).agg(
             F.expr("cast((max(n) + 1) div 2 as int)").alias("n"),

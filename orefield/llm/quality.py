@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,18 +63,27 @@ def index_vectors(seed: int) -> np.ndarray:
 
 def word_vectors(bucket: np.ndarray, row: np.ndarray, seed: int) -> np.ndarray:
     """For each bucket the sum of its neighbours' index vectors, at unit length; zero where it never occurs."""
+    return summed_vectors([(bucket, row)], seed)
+
+
+def summed_vectors(parts: Iterable[tuple[np.ndarray, np.ndarray]], seed: int) -> np.ndarray:
+    """``word_vectors`` of tokens that come in parts of whole rows; only one part's tokens are held at once.
+
+    Index vectors hold whole numbers, so sums are exact and don't depend on the parts.
+    """
     index, out = index_vectors(seed), np.zeros((BUCKETS, DIMS), np.float32)
-    for step in range(1, WINDOW + 1):
-        same = row[step:] == row[:-step]
-        left, right = bucket[:-step][same], bucket[step:][same]
-        for word, other in ((left, right), (right, left)):
-            order = np.argsort(word, kind="stable")
-            for some in np.array_split(order, len(order) // 200_000 + 1):
-                if len(some):
-                    first = np.flatnonzero(np.concatenate(([True], word[some][1:] != word[some][:-1])))
-                    out[word[some][first]] += np.add.reduceat(index[other[some]], first)
-    length = np.sqrt(np.square(out).sum(1, keepdims=True))
-    return out / np.maximum(length, 1)
+    for bucket, row in parts:
+        for step in range(1, WINDOW + 1):
+            same = row[step:] == row[:-step]
+            left, right = bucket[:-step][same], bucket[step:][same]
+            for word, other in ((left, right), (right, left)):
+                order = np.argsort(word, kind="stable")
+                for some in np.array_split(order, len(order) // 200_000 + 1):
+                    if len(some):
+                        first = np.flatnonzero(np.concatenate(([True], word[some][1:] != word[some][:-1])))
+                        out[word[some][first]] += np.add.reduceat(index[other[some]], first)
+    out /= np.maximum(np.sqrt(np.square(out).sum(1, keepdims=True)), 1)
+    return out
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -147,18 +157,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_by
     Rows without a label, id or text are not used; of repeated rows one is. Without any row
     of both labels every text scores the share of label 1 (or 0.5).
     """
-    rows = training_rows(docs, labels, max_rows, max_bytes).toArrow().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
-    y = rows.column("quality").to_numpy().astype(np.int64)
+    rows = training_rows(docs, labels, max_rows, max_bytes).toArrow()
+    order = pc.sort_indices(rows, [("doc_id", "ascending"), ("text_hash", "ascending")]).to_numpy()
+    order = order[np.random.default_rng(seed).permutation(len(order))]
+    y = rows.column("quality").to_numpy().astype(np.int64)[order]
     if len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         zero = np.zeros(2 * DIMS + 1)
         return QualityModel(np.zeros((BUCKETS, DIMS), np.float32), zero, zero + 1, np.zeros((len(zero), 1)), np.zeros(1), np.zeros(1), float(np.log(share / (1 - share))), 1.0)
-    mixed_up = np.random.default_rng(seed).permutation(len(y))
-    rows, y = rows.take(pa.array(mixed_up)), y[mixed_up]
-    parts = list(buffers(rows.column("text").combine_chunks()))
-    found = [tokens(data, offsets) for _, data, offsets in parts]
-    vectors = word_vectors(np.concatenate([b for b, _ in found]), np.concatenate([r + first for (_, r), (first, _, _) in zip(found, parts)]), seed)
-    x = np.concatenate([pooled(data, offsets, vectors) for _, data, offsets in parts])
+    texts = rows.column("text").take(pa.array(order)).combine_chunks()
+    del rows
+    vectors = summed_vectors((tokens(data, offsets) for _, data, offsets in buffers(texts)), seed)
+    x = np.concatenate([pooled(data, offsets, vectors) for _, data, offsets in buffers(texts)])
+    del texts
+    pa.default_memory_pool().release_unused()  # the driver goes on without them
     return QualityModel(vectors, *train_network(x, y, seed))
 
 

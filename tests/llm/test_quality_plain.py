@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -132,3 +134,22 @@ def test_whole_score_against_loops():
         h = [math.tanh(sum(v * w for v, w in zip(x, model.w1[:, j])) + model.b1[j]) for j in range(4)]
         z = (sum(a * b for a, b in zip(h, model.w2)) + model.b2) / model.temperature
         assert abs(score - 1 / (1 + math.exp(-z))) < 1e-3
+
+
+def test_training_holds_the_tokens_of_one_part_of_the_texts(monkeypatch):
+    """6 MB of texts: tokens of all of them at once would take ten times as much of the driver's memory."""
+    rng = np.random.default_rng(2)
+    words = np.array([f"w{i}" for i in range(400)])
+    texts = [" ".join(words[rng.integers(0, 400, 4000)]) for _ in range(320)]
+    table = pa.table({"doc_id": list(range(320)), "text_hash": [0] * 320, "text": texts, "quality": [i % 2 for i in range(320)]})
+    monkeypatch.setattr(quality, "training_rows", lambda *_: SimpleNamespace(toArrow=lambda: table))
+    quality.tokens(*columns(texts[:30])[0][1:])  # tables of powers stay
+    tracemalloc.start()
+    try:
+        model = quality.fit_quality(None, None)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    parts = [quality.tokens(data, offsets) for _, data, offsets in columns(texts)]
+    rows = np.concatenate([r + at for (_, r), (at, *_) in zip(parts, columns(texts))])
+    assert np.array_equal(model.vectors, quality.word_vectors(np.concatenate([b for b, _ in parts]), rows, 11))
