@@ -30,6 +30,22 @@ LARGE = ("E", "N", "n")
 DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 
 
+def row_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows of ``x``, of those from each place of ``first`` to the next: neighbours are added in pairs until each has one row.
+
+    What ``np.add.reduceat`` gives, which goes through short groups of wide rows column by column.
+    """
+    n = np.diff(first, append=len(x))
+    while (n > 1).any():
+        even = (np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)) % 2 == 0
+        odd = np.flatnonzero(~even)
+        to = np.cumsum(even)[odd] - 1
+        other, x = x.take(odd, 0), x.take(np.flatnonzero(even), 0)
+        x[to] += other
+        n = (n + 1) // 2
+    return x
+
+
 @dataclass
 class Tree:
     """A Huffman tree over ids: an id's probability is the product of the turns on its way from the root.
@@ -123,7 +139,8 @@ class AttentionModel:
         low = max(len(n) - TOP, 0)
         z = (g @ n[low:].T + bias[low:])[at, np.maximum(node - low, 0)]
         deep = np.flatnonzero(node < low)
-        z[deep] = np.einsum("ij,ij->i", g[at[deep]], n[node[deep]]) + bias[node[deep]]
+        own = node[deep]
+        z[deep] = np.einsum("ij,ij->i", g.take(at[deep], 0), n.take(own, 0)) + bias[own]
         return low, deep, z
 
     def log_of(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -178,13 +195,16 @@ class AttentionModel:
         dg, far = np.zeros_like(f["g"]), near @ p["N"][low:]
         if len(at):
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            far[at[first]] += np.add.reduceat(dz * p["N"][own], first)
+            far[at[first]] += row_sums(dz * p["N"].take(own, 0), first)
         dg[real] = far
-        rows = np.concatenate((own, np.arange(low, len(p["N"]))))
+        by = np.argsort(own, kind="stable")
+        own, dz, at = own[by], dz[by], at[by]
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        rows = np.concatenate((own[first], np.arange(low, len(p["N"]))))
         dh = dg * (1 - f["g"] ** 2)
         flat = lambda t: t.reshape(-1, t.shape[-1])
         e, c = flat(f["e"]), flat(f["c"])
-        out = {"W": e.T @ dh, "O": c.T @ dh, "b": dh.sum(0), "N": (rows, np.concatenate((dz * g[at], near.T @ g))), "n": (rows, np.concatenate((dz, near.sum(0)[:, None])))}
+        out = {"W": e.T @ dh, "O": c.T @ dh, "b": dh.sum(0), "N": (rows, np.concatenate((row_sums(dz * g.take(at, 0), first), near.T @ g))), "n": (rows, np.concatenate((np.add.reduceat(dz[:, 0], first) if len(first) else dz[:, 0], near.sum(0)))[:, None])}
         de, dc = dh @ p["W"].T, (dh @ p["O"].T).reshape(f["c"].shape)
         da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
         ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))

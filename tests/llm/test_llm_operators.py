@@ -554,6 +554,19 @@ def test_gradients_against_differences():
         assert g[at] == pytest.approx((out[0] - out[1]) / 0.02, rel=0.03, abs=1e-5)
 
 
+def test_gradients_of_nodes_are_summed_by_row_against_loops():
+    rng = np.random.default_rng(6)
+    for sizes in ([], [1], [1, 1], [7, 1, 300, 2, 64, 1]):
+        x, first = rng.normal(size=(sum(sizes), 5)), np.cumsum([0, *sizes])[:-1].astype(int)
+        want = [sum(x[a : a + n]) for a, n in zip(first, sizes)]
+        assert np.allclose(language_model.row_sums(x, first), np.reshape(want, (len(sizes), 5)))
+    random = np.random.default_rng(7)
+    model = language_model.AttentionModel.new(random.integers(0, 50, 300).astype(float), 2, 7)
+    found = model.gradients(random.integers(0, 300, (5, 33)))
+    for name in ("N", "n"):
+        assert len(set(found[name][0].tolist())) == len(found[name][0]) == len(found[name][1]) > language_model.TOP
+
+
 def test_windows_of_a_document():
     ids = np.arange(100, 170)
     whole = language_model.windows_of(ids, 2)
