@@ -24,26 +24,41 @@ BATCH = 96
 #: Rows of a large parameter that travel together.
 CHUNK = 512
 TOP = 63
+#: Rows of a group that are added up together with those of other groups.
+LAYERS = 24
 #: How fast small parameters learn beside large ones.
 DENSE = 0.03
 LARGE = ("E", "N", "n")
 DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 
 
-def row_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of consecutive rows of ``x``, of those from each place of ``first`` to the next: neighbours are added in pairs until each has one row.
+def row_sums(x: np.ndarray, first: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+    """Sums of consecutive rows of ``x`` (of ``x[by]``), of those from each place of ``first`` to the next: first rows of all groups, then second ones, and so on.
 
     What ``np.add.reduceat`` gives, which goes through short groups of wide rows column by column.
     """
-    n = np.diff(first, append=len(x))
-    while (n > 1).any():
-        even = (np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)) % 2 == 0
-        odd = np.flatnonzero(~even)
-        to = np.cumsum(even)[odd] - 1
-        other, x = x.take(odd, 0), x.take(np.flatnonzero(even), 0)
-        x[to] += other
-        n = (n + 1) // 2
-    return x
+    by = np.arange(len(x)) if by is None else by
+    n = np.diff(first, append=len(by))
+    order = np.argsort(-n)
+    n, at = n[order], first[order]
+    out = x.take(by[at], 0)
+    for i, more in enumerate(np.searchsorted(-n, -np.arange(1, LAYERS)).tolist(), 1):
+        if not more:
+            break
+        out[:more] += x.take(by[at[:more] + i], 0)
+    for i in range(np.searchsorted(-n, -LAYERS)):
+        out[i] += x.take(by[at[i] + LAYERS : at[i] + n[i]], 0).sum(0)
+    found = np.empty_like(out)
+    found[order] = out
+    return found
+
+
+def sums_by(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, sums of their rows of ``x``)."""
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    return key[first], row_sums(x, first, by)
 
 
 @dataclass
@@ -51,12 +66,14 @@ class Tree:
     """A Huffman tree over ids: an id's probability is the product of the turns on its way from the root.
 
     ``node`` and ``turn`` (1: left, -1: right) hold the ways of all ids, that of id i from ``start[i]`` on; ``bias``: log odds of left, by counts.
+    A way goes up to the root, so its numbers rise: its first ``deep[i]`` nodes are not among the TOP that are near the root.
     """
 
     start: np.ndarray
     node: np.ndarray
     turn: np.ndarray
     bias: np.ndarray
+    deep: np.ndarray
 
     @classmethod
     def of(cls, counts: np.ndarray) -> "Tree":
@@ -83,14 +100,24 @@ class Tree:
             now, at = parent[now], at + 1
         inner, side = parent[: 2 * n - 2] - n, right[: 2 * n - 2]
         left, other = (np.bincount(inner[s], mass[: 2 * n - 2][s], minlength=n - 1) for s in (~side, side))
-        return cls(start, node, turn, np.log(left / other).astype(np.float32))
+        deep = np.concatenate(([0], np.cumsum(node < n - 1 - TOP)))[start]
+        return cls(start, node, turn, np.log(left / other).astype(np.float32), np.diff(deep))
 
-    def ways(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``ids``, node, turn) of each step of the ways to ``ids``, and where each way begins."""
-        n = self.start[ids + 1] - self.start[ids]
+    def near(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of a node near the root in a matrix of a row for each id, turn) of each step there on the ways to ``ids``, and where each way's steps begin."""
+        start, low = self.start[ids] + self.deep[ids], max(len(self.bias) - TOP, 0)
+        n = self.start[ids + 1] - start
         begin = np.cumsum(n) - n
-        at = np.arange(int(n.sum())) + np.repeat(self.start[ids] - begin, n)
-        return np.repeat(np.arange(len(ids)), n), self.node[at], self.turn[at], begin
+        at = np.arange(int(n.sum())) + np.repeat(start - begin, n)
+        return self.node[at] + np.repeat(np.arange(len(ids)) * (len(self.bias) - low) - low, n), self.turn[at], begin
+
+    def levels(self, ids: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """An order of ``ids``, longest ways first, and (node, turn) of their first steps, of their second ones, and so on, below the nodes near the root: each for as many ids as have one."""
+        n = self.deep[ids]
+        order = np.argsort(-n, kind="stable")
+        n, start = n[order], self.start[ids[order]]
+        with_one = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0)).tolist()
+        return order, ((self.node[start[:m] + i], self.turn[start[:m] + i]) for i, m in enumerate(with_one))
 
 
 @dataclass
@@ -114,44 +141,44 @@ class AttentionModel:
         return cls(tree, {k: v.astype(np.float32) for k, v in p.items()}, end_id)
 
     def forward(self, x: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
-        """``g``: what the model knows after each position from ``first`` on; x: [window, position] of ids."""
+        """``g``: what the model knows after each position from ``first`` on; x: [window, position] of ids. ``both``: id vectors there, and what attention brings."""
         p = self.params
         n, w = x.shape
-        e = p["E"][x]
-        late = np.ascontiguousarray(e[:, first:]).reshape(-1, DIMS)
-        q = (late @ p["Q"]).reshape(n, w - first, DIMS)
+        e = p["E"].take(x, 0)
+        both = np.empty((n, w - first, 2 * DIMS), np.float32)
+        both[:, :, :DIMS] = e[:, first:]
+        q = (both.reshape(-1, 2 * DIMS)[:, :DIMS] @ p["Q"]).reshape(n, w - first, DIMS)
         k, v = ((e.reshape(-1, DIMS) @ p[m]).reshape(n, w, DIMS) for m in ("K", "V"))
-        s = q @ k.transpose(0, 2, 1)
-        s += np.where(DISTANCE >= 0, p["D"][np.maximum(DISTANCE, 0)], np.float32(-1e4))[first:w, :w]
-        s -= s.max(2, keepdims=True)
-        a = np.exp(s, out=s)
-        a /= a.sum(2, keepdims=True)
-        c = a @ v
-        g = np.tanh(late @ p["W"] + c.reshape(-1, DIMS) @ p["O"] + p["b"])
-        return {"e": e, "q": q, "k": k, "v": v, "a": a, "c": c, "g": g}
-
-    def logits(self, g: np.ndarray, at: np.ndarray, node: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        """(first node near the root, steps at other nodes, log odds of left) of the steps of ``ways``.
+        a = q @ k.transpose(0, 2, 1)
+        a += np.where(DISTANCE >= 0, p["D"][np.maximum(DISTANCE, 0)], np.float32(-1e4))[first:w, :w]
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+        a *= 1 / (a @ np.ones((w, 1), np.float32))
+        np.matmul(a, v, out=both[:, :, DIMS:])
+        g = both.reshape(-1, 2 * DIMS) @ np.concatenate((p["W"], p["O"]))
+        g += p["b"]
+        return {"e": e, "both": both, "q": q, "k": k, "v": v, "a": a, "g": np.tanh(g, out=g)}
+
+    def log_of(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Natural log probability of ids after ``g``.
 
         Most steps are at the TOP nodes that are near the root: these are multiplied for all rows at once.
         """
-        n, bias = self.params["N"], self.params["n"]
-        low = max(len(n) - TOP, 0)
-        z = (g @ n[low:].T + bias[low:])[at, np.maximum(node - low, 0)]
-        deep = np.flatnonzero(node < low)
-        own = node[deep]
-        z[deep] = np.einsum("ij,ij->i", g.take(at[deep], 0), n.take(own, 0)) + bias[own]
-        return low, deep, z
-
-    def log_of(self, g: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Natural log probability of ids after ``g``."""
         if not len(ids):
             return np.empty(0)
-        at, node, turn, begin = self.tree.ways(ids)
-        z = self.logits(g, at, node)[2]
-        return -np.add.reduceat(np.log(1 + np.exp(np.minimum(-turn * z, 60))), begin)
-
-    def log_probabilities(self, stream: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int = 96) -> np.ndarray:
+        n, bias, log = self.params["N"], self.params["n"], lambda z: np.log(1 + np.exp(np.minimum(z, 60)))
+        at, turn, begin = self.tree.near(ids)
+        z = g @ n[-TOP:].T + bias[-TOP:]
+        out = np.add.reduceat(log(-turn * z.ravel().take(at)), begin)
+        order, levels = self.tree.levels(ids)
+        own, deep = g.take(order, 0), np.zeros(len(ids), np.float32)
+        for node, turn in levels:
+            m = len(node)
+            deep[:m] += log(-turn * (np.einsum("ij,ij->i", own[:m], n.take(node, 0)) + bias[node]))
+        out[order] += deep
+        return -out
+
+    def log_probabilities(self, stream: np.ndarray, begin: np.ndarray, length: np.ndarray, most: int = 192) -> np.ndarray:
         """Natural log probability of each id of the documents that lie in ``stream``, scored once each.
 
         A document is read in windows of WINDOW ids that overlap by WINDOW - STRIDE; the first window scores all
@@ -178,43 +205,61 @@ class AttentionModel:
         return out
 
     def gradients(self, windows: np.ndarray) -> dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]]:
-        """Of the mean loss over the ids of ``windows`` ([window, 1 + position], -1 where a document is over): dense ones, and (rows, gradients) of large parameters."""
+        """Of the mean loss over the ids of ``windows`` ([window, 1 + position], -1 where a document is over): dense ones, and (different rows, gradients) of large parameters."""
         p = self.params
         x, y = windows[:, :-1], windows[:, 1:].ravel()
-        real = np.flatnonzero(y >= 0)
-        f = self.forward(np.where(x < 0, self.end_id, x))
-        g = f["g"][real]
-        at, node, turn, begin = self.tree.ways(y[real])
-        low, deep, z = self.logits(g, at, node)
-        dz = (-turn / (1 + np.exp(np.clip(turn * z, -30, 30))) / len(real)).astype(np.float32)
-        # Turns near the root are nearly all: a matrix of them, rows of which are multiplied at once; the others one by one.
-        near = np.zeros((len(real), len(p["N"]) - low), np.float32)
-        top = node >= low
-        near[at[top], node[top] - low] = dz[top]
-        own, dz, at = node[deep], dz[deep][:, None], at[deep]
-        dg, far = np.zeros_like(f["g"]), near @ p["N"][low:]
-        if len(at):
-            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-            far[at[first]] += row_sums(dz * p["N"].take(own, 0), first)
-        dg[real] = far
-        by = np.argsort(own, kind="stable")
-        own, dz, at = own[by], dz[by], at[by]
-        first = np.flatnonzero(np.diff(own, prepend=-1))
-        rows = np.concatenate((own[first], np.arange(low, len(p["N"]))))
-        dh = dg * (1 - f["g"] ** 2)
+        x, real = np.where(x < 0, self.end_id, x), np.flatnonzero(y >= 0)
+        f, y, top = self.forward(x), y[real], len(p["N"][-TOP:])
+        g = f["g"] if len(real) == x.size else f["g"].take(real, 0)
+        slope = lambda turn, z: (-turn / (1 + np.exp(np.clip(turn * z, -30, 30))) / len(real)).astype(np.float32)
+        # Turns near the root are nearly all: a matrix of them, rows of which are multiplied at once; the others level by level.
+        at, turn, _ = self.tree.near(y)
+        near = np.zeros((len(real), top), np.float32)
+        near.ravel()[at] = slope(turn, (g @ p["N"][-TOP:].T + p["n"][-TOP:]).ravel().take(at))
+        dg = near @ p["N"][-TOP:]
+        order, levels = self.tree.levels(y)
+        n_steps = int(self.tree.deep[y].sum())
+        own, far, done = g.take(order, 0), np.zeros_like(g), 0
+        nodes, dz, dn = np.empty(n_steps, np.int32), np.empty((n_steps, 1), np.float32), np.empty((n_steps, HIDDEN), np.float32)
+        for node, turn in levels:
+            m = len(node)
+            part, vectors = slice(done, done + m), p["N"].take(node, 0)
+            nodes[part], dz[part, 0] = node, slope(turn, np.einsum("ij,ij->i", own[:m], vectors) + p["n"][node])
+            np.multiply(own[:m], dz[part], out=dn[part])
+            far[:m] += np.multiply(vectors, dz[part], out=vectors)
+            done += m
+        dg[order] += far
+        rows, dn = sums_by(nodes, dn)
+        rows = np.concatenate((rows, np.arange(len(p["N"]) - top, len(p["N"]))))
+        deep_n = np.bincount(nodes, dz[:, 0], minlength=len(p["N"]))[rows[: len(dn)]]
+        dh = np.multiply(f["g"], f["g"], out=f["g"] if len(real) < x.size else None)
+        np.subtract(1, dh, out=dh)
+        if len(real) < x.size:
+            whole = np.zeros_like(dh)
+            whole[real] = dg
+            dg = whole
+        dh *= dg
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        e, c = flat(f["e"]), flat(f["c"])
-        out = {"W": e.T @ dh, "O": c.T @ dh, "b": dh.sum(0), "N": (rows, np.concatenate((row_sums(dz * g.take(at, 0), first), near.T @ g))), "n": (rows, np.concatenate((np.add.reduceat(dz[:, 0], first) if len(first) else dz[:, 0], near.sum(0)))[:, None])}
-        de, dc = dh @ p["W"].T, (dh @ p["O"].T).reshape(f["c"].shape)
-        da, dv = dc @ f["v"].transpose(0, 2, 1), f["a"].transpose(0, 2, 1) @ dc
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True))
+        ones = np.ones(len(dh), np.float32)
+        both = flat(f["both"]).T @ dh
+        out = {"W": both[:DIMS], "O": both[DIMS:], "b": ones @ dh, "N": (rows, np.concatenate((dn, near.T @ g)))}
+        out["n"] = rows, np.concatenate((deep_n.astype(np.float32), ones[: len(near)] @ near))[:, None]
+        d_both = (dh @ np.concatenate((p["W"], p["O"])).T).reshape(f["both"].shape)
+        dc, a = d_both[:, :, DIMS:], f["a"]
+        ds = dc @ f["v"].transpose(0, 2, 1)
+        ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
+        ds *= a
         w, by_distance = x.shape[1], ds.sum(0)
         known = DISTANCE[:w, :w] >= 0
         out["D"] = np.bincount(DISTANCE[:w, :w][known], by_distance[known], minlength=WINDOW).astype(np.float32)
-        for name, d in (("Q", ds @ f["k"]), ("K", ds.transpose(0, 2, 1) @ f["q"]), ("V", dv)):
-            out[name] = e.T @ flat(d)
-            de = de + flat(d) @ p[name].T
-        out["E"] = np.where(x < 0, self.end_id, x).ravel(), de
+        d = np.empty((*x.shape, 3 * DIMS), np.float32)
+        np.matmul(ds, f["k"], out=d[:, :, :DIMS])
+        np.matmul(ds.transpose(0, 2, 1), f["q"], out=d[:, :, DIMS : 2 * DIMS])
+        np.matmul(a.transpose(0, 2, 1), dc, out=d[:, :, 2 * DIMS :])
+        out["Q"], out["K"], out["V"] = np.split(flat(f["e"]).T @ flat(d), 3, 1)
+        de = flat(d) @ np.concatenate((p["Q"], p["K"], p["V"]), 1).T
+        de += flat(d_both)[:, :DIMS]
+        out["E"] = sums_by(x.ravel(), de)
         return out
 
     def learn(self, windows: np.ndarray, steps: int, seed: int, rate: float, squares: dict[str, np.ndarray], warm_up: int = 0, least: float = 0.05) -> dict[str, np.ndarray]:
@@ -227,13 +272,14 @@ class AttentionModel:
                 p, s = self.params[name], squares[name]
                 if name in LARGE:
                     rows, g = g
-                    by = np.argsort(rows, kind="stable")
-                    rows = rows[by]
-                    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-                    rows, g = rows[first], np.add.reduceat(g[by], first)
                     touched[name][rows] = True
-                    s.reshape(len(s), -1)[rows] = s.reshape(len(s), -1)[rows] * 0.999 + g * g
-                    p.reshape(len(p), -1)[rows] -= now * g / np.sqrt(s.reshape(len(s), -1)[rows])
+                    sums = s.reshape(len(s), -1).take(rows, 0)
+                    sums *= 0.999
+                    sums += g * g
+                    s.reshape(len(s), -1)[rows] = sums
+                    g *= now
+                    g /= np.sqrt(sums, out=sums)
+                    p.reshape(len(p), -1)[rows] -= g
                 else:
                     s += 0.01 * (g * g - s)
                     p -= (DENSE * now * g / (np.sqrt(s) + 1e-6)).astype(np.float32)

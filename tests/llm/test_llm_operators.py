@@ -567,6 +567,43 @@ def test_gradients_of_nodes_are_summed_by_row_against_loops():
         assert len(set(found[name][0].tolist())) == len(found[name][0]) == len(found[name][1]) > language_model.TOP
 
 
+def test_rows_of_a_key_are_summed_once_against_loops():
+    """Keys with one row, with as many as are added up together, and with more; gradients of ids and nodes name each row once."""
+    rng = np.random.default_rng(8)
+    sizes = [1, 3, language_model.LAYERS, language_model.LAYERS + 1, 2, 200]
+    key = rng.permutation(np.repeat(np.arange(len(sizes)) * 7, sizes))
+    x = rng.normal(size=(len(key), 5))
+    found, sums = language_model.sums_by(key, x)
+    assert found.tolist() == [7 * i for i in range(len(sizes))]
+    assert np.allclose(sums, [sum(r for k, r in zip(key, x) if k == one) for one in found])
+    assert [len(t) for t in language_model.sums_by(key[:0], x[:0])] == [0, 0]
+    model = language_model.AttentionModel.new(rng.integers(0, 50, 300).astype(float), 2, 7)
+    for windows in (rng.integers(0, 300, (5, 33)), np.where(np.arange(33) < 3, 4, -np.ones((2, 33), int))):
+        gradients = model.gradients(windows)
+        for name in language_model.LARGE:
+            rows, g = gradients[name]
+            assert len(set(rows.tolist())) == len(rows) == len(g)
+
+
+def test_steps_of_a_way_are_near_the_root_or_on_a_level():
+    """Every step of every id's way is found once: among the nodes near the root, or on the level of its place."""
+    tree = language_model.Tree.of(np.random.default_rng(9).integers(0, 50, 300).astype(float))
+    ids = np.array([5, 299, 5, 0, 17])
+    low = len(tree.bias) - language_model.TOP
+    at, turn, begin = tree.near(ids)
+    got = [[] for _ in ids]
+    for row, column, t in zip(at // language_model.TOP, at % language_model.TOP, turn):
+        got[row].append((low + column, t))
+    order, levels = tree.levels(ids)
+    for node, turn in levels:
+        for row, n, t in zip(order, node, turn):
+            got[row].append((n, t))
+    assert len(begin) == len(ids)
+    for i, steps in zip(ids, got):
+        own = slice(tree.start[i], tree.start[i + 1])
+        assert sorted(steps) == sorted(zip(tree.node[own], tree.turn[own]))
+
+
 def test_windows_of_a_document():
     ids = np.arange(100, 170)
     whole = language_model.windows_of(ids, 2)
