@@ -40,3 +40,20 @@ def test_fits_read_features_from_files(spark, monkeypatch):
     assert len(seen) == 2 and out["x", "a"].n + seen[0].count() == 60 and out["x", "b"].n + seen[1].count() == 30
     assert all(np.isclose(r.rmse, 0) for r in out.values())
     assert all("Join" not in t._jdf.queryExecution().optimizedPlan().toString() for t in seen)
+
+
+def test_walks_over_links_that_stand_twice(spark, tmp_path):
+    import duckdb
+
+    from orefield.plans import registry
+
+    # At 60 times sf0.1 parts have numbers of suppliers: two such parts may link to each other, or one to itself.
+    links = [(1000001, 2), (1000002, 1), (1000003, 3), (1000001, 5), (7, 2), (1000003, 2)]
+    spark.createDataFrame([(h, t, "A") for h, t in links], "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("E12_random_walks", "E12_second_order_walks", "E12_biased_walk_step"):
+        rows = registry.queries()[name](spark, str(tmp_path))
+        names = ', '.join(f'"{x}"' for x in rows.columns)
+        result = con.execute(f"SELECT {names} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, rows.collect())) == sorted(result), name
