@@ -57,3 +57,25 @@ def test_walks_over_links_that_stand_twice(spark, tmp_path):
         names = ', '.join(f'"{x}"' for x in rows.columns)
         result = con.execute(f"SELECT {names} FROM ({registry.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, rows.collect())) == sorted(result), name
+
+
+def test_numbered_triples_are_made_from_tables_for_the_kinds_asked_for(spark, monkeypatch):
+    """No stored texts stand behind them, no other kind is numbered, and they are those of the text graph."""
+    from orefield.plans import star
+
+    sf, kinds = "/root/testdata/sf0.001", ("capabilities", "functionalization_types", "topologies")
+    want = star.graph(spark, sf, *kinds).collect()
+    monkeypatch.setattr(star, "graph", None)
+    rows, terms = star.encoded(spark, sf, [], *kinds)
+    assert sorted(map(str, terms.text(terms.text(rows, "s"), "o").collect())) == sorted(map(str, want))
+    assert {r.text for r in terms.table.collect()} == {x for r in want for x in (r.s, r.o)}
+
+
+def test_repeated_triples_are_numbered_once_and_counts_are_deleted(spark, tmp_path):
+    import os
+
+    from orefield.operators import terms
+
+    rows = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("b", "p", "a")], "s string, p string, o string")
+    terms.write(rows, f"{tmp_path}/g", ["p"])
+    assert spark.read.parquet(f"{tmp_path}/g/triples").count() == 2 and "counted" not in os.listdir(f"{tmp_path}/g")
