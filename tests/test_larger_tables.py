@@ -79,3 +79,15 @@ def test_repeated_triples_are_numbered_once_and_counts_are_deleted(spark, tmp_pa
     rows = spark.createDataFrame([("a", "p", "b"), ("a", "p", "b"), ("b", "p", "a")], "s string, p string, o string")
     terms.write(rows, f"{tmp_path}/g", ["p"])
     assert spark.read.parquet(f"{tmp_path}/g/triples").count() == 2 and "counted" not in os.listdir(f"{tmp_path}/g")
+
+
+def test_additions_alone_differ_as_the_enriched_graph_does(spark, monkeypatch):
+    """V12 compares what was added, not the graph with itself."""
+    from orefield.operators import verify
+    from orefield.plans import graph_queries
+
+    sizes, own = [], verify.summary_difference
+    monkeypatch.setattr(verify, "summary_difference", lambda base, more: (sizes.append((base, more)), own(base, more))[1])
+    got = sorted(map(tuple, graph_queries.QUERIES["V12_summary_difference"](spark, "/root/testdata/sf0.001").collect()))
+    (base, added), = sizes
+    assert got == sorted(map(tuple, own(base, base.unionByName(added)).collect())) and added.count() < base.count()
