@@ -91,3 +91,16 @@ def test_additions_alone_differ_as_the_enriched_graph_does(spark, monkeypatch):
     got = sorted(map(tuple, graph_queries.QUERIES["V12_summary_difference"](spark, "/root/testdata/sf0.001").collect()))
     (base, added), = sizes
     assert got == sorted(map(tuple, own(base, base.unionByName(added)).collect())) and added.count() < base.count()
+
+
+def test_sums_by_row_are_those_of_a_plain_loop_to_the_last_bit():
+    from orefield.operators import skipgram
+
+    rng = np.random.default_rng(3)
+    where, g = rng.integers(0, 50, 400) * 2, rng.normal(size=(400, 5))
+    want = {}
+    for i, x in zip(where, g):
+        want[i] = want.get(i, np.zeros(5)) + x
+    rows, summed = skipgram.summed_by_row(where, g, 120)
+    assert rows.tolist() == sorted(want) and all((summed[j] == want[i]).all() for j, i in enumerate(rows))
+    assert skipgram.summed_by_row(where[:0], g[:0], 120)[1].shape == (0, 5)
